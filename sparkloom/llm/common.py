@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.ship import ship
+
 #: The white space that parts words: U+0020 and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
 #: A word, as a Java and Python pattern.
@@ -21,10 +23,11 @@ BATCH_ROWS = 2000
 BATCH_BYTES = 16 << 20
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batch limits to BATCH_ROWS and BATCH_BYTES; smaller settings stay."""
+def prepare(spark: SparkSession) -> None:
+    """Sends the package to the workers and lowers the session's Arrow batch limits to BATCH_ROWS and BATCH_BYTES; smaller settings stay."""
+    ship(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = int(spark.conf.get(key, "0").rstrip("bB") or 0)
+        now = int(spark.conf.get(key).rstrip("bB"))
         if now <= 0 or now > most:
             spark.conf.set(key, str(most))
 

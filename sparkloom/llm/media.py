@@ -40,8 +40,8 @@ class AudioSpec:
     hop: int = 128
     mels: int = 24
     frames: int = 16  # of each tensor
-    on_db: float = -19.0
-    off_db: float = -22.0
+    on_db: float = -12.0
+    off_db: float = -14.0
     pad_to: int = 64
     block: int = 4096  # frames worked on at once
 
@@ -177,7 +177,7 @@ def audio_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pad_to bytes), both from the payload read back, media (the WAVE file), tensors (read_tensors),
     spans of sound and a one-line summary, feature. No shuffle; memory is bounded by one text.
     """
-    common.bounded_batches(df.sparkSession)
+    common.prepare(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     schema = SCHEMA.format(id=id_col, kind=kind)
 
