@@ -351,9 +351,12 @@ def _joined(rows: DataFrame, id_col: str, n: int, percent: int, members: DataFra
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of df, with all its columns, that are the first of their component by id."""
-    found = jaccard_components(df, id_col, text_col, n, percent)
-    return df.join(found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct(), id_col, "left_semi")
+    """The rows of df, with all its columns, that are the first of their component by id. Of rows with equal id and text one stays; rows without an id stay all."""
+    found = common.materialize(jaccard_components(df, id_col, text_col, n, percent), "components")
+    kept = df.join(found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct(), id_col, "left_semi").select(*df.columns)
+    if not found.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, text_col])
+    return kept.unionAll(df.filter(F.col(id_col).isNull()))
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
