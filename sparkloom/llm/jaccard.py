@@ -13,7 +13,12 @@ of `percent` on. Every step is exact; frequencies decide about speed alone.
    share of the shorter prefix lies in the other one too, so they have a signature in common.
    The number of classes depends on a set's size; a set near a limit signs for both sides.
    Equal sets are one from here on.
-3. Verification. In each bucket of a signature the sets are ranked, the one that most others share
+3. Candidates. Buckets of up to FEW sets give their pairs, with the number of buckets that a pair
+   shares. Of the first n - t + 1 tokens of the set that ends first a pair can share no more than
+   that, and what either has in larger buckets or signs in pairs; with all tokens behind them that
+   bounds the overlap, and pairs for which it doesn't suffice, such as those of one shared passage,
+   end here.
+4. Verification. In each larger bucket the sets are ranked, the one that most others share
    buckets with first. Round by round the first few (1, then 4, 16, ...) are compared with all after
    them whose size allows a link and that aren't in the same component yet, on the whole sets. A
    bucket is done when one component holds it, so a group of near copies takes few comparisons, and
@@ -48,6 +53,8 @@ SENT_FROM, HEAVY = 8, 1 << 20
 PAIRS_FROM = 64
 #: A set of up to SMALL tokens signs with single tokens; larger ones have 16 classes, four times as many from each eightfold size on.
 SMALL, CLASSES = 37, 16
+#: Sets of a bucket whose pairs are all counted.
+FEW = 8
 #: Text bytes for each shard.
 SHARD_BYTES = 24 << 20
 #: Bits of the filter by which sets are made again for those documents alone that share a bucket.
@@ -84,16 +91,16 @@ def band(size: int) -> int:
 
 
 def signatures(tokens: np.ndarray, level: np.ndarray, percent: int, pairs_level: int) -> np.ndarray:
-    """Signatures of one set. tokens are ordered from rare to frequent; level: of their frequency."""
+    """Signatures of one set, odd ones of single tokens and even ones of pairs. tokens are ordered from rare to frequent; level: of their frequency."""
     n = len(tokens)
     must = n - int(needed(n, percent)) + 1
     rare = int(np.searchsorted(level, pairs_level))
     if rare >= must:
-        return tokens[:must]
-    out = [tokens[:rare]]
+        return tokens[:must] | np.uint64(1)
+    out = [tokens[:rare] | np.uint64(1)]
     for b in {band(n), band(int(needed(n, percent)))}:
         if not b:
-            out.append(tokens[rare:must])
+            out.append(tokens[rare:must] | np.uint64(1))
             continue
         classes = CLASSES * 4 ** (b - 1)
         held: dict[int, list[int]] = {}
@@ -107,7 +114,7 @@ def signatures(tokens: np.ndarray, level: np.ndarray, percent: int, pairs_level:
         two = [p for own in held.values() for p in combinations(own, 2)]
         if two:
             a, c = np.array(two, np.uint64).T
-            out.append(mix(a * PLACES[0] + c * PLACES[1] + np.uint64(b)))
+            out.append(mix(a * PLACES[0] + c * PLACES[1] + np.uint64(b)) & ~np.uint64(1))
     return np.unique(np.concatenate(out))
 
 
@@ -155,7 +162,7 @@ def _frequent(rows: DataFrame, n: int, shards: int) -> tuple[np.ndarray, np.ndar
 
 
 def _sign(rows: DataFrame, id_col: str, n: int, percent: int, shards: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Rows with shard >= 0 hold packed signatures; those with shard -1 hold ids, set hashes and sizes."""
+    """Rows with shard >= 0 hold packed signatures, and sizes with the numbers of tokens in front that don't sign by themselves; those with shard -1 hold ids, set hashes and sizes."""
     sent = rows.sparkSession.sparkContext.broadcast(heavy)
     shift, per = np.uint64(64 - COUNT_BITS), np.uint64(-(-(1 << 32) // shards))
     pairs_level = int(np.log2(PAIRS_FROM))
@@ -173,7 +180,7 @@ def _sign(rows: DataFrame, id_col: str, n: int, percent: int, shards: int, heavy
                     hit = keys[at] == tokens >> shift
                     level[hit] = levels[at[hit]]
                 ends = np.cumsum(sizes)
-                sets, found = np.zeros(len(sizes), np.uint64), []
+                sets, spare, found = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.int64), []
                 for i, (b, size) in enumerate(zip(ends.tolist(), sizes.tolist())):
                     if not size:
                         continue
@@ -183,6 +190,7 @@ def _sign(rows: DataFrame, id_col: str, n: int, percent: int, shards: int, heavy
                         by = np.argsort(lev, kind="stable")
                         own, lev = own[by], lev[by]
                     found.append((i, signatures(own, lev, percent, pairs_level)))
+                    spare[i] = max(0, size - int(needed(size, percent)) + 1 - int(np.searchsorted(lev, pairs_level)))
                 sign = np.concatenate([s for _, s in found]) if found else np.zeros(0, np.uint64)
                 owner = np.repeat([i for i, _ in found], [len(s) for _, s in found]).astype("<u4")
                 shard = (sign >> np.uint64(32)) // per
@@ -192,7 +200,7 @@ def _sign(rows: DataFrame, id_col: str, n: int, percent: int, shards: int, heavy
                 rows, ids = [], []
                 for s, at in parts:
                     who, place = np.unique(owner[at], return_inverse=True)
-                    rows.append((s, sign[at].tobytes(), place.astype("<u4").tobytes(), sets[who].tobytes(), sizes[who].astype("<u4").tobytes()))
+                    rows.append((s, sign[at].tobytes(), place.astype("<u4").tobytes(), sets[who].tobytes(), np.array([sizes[who], spare[who]], "<u4").tobytes()))
                     ids.append([])
                 rows.append((-1, None, None, sets.tobytes(), sizes.astype("<u4").tobytes()))
                 listed = pa.ListArray.from_arrays(pa.array([0] * len(rows) + [batch.num_rows], pa.int32()), batch.column(id_col))
@@ -215,27 +223,55 @@ def _members(signed: DataFrame, id_col: str, kind: str) -> DataFrame:
 
 
 def _buckets(signed: DataFrame) -> DataFrame:
-    """signature, set, size: of signatures that two different sets or more have."""
+    """Buckets that two different sets or more are in. kind 0: of more than FEW sets; x: the signature, y: a set, nx: its size. kind 1: pairs x, y of sets in the others, their sizes nx, ny, the lesser number of tokens that don't sign by themselves, and n, the tokens that they share in this shard."""
 
     def run(table: pa.Table) -> pa.Table:
-        sign, sets, sizes = [], [], []
+        sign, sets, sizes, spare = [], [], [], []
         for s, o, h, n in zip(*(table.column(x).to_pylist() for x in ("signatures", "owners", "sets", "sizes")), strict=True):
-            owner = np.frombuffer(o, "<u4")
+            owner, n = np.frombuffer(o, "<u4"), np.frombuffer(n, "<u4").astype(np.int64).reshape(2, -1)
             sign.append(np.frombuffer(s, np.int64))
             sets.append(np.frombuffer(h, np.int64)[owner])
-            sizes.append(np.frombuffer(n, "<u4")[owner])
-        sign, sets, sizes = map(np.concatenate, (sign, sets, sizes))
+            sizes.append(n[0, owner])
+            spare.append(n[1, owner])
+        sign, sets, sizes, spare = map(np.concatenate, (sign, sets, sizes, spare))
         by = np.lexsort((sets, sign))
-        sign, sets, sizes = sign[by], sets[by], sizes[by]
+        sign, sets, sizes, spare = sign[by], sets[by], sizes[by], spare[by]
         new = np.ones(len(sign), bool)
         new[1:] = (sign[1:] != sign[:-1]) | (sets[1:] != sets[:-1])
-        sign, sets, sizes = sign[new], sets[new], sizes[new]
-        again = np.zeros(len(sign), bool)
-        again[1:] = sign[1:] == sign[:-1]
-        again[:-1] |= again[1:].copy()
-        return pa.table({"signature": sign[again], "set": sets[again], "size": sizes[again].astype(np.int64)})
-
-    return signed.filter("shard >= 0").groupBy("shard").applyInArrow(run, "signature long, set long, size long")
+        sign, sets, sizes, spare = sign[new], sets[new], sizes[new], spare[new]
+        first = np.flatnonzero(np.diff(sign, prepend=~sign[:1]))
+        held = np.diff(first, append=len(sign))
+        big = np.repeat(held > FEW, held)
+        place = np.arange(len(sign))
+        end = np.repeat(first + held, held)
+        a, b = [], []
+        for d in range(1, FEW):
+            one = place[~big & (place + d < end)]
+            a.append(one)
+            b.append(one + d)
+        a, b = np.concatenate(a), np.concatenate(b)
+        pairs, at = np.unique(np.stack([sets[a], sets[b]], axis=1), axis=0, return_inverse=True)
+        n = np.bincount(at.ravel(), weights=sign[a] & 1, minlength=len(pairs)).astype(np.int64)
+        one = np.zeros(len(pairs), np.int64)
+        one[at.ravel()] = np.arange(len(a))
+        a, b, k = a[one], b[one], int(big.sum())
+        zero = np.zeros(k, np.int64)
+        columns = {"kind": (zero, np.ones(len(pairs), np.int64)), "x": (sign[big], sets[a]), "y": (sets[big], sets[b]), "nx": (sizes[big], sizes[a]), "ny": (zero, sizes[b]), "spare": (zero, np.minimum(spare[a], spare[b])), "n": (zero, n)}
+        return pa.table({c: np.concatenate(v) for c, v in columns.items()})
+
+    return signed.filter("shard >= 0").groupBy("shard").applyInArrow(run, "kind long, x long, y long, nx long, ny long, spare long, n long")
+
+
+def _few(found: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of buckets of few sets whose sizes and shared tokens allow a link."""
+    large = found.filter("kind = 0").groupBy(F.col("y").alias("set")).agg(F.count(F.lit(1)).alias("large"))
+    sizes = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
+    pairs = found.filter("kind = 1").filter(sizes).groupBy("x", "y").agg(F.sum("n").alias("n"), F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.first("spare").alias("spare"))
+    for side in ("x", "y"):
+        pairs = pairs.join(large.withColumnsRenamed({"set": side, "large": f"l{side}"}), side, "left")
+    shared = F.col("n") + F.col("spare") + F.least(F.coalesce("lx", F.lit(0)), F.coalesce("ly", F.lit(0)))
+    behind = F.ceil(percent * F.greatest("nx", "ny") / 100 - 1e-9) - 1
+    return pairs.filter((shared + behind) * (100 + percent) >= percent * (F.col("nx") + F.col("ny"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def _whole_sets(rows: DataFrame, id_col: str, n: int, owners: DataFrame) -> DataFrame:
@@ -314,40 +350,38 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return grouped.join(least, "label", "left").select(id_col, F.col("size").alias("n_tokens"), F.coalesce("component_id", id_col).alias("component_id"))
 
 
-def _joined(rows: DataFrame, id_col: str, n: int, percent: int, members: DataFrame, buckets: DataFrame) -> DataFrame:
+def _joined(rows: DataFrame, id_col: str, n: int, percent: int, members: DataFrame, found: DataFrame) -> DataFrame:
     """node (a set), label: the components of sets that link with another."""
+    few = common.materialize(_few(found, percent), "few")
+    buckets = found.filter("kind = 0").select(F.col("x").alias("signature"), F.col("y").alias("set"), F.col("nx").alias("size"))
     shared = buckets.groupBy("signature").agg(F.count(F.lit(1)).alias("held"))
     weight = buckets.join(shared, "signature").groupBy("set").agg(F.sum("held").alias("weight"))
     place = F.row_number().over(Window.partitionBy("signature").orderBy(F.desc("weight"), "set")) - 1
     ranked = common.materialize(buckets.join(weight, "set").withColumn("rank", place).drop("weight"), "ranked")
-    most = ranked.agg(F.max("rank")).first()[0]
-    if most is None:
-        return rows.sparkSession.createDataFrame([], "node long, label long")
-    owners = members.join(weight.select("set"), "set").groupBy("set").agg(F.min(id_col).alias(id_col))
+    nodes = few.select(F.col("a").alias("set")).unionAll(few.select("b")).unionAll(ranked.select("set")).distinct()
+    owners = members.join(nodes, "set").groupBy("set").agg(F.min(id_col).alias(id_col))
     whole = common.materialize(_whole_sets(rows, id_col, n, owners), "whole")
-    links, labels, first, count = None, None, 0, 1
-    while first < most:
-        live = ranked.filter(F.col("rank") >= first)
-        if labels is not None:
-            live = live.join(labels.withColumnsRenamed({"node": "set"}), "set", "left").withColumn("label", F.coalesce("label", "set"))
-        else:
-            live = live.withColumn("label", F.col("set"))
+    links = common.materialize(_links(few, whole, percent), "links")
+    labels = components(links)
+
+    def labelled(part: DataFrame) -> DataFrame:
+        return part.join(labels.withColumnsRenamed({"node": "set"}), "set", "left").withColumn("label", F.coalesce("label", "set"))
+
+    first, count = 0, 1
+    while True:  # buckets that still hold several components, and have pairs left
+        live = labelled(ranked.filter(F.col("rank") >= first))
+        several = live.groupBy("signature").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("signature")
+        live = common.materialize(live.join(several, "signature"), "live")
+        if live.isEmpty():
+            return labels
         lead = live.filter(F.col("rank") < first + count).select("signature", F.col("set").alias("x"), F.col("size").alias("nx"), F.col("label").alias("lx"), F.col("rank").alias("rx"))
         met = live.join(lead, "signature").filter((F.col("rank") > F.col("rx")) & (F.col("label") != F.col("lx")) & (100 * F.least("size", "nx") >= percent * F.greatest("size", "nx")))
         pairs = met.select(F.least("set", "x").alias("a"), F.greatest("set", "x").alias("b")).distinct()
         new = common.materialize(_links(pairs, whole, percent), "links")
-        links = new if links is None else links.unionAll(new)
-        if not new.isEmpty() or labels is None:
+        if not new.isEmpty():
+            links = links.unionAll(new)
             labels = components(links)
-        first, count = first + count, count * 4
-        if first < most:  # buckets that still hold several components, and have pairs left
-            now = ranked.filter(F.col("rank") >= first).join(labels.withColumnsRenamed({"node": "set"}), "set", "left").withColumn("label", F.coalesce("label", "set"))
-            open_ = now.groupBy("signature").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("signature")
-            ranked = common.materialize(ranked.filter(F.col("rank") >= first).join(open_, "signature"), "ranked")
-            most = ranked.agg(F.max("rank")).first()[0]
-            if most is None:
-                break
-    return labels
+        ranked, first, count = live.drop("label"), first + count, count * 4
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
