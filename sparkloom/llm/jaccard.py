@@ -17,7 +17,8 @@ of `percent` on. Every step is exact; frequencies decide about speed alone.
    shares. Of the first n - t + 1 tokens of the set that ends first a pair can share no more than
    that, and what either has in larger buckets or signs in pairs; with all tokens behind them that
    bounds the overlap, and pairs for which it doesn't suffice, such as those of one shared passage,
-   end here.
+   end here. So do pairs for which no bucket can be the first that they share, since too few tokens
+   are left behind its place in either set; this holds in larger buckets too.
 4. Verification. In each larger bucket the sets are ranked, the one that most others share
    buckets with first. Round by round the first few (1, then 4, 16, ...) are compared with all after
    them whose size allows a link and that aren't in the same component yet, on the whole sets. A
@@ -51,8 +52,8 @@ COUNT_BITS = 40
 SENT_FROM, HEAVY = 8, 1 << 20
 #: Tokens in so many documents or more sign in pairs.
 PAIRS_FROM = 64
-#: A set of up to SMALL tokens signs with single tokens; larger ones have 16 classes, four times as many from each eightfold size on.
-SMALL, CLASSES = 37, 16
+#: A set of up to SMALL tokens signs with single tokens; larger ones have CLASSES classes, four times as many from each eightfold size on.
+SMALL, CLASSES = 37, 4
 #: Sets of a bucket whose pairs are all counted.
 FEW = 8
 #: Text bytes for each shard.
@@ -90,32 +91,37 @@ def band(size: int) -> int:
     return b
 
 
-def signatures(tokens: np.ndarray, level: np.ndarray, percent: int, pairs_level: int) -> np.ndarray:
-    """Signatures of one set, odd ones of single tokens and even ones of pairs. tokens are ordered from rare to frequent; level: of their frequency."""
+def signatures(tokens: np.ndarray, level: np.ndarray, percent: int, pairs_level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of one set, odd ones of single tokens and even ones of pairs, and the most that it can share with a set whose first common signature this is. tokens are ordered from rare to frequent; level: of their frequency."""
     n = len(tokens)
     must = n - int(needed(n, percent)) + 1
-    rare = int(np.searchsorted(level, pairs_level))
-    if rare >= must:
-        return tokens[:must] | np.uint64(1)
-    out = [tokens[:rare] | np.uint64(1)]
+    rare = min(must, int(np.searchsorted(level, pairs_level)))
+    if rare == must:
+        return tokens[:must] | np.uint64(1), n - np.arange(must)
+    out, rest = [tokens[:rare] | np.uint64(1)], [n - np.arange(rare)]
     for b in {band(n), band(int(needed(n, percent)))}:
         if not b:
             out.append(tokens[rare:must] | np.uint64(1))
+            rest.append(n - np.arange(rare, must))
             continue
         classes = CLASSES * 4 ** (b - 1)
-        held: dict[int, list[int]] = {}
+        held: dict[int, list[tuple[int, int]]] = {}
         hit = rare
-        for t in tokens[rare:].tolist():
+        for i, t in enumerate(tokens[rare:].tolist(), rare):
             own = held.setdefault(t % classes, [])
             hit += bool(own)
-            own.append(t)
+            own.append((t, i))
             if hit >= must:
                 break
-        two = [p for own in held.values() for p in combinations(own, 2)]
+        two = [(x, y, i) for own in held.values() for (x, _), (y, i) in combinations(own, 2)]
         if two:
-            a, c = np.array(two, np.uint64).T
-            out.append(mix(a * PLACES[0] + c * PLACES[1] + np.uint64(b)) & ~np.uint64(1))
-    return np.unique(np.concatenate(out))
+            x, y, i = np.array(two, np.uint64).T
+            out.append(mix(x * PLACES[0] + y * PLACES[1] + np.uint64(b)) & ~np.uint64(1))
+            # In front of the first common pair stands one common token of each class at most, and no rare one.
+            i = i.astype(np.int64)
+            rest.append(n - i + np.minimum(classes, i - rare))
+    sign, at = np.unique(np.concatenate(out), return_index=True)
+    return sign, np.concatenate(rest)[at]
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
@@ -189,10 +195,11 @@ def _sign(rows: DataFrame, id_col: str, n: int, percent: int, shards: int, heavy
                     if lev.any():
                         by = np.argsort(lev, kind="stable")
                         own, lev = own[by], lev[by]
-                    found.append((i, signatures(own, lev, percent, pairs_level)))
+                    found.append((i, *signatures(own, lev, percent, pairs_level)))
                     spare[i] = max(0, size - int(needed(size, percent)) + 1 - int(np.searchsorted(lev, pairs_level)))
-                sign = np.concatenate([s for _, s in found]) if found else np.zeros(0, np.uint64)
-                owner = np.repeat([i for i, _ in found], [len(s) for _, s in found]).astype("<u4")
+                sign = np.concatenate([s for _, s, _ in found]) if found else np.zeros(0, np.uint64)
+                rest = np.concatenate([r for _, _, r in found]).astype("<u4") if found else np.zeros(0, "<u4")
+                owner = np.repeat([i for i, _, _ in found], [len(s) for _, s, _ in found]).astype("<u4")
                 shard = (sign >> np.uint64(32)) // per
                 by = np.argsort(shard, kind="stable")
                 cut = np.searchsorted(shard[by], np.arange(shards + 1, dtype=np.uint64))
@@ -200,7 +207,7 @@ def _sign(rows: DataFrame, id_col: str, n: int, percent: int, shards: int, heavy
                 rows, ids = [], []
                 for s, at in parts:
                     who, place = np.unique(owner[at], return_inverse=True)
-                    rows.append((s, sign[at].tobytes(), place.astype("<u4").tobytes(), sets[who].tobytes(), np.array([sizes[who], spare[who]], "<u4").tobytes()))
+                    rows.append((s, sign[at].tobytes(), np.array([place, rest[at]], "<u4").tobytes(), sets[who].tobytes(), np.array([sizes[who], spare[who]], "<u4").tobytes()))
                     ids.append([])
                 rows.append((-1, None, None, sets.tobytes(), sizes.astype("<u4").tobytes()))
                 listed = pa.ListArray.from_arrays(pa.array([0] * len(rows) + [batch.num_rows], pa.int32()), batch.column(id_col))
@@ -222,23 +229,24 @@ def _members(signed: DataFrame, id_col: str, kind: str) -> DataFrame:
     return signed.filter("shard = -1").select("ids", "sets", "sizes").mapInArrow(run, f"{id_col} {kind}, set long, size long")
 
 
-def _buckets(signed: DataFrame) -> DataFrame:
-    """Buckets that two different sets or more are in. kind 0: of more than FEW sets; x: the signature, y: a set, nx: its size. kind 1: pairs x, y of sets in the others, their sizes nx, ny, the lesser number of tokens that don't sign by themselves, and n, the tokens that they share in this shard."""
+def _buckets(signed: DataFrame, percent: int) -> DataFrame:
+    """Buckets that two different sets or more are in. kind 0: of more than FEW sets; x: the signature, y: a set, nx: its size, n: the most that it can share if this is its first. kind 1: pairs x, y of sets in the others, their sizes nx, ny, the lesser number of tokens that don't sign by themselves, n, the tokens that they share in this shard, and may, whether one of these can be the first of a link."""
 
     def run(table: pa.Table) -> pa.Table:
-        sign, sets, sizes, spare = [], [], [], []
+        sign, sets, sizes, spare, rest = [], [], [], [], []
         for s, o, h, n in zip(*(table.column(x).to_pylist() for x in ("signatures", "owners", "sets", "sizes")), strict=True):
-            owner, n = np.frombuffer(o, "<u4"), np.frombuffer(n, "<u4").astype(np.int64).reshape(2, -1)
+            (owner, left), n = np.frombuffer(o, "<u4").reshape(2, -1), np.frombuffer(n, "<u4").astype(np.int64).reshape(2, -1)
             sign.append(np.frombuffer(s, np.int64))
             sets.append(np.frombuffer(h, np.int64)[owner])
             sizes.append(n[0, owner])
             spare.append(n[1, owner])
-        sign, sets, sizes, spare = map(np.concatenate, (sign, sets, sizes, spare))
+            rest.append(left.astype(np.int64))
+        sign, sets, sizes, spare, rest = map(np.concatenate, (sign, sets, sizes, spare, rest))
         by = np.lexsort((sets, sign))
-        sign, sets, sizes, spare = sign[by], sets[by], sizes[by], spare[by]
+        sign, sets, sizes, spare, rest = sign[by], sets[by], sizes[by], spare[by], rest[by]
         new = np.ones(len(sign), bool)
         new[1:] = (sign[1:] != sign[:-1]) | (sets[1:] != sets[:-1])
-        sign, sets, sizes, spare = sign[new], sets[new], sizes[new], spare[new]
+        sign, sets, sizes, spare, rest = sign[new], sets[new], sizes[new], spare[new], rest[new]
         first = np.flatnonzero(np.diff(sign, prepend=~sign[:1]))
         held = np.diff(first, append=len(sign))
         big = np.repeat(held > FEW, held)
@@ -252,21 +260,23 @@ def _buckets(signed: DataFrame) -> DataFrame:
         a, b = np.concatenate(a), np.concatenate(b)
         pairs, at = np.unique(np.stack([sets[a], sets[b]], axis=1), axis=0, return_inverse=True)
         n = np.bincount(at.ravel(), weights=sign[a] & 1, minlength=len(pairs)).astype(np.int64)
+        may = np.minimum(rest[a], rest[b]) * (100 + percent) >= percent * (sizes[a] + sizes[b])
+        may = np.bincount(at.ravel(), weights=may, minlength=len(pairs)) > 0
         one = np.zeros(len(pairs), np.int64)
         one[at.ravel()] = np.arange(len(a))
         a, b, k = a[one], b[one], int(big.sum())
         zero = np.zeros(k, np.int64)
-        columns = {"kind": (zero, np.ones(len(pairs), np.int64)), "x": (sign[big], sets[a]), "y": (sets[big], sets[b]), "nx": (sizes[big], sizes[a]), "ny": (zero, sizes[b]), "spare": (zero, np.minimum(spare[a], spare[b])), "n": (zero, n)}
+        columns = {"kind": (zero, np.ones(len(pairs), np.int64)), "x": (sign[big], sets[a]), "y": (sets[big], sets[b]), "nx": (sizes[big], sizes[a]), "ny": (zero, sizes[b]), "spare": (zero, np.minimum(spare[a], spare[b])), "n": (rest[big], n), "may": (zero, may.astype(np.int64))}
         return pa.table({c: np.concatenate(v) for c, v in columns.items()})
 
-    return signed.filter("shard >= 0").groupBy("shard").applyInArrow(run, "kind long, x long, y long, nx long, ny long, spare long, n long")
+    return signed.filter("shard >= 0").groupBy("shard").applyInArrow(run, "kind long, x long, y long, nx long, ny long, spare long, n long, may long")
 
 
 def _few(found: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of buckets of few sets whose sizes and shared tokens allow a link."""
     large = found.filter("kind = 0").groupBy(F.col("y").alias("set")).agg(F.count(F.lit(1)).alias("large"))
     sizes = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
-    pairs = found.filter("kind = 1").filter(sizes).groupBy("x", "y").agg(F.sum("n").alias("n"), F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.first("spare").alias("spare"))
+    pairs = found.filter("kind = 1").filter(sizes).groupBy("x", "y").agg(F.sum("n").alias("n"), F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.first("spare").alias("spare"), F.max("may").alias("may")).filter("may = 1").drop("may")
     for side in ("x", "y"):
         pairs = pairs.join(large.withColumnsRenamed({"set": side, "large": f"l{side}"}), side, "left")
     shared = F.col("n") + F.col("spare") + F.least(F.coalesce("lx", F.lit(0)), F.coalesce("ly", F.lit(0)))
@@ -344,16 +354,25 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shards = shards_for(rows)
     signed = common.materialize(_sign(rows, id_col, n, percent, shards, _frequent(rows, n, shards)), "signed")
     members = common.materialize(_members(signed, id_col, kind), "members")
-    labels = _joined(rows, id_col, n, percent, members, common.materialize(_buckets(signed), "buckets"))
+    labels = _joined(rows, id_col, n, percent, members, common.materialize(_buckets(signed, percent), "buckets"))
     grouped = members.join(labels.withColumnsRenamed({"node": "set"}), "set", "left").withColumn("label", F.coalesce("label", "set"))
     least = grouped.filter("label IS NOT NULL").groupBy("label").agg(F.min(id_col).alias("component_id"))
     return grouped.join(least, "label", "left").select(id_col, F.col("size").alias("n_tokens"), F.coalesce("component_id", id_col).alias("component_id"))
 
 
+def _merged(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """labels after links (a, b) between sets of different components were found: the components of the components."""
+    of = labels.withColumnsRenamed({"label": "la"})
+    edges = new.join(of.withColumnRenamed("node", "a"), "a", "left").join(of.withColumnsRenamed({"node": "b", "la": "lb"}), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    above = components(edges)
+    kept = labels.join(above.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return common.materialize(kept.unionAll(above.join(labels, "node", "left_anti").select("node", "label")), "labels")
+
+
 def _joined(rows: DataFrame, id_col: str, n: int, percent: int, members: DataFrame, found: DataFrame) -> DataFrame:
     """node (a set), label: the components of sets that link with another."""
     few = common.materialize(_few(found, percent), "few")
-    buckets = found.filter("kind = 0").select(F.col("x").alias("signature"), F.col("y").alias("set"), F.col("nx").alias("size"))
+    buckets = found.filter("kind = 0").select(F.col("x").alias("signature"), F.col("y").alias("set"), F.col("nx").alias("size"), F.col("n").alias("rest"))
     shared = buckets.groupBy("signature").agg(F.count(F.lit(1)).alias("held"))
     weight = buckets.join(shared, "signature").groupBy("set").agg(F.sum("held").alias("weight"))
     place = F.row_number().over(Window.partitionBy("signature").orderBy(F.desc("weight"), "set")) - 1
@@ -374,13 +393,12 @@ def _joined(rows: DataFrame, id_col: str, n: int, percent: int, members: DataFra
         live = common.materialize(live.join(several, "signature"), "live")
         if live.isEmpty():
             return labels
-        lead = live.filter(F.col("rank") < first + count).select("signature", F.col("set").alias("x"), F.col("size").alias("nx"), F.col("label").alias("lx"), F.col("rank").alias("rx"))
-        met = live.join(lead, "signature").filter((F.col("rank") > F.col("rx")) & (F.col("label") != F.col("lx")) & (100 * F.least("size", "nx") >= percent * F.greatest("size", "nx")))
+        lead = live.filter(F.col("rank") < first + count).select("signature", F.col("set").alias("x"), F.col("size").alias("nx"), F.col("label").alias("lx"), F.col("rank").alias("rx"), F.col("rest").alias("tx"))
+        met = live.join(lead, "signature").filter((F.col("rank") > F.col("rx")) & (F.col("label") != F.col("lx")) & (100 * F.least("size", "nx") >= percent * F.greatest("size", "nx")) & (F.least("rest", "tx") * (100 + percent) >= percent * (F.col("size") + F.col("nx"))))
         pairs = met.select(F.least("set", "x").alias("a"), F.greatest("set", "x").alias("b")).distinct()
         new = common.materialize(_links(pairs, whole, percent), "links")
         if not new.isEmpty():
-            links = links.unionAll(new)
-            labels = components(links)
+            labels = _merged(labels, new)
         ranked, first, count = live.drop("label"), first + count, count * 4
 
 
