@@ -129,9 +129,9 @@ def _shard(keys: np.ndarray, kind: int, shards: int) -> np.ndarray:
 
 def _dealt(keys: np.ndarray, kind: int, shards: int):
     """(shard, places in keys) of each shard that has some; places rise."""
-    shard = _shard(keys, kind, shards)
+    shard = _shard(keys, kind, shards).astype(np.uint16 if shards <= 1 << 16 else np.uint32)  # short numbers sort by digits
     by = np.argsort(shard, kind="stable")
-    cut = np.searchsorted(shard[by], np.arange(shards + 1, dtype=np.uint64))
+    cut = np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
     return [(s, by[a:b]) for s, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
 
 
@@ -275,24 +275,29 @@ def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
             chain = tokens(texts, lengths, words)
 
             def told(every: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
-                keys = np.unique(every)
+                """The answer to each distinct key, and the place of each key's answer."""
+                order = np.argsort(every)
+                keys = every[order]
+                new = np.ones(len(keys), bool)
+                new[1:] = keys[1:] != keys[:-1]
+                place = np.empty(len(keys), np.int32)
+                place[order] = np.cumsum(new, dtype=np.int32) - 1
+                keys = keys[new]
                 out = np.zeros(len(keys), "<u4" if q == 0 else np.uint8)
                 for s, at in _dealt(keys, q, shards):
                     out[at] = np.frombuffer(answered[s, q], out.dtype)
-                return keys, out
-
-            keys, count = told(chain.words, 0)
-            c = count[np.searchsorted(keys, chain.chain)].astype(np.float64)  # the mark is among the words
-            before, own = c[:-1], c[1:]
-            p = (own + 1) * (prior / (learnt + distinct + 1))
-            two = chain.bigrams()
-            keys, code = told(two, 1)
-            p += CODEBOOK[code[np.searchsorted(keys, two)]]
-            del two, keys, code
+                return out, place
+
+            count, place = told(chain.chain, 0)  # the mark is among the words
             first = np.cumsum(chain.sizes) - chain.sizes
-            total = np.add.reduceat(np.log10(p) - np.log10(before + prior), first)
-            base = np.add.reduceat(np.log10(own + 1), first) - chain.sizes * np.log10(learnt + distinct + 1)
-            known = np.add.reduceat((own > 0).astype(np.int64), first)
+            before, own = place[:-1], place[1:]
+            known = np.add.reduceat((count > 0)[own].astype(np.int64), first)
+            base = np.add.reduceat(np.log10(count + 1.0)[own], first) - chain.sizes * np.log10(learnt + distinct + 1)
+            p = ((count + 1.0) * (prior / (learnt + distinct + 1)))[own]
+            code, two = told(chain.bigrams(), 1)
+            p += CODEBOOK[code[two]]
+            del two, code
+            total = np.add.reduceat(np.log10(p, out=p) - np.log10(count + prior)[before], first)
             parts.append(pa.table({id_col: ids.values, "held_out": pa.array(np.frombuffer(held, np.uint8) > 0), "n_tokens": chain.sizes, "n_known": known, "train_tokens": np.full(len(known), learnt), "base_score": base, "score": total}))
         return pa.concat_tables(parts) if parts else pa.table({n: pa.array([], t) for n, t in zip((id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"), (left.schema.field("ids").type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
 
