@@ -2,5 +2,311 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from sparkloom.functions import collections as fn
+from sparkloom.operators import alignment, kvs, membership, sorting
+from sparkloom.operators.graph import Graph
+from sparkloom.plans import combinators
+from sparkloom.sources import readers
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def customers(spark, sf_dir: str) -> DataFrame:
+    """The store of customers: name -> key."""
+    return table(spark, sf_dir, "customer").select(F.col("c_name").alias("key"), F.col("c_custkey").alias("value"))
+
+
+def wanted(spark, sf_dir: str) -> DataFrame:
+    """Keys to look up: the customers' of some orders, and as many that aren't there."""
+    o = table(spark, sf_dir, "orders").filter("o_custkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    there = o.join(table(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_name").alias("key"))
+    return there.unionAll(o.select(F.concat(F.lit("none-"), F.col("c_custkey").cast("string"))))
+
+
+WANTED = "WITH wanted AS (SELECT c_name AS key FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey % 7 = 0 UNION ALL SELECT 'none-' || o_custkey FROM orders WHERE o_custkey % 7 = 0), kv AS (SELECT c_name AS key, c_custkey AS value FROM customer) "
+
+
+# --- keyed store ----------------------------------------------------------------------------------
+
+
+@query("SELECT c_name AS key, c_custkey AS value FROM customer WHERE c_name = (SELECT min(c_name) FROM customer)")
+def kv_get(spark, sf_dir):
+    kv = customers(spark, sf_dir)
+    return kvs.get(kv, kv.agg(F.min("key")).first()[0])
+
+
+@query(WANTED + "SELECT DISTINCT key, value FROM wanted JOIN kv USING (key)")
+def kv_multi_get(spark, sf_dir):
+    return kvs.multi_get(customers(spark, sf_dir), wanted(spark, sf_dir))
+
+
+@query(WANTED + "SELECT key, CASE WHEN value IS NULL THEN 'not_found' ELSE 'found' END AS status, value FROM (SELECT DISTINCT key FROM wanted) LEFT JOIN kv USING (key)")
+def kv_multi_get_batch(spark, sf_dir):
+    return kvs.multi_get_batch(customers(spark, sf_dir), wanted(spark, sf_dir))
+
+
+@query(WANTED + "SELECT CASE WHEN value IS NULL THEN key || ': not found' ELSE key || ': ' || value END AS line FROM (SELECT DISTINCT key FROM wanted) LEFT JOIN kv USING (key)")
+def kv_result_lines(spark, sf_dir):
+    return kvs.result_lines(kv_multi_get_batch(spark, sf_dir))
+
+
+@query()
+def kv_get_ref(spark, sf_dir):
+    return kvs.get_ref(customers(spark, sf_dir), wanted(spark, sf_dir), 16)
+
+
+def updates(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("key-"), F.col("user_id").cast("string")).alias("key"), F.floor(F.col("value")).cast("long").alias("value"), F.col("event_id").alias("seq"))
+
+
+UPDATES = "SELECT 'key-' || user_id AS key, CAST(floor(value) AS BIGINT) AS value, event_id AS seq FROM events"
+
+
+@query(f"SELECT key, arg_max_null(value, seq) AS value FROM ({UPDATES}) GROUP BY key UNION ALL SELECT c_name, c_custkey FROM customer")
+def kv_put(spark, sf_dir):
+    return kvs.put(customers(spark, sf_dir), updates(spark, sf_dir))
+
+
+@query(f"SELECT key, seq, value, lag(value) OVER (PARTITION BY key ORDER BY seq) AS old FROM ({UPDATES})")
+def kv_put_with_old(spark, sf_dir):
+    return kvs.put_with_old(kvs.empty(spark, "long"), updates(spark, sf_dir)).select("key", "seq", "value", "old")
+
+
+@query("""WITH RECURSIVE n AS (SELECT 'key-' || user_id AS key, count(*) AS n FROM events GROUP BY ALL), steps(i, v) AS (
+ SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT i + 1, CASE WHEN v < 100000 THEN v * 2 ELSE v + 1 END FROM steps WHERE i < (SELECT max(n) FROM n))
+ SELECT key, v AS value FROM n JOIN steps ON i = n""")
+def kv_read_modify_write(spark, sf_dir):
+    return kvs.read_modify_write(kvs.empty(spark, "long"), updates(spark, sf_dir).select("key"))
+
+
+@query(f"SELECT key, arg_max_null(value, seq) AS value FROM ({UPDATES}) WHERE seq <= 400 GROUP BY key")
+def kv_at_version(spark, sf_dir):
+    return kvs.at_version(updates(spark, sf_dir).withColumnRenamed("seq", "version"), 400)
+
+
+@query()
+def kv_visit_chunks(spark, sf_dir):
+    return kvs.visit_chunks(customers(spark, sf_dir), 16, 4)
+
+
+def _halves(spark, sf_dir):
+    kv = customers(spark, sf_dir)
+    return kv.filter("value % 3 <> 0"), kv.filter("value % 2 = 0").withColumn("value", F.col("value") * 10)
+
+
+HALVES = "WITH a AS (SELECT c_name AS key, c_custkey AS value FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT c_name AS key, c_custkey * 10 AS value FROM customer WHERE c_custkey % 2 = 0) "
+
+
+@query(HALVES + "SELECT key, greatest(a.value, b.value) AS value FROM a FULL JOIN b USING (key)")
+def kv_union_max(spark, sf_dir):
+    return kvs.union(*_halves(spark, sf_dir), F.greatest)
+
+
+@query(HALVES + "SELECT key, greatest(a.value, b.value) AS value FROM a JOIN b USING (key)")
+def kv_intersection_max(spark, sf_dir):
+    return kvs.intersection(*_halves(spark, sf_dir), F.greatest)
+
+
+@query(HALVES + "SELECT key, value FROM a WHERE key NOT IN (SELECT key FROM b)")
+def kv_difference(spark, sf_dir):
+    return kvs.difference(*_halves(spark, sf_dir))
+
+
+@query(HALVES + "SELECT key, value FROM a UNION ALL SELECT key, value FROM b WHERE key NOT IN (SELECT key FROM a)")
+def kv_merge_partials(spark, sf_dir):
+    a, b = _halves(spark, sf_dir)
+    return kvs.merge_partials(a, kvs.difference(b, a))
+
+
+# --- graphs ---------------------------------------------------------------------------------------
+
+
+def parts_graph(spark, sf_dir: str) -> Graph:
+    """Parts that share an order, each pair once."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()  # noqa: E741
+    pairs = l.join(l.withColumnRenamed("l_partkey", "dst"), "l_orderkey").filter(F.col("l_partkey") < F.col("dst"))
+    return Graph(pairs.select(F.col("l_partkey").alias("src"), "dst").distinct(), directed=False)
+
+
+PARTS = "WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM l a JOIN l b USING (l_orderkey) WHERE a.l_partkey < b.l_partkey), s AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) "
+
+
+def supply_graph(spark, sf_dir: str) -> Graph:
+    """Directed: from each supplier to the parts it shipped, one line for each shipment; parts are numbered from 1000000 on."""
+    return Graph(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1000000).alias("dst")))
+
+
+SUPPLY = "WITH RECURSIVE e AS (SELECT l_suppkey AS src, l_partkey + 1000000 AS dst FROM lineitem), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e) "
+
+
+@query(PARTS + "SELECT count(*) AS n FROM e a JOIN e b ON a.dst = b.src JOIN e c ON c.src = a.src AND c.dst = b.dst")
+def triangle_count(spark, sf_dir):
+    return parts_graph(spark, sf_dir).triangles()
+
+
+@query(SUPPLY + "SELECT (SELECT count(*) FROM v) AS n_verts, (SELECT count(*) FROM e) AS n_edges, true AS is_directed, (SELECT min(id) FROM v) AS min_vertex_id, (SELECT max(id) FROM v) AS max_vertex_id")
+def graph_stats(spark, sf_dir):
+    return supply_graph(spark, sf_dir).stats()
+
+
+@query(SUPPLY + "SELECT id, count(src) AS degree FROM v LEFT JOIN e ON id = src GROUP BY id")
+def graph_out_degrees(spark, sf_dir):
+    return supply_graph(spark, sf_dir).out_degrees()
+
+
+@query(SUPPLY + "SELECT id, count(dst) AS degree FROM v LEFT JOIN e ON id = dst GROUP BY id")
+def graph_in_degrees(spark, sf_dir):
+    return supply_graph(spark, sf_dir).in_degrees()
+
+
+@query(PARTS + "SELECT src AS id, count(*) AS degree, CAST(sum(dst) AS BIGINT) AS total FROM s GROUP BY src")
+def graph_adjacency(spark, sf_dir):
+    return parts_graph(spark, sf_dir).adjacency().select("id", F.size("neighbours").cast("long").alias("degree"), F.aggregate("neighbours", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(SUPPLY + "SELECT dst AS id, string_agg(src, ',' ORDER BY src) AS sources FROM e GROUP BY dst")
+def graph_incoming(spark, sf_dir):
+    return supply_graph(spark, sf_dir).incoming().select("id", F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"))
+
+
+@query(PARTS + ", d AS (SELECT src AS id, count(*) AS degree FROM s GROUP BY src) SELECT s.src, s.dst, degree FROM s JOIN d ON s.dst = id")
+def graph_neighbour_degrees(spark, sf_dir):
+    return parts_graph(spark, sf_dir).neighbour_degrees()
+
+
+@query(PARTS + ", d AS (SELECT src AS id, count(*) AS degree FROM s GROUP BY src) SELECT s.src AS id, string_agg(s.dst, ',' ORDER BY y.degree, s.dst) AS neighbours FROM s JOIN d x ON s.src = x.id JOIN d y ON s.dst = y.id WHERE y.degree > x.degree OR (y.degree = x.degree AND s.dst >= s.src) GROUP BY s.src")
+def graph_effective_neighbours(spark, sf_dir):
+    return parts_graph(spark, sf_dir).effective_neighbours().select("id", F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("neighbours"))
+
+
+@query(SUPPLY + ", r AS (SELECT min(id) AS id FROM v UNION SELECT e.dst FROM r JOIN e ON r.id = e.src) SELECT id FROM r")
+def graph_reached_from_lowest(spark, sf_dir):
+    return supply_graph(spark, sf_dir).reached().select("id")
+
+
+@query(SUPPLY + "SELECT id, true AS discovered FROM v")
+def graph_discovered(spark, sf_dir):
+    return supply_graph(spark, sf_dir).discovered()
+
+
+def nation_graph(spark, sf_dir: str) -> Graph:
+    """Nations joined with their region: five components."""
+    return Graph(table(spark, sf_dir, "nation").select((F.col("n_regionkey") + 1000).cast("long").alias("src"), F.col("n_nationkey").cast("long").alias("dst")), directed=False)
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(min(n_nationkey) OVER (PARTITION BY n_regionkey) AS BIGINT) AS component FROM nation UNION ALL SELECT CAST(n_regionkey + 1000 AS BIGINT), CAST(min(n_nationkey) AS BIGINT) FROM nation GROUP BY n_regionkey")
+def graph_components(spark, sf_dir):
+    return nation_graph(spark, sf_dir).components()
+
+
+@query(SUPPLY + "SELECT CAST(floor((row_number() OVER (ORDER BY id) - 1) / 100) AS BIGINT) AS part, degree FROM (SELECT id, count(src) AS degree FROM v LEFT JOIN e ON id = src GROUP BY id)".replace("SELECT CAST", "SELECT part, count(*) AS n_verts, CAST(sum(degree) AS BIGINT) AS n_edges FROM (SELECT CAST") + ") GROUP BY part")
+def graph_repartitioned(spark, sf_dir):
+    return supply_graph(spark, sf_dir).repartitioned(100)
+
+
+@query()
+def graph_pagerank(spark, sf_dir):
+    return parts_graph(spark, sf_dir).pagerank()
+
+
+@query(r"WITH t AS (SELECT CASE WHEN l_linenumber = 1 THEN '# ' ELSE '' END || l_orderkey || CASE WHEN l_linenumber % 2 = 0 THEN ' ' ELSE chr(9) END || l_partkey AS value FROM lineitem) SELECT CAST(regexp_extract(value, '^[0-9]+') AS BIGINT) AS src, CAST(regexp_extract(value, '[0-9]+$') AS BIGINT) AS dst FROM t WHERE value NOT LIKE '#%'")
+def parse_edge_lines(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    lines = l.select(F.concat(F.when(F.col("l_linenumber") == 1, "# ").otherwise(""), F.col("l_orderkey").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, " ").otherwise("\t"), F.col("l_partkey").cast("string")).alias("value"))
+    return readers.parse_edges(lines)
+
+
+# --- sorting, alignment, membership, functions ------------------------------------------------------
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS place FROM lineitem")
+def sorted_lineitems(spark, sf_dir):
+    """The place of each row in the order by price: ranges, then ranks within each and the counts before it."""
+    order = ["l_extendedprice", "l_orderkey", "l_linenumber"]
+    l = table(spark, sf_dir, "lineitem").select(*order)  # noqa: E741
+    from sparkloom.plans.materialize import materialize
+
+    dealt = materialize(l.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "sorted")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_b"))  # a row for each partition
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return dealt.withColumn("_r", rank).join(F.broadcast(base), "_p").select("l_orderkey", "l_linenumber", "l_extendedprice", (F.col("_r") + F.col("_b")).alias("place"))
+
+
+@query("SELECT count(*) AS n, true AS ordered FROM range(160000)")
+def sort_collection(spark, sf_dir):
+    """Sorts a synthetic collection by ranges and checks that its parts follow each other."""
+    parts = sorting.part_summary(readers.sort_input(spark, 16, 10_000), "v", 16)
+    w = Window.orderBy("part")  # 16 rows
+    return parts.select("n", (F.coalesce(F.lag("high").over(w), F.col("low")) <= F.col("low")).alias("ok")).agg(F.sum("n").alias("n"), F.every("ok").alias("ordered"))
+
+
+@query()
+def alignment_scores(spark, sf_dir):
+    """Benchmark items against themselves read backwards."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text", F.reverse("text").alias("back"))
+    return alignment.align(b, "text", "back", chunks=4, keep=("item_id",))
+
+
+@query("SELECT item_id, 2 * length(text) AS score FROM benchmark")
+def alignment_self_scores(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text", F.col("text").alias("same"))
+    return alignment.align(b, "text", "same", chunks=3, keep=("item_id",)).withColumn("score", F.col("score").cast("long"))
+
+
+@query("SELECT p_partkey, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) AS here FROM part")
+def member_exact(spark, sf_dir):
+    keys = table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
+    return membership.member(table(spark, sf_dir, "part").select("p_partkey"), keys, "p_partkey")
+
+
+@query()
+def member_cuckoo(spark, sf_dir):
+    keys = table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
+    return membership.approximate_member(table(spark, sf_dir, "part").select("p_partkey"), keys, "p_partkey")
+
+
+@query("SELECT event_id, CASE WHEN props = '' THEN 0 WHEN props LIKE '%,' THEN len(string_split(props, ',')) - 1 ELSE len(string_split(props, ',')) END AS n, octet_length(encode(props)) AS bytes FROM events")
+def split_strings(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.size(fn.split_string(F.col("props"), ",")).cast("long").alias("n"), fn.string_bytes(F.col("props")).cast("long").alias("bytes"))
+
+
+@query("WITH a AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS p FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, p[len(p)] AS last, len(p) - 1 AS left_over, CAST(list_sum(p[1:2]) AS BIGINT) AS first_two FROM a")
+def array_edits(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("p"))  # noqa: E741
+    popped = fn.array_pop(F.col("p"))
+    return l.select("l_orderkey", popped["last"].alias("last"), F.size(popped["rest"]).cast("long").alias("left_over"), F.aggregate(fn.array_truncate(F.col("p"), 2), F.lit(0).cast("long"), lambda a, x: a + x).alias("first_two"))
+
+
+@query("SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey")
+def fold_partials(spark, sf_dir):
+    """Counts of each return flag's rows, folded pairwise by a combinator."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    parts = [combinators.spawn(lambda f=f: l.filter(F.col("l_returnflag") == f).groupBy("l_suppkey").count()) for f in ("A", "N", "R")]
+    both = lambda a, b: a.unionByName(b).groupBy("l_suppkey").agg(F.sum("count").alias("count"))
+    return combinators.fold(both, parts).result().withColumnRenamed("count", "n")
+
+
+@query()
+def workload(spark, sf_dir):
+    return readers.kv_workload(spark, 10_000, zipf=0.99, width=4)
