@@ -199,6 +199,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     path, pattern = _files(vocabulary, pattern)
 
     def run(batches):
+        common.trim()
         coder = encoder(path, pattern)
         for whole in batches:
             for batch in common.slices(whole, "text"):
@@ -218,6 +219,7 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabula
     path, pattern = _files(vocabulary, None)
 
     def run(batches):
+        common.trim()
         coder = encoder(path, pattern)
         for batch in batches:
             out = [None if x is None else coder.decode(x) for x in batch.column(1).to_pylist()]

@@ -57,7 +57,7 @@ SMALL, CLASSES = 37, 4
 #: Sets of a bucket whose pairs are all counted.
 FEW = 8
 #: Text bytes for each shard.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 12 << 20
 #: Bits of the filter by which sets are made again for those documents alone that share a bucket.
 FILTER_BITS = 1 << 24
 
@@ -133,9 +133,10 @@ def _frequent(rows: DataFrame, n: int, shards: int) -> tuple[np.ndarray, np.ndar
     shift = np.uint64(64 - COUNT_BITS)
 
     def send(batches):
+        common.trim()
         words = Words()
         for whole in batches:
-            for batch in common.slices(whole, "text", 16 << 20):
+            for batch in common.slices(whole, "text", 8 << 20):
                 keys, count = np.unique(token_sets(_texts(batch), n, words)[0] >> shift, return_counts=True)
                 cut = np.searchsorted(keys, np.arange(shards + 1, dtype=np.uint64) * np.uint64(-(-(1 << COUNT_BITS) // shards)))
                 parts = [(s, EliasFano.encode(keys[a:b]), np.minimum(count[a:b], 65535).astype("<u2")) for s, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
@@ -144,6 +145,7 @@ def _frequent(rows: DataFrame, n: int, shards: int) -> tuple[np.ndarray, np.ndar
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in parts], pa.int32()), pa.array([k for _, k, _ in parts], pa.binary()), pa.array([at.tobytes() for at, _ in more], pa.binary()), pa.array([c[at].tobytes() for at, c in more], pa.binary())], names=["shard", "keys", "places", "counts"])
 
     def count(table: pa.Table) -> pa.Table:
+        common.trim()
         keys, counts = [], []
         for k, at, c in zip(*(table.column(x).to_pylist() for x in ("keys", "places", "counts")), strict=True):
             keys.append(EliasFano(k).values())
@@ -176,9 +178,10 @@ def _sign(rows: DataFrame, id_col: str, n: int, percent: int, shards: int, heavy
     names = ["shard", "signatures", "owners", "sets", "sizes", "ids"]
 
     def run(batches):
+        common.trim()
         words, (keys, levels) = Words(), sent.value
         for whole in batches:
-            for batch in common.slices(whole, "text", 8 << 20):
+            for batch in common.slices(whole, "text", 4 << 20):
                 tokens, sizes = token_sets(_texts(batch), n, words)
                 level = np.zeros(len(tokens), np.int8)
                 if len(keys):
@@ -221,6 +224,7 @@ def _members(signed: DataFrame, id_col: str, kind: str) -> DataFrame:
     """id_col, set (null if empty) and size of each document."""
 
     def run(batches):
+        common.trim()
         for batch in batches:
             for ids, sets, sizes in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 h, n = np.frombuffer(sets, np.int64), np.frombuffer(sizes, "<u4").astype(np.int64)
@@ -233,6 +237,7 @@ def _buckets(signed: DataFrame, percent: int) -> DataFrame:
     """Buckets that two different sets or more are in. kind 0: of more than FEW sets; x: the signature, y: a set, nx: its size, n: the most that it can share if this is its first. kind 1: pairs x, y of sets in the others, their sizes nx, ny, the lesser number of tokens that don't sign by themselves, n, the tokens that they share in this shard, and may, whether one of these can be the first of a link."""
 
     def run(table: pa.Table) -> pa.Table:
+        common.trim()
         sign, sets, sizes, spare, rest = [], [], [], [], []
         for s, o, h, n in zip(*(table.column(x).to_pylist() for x in ("signatures", "owners", "sets", "sizes")), strict=True):
             (owner, left), n = np.frombuffer(o, "<u4").reshape(2, -1), np.frombuffer(n, "<u4").astype(np.int64).reshape(2, -1)
@@ -294,11 +299,12 @@ def _whole_sets(rows: DataFrame, id_col: str, n: int, owners: DataFrame) -> Data
     kind = rows.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        common.trim()
         words, held = Words(), sent.value
         for whole in batches:
             b = whole.column("spot").to_numpy()
             whole = whole.filter(pa.array((held[b >> 6] >> (b & 63) & 1).astype(bool)))
-            for batch in common.slices(whole, "text", 8 << 20):
+            for batch in common.slices(whole, "text", 4 << 20):
                 tokens, sizes = token_sets(_texts(batch), n, words)
                 ends = np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array([tokens[e - k : e].tobytes() for e, k in zip(ends, sizes)], pa.binary())], names=[id_col, "tokens"])
@@ -311,6 +317,7 @@ def _links(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) that link."""
 
     def run(batches):
+        common.trim()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):

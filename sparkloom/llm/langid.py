@@ -134,6 +134,7 @@ def counts(df: DataFrame, text_col: str, lang_col: str, order: int = 3) -> DataF
     common.prepare(df.sparkSession)
 
     def run(batches):
+        common.trim()
         for whole in batches:
             for batch in common.slices(whole, "text", 2 << 20):
                 by: dict[str, list[str]] = {}
@@ -189,6 +190,7 @@ def identify(df: DataFrame, profiles: Profiles, text_col: str = "text", keep: tu
     rows = df.select(*keep, F.col(text_col).cast("string").alias("_text"))
 
     def run(batches):
+        common.trim()
         for whole in batches:
             for batch in common.slices(whole, "_text", 2 << 20):
                 lang, score = nearest(batch.column("_text").to_pylist(), profiles)
@@ -202,6 +204,7 @@ def keep_languages(df: DataFrame, profiles: Profiles, least: float, text_col: st
     common.prepare(df.sparkSession)
 
     def run(batches):
+        common.trim()
         for whole in batches:
             for batch in common.slices(whole, text_col, 2 << 20):
                 lang, score = nearest(batch.column(text_col).to_pylist(), profiles)

@@ -140,6 +140,7 @@ def _batches(df: DataFrame, id_col: str, text_col: str, held_out: Column) -> Dat
     kind = df.schema[id_col].dataType
 
     def run(batches):
+        common.trim()
         ids, held, lengths, texts, size, made = [], [], [], [], 0, 0
         start = (TaskContext.get().partitionId() + 1) << 32
 
@@ -170,6 +171,7 @@ def _questions(packed: DataFrame, shards: int) -> DataFrame:
     """shard, batch, kind (0 words, 1 bigrams), keys, and places and counts of keys that training texts don't hold just once."""
 
     def run(batches):
+        common.trim()
         words = Words()
         for whole in batches:
             for i in range(whole.num_rows):
@@ -208,6 +210,7 @@ def _answers(questions: DataFrame, shards: int) -> DataFrame:
     """batch, shard, kind, values: occurrences of words (32 bits) or codes of bigrams (8 bits), as asked. A row with batch -1 holds the shard's number of training words."""
 
     def run(table: pa.Table) -> pa.Table:
+        common.trim()
         asked = list(zip(*(table.column(c).to_pylist() for c in ("shard", "batch", "kind", "keys", "places", "counts")), strict=True))
         out = []
         for kind in (0, 1):

@@ -182,6 +182,7 @@ def audio_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = SCHEMA.format(id=id_col, kind=kind)
 
     def run(batches):
+        common.trim()
         span = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
         for whole in batches:
             for batch in common.slices(whole, "text", 2 << 20):

@@ -9,7 +9,7 @@ from . import common
 
 #: Odd multipliers that hold the places of words in an n-gram apart (from the digits of the golden ratio).
 PLACES = np.array([0x9E3779B97F4A7C15, 0xF39CC0605CEDC835, 0x1082276BF3A27251, 0xF86C6A11D0C18E95], np.uint64)
-REMEMBER = 600_000
+REMEMBER = 300_000
 
 
 class Words:

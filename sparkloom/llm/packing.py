@@ -230,6 +230,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity:
     common.prepare(df.sparkSession)
 
     def run(batches):
+        common.trim()
         for whole in batches:
             for batch in common.slices(whole, "text"):
                 rows: list[tuple[int, int, int, int, int]] = []

@@ -85,7 +85,7 @@ def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     at = np.repeat(start, n) + nth * STEP
     end = np.repeat(start + size, n)
     place = at[:, None] + np.arange(WINDOW)
-    out = np.where(place < end[:, None], code[np.minimum(place, len(code) - 1)], 0).astype(np.int64)
+    out = np.where(place < end[:, None], code[np.minimum(place, len(code) - 1)], np.int8(0))
     out[nth == 0, 0] = BEGIN
     out[place == end[:, None] - 1] = END
     return out, word
@@ -144,7 +144,7 @@ def norms(rows: np.ndarray) -> np.ndarray:
 
 def values(rows: np.ndarray, weights: np.ndarray, bias: float, norm: np.ndarray | None = None) -> np.ndarray:
     """Each window's value; norm: of each window, where it is known."""
-    total = np.zeros(len(rows), np.float32)
+    rows, total = rows.astype(np.int64), np.zeros(len(rows), np.float32)
     high, mid = rows * (CODES * CODES), rows * CODES
     for i, j, k, w in TRIPLES:
         total += np.float32(w) * weights[high[:, i] + mid[:, j] + rows[:, k]]
@@ -201,7 +201,8 @@ def telling(toxic: list[set[str]], other: list[set[str]], most: int) -> list[str
     evidence, n log(n / expected n), is over EVIDENCE. It is lengthened while nine tenths of its texts
     hold the longer string, and left out if most words that hold it hold a string found before.
     """
-    cut = lambda bag: {w[i : i + GRAM] for w in bag for i in range(len(w) - GRAM + 1)}
+    one: dict[str, str] = {}  # each run of characters is held once
+    cut = lambda bag: {one.setdefault(g, g) for w in bag for i in range(len(w) - GRAM + 1) if (g := w[i : i + GRAM])}
     inside = [cut(bag) for bag in toxic]
     outside: Counter[str] = Counter()
     for bag in other:
@@ -297,7 +298,9 @@ def train(toxic: list[list[str]], other: list[list[str]], rounds: int = 4) -> Mo
     y = np.array([1] * len(toxic) + [-1] * len(other))
     words = sorted(set().union(*bags))
     index = {w: i for i, w in enumerate(words)}
-    cuts, word = windows(words)
+    made = [windows(words[a : a + 20_000]) for a in range(0, len(words), 20_000)]
+    cuts, word = np.concatenate([c for c, _ in made]), np.concatenate([w + 20_000 * i for i, (_, w) in enumerate(made)])
+    del made
     norm = norms(cuts)
     order = np.full(CODES**3, len(column))
     order[list(column)] = list(column.values())
@@ -305,7 +308,7 @@ def train(toxic: list[list[str]], other: list[list[str]], rounds: int = 4) -> Mo
 
     def mapped(which: np.ndarray) -> np.ndarray:
         """Nyström features of the windows."""
-        part, out = cuts[which], np.zeros((len(which), len(marks)))
+        part, out = cuts[which].astype(np.int64), np.zeros((len(which), len(marks)))
         for i, j, k, w in TRIPLES:
             out += w * wide[:, order[(part[:, i] * CODES + part[:, j]) * CODES + part[:, k]]].T
         return out / norm[which][:, None] @ root
@@ -351,6 +354,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "_id").select("text", "_toxic")
 
     def run(batches):
+        common.trim()
         for batch in batches:
             bags = [heapq.nsmallest(words, words_of(t), key=lambda w: (zlib.crc32(w.encode()), w)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(bags, pa.list_(pa.string())), batch.column(1)], names=["words", "toxic"])
@@ -370,6 +374,7 @@ def score(df: DataFrame, model: Model | None, text_col: str = "text", keep: tupl
     sent = df.sparkSession.sparkContext.broadcast(model)  # CODES^3 weights
 
     def run(batches):
+        common.trim()
         scorer = Scorer(sent.value) if sent.value else None
         for whole in batches:
             for batch in common.slices(whole, "_text"):
@@ -385,6 +390,7 @@ def keep_clean(df: DataFrame, model: Model | None, text_col: str = "text", thres
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        common.trim()
         scorer = Scorer(sent.value) if sent.value else None
         for whole in batches:
             for batch in common.slices(whole, text_col):
