@@ -110,7 +110,8 @@ def find(text: str, templates: dict[str, str]) -> list[tuple[int, int, str, floa
         if ranked:
             r, missing, added, name = min(ranked, key=lambda x: (len(x[1]) + len(x[2]), -x[0], x[3]))
             out.append((start, start + len(part), name, round(r, 6), missing, added))
-    return out
+    # A paragraph that only repeats what one of its lines says is left out.
+    return [x for x in out if not any(y is not x and x[0] <= y[0] and y[1] <= x[1] and y[2] == x[2] for y in out)]
 
 
 SCHEMA = "start long, end long, license string, reduction double, missing array<string>, added array<string>"
