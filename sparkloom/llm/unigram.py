@@ -39,12 +39,21 @@ class Unigram:
         for piece, score in scores.items():
             finder.add_word(piece, (len(piece), score))
         finder.make_automaton()
+        self.covers = frozenset(p for p in scores if len(p) == 1).issuperset
         self.matches = finder.iter
         self.known: dict[str, tuple[int, int, float]] = {}
 
     def word(self, word: str) -> tuple[int, int, float]:
         """(tokens, unknown tokens, score) of a marked word."""
         n = len(word)
+        if self.covers(word):  # no unknown characters: matches come by rising end, the longest first, and all starts are settled
+            best, count = [0.0] + [-math.inf] * n, [0] * (n + 1)
+            for stop, (size, score) in self.matches(word):
+                start = stop + 1 - size
+                score += best[start]
+                if score > best[stop + 1]:
+                    best[stop + 1], count[stop + 1] = score, count[start] + 1
+            return count[n], 0, best[n]
         ending: list[list[tuple[int, float]]] = [[] for _ in range(n)]
         single = [False] * n
         for stop, (size, score) in self.matches(word):
