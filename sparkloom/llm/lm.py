@@ -12,8 +12,8 @@ Neither the words nor the n-grams of a corpus fit into one machine, so texts mee
    dealt to all shards.
 3. A shard sums what all batches tell it and builds its trie: contexts, monotone pointers to their
    successors, successors relative to their context, all as Elias-Fano runs, and one byte for each
-   bigram's logarithmic share of N (exact up to 64 occurrences, within 2 % beyond). The levels lie in
-   one file that is mapped into memory, searched for each batch's bigrams, and removed. Answers go
+   bigram's occurrences (exact up to 64, within 2 % beyond). A bigram too frequent for that has the
+   byte TALL and its exact number in a list of its own. The levels lie in one file that is mapped into memory, searched for each batch's bigrams, and removed. Answers go
    back in the order of the questions.
 4. Each batch is joined with its answers and scored.
 
@@ -46,14 +46,24 @@ PRIOR = 100.0
 #: The hash of the mark at both ends of a text; no word is empty.
 EDGE = np.uint64(0)
 CONTEXT_BITS, NEXT_BITS = 24, 40
-#: code -> occurrences: 0 to 64 as they are, then geometric steps of 4 %.
+#: The code of occurrences beyond the codebook, which are held as they are.
+TALL = 255
+#: code -> occurrences: 0 to 64 as they are, then geometric steps of 4 %; that of TALL stands for none.
 CODEBOOK = np.concatenate([np.arange(65.0), 64 * 1.04 ** np.arange(1, 192)])
 
 
 def code_of(count: np.ndarray) -> np.ndarray:
-    """The nearest code below or above, by ratio."""
+    """The nearest code below or above, by ratio; TALL from the nearest to CODEBOOK[TALL] on."""
     rest = np.rint(np.log(np.maximum(count, 64) / 64) / np.log(1.04)).astype(np.int64)
-    return np.where(count <= 64, count, np.minimum(64 + rest, 255)).astype(np.uint8)
+    return np.where(count <= 64, count, np.minimum(64 + rest, TALL)).astype(np.uint8)
+
+
+def occurrences(answer: bytes, n: int) -> np.ndarray:
+    """What Trie.answer tells of n keys."""
+    code = np.frombuffer(answer, np.uint8, n)
+    out = CODEBOOK[code]
+    out[code == TALL] = np.frombuffer(answer, "<u8", offset=n)
+    return out
 
 
 class Trie:
@@ -66,19 +76,22 @@ class Trie:
         first = np.flatnonzero(np.diff(context, prepend=context[:1] + np.uint64(1))) if len(keys) else np.zeros(0, np.int64)
         place = np.repeat(np.arange(len(first)), np.diff(first, append=len(keys))).astype(np.uint64)
         # A successor is stored with its context's place in front, so the whole level is one rising run.
-        levels = [EliasFano.encode(context[first]), EliasFano.encode(np.append(first, len(keys))), EliasFano.encode(place << np.uint64(NEXT_BITS) | keys & np.uint64((1 << NEXT_BITS) - 1)), code_of(counts).tobytes()]
+        codes = code_of(counts)
+        tall = np.flatnonzero(codes == TALL)
+        levels = [EliasFano.encode(context[first]), EliasFano.encode(np.append(first, len(keys))), EliasFano.encode(place << np.uint64(NEXT_BITS) | keys & np.uint64((1 << NEXT_BITS) - 1)), codes.tobytes(), tall.astype("<u8").tobytes() + counts[tall].astype("<u8").tobytes()]
         return np.array([len(x) for x in levels], "<u8").tobytes() + b"".join(levels)
 
     def __init__(self, data):
-        sizes = np.frombuffer(data, "<u8", 4).astype(np.int64)
-        a, b, c, d = 32 + np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        sizes = np.frombuffer(data, "<u8", 5).astype(np.int64)
+        a, b, c, d, e = 40 + np.concatenate([[0], np.cumsum(sizes)[:-1]])
         view = memoryview(data)
         self.contexts, self.pointers, self.nexts = EliasFano(view[a:b]), EliasFano(view[b:c]), EliasFano(view[c:d])
-        self.codes = np.frombuffer(view[d:], np.uint8)
+        self.codes = np.frombuffer(view[d:e], np.uint8)
+        self.tall, self.counts = np.frombuffer(view[e:].tobytes(), "<u8").reshape(2, -1)
         self._contexts = self.contexts.values()
 
-    def look_up(self, keys: np.ndarray) -> np.ndarray:
-        """The code of each key, 0 where there is none."""
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are there, and the place of each of them."""
         context = keys >> np.uint64(NEXT_BITS)
         place = np.searchsorted(self._contexts, context)
         there = np.flatnonzero(place < len(self._contexts))
@@ -89,10 +102,23 @@ class Trie:
         at = self.nexts.successors(wanted, first, last)
         hit = np.flatnonzero(at < last)
         hit = hit[self.nexts.get(at[hit]) == wanted[hit]]
+        return there[hit], at[hit]
+
+    def look_up(self, keys: np.ndarray) -> np.ndarray:
+        """The code of each key, 0 where there is none."""
+        there, at = self._find(keys)
         out = np.zeros(len(keys), np.uint8)
-        out[there[hit]] = self.codes[at[hit]]
+        out[there] = self.codes[at]
         return out
 
+    def answer(self, keys: np.ndarray) -> bytes:
+        """The code of each key, then the occurrences (64 bits) of each whose code is TALL."""
+        there, at = self._find(keys)
+        out = np.zeros(len(keys), np.uint8)
+        out[there] = self.codes[at]
+        tall = at[self.codes[at] == TALL].astype(np.uint64)
+        return out.tobytes() + self.counts[np.searchsorted(self.tall, tall)].tobytes()
+
 
 @dataclass
 class Tokens:
@@ -207,7 +233,7 @@ def _near(keys: np.ndarray, kind: int, shard: int, shards: int, back: bool = Fal
 
 
 def _answers(questions: DataFrame, shards: int) -> DataFrame:
-    """batch, shard, kind, values: occurrences of words (32 bits) or codes of bigrams (8 bits), as asked. A row with batch -1 holds the shard's number of training words."""
+    """batch, shard, kind, values: occurrences of words (32 bits, or 64 where one is beyond that) or what the trie answers of bigrams, as asked. A row with batch -1 holds the shard's number of training words."""
 
     def run(table: pa.Table) -> pa.Table:
         common.trim()
@@ -233,8 +259,8 @@ def _answers(questions: DataFrame, shards: int) -> DataFrame:
                 out.append((-1, asked[0][0], 0, np.array([len(keys), counts.sum()], "<i8").tobytes()))
                 for s, b, k, _, _ in mine:
                     at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
-                    found = np.where(keys[at] == k, counts[at], 0) if len(keys) else np.zeros(len(k))
-                    out.append((b, s, 0, found.astype("<u4").tobytes()))
+                    found = np.where(keys[at] == k, counts[at], 0) if len(keys) else np.zeros(len(k), np.int64)
+                    out.append((b, s, 0, found.astype("<u8" if len(found) and found.max() >> 32 else "<u4").tobytes()))
                 continue
             handle, path = tempfile.mkstemp(suffix=".trie")
             try:
@@ -242,7 +268,7 @@ def _answers(questions: DataFrame, shards: int) -> DataFrame:
                     f.write(Trie.build(keys, counts))
                 del keys, counts
                 trie = Trie(np.memmap(path, np.uint8, "r"))
-                out += [(b, s, 1, trie.look_up(k).tobytes()) for s, b, k, _, _ in mine]
+                out += [(b, s, 1, trie.answer(k)) for s, b, k, _, _ in mine]
                 del trie
             finally:
                 os.unlink(path)
@@ -286,9 +312,10 @@ def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
                 place = np.empty(len(keys), np.int32)
                 place[order] = np.cumsum(new, dtype=np.int32) - 1
                 keys = keys[new]
-                out = np.zeros(len(keys), "<u4" if q == 0 else np.uint8)
+                out = np.zeros(len(keys), np.int64 if q == 0 else np.float64)
                 for s, at in _dealt(keys, q, shards):
-                    out[at] = np.frombuffer(answered[s, q], out.dtype)
+                    v = answered[s, q]
+                    out[at] = np.frombuffer(v, f"<u{len(v) // len(at)}") if q == 0 else occurrences(v, len(at))
                 return out, place
 
             count, place = told(chain.chain, 0)  # the mark is among the words
@@ -297,9 +324,9 @@ def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
             known = np.add.reduceat((count > 0)[own].astype(np.int64), first)
             base = np.add.reduceat(np.log10(count + 1.0)[own], first) - chain.sizes * np.log10(learnt + distinct + 1)
             p = ((count + 1.0) * (prior / (learnt + distinct + 1)))[own]
-            code, two = told(chain.bigrams(), 1)
-            p += CODEBOOK[code[two]]
-            del two, code
+            seen, two = told(chain.bigrams(), 1)
+            p += seen[two]
+            del two, seen
             total = np.add.reduceat(np.log10(p, out=p) - np.log10(count + prior)[before], first)
             parts.append(pa.table({id_col: ids.values, "held_out": pa.array(np.frombuffer(held, np.uint8) > 0), "n_tokens": chain.sizes, "n_known": known, "train_tokens": np.full(len(known), learnt), "base_score": base, "score": total}))
         return pa.concat_tables(parts) if parts else pa.table({n: pa.array([], t) for n, t in zip((id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"), (left.schema.field("ids").type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
