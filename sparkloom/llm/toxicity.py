@@ -13,6 +13,12 @@ that sum over its triples: no kernel is evaluated against each landmark. Trainin
 of each toxic text, only the window with the highest value must lie on the toxic side, among words
 that hold a telling string and stand in no other text; of any other text, none may. A logistic curve turns the highest value into a score.
 
+Beside its worst window, all words of a text are weighed together: whole words and runs of 5 letters
+or more that toxic texts hold much oftener than others, each by the logarithm of how much oftener
+(Evidence). A text's sum is compared with what so many words have in other texts, and a second
+logistic curve, fitted to sums that leave out what the text itself taught, gives a score too. The
+higher of both is the text's.
+
 Training takes a bounded sample of labelled rows (SAMPLE); everything else is done for all rows.
 
 Edge cases: a null or empty text gets the score of a text without any triple; without toxic or
@@ -29,7 +35,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -49,6 +55,8 @@ GRAM, EVIDENCE = 4, 25.0
 #: The most toxic and the most other rows to learn from, and the most words of each.
 SAMPLE, SAMPLE_WORDS = (1500, 3000), 1000
 LANDMARKS, COMMON = 48, 16
+#: The shortest run that is weighed as evidence.
+LEAST_RUN = 5
 #: A text with this score or more is toxic.
 THRESHOLD = 0.3
 #: Words whose values a worker remembers; beyond that it forgets all and starts anew.
@@ -127,6 +135,28 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclass(frozen=True)
+class Evidence:
+    """strings[s]: the logarithm of how much oftener toxic texts hold s. rate: weight of a word of other texts; excess: weight of a toxic text beyond that."""
+
+    strings: dict[str, float]
+    rate: float
+    excess: float
+    slope: float
+    shift: float
+
+    @cached_property
+    def sizes(self) -> list[int]:
+        return sorted(set(map(len, self.strings)))
+
+    def weight(self, word: str) -> float:
+        return strongest(_bare(word), self.strings, self.sizes)
+
+    def score(self, total: float, n: int) -> float:
+        """The score of a text whose n words weigh `total`."""
+        return float(1 / (1 + np.exp(-np.clip(self.slope * surplus(total, n, self.rate, self.excess) + self.shift, -500, 500))))
+
+
 @dataclass(frozen=True)
 class Model:
     """weights[t]: of triple t. A window's value is their sum over its triples by its norm, plus bias."""
@@ -136,6 +166,7 @@ class Model:
     slope: float
     shift: float
     landmarks: tuple[str, ...] = field(default=())
+    evidence: Evidence | None = None
 
 
 def norms(rows: np.ndarray) -> np.ndarray:
@@ -167,7 +198,7 @@ def words_of(text: str | None) -> set[str]:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model, self.known, self.weights = model, {}, {}
 
     def word_values(self, words: list[str]) -> list[float]:
         out = np.full(len(words), -np.inf, np.float32)
@@ -180,10 +211,16 @@ class Scorer:
         bags = [words_of(t) for t in texts]
         if len(self.known) > REMEMBER:
             self.known.clear()
+            self.weights.clear()
         new = list(set().union(*bags) - self.known.keys())
         self.known.update(zip(new, self.word_values(new), strict=True))
+        if seen := self.model.evidence:
+            self.weights.update((w, x) for w in new if (x := seen.weight(w)))
         worst = np.array([max(map(self.known.__getitem__, b), default=self.model.bias) for b in bags])
-        return 1 / (1 + np.exp(-np.clip(self.model.slope * worst + self.model.shift, -500, 500)))
+        out = 1 / (1 + np.exp(-np.clip(self.model.slope * worst + self.model.shift, -500, 500)))
+        if seen:
+            out = np.maximum(out, [seen.score(sum(sorted(self.weights[w] for w in b if w in self.weights)), len(b)) for b in bags])
+        return out
 
 
 # --- training -------------------------------------------------------------------------------------
@@ -194,6 +231,74 @@ def _folded(word: str) -> str:
     return chr(BEGIN + 96) + "".join(chr(int(table[min(ord(c), 0x3000)]) + 96) for c in word) + chr(END + 96)
 
 
+class _Folds(dict):
+    def __missing__(self, c: int) -> str:
+        out = self[c] = chr(int(fold_table()[min(c, 0x3000)]) + 96)
+        return out
+
+
+_FOLDS = _Folds()
+
+
+def _bare(word: str) -> str:
+    """The folded word without the signs at its ends."""
+    return chr(BEGIN + 96) + word.translate(_FOLDS).strip("`") + chr(END + 96)
+
+
+def strongest(word: str, strings: dict[str, float], sizes: list[int]) -> float:
+    """The weight of the strongest of the strings that a bare word holds."""
+    return max((strings[g] for n in sizes for i in range(len(word) - n + 1) if (g := word[i : i + n]) in strings), default=0.0)
+
+
+def surplus(total: float, n: int, rate: float, excess: float) -> float:
+    """How much likelier (logarithm, in units of the excess) a toxic text of n words weighs `total` than another does."""
+    return (total * np.log1p(excess / (rate * max(1, n))) - excess) / excess
+
+
+def evidence(toxic: list[list[str]], other: list[list[str]]) -> Evidence | None:
+    """The words and runs that tell toxic texts, counted by the texts that hold them, and what texts weigh by them; None where nothing tells."""
+    if not toxic or not other:
+        return None
+    bare = {w: _bare(w) for w in set().union(*toxic, *other)}
+    inside, outside = ([{bare[w] for w in bag} for bag in bags] for bags in (toxic, other))
+    scale = len(toxic) / len(other)
+
+    def told(n: int, c: int) -> float:
+        """The weight of what n toxic and c other texts hold, 0 where that is not enough."""
+        expected = (c + 0.5) * scale
+        return float(np.log(n / expected)) if n >= 3 * expected and n * np.log(n / expected) >= EVIDENCE else 0.0
+
+    held: dict[str, tuple[int, int]] = {}
+    often: set[str] = set()  # runs of the size before that toxic texts hold often enough
+    for size in [0, *range(LEAST_RUN, WINDOW + 1)]:
+
+        def cut(bag: set[str], size: int = size, often: set[str] = often) -> set[str]:
+            if not size:
+                return bag
+            return {g for w in bag for i in range(len(w) - size + 1) if size == LEAST_RUN or w[i : i + size - 1] in often for g in (w[i : i + size],)}
+
+        within = {g: n for g, n in Counter(g for bag in inside for g in cut(bag)).items() if told(n, 0)}
+        often = set(within) if size else set()
+        without = Counter(g for bag in outside for g in cut(bag) if g in within)
+        # What one text less would leave counts too: it is needed to weigh that text.
+        held.update({g: (n, without[g]) for g, n in within.items() if told(n, max(0, without[g] - 1))})
+    tables = [{g: x for g, (n, c) in held.items() if (x := told(n - a, max(0, c - b)))} for a, b in ((0, 0), (1, 0), (0, 1))]
+    if not tables[0]:
+        return None
+    totals = []
+    for bags, strings in ((toxic, tables[1]), (other, tables[2])):
+        sizes, known = sorted(set(map(len, strings))), {}
+        for w in set().union(*bags):
+            if x := strongest(bare[w], strings, sizes):
+                known[w] = x
+        totals.append([sum(sorted(known[w] for w in bag if w in known)) for bag in bags])
+    rate = max(sum(totals[1]), 1.0) / max(1, sum(map(len, other)))
+    excess = max(1.0, float(np.mean([t - rate * len(bag) for t, bag in zip(totals[0], toxic, strict=True)])))
+    f = np.array([surplus(t, len(bag), rate, excess) for t, bag in zip([*totals[0], *totals[1]], [*toxic, *other], strict=True)])
+    slope, shift = platt(f, np.array([1] * len(toxic) + [-1] * len(other)))
+    return Evidence(tables[0], rate, excess, slope, shift)
+
+
 def telling(toxic: list[set[str]], other: list[set[str]], most: int) -> list[str]:
     """Strings of folded characters that tell toxic texts, most frequent first.
 
@@ -277,8 +382,10 @@ def train(toxic: list[list[str]], other: list[list[str]], rounds: int = 4) -> Mo
     folded = {w: _folded(w) for w in set().union(*toxic, *other)}
     inside, outside = ([{folded[w] for w in bag} for bag in bags] for bags in (toxic, other))
     found = telling(inside, outside, LANDMARKS) if inside and outside else []
+    seen = evidence(toxic, other)
+    alone = seen and Model(np.zeros(CODES**3, np.float32), 0.0, 1.0, -500.0, (), seen)
     if not found:
-        return None
+        return alone
     often = Counter(w for bag in outside for w in bag if 5 <= len(w) <= WINDOW and "`" not in w)
     alike = {w: n for w, n in often.items() if any(x[:GRAM] in w or x[1 : GRAM + 1] in w for x in found)}
     top = lambda c, n: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:n]]
@@ -335,14 +442,14 @@ def train(toxic: list[list[str]], other: list[list[str]], rounds: int = 4) -> Mo
         against = np.array(sorted(chosen), np.int64)
         each, times = np.unique(witness, return_counts=True)
         if not len(each) or not len(against):
-            return None
+            return alone
         z = mapped(np.concatenate([each, against]))
         target = np.array([1.0] * len(each) + [-1.0] * len(against))
         w, bias = svm(z, target, np.concatenate([times / times.sum(), np.full(len(against), 1 / len(against))]) * 100)
         weights = np.zeros(CODES**3, np.float32)
         weights[list(column)] = phi.T @ (root @ w)
     slope, shift = platt(worst, y)
-    return Model(weights, bias, slope, shift, tuple(marks))
+    return Model(weights, bias, slope, shift, tuple(marks), seen)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: tuple[int, int] = SAMPLE, words: int = SAMPLE_WORDS) -> Model | None:

@@ -199,6 +199,15 @@ def test_kernel_by_brute_force_and_toxicity():
     assert (s[:2] >= 0.3).all() and (s[2:] < 0.3).all()
 
 
+def test_toxic_words_without_a_short_run_that_tells():
+    rng = random.Random(6)
+    plain = lambda: ["".join(rng.choice("theonandre") for _ in range(rng.randint(2, 8))) for _ in range(40)]
+    pieces = ["kame", "amel", "melo", "elon", "torv", "orva", "rvad", "vade"]
+    m = toxicity.train([[*plain(), "kamelon", "torvade"] for _ in range(60)], [[*plain(), *pieces] for _ in range(200)])
+    s = toxicity.Scorer(m).scores(["the kamelon, and the torvade", "the " + " ".join(pieces), "the one and the red", "", None])
+    assert s[0] >= 0.3 and (s[1:] < 0.3).all()
+
+
 def test_digests(spark):
     import __spark_entry__
 
