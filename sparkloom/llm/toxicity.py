@@ -29,10 +29,8 @@ ignored. Memory is bounded by one text.
 
 from __future__ import annotations
 
-import heapq
 import re
 import unicodedata
-import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
@@ -52,8 +50,8 @@ WINDOW, STEP = 11, 2
 CODES, BEGIN, END = 64, 27, 28
 #: Letters of a run that may tell toxic texts, and the evidence that it needs.
 GRAM, EVIDENCE = 4, 25.0
-#: The most toxic and the most other rows to learn from, and the most words of each.
-SAMPLE, SAMPLE_WORDS = (1500, 3000), 1000
+#: The most toxic and the most other rows to learn from; each teaches with all its words.
+SAMPLE = (1500, 3000)
 LANDMARKS, COMMON = 48, 16
 #: The shortest run that is weighed as evidence.
 LEAST_RUN = 5
@@ -452,8 +450,8 @@ def train(toxic: list[list[str]], other: list[list[str]], rounds: int = 4) -> Mo
     return Model(weights, bias, slope, shift, tuple(marks), seen)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: tuple[int, int] = SAMPLE, words: int = SAMPLE_WORDS) -> Model | None:
-    """Trains on at most `sample` toxic and other rows, the first by a hash of the id, and on at most `words` distinct words of each, the first by a hash too."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: tuple[int, int] = SAMPLE) -> Model | None:
+    """Trains on at most `sample` toxic and other rows, the first by a hash of the id, and on all distinct words of each."""
     common.prepare(docs.sparkSession)
     marked = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).alias("_toxic"))
     some = [marked.filter(F.col("_toxic") == (k == 0)).orderBy(F.xxhash64("_id"), "_id").limit(n) for k, n in enumerate(sample)]
@@ -463,7 +461,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def run(batches):
         common.trim()
         for batch in batches:
-            bags = [heapq.nsmallest(words, words_of(t), key=lambda w: (zlib.crc32(w.encode()), w)) for t in batch.column(0).to_pylist()]
+            bags = [sorted(words_of(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(bags, pa.list_(pa.string())), batch.column(1)], names=["words", "toxic"])
 
     got = [(tuple(r["words"]), r["toxic"]) for r in rows.mapInArrow(run, "words array<string>, toxic boolean").collect()]

@@ -208,6 +208,15 @@ def test_toxic_words_without_a_short_run_that_tells():
     assert s[0] >= 0.3 and (s[1:] < 0.3).all()
 
 
+def test_long_texts_teach_with_all_their_words(spark, monkeypatch):
+    taught = []
+    monkeypatch.setattr(toxicity, "train", lambda toxic, other: taught.append((toxic, other)))
+    long = {f"w{i}" for i in range(1500)}
+    docs = spark.createDataFrame([(1, " ".join(long)), (2, "a b")], "doc_id long, text string")
+    toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") == 1).cast("int").alias("toxic")))
+    assert [set(b) for b in taught[0][0]] == [long] and [set(b) for b in taught[0][1]] == [{"a", "b"}]
+
+
 def test_digests(spark):
     import __spark_entry__
 
