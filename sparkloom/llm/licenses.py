@@ -1,21 +1,24 @@
 """License scans by conditional compression.
 
-A block of text that names a licence is compressed alone and with each template as a raw zstandard
-dictionary. The template that shortens it most, relative to its size alone, is the candidate; the
-wording decides: template and block are aligned word by word, and the differences are counted and
-returned. A block is a line, a sentence of a long line, or a paragraph with cues in several lines.
-
-Edge cases: null and empty texts have no blocks; equal reductions go to the template with fewer
-differences, then to the first by name; a notice that occurs again is found again; an empty table
-gives an empty result; columns other than the id and the text are ignored. Memory is bounded by one text.
+A notice is a run of words of one paragraph, near a word that names a licence (a cue), that differs
+from a template in at most a quarter of the template's words. All such runs are found by alignment,
+wherever lines and sentences end. Runs that overlap are decided by wording: most words kept less
+differences, then fewest differences, then the template that, as a raw zstandard dictionary, shortens
+the run most, relative to its size alone. The reduction and the differences are returned.
+
+Edge cases: null and empty texts have no notices; equal reductions go to the first template by name;
+a notice that occurs again is found again; an empty table gives an empty result; columns other than
+the id and the text are ignored. Memory is bounded by one text.
 """
 
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
+from bisect import bisect_right
+from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -42,9 +45,10 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 CUE = re.compile(r"(?i)licen[sc]|copyright|permission|redistribut|public domain|creative commons|free software|\bCC[ -]BY")
-#: A line longer than this is parted into sentences.
-LONG = 400
-#: A candidate must shorten the block by this share, and differ in at most this share of the template's words.
+#: Lines up to an empty one; the signs that may close a notice.
+PARAGRAPH = re.compile(r"(?:[^\n]*\S[^\n]*(?:\n|\Z))+")
+CLOSE = re.compile(r"[^\w\s(]*")
+#: A candidate must shorten the notice by this share, and differ in at most this share of the template's words.
 LEAST_REDUCTION, MOST_DIFFERENT = 0.2, 0.25
 WORDS = re.compile(r"\w+(?:[.-]\w+)*")
 
@@ -52,66 +56,129 @@ WORDS = re.compile(r"\w+(?:[.-]\w+)*")
 @lru_cache(maxsize=4)
 def _compressors(templates: tuple[tuple[str, str], ...]):
     plain = zstandard.ZstdCompressor(level=19, write_content_size=False)
-    with_text = [(name, zstandard.ZstdCompressor(level=19, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for name, text in templates]
+    with_text = {name: zstandard.ZstdCompressor(level=19, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for name, text in templates}
     return plain, with_text
 
 
-def differences(template: str, block: str) -> tuple[list[str], list[str]]:
-    """(words of the template that the block lacks, words of the block that stand between those it has)."""
-    a, b = WORDS.findall(template.lower()), WORDS.findall(block.lower())
-    match = [m for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
-    if not match:
-        return a, []
-    kept_a = {i for m in match for i in range(m.a, m.a + m.size)}
-    kept_b = {i for m in match for i in range(m.b, m.b + m.size)}
-    first, last = min(kept_b), max(kept_b)
-    return [w for i, w in enumerate(a) if i not in kept_a], [b[i] for i in range(first, last) if i not in kept_b]
+class Words:
+    """The words of a text in lower case, with their places."""
+
+    def __init__(self, text: str):
+        found = list(WORDS.finditer(text))
+        self.words, self.starts, self.ends = [m[0].lower() for m in found], [m.start() for m in found], [m.end() for m in found]
+
+
+def ends(template: list[str], block: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(differences, words kept, first word) of the nearest run of the block's words that ends before each place 0 to len(block): fewest words missing and added, then most kept."""
+    known: dict[str, int] = {}
+    a = np.array([known.setdefault(w, len(known)) for w in template])
+    b = np.array([known.get(w, -1) for w in block])
+    # One number holds all three: differences in units of `one`, less the words kept, above the first word.
+    low = 1 << 32
+    one = (len(a) + 1) * low
+    steps = np.arange(len(b) + 1) * one
+    cost = np.arange(len(b) + 1)
+    for w in a:
+        now = cost + one
+        now[1:] = np.minimum(now[1:], np.where(b == w, cost[:-1] - low, now[1:]))
+        cost = np.minimum.accumulate(now - steps) + steps
+    first = cost % low
+    rest = cost // low
+    differ = -(-rest // (len(a) + 1))
+    return differ, differ * (len(a) + 1) - rest, first
+
+
+def differences(template: list[str], block: list[str]) -> tuple[list[str], list[str]]:
+    """(words of the template that the block lacks, words of the block that the template lacks), as few as can be."""
+    n, m = len(template), len(block)
+    left = [[0] * (m + 1) for _ in range(n + 1)]  # longest common subsequence of what follows
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            left[i][j] = left[i + 1][j + 1] + 1 if template[i] == block[j] else max(left[i + 1][j], left[i][j + 1])
+    missing, added, i, j = [], [], 0, 0
+    while i < n or j < m:
+        if i < n and j < m and template[i] == block[j]:
+            i, j = i + 1, j + 1
+        elif j == m or (i < n and left[i + 1][j] >= left[i][j + 1]):
+            missing.append(template[i])
+            i += 1
+        else:
+            added.append(block[j])
+            j += 1
+    return missing, added
+
+
+def blocks(text: str, reach: int) -> list[tuple[int, Words, int, int]]:
+    """(start of a paragraph, its words, from, to) of the runs of words within reach of a cue."""
+    out = []
+    for paragraph in PARAGRAPH.finditer(text):
+        cues = [m.start() for m in CUE.finditer(paragraph[0])]
+        if not cues:
+            continue
+        words = Words(paragraph[0])
+        runs: list[list[int]] = []
+        for at in cues:
+            k = bisect_right(words.starts, at)
+            if runs and k - reach <= runs[-1][1]:
+                runs[-1][1] = min(len(words.words), k + reach)
+            else:
+                runs.append([max(0, k - reach), min(len(words.words), k + reach)])
+        out += [(paragraph.start(), words, a, b) for a, b in runs]
+    return out
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Spans of lines (of sentences, where a line is long) and of paragraphs that hold a cue."""
+def find(text: str, templates: dict[str, str]) -> list[tuple[int, int, str, float, list[str], list[str]]]:
+    """(start, end, template, reduction, missing words, added words) of each notice in the text; positions are characters."""
     if not CUE.search(text):
         return []
-    out, at, paragraph, cues = [], 0, None, 0
-    for line in [*text.split("\n"), ""]:
-        end = at + len(line)
-        cue = bool(CUE.search(line))
-        if line.strip():
-            paragraph = at if paragraph is None else paragraph
-            cues += cue
-        elif paragraph is not None:
-            if cues > 1:
-                out.append((paragraph, at - 1))
-            paragraph, cues = None, 0
-        if cue and len(line) <= LONG:
-            out.append((at, end))
-        elif cue:
-            start = 0
-            for stop in [*(m.end() for m in re.finditer(r"[.!?](?=\s)", line)), len(line)]:
-                if CUE.search(line, start, stop):
-                    out.append((at + start, at + stop))
-                start = stop
-        at = end + 1
-    return sorted(set(out))
-
-
-def find(text: str, templates: dict[str, str]) -> list[tuple[int, int, str, float, list[str], list[str]]]:
-    """(start, end, template, reduction, missing words, added words) of each block that a template stands for; positions are characters."""
     plain, with_text = _compressors(tuple(sorted(templates.items())))
+    worded = {name: WORDS.findall(t.lower()) for name, t in templates.items()}
+    worded = {name: (w, Counter(w), int(MOST_DIFFERENT * len(w))) for name, w in worded.items() if w}
     out = []
-    for start, end in blocks(text):
-        part = text[start:end].strip()
-        start = text.index(part, start)
-        data = part.encode()
-        alone = len(plain.compress(data))
-        ranked = sorted(((alone - len(c.compress(data))) / alone, name) for name, c in with_text)[::-1]
-        ranked = [(r, *differences(templates[name], part), name) for r, name in ranked[:4] if r >= LEAST_REDUCTION]
-        ranked = [x for x in ranked if len(x[1]) + len(x[2]) <= MOST_DIFFERENT * len(WORDS.findall(templates[x[3]]))]
-        if ranked:
-            r, missing, added, name = min(ranked, key=lambda x: (len(x[1]) + len(x[2]), -x[0], x[3]))
-            out.append((start, start + len(part), name, round(r, 6), missing, added))
-    # A paragraph that only repeats what one of its lines says is left out.
-    return [x for x in out if not any(y is not x and x[0] <= y[0] and y[1] <= x[1] and y[2] == x[2] for y in out)]
+    for base, words, a, b in blocks(text, max((len(w) + most for w, _, most in worded.values()), default=0)):
+        block = words.words[a:b]
+        held, near = Counter(block), []
+        for name, (template, bag, most) in worded.items():
+            if sum((bag & held).values()) < len(template) - most:  # the wording can't match
+                continue
+            differ, kept, first = ends(template, block)
+            near += [(int(differ[e] - kept[e]), int(differ[e]), name, int(first[e]), int(e)) for e in np.flatnonzero((differ <= most) & (kept > 0))]
+        taken = np.zeros(len(block), bool)
+        rated = []
+        for score, differ, name, first, end in sorted(near):
+            # Runs that share a word with a better one are left out; equal ones are decided by reduction.
+            if rated and (score, differ) != rated[-1][:2]:
+                _take(rated, taken, out)
+                rated = []
+            if not taken[first:end].any():
+                start, stop = words.starts[a + first], words.ends[a + end - 1]
+                start, stop = _widened(text, base, words, a + first, a + end, start, stop)
+                data = text[start:stop].encode()
+                alone = len(plain.compress(data))
+                rated.append((score, differ, (alone - len(with_text[name].compress(data))) / alone, name, first, end, start, stop, *differences(worded[name][0], block[first:end])))
+        _take(rated, taken, out)
+    return sorted(out)
+
+
+def _widened(text: str, base: int, words: Words, first: int, end: int, start: int, stop: int) -> tuple[int, int]:
+    """The place in the text of a run of words, with the signs beside it: those of its line where no word stands there too, else the sentence's end."""
+    start, stop = base + start, base + stop
+    low, high = text.rfind("\n", 0, start) + 1, text.find("\n", stop)
+    high = len(text) if high < 0 else high
+    if first == 0 or base + words.ends[first - 1] <= low:
+        start = low + len(text[low:start]) - len(text[low:start].lstrip())
+    if end == len(words.words) or base + words.starts[end] >= high:
+        stop = stop + len(text[stop:high].rstrip())
+    else:
+        stop = CLOSE.match(text, stop).end()
+    return start, stop
+
+
+def _take(rated: list, taken: np.ndarray, out: list) -> None:
+    for _, _, r, name, first, end, start, stop, missing, added in sorted(rated, key=lambda x: (-x[2], x[3], x[4])):
+        if r >= LEAST_REDUCTION and not taken[first:end].any():
+            taken[first:end] = True
+            out.append((start, stop, name, round(r, 6), missing, added))
 
 
 SCHEMA = "start long, end long, license string, reduction double, missing array<string>, added array<string>"

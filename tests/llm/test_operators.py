@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import textwrap
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -125,6 +126,20 @@ def test_licenses():
     assert licenses.find("This work is licensed under the GNU General Public License, version 2.", licenses.TEMPLATES)[0][2] == "GPL-2.0"
 
 
+def test_licenses_amid_prose_wrapped_and_side_by_side():
+    names = lambda text: [(f[2], len(f[4]) + len(f[5])) for f in licenses.find(text, licenses.TEMPLATES)]
+    mit, cc = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["CC-BY-4.0"]
+    prose = "Some words on quite another matter stand here before it and make the line a long one indeed, as lines are. " * 3
+    text = prose + mit + " " + prose
+    assert names(text) == [("MIT", 0)] and text[slice(*licenses.find(text, licenses.TEMPLATES)[0][:2])] == mit
+    for name in ("BSD", "MIT-permission", "GPL-3.0-header", "Apache-2.0-header"):
+        assert names("x\n\n" + textwrap.fill(licenses.TEMPLATES[name], 72, break_on_hyphens=False) + "\n\ny") == [(name, 0)]
+        assert names(textwrap.fill(licenses.TEMPLATES[name], 40, initial_indent="# ", subsequent_indent="# ", break_long_words=False, break_on_hyphens=False)) == [(name, 0)]
+    assert names(f"{mit} {cc}") == [("MIT", 0), ("CC-BY-4.0", 0)]
+    assert names("The text is licensed under CC BY 4.0 and the code was released under the MIT License, both times.") == [("CC-BY-4.0", 0), ("MIT", 0)]
+    assert names("\n".join([mit] * 3)) == [("MIT", 0)] * 3
+
+
 def test_elias_fano_and_trie():
     rng = np.random.default_rng(3)
     values = np.unique(rng.integers(0, 2**63, 5000, np.uint64))
