@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,15 +117,15 @@ class Graph:
         dealt = d.withColumn("_r", rank).join(F.broadcast(base), "_p")
         return dealt.groupBy(((F.col("_base") + F.col("_r")) / most).cast("long").alias("part")).agg(F.count(F.lit(1)).alias("n_verts"), F.sum("degree").alias("n_edges"))
 
-    def pagerank(self, damping: float = 0.85, tolerance: float = 1e-6, most: int = 50) -> DataFrame:
-        """id, rank (they sum to 1): power iteration until the ranks move less than tolerance in all. Vertices without out-edges spread their rank evenly."""
+    def pagerank(self, damping: float = 0.85, tolerance: float = 1e-6, most: int | None = None) -> DataFrame:
+        """id, rank (they sum to 1): power iteration until the ranks move less than tolerance in all; more than `most` rounds are an error. Vertices without out-edges spread their rank evenly."""
         n = self.vertices.count()
         if not n:
             return self.vertices.select("id", F.lit(0.0).alias("rank"))
         d = self.out_degrees()
         links = materialize(self.edges.join(d.select(F.col("id").alias("src"), "degree"), "src"), "links")
         ranks = materialize(d.select("id", "degree", F.lit(1.0 / n).alias("rank")), "ranks")
-        for _ in range(most):
+        for _ in count() if most is None else range(most):  # a damping under 1 shrinks each move by it, so the end is reached
             loose = ranks.filter("degree = 0").agg(F.sum("rank")).first()[0] or 0.0
             given = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
             fresh = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + loose / n)
@@ -132,5 +133,5 @@ class Graph:
             moved = now.agg(F.sum("moved")).first()[0]
             ranks = now.drop("moved")
             if moved < tolerance:
-                break
-        return ranks.select("id", "rank")
+                return ranks.select("id", "rank")
+        raise RuntimeError(f"after {most} rounds the ranks still move by {tolerance} or more")

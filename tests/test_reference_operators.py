@@ -40,6 +40,12 @@ def test_pagerank_sums_to_one(spark):
     assert sum(ranks.values()) == pytest.approx(1) and ranks[1] > ranks[4]
 
 
+def test_pagerank_says_where_it_does_not_converge(spark):
+    star = graph(spark, [(0, 1), (0, 2), (0, 3)], False)  # ranks swing between the middle and the ends
+    with pytest.raises(RuntimeError):
+        star.pagerank(most=2)
+
+
 def test_store(spark):
     kv = spark.createDataFrame([("a", 1), ("b", 2)], "key string, value int")
     keys = spark.createDataFrame([("a",), ("c",), ("a",)], "key string")
