@@ -35,13 +35,18 @@ def customers(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_name").alias("key"), F.col("c_custkey").alias("value"))
 
 
-def wanted(spark, sf_dir: str) -> DataFrame:
-    """Keys to look up: the customers' of some orders, and as many that aren't there."""
-    o = table(spark, sf_dir, "orders").filter("o_custkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey"))
+def keys_of(orders: DataFrame, spark, sf_dir: str) -> DataFrame:
+    """Keys to look up: the customers' of the orders, and as many that aren't there."""
+    o = orders.select(F.col("o_custkey").alias("c_custkey"))
     there = o.join(table(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_name").alias("key"))
     return there.unionAll(o.select(F.concat(F.lit("none-"), F.col("c_custkey").cast("string"))))
 
 
+def wanted(spark, sf_dir: str) -> DataFrame:
+    """The keys of the orders that the SQL below takes."""
+    return keys_of(table(spark, sf_dir, "orders").filter("o_custkey % 7 = 0"), spark, sf_dir)
+
+
 WANTED = "WITH wanted AS (SELECT c_name AS key FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey % 7 = 0 UNION ALL SELECT 'none-' || o_custkey FROM orders WHERE o_custkey % 7 = 0), kv AS (SELECT c_name AS key, c_custkey AS value FROM customer) "
 
 
@@ -71,7 +76,7 @@ def kv_result_lines(spark, sf_dir):
 
 @query()
 def kv_get_ref(spark, sf_dir):
-    return kvs.get_ref(customers(spark, sf_dir), wanted(spark, sf_dir), 16)
+    return kvs.get_ref(customers(spark, sf_dir), keys_of(table(spark, sf_dir, "orders"), spark, sf_dir), 16)
 
 
 def updates(spark, sf_dir: str) -> DataFrame:

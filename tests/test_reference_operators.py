@@ -126,6 +126,13 @@ def test_streams(spark, tmp_path):
         assert dict(map(tuple, spark.sql(f"SELECT * FROM {name}").collect())) == want
 
 
+def test_refs_of_all_orders(spark):
+    sf = "/root/testdata/sf0.001"
+    names = spark.read.parquet(f"{sf}/customer.parquet").join(spark.read.parquet(f"{sf}/orders.parquet"), F.expr("c_custkey = o_custkey")).select("c_name").distinct()
+    got = __spark_entry__.queries()["kv_get_ref"](spark, sf)
+    assert sorted(r["key"] for r in got.collect()) == sorted(r[0] for r in names.collect())
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
