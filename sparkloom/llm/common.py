@@ -55,7 +55,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends there and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def remove(df: DataFrame) -> None:
+    """Removes the table of a DataFrame that materialize() gave; nothing may read it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.table_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

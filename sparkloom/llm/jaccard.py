@@ -19,18 +19,24 @@ of `percent` on. Every step is exact; frequencies decide about speed alone.
    bounds the overlap, and pairs for which it doesn't suffice, such as those of one shared passage,
    end here. So do pairs for which no bucket can be the first that they share, since too few tokens
    are left behind its place in either set; this holds in larger buckets too.
-4. Verification. In each larger bucket the sets are ranked, the one that most others share
-   buckets with first. Round by round the first few (1, then 4, 16, ...) are compared with all after
-   them whose size allows a link and that aren't in the same component yet, on the whole sets. A
-   bucket is done when one component holds it, so a group of near copies takes few comparisons, and
-   in the end each pair of a bucket is either compared or known to be connected.
+4. Verification. Each candidate set has a sketch of a bit or two a token: the parity of its tokens
+   by place. Two sets differ in at least as many tokens as their sketches do in bits, so most pairs
+   that don't link end at their sketches, and whole sets move for the others alone. In each larger
+   bucket the sets are ranked, those that most others share buckets with first, in salted parts of
+   PART_SETS sets. Round by round the first few (1, then 4, 16, ...) are compared with all after
+   them whose size allows a link and that aren't in the same component yet. A bucket is done when one
+   component holds it, so a group of near copies takes few comparisons, and in the end each pair of a
+   bucket is either compared or known to be connected. Tables are removed once a later one replaces them.
 
 Tokens are 64-bit hashes; two different n-grams of a corpus of 10^9 clash with a chance of 1 in 37.
 
 Edge cases: a text of fewer words than n has one token, the whole sequence; a null or wordless text
-has none and links with nothing, not even its like; repeated rows are equal sets; an empty table
+has none and links with nothing, not even its like; repeated rows are equal sets. Rows are told apart
+by their sets, not their ids: texts that share an id link each for itself, and a row without an id
+links others and takes the smallest id of its component, or null where no row has one. An empty table
 gives an empty result; columns other than the id and the text are ignored. No set of pairs, links or
-components reaches the driver, and one task holds one shard, whose number grows with the corpus.
+components reaches the driver, and one task holds one shard, whose number grows with the corpus; a
+task sends equal sets once.
 """
 
 from __future__ import annotations
@@ -41,6 +47,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import common
@@ -56,10 +63,14 @@ PAIRS_FROM = 64
 SMALL, CLASSES = 37, 4
 #: Sets of a bucket whose pairs are all counted.
 FEW = 8
+#: Sets of a larger bucket that are ranked together.
+PART_SETS = 500
+#: Sets that a task remembers to have sent; beyond that it forgets all and may send one again.
+REMEMBER = 1 << 20
 #: Text bytes for each shard.
 SHARD_BYTES = 12 << 20
-#: Bits of the filter by which sets are made again for those documents alone that share a bucket.
-FILTER_BITS = 1 << 24
+#: Bits of the filter by which rows are picked before they are read or moved; an exact join follows.
+FILTER_BITS = 1 << 22
 
 
 def token_sets(texts: list[bytes | None], n: int, words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +89,29 @@ def token_sets(texts: list[bytes | None], n: int, words: Words) -> tuple[np.ndar
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), sizes
 
 
+def set_hash(tokens: np.ndarray) -> np.uint64:
+    """The identity of a set that isn't empty."""
+    return mix(np.array([np.bitwise_xor.reduce(mix(tokens ^ PLACES[2])) + np.uint64(len(tokens))], np.uint64))[0]
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """The parity of the tokens at each of 2^k places, as many as tokens or up to twice that, 64 at least."""
+    places = 1 << max(6, (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(places - 1)).astype(np.int64), minlength=places).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """The least number of tokens that just one of the sets of two sketches can hold."""
+    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    while len(x) != len(y):  # the larger one is folded
+        if len(x) < len(y):
+            x, y, a, b = y, x, b, a
+        x = x[: len(x) // 2]
+        a = (a >> (8 * len(x))) ^ (a & ((1 << (8 * len(x))) - 1))
+    return (a ^ b).bit_count()
+
+
 def needed(size, percent: int):
     """The least overlap that a set of this size can have with one that it links with."""
     return -(-size * percent // 100)
@@ -179,7 +213,7 @@ def _sign(rows: DataFrame, id_col: str, n: int, percent: int, shards: int, heavy
 
     def run(batches):
         common.trim()
-        words, (keys, levels) = Words(), sent.value
+        words, (keys, levels), seen = Words(), sent.value, set()
         for whole in batches:
             for batch in common.slices(whole, "text", 4 << 20):
                 tokens, sizes = token_sets(_texts(batch), n, words)
@@ -194,7 +228,12 @@ def _sign(rows: DataFrame, id_col: str, n: int, percent: int, shards: int, heavy
                     if not size:
                         continue
                     own, lev = tokens[b - size : b], level[b - size : b]
-                    sets[i] = mix(np.array([np.bitwise_xor.reduce(mix(own ^ PLACES[2])) + np.uint64(size)], np.uint64))[0]
+                    sets[i] = set_hash(own)
+                    if int(sets[i]) in seen:
+                        continue
+                    if len(seen) >= REMEMBER:
+                        seen.clear()
+                    seen.add(int(sets[i]))
                     if lev.any():
                         by = np.argsort(lev, kind="stable")
                         own, lev = own[by], lev[by]
@@ -234,7 +273,7 @@ def _members(signed: DataFrame, id_col: str, kind: str) -> DataFrame:
 
 
 def _buckets(signed: DataFrame, percent: int) -> DataFrame:
-    """Buckets that two different sets or more are in. kind 0: of more than FEW sets; x: the signature, y: a set, nx: its size, n: the most that it can share if this is its first. kind 1: pairs x, y of sets in the others, their sizes nx, ny, the lesser number of tokens that don't sign by themselves, n, the tokens that they share in this shard, and may, whether one of these can be the first of a link."""
+    """Buckets that two different sets or more are in. kind 0: of more than FEW sets; x: the signature, y: a set, nx: its size, spare: the bucket's sets, n: the most that it can share if this is its first. kind 1: pairs x, y of sets in the others, their sizes nx, ny, the lesser number of tokens that don't sign by themselves, n, the tokens that they share in this shard, and may, whether one of these can be the first of a link."""
 
     def run(table: pa.Table) -> pa.Table:
         common.trim()
@@ -271,7 +310,7 @@ def _buckets(signed: DataFrame, percent: int) -> DataFrame:
         one[at.ravel()] = np.arange(len(a))
         a, b, k = a[one], b[one], int(big.sum())
         zero = np.zeros(k, np.int64)
-        columns = {"kind": (zero, np.ones(len(pairs), np.int64)), "x": (sign[big], sets[a]), "y": (sets[big], sets[b]), "nx": (sizes[big], sizes[a]), "ny": (zero, sizes[b]), "spare": (zero, np.minimum(spare[a], spare[b])), "n": (rest[big], n), "may": (zero, may.astype(np.int64))}
+        columns = {"kind": (zero, np.ones(len(pairs), np.int64)), "x": (sign[big], sets[a]), "y": (sets[big], sets[b]), "nx": (sizes[big], sizes[a]), "ny": (zero, sizes[b]), "spare": (np.repeat(held, held)[big], np.minimum(spare[a], spare[b])), "n": (rest[big], n), "may": (zero, may.astype(np.int64))}
         return pa.table({c: np.concatenate(v) for c, v in columns.items()})
 
     return signed.filter("shard >= 0").groupBy("shard").applyInArrow(run, "kind long, x long, y long, nx long, ny long, spare long, n long, may long")
@@ -289,33 +328,40 @@ def _few(found: DataFrame, percent: int) -> DataFrame:
     return pairs.filter((shared + behind) * (100 + percent) >= percent * (F.col("nx") + F.col("ny"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
+def _picked(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows whose `key` may be among that of keys: all that are, and few others. The filter is FILTER_BITS bits, whatever the corpus."""
+    spot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    words = keys.select(spot.alias("_b")).groupBy((F.col("_b") / 64).cast("int").alias("_w")).agg(F.expr("bit_or(shiftleft(1L, CAST(_b % 64 AS INT)))").alias("_bits"))
+    marked = rows.withColumn("_b", spot).withColumn("_w", (F.col("_b") / 64).cast("int")).join(F.broadcast(words), "_w")
+    return marked.filter(F.expr("shiftright(_bits, CAST(_b % 64 AS INT)) & 1 = 1")).drop("_b", "_w", "_bits")
+
+
 def _whole_sets(rows: DataFrame, id_col: str, n: int, owners: DataFrame) -> DataFrame:
-    """set and tokens (packed) of the sets in owners (set, id_col). A fixed-size filter, made in one aggregation, lets few other documents be read as far as that."""
-    spot = F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS))
-    marks = owners.select(spot.alias("b")).groupBy((F.col("b") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(b % 64 AS INT)))").alias("bits")).toPandas()
-    marked = np.zeros(FILTER_BITS // 64, np.int64)  # FILTER_BITS bits, whatever the corpus
-    marked[marks["w"].to_numpy()] = marks["bits"].to_numpy()
-    sent = rows.sparkSession.sparkContext.broadcast(marked)
-    kind = rows.schema[id_col].dataType.simpleString()
+    """set, sketch and tokens (packed) of the sets in owners (set, id_col)."""
 
     def run(batches):
         common.trim()
-        words, held = Words(), sent.value
+        words = Words()
         for whole in batches:
-            b = whole.column("spot").to_numpy()
-            whole = whole.filter(pa.array((held[b >> 6] >> (b & 63) & 1).astype(bool)))
             for batch in common.slices(whole, "text", 4 << 20):
                 tokens, sizes = token_sets(_texts(batch), n, words)
-                ends = np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array([tokens[e - k : e].tobytes() for e, k in zip(ends, sizes)], pa.binary())], names=[id_col, "tokens"])
+                parts = [tokens[e - k : e] for e, k in zip(np.cumsum(sizes), sizes) if k]
+                yield pa.RecordBatch.from_arrays([pa.array([set_hash(p) for p in parts], pa.uint64()).cast(pa.int64(), safe=False), pa.array([sketch(p) for p in parts], pa.binary()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["set", "sketch", "tokens"])
 
-    made = rows.withColumn("spot", spot).mapInArrow(run, f"{id_col} {kind}, tokens binary")
-    return owners.join(made, id_col).select("set", "tokens")
+    made = _picked(rows, id_col, owners).select("text").mapInArrow(run, "set long, sketch binary, tokens binary")
+    return made.join(owners.select("set"), "set", "left_semi").dropDuplicates(["set"])
 
 
 def _links(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) that link."""
 
+    def may(batches):
+        for batch in batches:
+            sizes = zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)
+            # Of na + nb tokens a link holds at most (100 - percent) / (100 + percent) on one side alone.
+            keep = [(100 + percent) * least_difference(x, y) <= (100 - percent) * (na + nb) for na, nb, x, y in sizes]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     def run(batches):
         common.trim()
         for batch in batches:
@@ -329,8 +375,17 @@ def _links(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.join(whole.withColumnsRenamed({"set": "a", "tokens": "ta"}), "a")
-    return one.join(whole.withColumnsRenamed({"set": "b", "tokens": "tb"}), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    def sides(pairs: DataFrame, kept: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(kept.select(F.col("set").alias(side), *(F.col(c).alias(c[0] + side) for c in kept.columns if c != "set")), side)
+        return pairs
+
+    light = whole.select("set", "sketch", (F.octet_length("tokens") / 8).cast("long").alias("n"))
+    near = common.materialize(sides(pairs, light).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(may, "a long, b long"), "near")
+    needed_sets = near.select(F.col("a").alias("set")).unionAll(near.select("b")).distinct()
+    found = common.materialize(sides(near, _picked(whole.select("set", "tokens"), "set", needed_sets)).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "links")
+    common.remove(near)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -338,12 +393,14 @@ def components(edges: DataFrame) -> DataFrame:
     both = common.materialize(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = common.materialize(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "labels")
     while True:
-        near = both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("to"))
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = labels.select("node", "label").join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("label").alias("next"))
         now = common.materialize(step.join(jump, "to", "left").select("node", "old", F.least("to", F.coalesce("next", "to")).alias("label")), "labels")
-        labels = now.select("node", "label")
+        common.remove(labels)
+        labels = now
         if now.filter("label <> old").isEmpty():
+            common.remove(both)
             return labels
 
 
@@ -353,69 +410,102 @@ def shards_for(rows: DataFrame) -> int:
     return max(8, -(-size // SHARD_BYTES))
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
-    """id_col, n_tokens and component_id, the smallest id that links reach (its own id for a document that links with nothing)."""
+def _grouped(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """id, set (null without words), size, label (the smallest set of the component) and component_id of each row."""
     common.prepare(df.sparkSession)
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
     shards = shards_for(rows)
-    signed = common.materialize(_sign(rows, id_col, n, percent, shards, _frequent(rows, n, shards)), "signed")
-    members = common.materialize(_members(signed, id_col, kind), "members")
-    labels = _joined(rows, id_col, n, percent, members, common.materialize(_buckets(signed, percent), "buckets"))
-    grouped = members.join(labels.withColumnsRenamed({"node": "set"}), "set", "left").withColumn("label", F.coalesce("label", "set"))
-    least = grouped.filter("label IS NOT NULL").groupBy("label").agg(F.min(id_col).alias("component_id"))
-    return grouped.join(least, "label", "left").select(id_col, F.col("size").alias("n_tokens"), F.coalesce("component_id", id_col).alias("component_id"))
+    signed = common.materialize(_sign(rows, "id", n, percent, shards, _frequent(rows, n, shards)), "signed")
+    members = common.materialize(_members(signed, "id", kind), "members")
+    buckets = common.materialize(_buckets(signed, percent), "buckets")
+    common.remove(signed)
+    labels = _joined(rows, n, percent, members, buckets)
+    grouped = members.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
+    least = grouped.filter("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("component_id"))
+    return grouped.join(least, "label", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
+    """id_col, n_tokens and component_id, the smallest id that links reach (its own id for a document that links with nothing)."""
+    return _grouped(df, id_col, text_col, n, percent).select(F.col("id").alias(id_col), F.col("size").alias("n_tokens"), "component_id")
 
 
 def _merged(labels: DataFrame, new: DataFrame) -> DataFrame:
     """labels after links (a, b) between sets of different components were found: the components of the components."""
-    of = labels.withColumnsRenamed({"label": "la"})
-    edges = new.join(of.withColumnRenamed("node", "a"), "a", "left").join(of.withColumnsRenamed({"node": "b", "la": "lb"}), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    of = labels.select("node", "label")
+    edges = new.join(of.withColumnsRenamed({"node": "a", "label": "la"}), "a", "left").join(of.withColumnsRenamed({"node": "b", "label": "lb"}), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     above = components(edges)
-    kept = labels.join(above.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
-    return common.materialize(kept.unionAll(above.join(labels, "node", "left_anti").select("node", "label")), "labels")
+    kept = of.join(above.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    out = common.materialize(kept.unionAll(above.join(of, "node", "left_anti").select("node", "label")), "labels")
+    for old in (above, labels, new):
+        common.remove(old)
+    return out
 
 
-def _joined(rows: DataFrame, id_col: str, n: int, percent: int, members: DataFrame, found: DataFrame) -> DataFrame:
+def _joined(rows: DataFrame, n: int, percent: int, members: DataFrame, found: DataFrame) -> DataFrame:
     """node (a set), label: the components of sets that link with another."""
     few = common.materialize(_few(found, percent), "few")
-    buckets = found.filter("kind = 0").select(F.col("x").alias("signature"), F.col("y").alias("set"), F.col("nx").alias("size"), F.col("n").alias("rest"))
-    shared = buckets.groupBy("signature").agg(F.count(F.lit(1)).alias("held"))
-    weight = buckets.join(shared, "signature").groupBy("set").agg(F.sum("held").alias("weight"))
-    place = F.row_number().over(Window.partitionBy("signature").orderBy(F.desc("weight"), "set")) - 1
-    ranked = common.materialize(buckets.join(weight, "set").withColumn("rank", place).drop("weight"), "ranked")
+    parts = F.ceil(F.col("spare") / PART_SETS).cast("int")
+    buckets = found.filter("kind = 0").select(F.col("x").alias("signature"), F.pmod(F.xxhash64("y"), parts).cast("int").alias("part"), parts.alias("parts"), F.col("y").alias("set"), F.col("nx").alias("size"), F.col("n").alias("rest"), F.col("spare").alias("held"))
+    weight = buckets.groupBy("set").agg(F.sum("held").alias("weight"))
+    # A part's first sets come before any part's later ones.
+    place = (F.row_number().over(Window.partitionBy("signature", "part").orderBy(F.desc("weight"), "set")) - 1) * F.col("parts") + F.col("part")
+    ranked = common.materialize(buckets.join(weight, "set").withColumn("rank", place).drop("weight", "held"), "ranked")
     nodes = few.select(F.col("a").alias("set")).unionAll(few.select("b")).unionAll(ranked.select("set")).distinct()
-    owners = members.join(nodes, "set").groupBy("set").agg(F.min(id_col).alias(id_col))
-    whole = common.materialize(_whole_sets(rows, id_col, n, owners), "whole")
-    links = common.materialize(_links(few, whole, percent), "links")
+    owners = common.materialize(members.join(nodes, "set").groupBy("set").agg(F.min("id").alias("id")), "owners")
+    whole = common.materialize(_whole_sets(rows, "id", n, owners), "whole")
+    links = _links(few, whole, percent)
     labels = components(links)
-
-    def labelled(part: DataFrame) -> DataFrame:
-        return part.join(labels.withColumnsRenamed({"node": "set"}), "set", "left").withColumn("label", F.coalesce("label", "set"))
+    for old in (found, few, owners, links):
+        common.remove(old)
 
     first, count = 0, 1
     while True:  # buckets that still hold several components, and have pairs left
-        live = labelled(ranked.filter(F.col("rank") >= first))
-        several = live.groupBy("signature").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("signature")
-        live = common.materialize(live.join(several, "signature"), "live")
+        live = ranked.drop("label").filter(F.col("rank") >= first).join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
+        several = live.groupBy("signature", "parts").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")  # so that no signature meets in one task
+        live = common.materialize(live.join(several.select("signature", every), ["signature", "part"]), "live")
+        common.remove(ranked)
         if live.isEmpty():
+            for old in (live, whole):
+                common.remove(old)
             return labels
-        lead = live.filter(F.col("rank") < first + count).select("signature", F.col("set").alias("x"), F.col("size").alias("nx"), F.col("label").alias("lx"), F.col("rank").alias("rx"), F.col("rest").alias("tx"))
-        met = live.join(lead, "signature").filter((F.col("rank") > F.col("rx")) & (F.col("label") != F.col("lx")) & (100 * F.least("size", "nx") >= percent * F.greatest("size", "nx")) & (F.least("rest", "tx") * (100 + percent) >= percent * (F.col("size") + F.col("nx"))))
+        lead = live.filter(F.col("rank") < first + count).select("signature", F.col("set").alias("x"), F.col("size").alias("nx"), F.col("label").alias("lx"), F.col("rank").alias("rx"), F.col("rest").alias("tx"), every)
+        met = live.join(lead, ["signature", "part"]).filter((F.col("rank") > F.col("rx")) & (F.col("label") != F.col("lx")) & (100 * F.least("size", "nx") >= percent * F.greatest("size", "nx")) & (F.least("rest", "tx") * (100 + percent) >= percent * (F.col("size") + F.col("nx"))))
         pairs = met.select(F.least("set", "x").alias("a"), F.greatest("set", "x").alias("b")).distinct()
-        new = common.materialize(_links(pairs, whole, percent), "links")
+        new = _links(pairs, whole, percent)
         if not new.isEmpty():
             labels = _merged(labels, new)
-        ranked, first, count = live.drop("label"), first + count, count * 4
+        ranked, first, count = live, first + count, count * 4
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of df, with all its columns, that are the first of their component by id. Of rows with equal id and text one stays; rows without an id stay all."""
-    found = common.materialize(jaccard_components(df, id_col, text_col, n, percent), "components")
-    kept = df.join(found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct(), id_col, "left_semi").select(*df.columns)
-    if not found.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col, text_col])
-    return kept.unionAll(df.filter(F.col(id_col).isNull()))
+    """The rows of df, with all its columns, that are the first of their component by id, a null id last. Of rows with equal ids in one component the one with the smallest set hash stays, and of equal sets one row. Rows without words stay all."""
+    found = common.materialize(_grouped(df, id_col, text_col, n, percent), "components")
+    one = found.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.every(F.col("id") == F.col("component_id")).alias("first"))
+    kept = df.join(one.filter("rows = 1 AND first").select(F.col("id").alias(id_col)), id_col, "left_semi").select(*df.columns)
+    shared = one.filter("rows > 1").select("id")
+    if shared.isEmpty() and found.filter("id IS NULL").isEmpty():
+        return kept
+    # Rows that their ids don't tell apart are told apart by their sets.
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.filter("id IS NULL").unionAll(rows.join(shared, "id", "left_semi").select(*rows.columns))
+
+    def hashed(batches):
+        common.trim()
+        words = Words()
+        for whole in batches:
+            for batch in common.slices(whole, "text", 4 << 20):
+                tokens, sizes = token_sets(_texts(batch), n, words)
+                own = [set_hash(tokens[e - k : e]).astype(np.int64) if k else None for e, k in zip(np.cumsum(sizes), sizes)]
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("text"), pa.array(own, pa.int64())], schema=pa.schema([*batch.schema, pa.field("set", pa.int64())]))
+
+    told = rows.mapInArrow(hashed, T.StructType([*rows.schema.fields, T.StructField("set", T.LongType())]))
+    winner = found.filter("label IS NOT NULL AND id <=> component_id").groupBy("label").agg(F.min(F.struct("set", "id")).alias("w")).select("w.set", F.col("w.id").alias("own"))
+    best = told.join(winner, "set").filter("id <=> own").groupBy("set").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row"))
+    more = best.select("row.*").unionAll(told.filter("set IS NULL").select("row.*"))
+    return kept.unionAll(more)
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
