@@ -1,14 +1,17 @@
 """License scans by conditional compression.
 
-A notice is a run of words of one paragraph, near a word that names a licence (a cue), that differs
-from a template in at most a quarter of the template's words. All such runs are found by alignment,
-wherever lines and sentences end. Runs that overlap are decided by wording: most words kept less
-differences, then fewest differences, then the template that, as a raw zstandard dictionary, shortens
-the run most, relative to its size alone. The reduction and the differences are returned.
-
-Edge cases: null and empty texts have no notices; equal reductions go to the first template by name;
-a notice that occurs again is found again; an empty table gives an empty result; columns other than
-the id and the text are ignored. Memory is bounded by one text.
+A candidate block is a run of words of one paragraph, near a word that names a licence (a cue), that
+differs from a template in at most a quarter of the template's words, wherever lines and sentences
+end; it is found by alignment. Candidates are ranked by the bytes that the template, as a raw
+zstandard dictionary, saves over compressing the block alone. Going down that ranking, a block wins
+if it shares no word with a winner and its exact wording confirms it: the words that tell licences
+apart (names such as `lesser` or `nc`, and every version number) are those of the template. The
+relative reduction and the differences in wording are returned.
+
+Edge cases: null and empty texts have no notices; equal savings go to the fewest differences, then to
+the first template by name, then to the first place; a notice that occurs again is found again; an
+empty table gives an empty result; columns other than the id and the text are ignored. Memory is
+bounded by one text.
 """
 
 from __future__ import annotations
@@ -26,31 +29,56 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Notices by licence (fixed values: wording of the public notices).
+#: Notices by licence (fixed values: wording of the public notices). List marks are left out.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-4.0-work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "BSD-2-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0-header": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "ISC-permission": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MIT": "Released under the MIT License.",
     "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Zlib": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
 }
-CUE = re.compile(r"(?i)licen[sc]|copyright|permission|redistribut|public domain|creative commons|free software|\bCC[ -]BY")
+TEMPLATES |= {f"{short}-{v}{'.0' if '.' not in v else ''}": f"This work is licensed under the {name}, version {v}." for short, name, versions in (("GPL", "GNU General Public License", "123"), ("AGPL", "GNU Affero General Public License", "3"), ("LGPL", "GNU Lesser General Public License", ("2.1", "3"))) for v in versions}
+#: The terms of Creative Commons licences by their short names (fixed values); each has versions 1.0 to 4.0 here.
+TERMS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
+TEMPLATES |= {f"CC-{k}-{v}": f"Licensed under CC {k} {v}." for k in TERMS for v in VERSIONS}
+TEMPLATES |= {f"CC-{k}-{v}-work": f"This work is licensed under a Creative Commons {name} {v} International License." for k, name in TERMS.items() for v in VERSIONS}
+#: Words that tell licences apart, beside numbers: a block that lacks the template's, or has others, isn't of its licence.
+TELLING = frozenset("apache bsd mit isc gnu gpl lgpl agpl lesser affero mozilla mpl eclipse epl boost zlib cc0 nc sa nd noncommercial sharealike noderivatives noderivs".split())
+CUE = re.compile(r"(?i)licen[sc]|copyright|permission|redistribut|public\W+domain|creative\W+commons|free\W+software|\bCC\W+BY|implied\W+warranty")
 #: Lines up to an empty one; the signs that may close a notice.
 PARAGRAPH = re.compile(r"(?:[^\n]*\S[^\n]*(?:\n|\Z))+")
 CLOSE = re.compile(r"[^\w\s(]*")
 #: A candidate must shorten the notice by this share, and differ in at most this share of the template's words.
 LEAST_REDUCTION, MOST_DIFFERENT = 0.2, 0.25
-WORDS = re.compile(r"\w+(?:[.-]\w+)*")
+WORDS = re.compile(r"\w+(?:\.\w+)*")
+NUMBER = re.compile(r"v?(\d+(?:\.[1-9]\d*)*)(?:\.0)*")
+
+
+def folded(word: str) -> str:
+    """A word in lower case; a number without a leading v and closing .0."""
+    word = word.lower()
+    return m[1] if (m := NUMBER.fullmatch(word)) else word
+
+
+def telling(words: list[str]) -> frozenset[str]:
+    """The words that the template and a block of its licence must both have."""
+    return frozenset(w for w in words if w in TELLING or w[0].isdigit())
 
 
 @lru_cache(maxsize=4)
@@ -61,11 +89,11 @@ def _compressors(templates: tuple[tuple[str, str], ...]):
 
 
 class Words:
-    """The words of a text in lower case, with their places."""
+    """The folded words of a text, with their places."""
 
     def __init__(self, text: str):
         found = list(WORDS.finditer(text))
-        self.words, self.starts, self.ends = [m[0].lower() for m in found], [m.start() for m in found], [m.end() for m in found]
+        self.words, self.starts, self.ends = [folded(m[0]) for m in found], [m.start() for m in found], [m.end() for m in found]
 
 
 def ends(template: list[str], block: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,36 +155,52 @@ def blocks(text: str, reach: int) -> list[tuple[int, Words, int, int]]:
     return out
 
 
+@lru_cache(maxsize=4)
+def _worded(templates: tuple[tuple[str, str], ...]) -> dict[str, tuple[list[str], Counter, int, frozenset[str]]]:
+    """Each template's words, their counts, the most differences, and the words that tell it."""
+    worded = {name: [folded(w) for w in WORDS.findall(t)] for name, t in templates}
+    return {name: (w, Counter(w), int(MOST_DIFFERENT * len(w)), telling(w)) for name, w in worded.items() if w}
+
+
+def candidates(block: list[str], worded: dict) -> list[tuple[int, int, str, int, int]]:
+    """(words kept less differences, differences, template, first, end) of runs of the block near to a template: of those of one template that overlap, the best."""
+    held, near = Counter(block), []
+    for name, (template, bag, most, tells) in worded.items():
+        if not tells <= held.keys() or sum((bag & held).values()) < len(template) - most:  # the wording can't match
+            continue
+        differ, kept, first = ends(template, block)
+        taken = np.zeros(len(block), bool)
+        at = np.flatnonzero((differ <= most) & (kept > 0))
+        for e in at[np.lexsort((at, differ[at], (differ - kept)[at]))].tolist():
+            if not taken[first[e] : e].any():
+                taken[first[e] : e] = True
+                near.append((int(kept[e] - differ[e]), int(differ[e]), name, int(first[e]), e))
+    return near
+
+
 def find(text: str, templates: dict[str, str]) -> list[tuple[int, int, str, float, list[str], list[str]]]:
     """(start, end, template, reduction, missing words, added words) of each notice in the text; positions are characters."""
     if not CUE.search(text):
         return []
-    plain, with_text = _compressors(tuple(sorted(templates.items())))
-    worded = {name: WORDS.findall(t.lower()) for name, t in templates.items()}
-    worded = {name: (w, Counter(w), int(MOST_DIFFERENT * len(w))) for name, w in worded.items() if w}
+    key = tuple(sorted(templates.items()))
+    (plain, with_text), worded = _compressors(key), _worded(key)
     out = []
-    for base, words, a, b in blocks(text, max((len(w) + most for w, _, most in worded.values()), default=0)):
-        block = words.words[a:b]
-        held, near = Counter(block), []
-        for name, (template, bag, most) in worded.items():
-            if sum((bag & held).values()) < len(template) - most:  # the wording can't match
-                continue
-            differ, kept, first = ends(template, block)
-            near += [(int(differ[e] - kept[e]), int(differ[e]), name, int(first[e]), int(e)) for e in np.flatnonzero((differ <= most) & (kept > 0))]
+    for base, words, a, b in blocks(text, max((len(w) + most for w, _, most, _ in worded.values()), default=0)):
+        block, ranked = words.words[a:b], []
+        for _, differ, name, first, end in candidates(block, worded):
+            start, stop = _widened(text, base, words, a + first, a + end, words.starts[a + first], words.ends[a + end - 1])
+            data = text[start:stop].encode()
+            alone = len(plain.compress(data))
+            saved = alone - len(with_text[name].compress(data))
+            ranked.append((-saved, differ, name, first, end, start, stop, saved / alone))
         taken = np.zeros(len(block), bool)
-        rated = []
-        for score, differ, name, first, end in sorted(near):
-            # Runs that share a word with a better one are left out; equal ones are decided by reduction.
-            if rated and (score, differ) != rated[-1][:2]:
-                _take(rated, taken, out)
-                rated = []
-            if not taken[first:end].any():
-                start, stop = words.starts[a + first], words.ends[a + end - 1]
-                start, stop = _widened(text, base, words, a + first, a + end, start, stop)
-                data = text[start:stop].encode()
-                alone = len(plain.compress(data))
-                rated.append((score, differ, (alone - len(with_text[name].compress(data))) / alone, name, first, end, start, stop, *differences(worded[name][0], block[first:end])))
-        _take(rated, taken, out)
+        for _, _, name, first, end, start, stop, reduction in sorted(ranked):
+            if reduction < LEAST_REDUCTION or taken[first:end].any():
+                continue
+            missing, added = differences(worded[name][0], block[first:end])
+            if not any(w in TELLING for w in added) and not telling(missing):  # the wording confirms it
+                taken[first:end] = True
+                out.append((start, stop, name, round(reduction, 6), missing, added))
     return sorted(out)
 
 
@@ -174,13 +218,6 @@ def _widened(text: str, base: int, words: Words, first: int, end: int, start: in
     return start, stop
 
 
-def _take(rated: list, taken: np.ndarray, out: list) -> None:
-    for _, _, r, name, first, end, start, stop, missing, added in sorted(rated, key=lambda x: (-x[2], x[3], x[4])):
-        if r >= LEAST_REDUCTION and not taken[first:end].any():
-            taken[first:end] = True
-            out.append((start, stop, name, round(r, 6), missing, added))
-
-
 SCHEMA = "start long, end long, license string, reduction double, missing array<string>, added array<string>"
 
 
