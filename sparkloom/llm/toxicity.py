@@ -3,8 +3,9 @@
 The kernel of two strings counts the subsequences of three letters that they share, each weighted by
 DECAY to the power of the stretch it covers in either, and is normalised to 1 for equal strings. So a
 gap or an inserted character weakens a match and doesn't end it. Each word is folded (case, accents,
-digits that stand for letters) and seen with marks at its ends through windows of eleven characters; letters spelt out with
-spaces between them count as a word too. A sentence, and a text, is as toxic as its worst window.
+digits that stand for letters; every letter of every script stays a letter of its own) and seen with
+marks at its ends through windows of eleven characters; letters spelt out with spaces between them
+count as a word too. A sentence, and a text, is as toxic as its worst window.
 
 Landmarks are the strings that tell toxic training texts from others, and common words, some of them much like those strings. The
 machine is linear in the Nyström features K_mm^(-1/2) k_m(window). Since k_m is a sum over triples of
@@ -19,7 +20,8 @@ or more that toxic texts hold much oftener than others, each by the logarithm of
 logistic curve, fitted to sums that leave out what the text itself taught, gives a score too. The
 higher of both is the text's.
 
-Training takes a bounded sample of labelled rows (SAMPLE); everything else is done for all rows.
+Training takes a bounded sample of labelled rows (SAMPLE), each with all its words; everything else is
+done for all rows. The driver holds each distinct word of the sample once and numbers for the rest.
 
 Edge cases: a null or empty text gets the score of a text without any triple; without toxic or
 without other training rows every score is 0; equal texts get equal scores; an id that is labelled
@@ -46,10 +48,11 @@ from . import common
 
 DECAY = 0.5
 WINDOW, STEP = 11, 2
-#: Codes of folded characters: 0 parts or pads; 1 to 26 are a to z; 27 begins and 28 ends a word; the others are dealt to 29 to 63.
-CODES, BEGIN, END = 64, 27, 28
-#: Letters of a run that may tell toxic texts, and the evidence that it needs.
-GRAM, EVIDENCE = 4, 25.0
+#: Folded characters beside letters and digits: PART parts words or pads, BEGIN begins and END ends a word.
+PART, BEGIN, END = 0, 1, 2
+#: Letters of a run that may become a landmark, and the evidence that it needs; the evidence that a weighed string needs.
+GRAM, SURE = 4, 25.0
+EVIDENCE = 16.0
 #: The most toxic and the most other rows to learn from; each teaches with all its words.
 SAMPLE = (1500, 3000)
 LANDMARKS, COMMON = 48, 16
@@ -64,25 +67,32 @@ STANDS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a",
 SPELT = re.compile(r"(?<!\S)\S(?:[^\S\n]\S){2,}(?!\S)")
 
 
+def fold(c: int) -> int:
+    """The folded code point: the letter without case and accents, or PART. Composed syllables stay whole."""
+    whole = unicodedata.normalize("NFKC", chr(c)).lower()[:1]
+    x = whole if "\uac00" <= whole <= "\ud7a3" else unicodedata.normalize("NFKD", whole)[:1]
+    x = STANDS.get(x, x)
+    return ord(x) if x.isalnum() else PART
+
+
 @lru_cache
 def fold_table() -> np.ndarray:
-    """The code of each code point under 0x3000; the last entry stands for those beyond."""
-    out = np.zeros(0x3001, np.int8)
-    for c in range(0x3000):
-        x = unicodedata.normalize("NFKD", STANDS.get(chr(c), chr(c)).lower())[:1]
-        if "a" <= x <= "z":
-            out[c] = ord(x) - 96
-        elif x.isalnum():
-            out[c] = 29 + ord(x) % 35
-    out[0x3000] = 63
+    """The folded code point of each code point of the first plane."""
+    return np.fromiter(map(fold, range(1 << 16)), np.int32, 1 << 16)
+
+
+def folded_points(raw: np.ndarray) -> np.ndarray:
+    out = fold_table()[raw & 0xFFFF]
+    for at in np.flatnonzero(raw >> 16):
+        out[at] = fold(int(raw[at]))
     return out
 
 
 def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(windows, WINDOW) codes and the index of the word that each is of."""
+    """(windows, WINDOW) folded code points and the index of the word that each is of."""
     joined = "\0".join(["", *words]) + "\0"
-    raw = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-    code = np.append(fold_table()[np.minimum(raw, 0x3000)], np.zeros(WINDOW, np.int8))
+    raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    code = np.append(folded_points(raw), np.zeros(WINDOW, np.int32))
     size = np.fromiter(map(len, words), np.int64, len(words)) + 2
     start = np.cumsum(size - 1) - size + 1  # neighbours share the mark between them
     n = 1 + np.maximum(0, -(-(size - WINDOW) // STEP))
@@ -91,7 +101,7 @@ def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     at = np.repeat(start, n) + nth * STEP
     end = np.repeat(start + size, n)
     place = at[:, None] + np.arange(WINDOW)
-    out = np.where(place < end[:, None], code[np.minimum(place, len(code) - 1)], np.int8(0))
+    out = np.where(place < end[:, None], code[np.minimum(place, len(code) - 1)], np.int32(0))
     out[nth == 0, 0] = BEGIN
     out[place == end[:, None] - 1] = END
     return out, word
@@ -100,24 +110,56 @@ def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 TRIPLES = [(i, j, k, DECAY ** (k - i + 1)) for i, j, k in combinations(range(WINDOW), 3)]
 
 
-def triples(rows: np.ndarray) -> list[dict[int, float]]:
+def triples(rows: np.ndarray) -> list[dict[tuple[int, int, int], float]]:
     """Each window's weight of each triple of letters."""
     out = []
     for row in rows.tolist():
-        found: dict[int, float] = {}
+        found: dict[tuple[int, int, int], float] = {}
         for i, j, k, w in TRIPLES:
             if row[i] and row[j] and row[k]:
-                t = (row[i] * CODES + row[j]) * CODES + row[k]
+                t = (row[i], row[j], row[k])
                 found[t] = found.get(t, 0.0) + w
         out.append(found)
     return out
 
 
+class Table:
+    """Places of triples: letters, then the pair that two of them are, then the third. `keys` has each triple once."""
+
+    def __init__(self, keys: list[tuple[int, int, int]]):
+        self.letters = np.array(sorted({c for key in keys for c in key}), np.int64)
+        code = {int(c): i + 1 for i, c in enumerate(self.letters)}
+        pairs = {p: i + 1 for i, p in enumerate(sorted({key[:2] for key in keys}))}
+        n = len(code) + 1
+        self.pair = np.zeros((n, n), np.int32)
+        for (a, b), i in pairs.items():
+            self.pair[code[a], code[b]] = i
+        #: The place of each triple in keys, by pair and third letter; len(keys) stands for none.
+        self.third = np.full((len(pairs) + 1, n), len(keys), np.int32)
+        for i, (a, b, c) in enumerate(keys):
+            self.third[pairs[a, b], code[c]] = i
+
+    def codes(self, rows: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.letters, rows), max(0, len(self.letters) - 1))
+        return np.where(self.letters[at] == rows, at + 1, 0) if len(self.letters) else np.zeros(rows.shape, np.int64)
+
+    def walk(self, rows: np.ndarray):
+        """(place of each row's triple in the flat third table, its weight) for each triple of columns."""
+        code, (_, n), pair = self.codes(rows), self.third.shape, self.pair.ravel()
+        code = np.ascontiguousarray(code.T)
+        for i in range(WINDOW):
+            high = code[i] * n
+            for j in range(i + 1, WINDOW - 1):
+                two = pair[high + code[j]].astype(np.int64) * n
+                for k in range(j + 1, WINDOW):
+                    yield two + code[k], DECAY ** (k - i + 1)
+
+
 def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The raw kernel of windows a[n] and b[n], by the usual recursion over their prefixes; padding matches nothing."""
     out = np.zeros(len(a), np.float32)
     for at in range(0, len(a), 2000):  # the tables of so many windows stay in the cache
-        x, y = a[at : at + 2000].T.astype(np.int8, order="C"), b[at : at + 2000].T.astype(np.int8, order="C")
+        x, y = (r[at : at + 2000].T.astype(np.int32, order="C") for r in (a, b))
         n, decay, d2 = x.shape[1], np.float32(DECAY), np.float32(DECAY * DECAY)
         same = ((x[:, None] == y[None]) & (x > 0)[:, None]).astype(np.float32) * d2
         before = np.ones((WINDOW + 1, WINDOW + 1, n), np.float32)
@@ -157,8 +199,9 @@ class Evidence:
 
 @dataclass(frozen=True)
 class Model:
-    """weights[t]: of triple t. A window's value is their sum over its triples by its norm, plus bias."""
+    """weights: by place in the table's flat third. A window's value is their sum over its triples by its norm, plus bias."""
 
+    table: Table
     weights: np.ndarray
     bias: float
     slope: float
@@ -171,12 +214,11 @@ def norms(rows: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(kernel(rows, rows), 1e-12))
 
 
-def values(rows: np.ndarray, weights: np.ndarray, bias: float, norm: np.ndarray | None = None) -> np.ndarray:
+def values(rows: np.ndarray, table: Table, weights: np.ndarray, bias: float, norm: np.ndarray | None = None) -> np.ndarray:
     """Each window's value; norm: of each window, where it is known."""
-    rows, total = rows.astype(np.int64), np.zeros(len(rows), np.float32)
-    high, mid = rows * (CODES * CODES), rows * CODES
-    for i, j, k, w in TRIPLES:
-        total += np.float32(w) * weights[high[:, i] + mid[:, j] + rows[:, k]]
+    total = np.zeros(len(rows), np.float32)
+    for place, w in table.walk(rows):
+        total += np.float32(w) * weights[place]
     hit = np.flatnonzero(total)  # where no triple has a weight the norm doesn't matter
     if len(hit):
         total[hit] /= norms(rows[hit]) if norm is None else norm[hit]
@@ -202,7 +244,7 @@ class Scorer:
         out = np.full(len(words), -np.inf, np.float32)
         for a in range(0, len(words), 20_000):
             part, word = windows(words[a : a + 20_000])
-            np.maximum.at(out, word + a, values(part, self.model.weights, self.model.bias))
+            np.maximum.at(out, word + a, values(part, self.model.table, self.model.weights, self.model.bias))
         return out.tolist()
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -224,23 +266,22 @@ class Scorer:
 # --- training -------------------------------------------------------------------------------------
 
 
-def _folded(word: str) -> str:
-    table = fold_table()
-    return chr(BEGIN + 96) + "".join(chr(int(table[min(ord(c), 0x3000)]) + 96) for c in word) + chr(END + 96)
-
-
 class _Folds(dict):
     def __missing__(self, c: int) -> str:
-        out = self[c] = chr(int(fold_table()[min(c, 0x3000)]) + 96)
+        out = self[c] = chr(fold(c))
         return out
 
 
 _FOLDS = _Folds()
 
 
+def _folded(word: str) -> str:
+    return chr(BEGIN) + word.translate(_FOLDS) + chr(END)
+
+
 def _bare(word: str) -> str:
     """The folded word without the signs at its ends."""
-    return chr(BEGIN + 96) + word.translate(_FOLDS).strip("`") + chr(END + 96)
+    return chr(BEGIN) + word.translate(_FOLDS).strip(chr(PART)) + chr(END)
 
 
 def strongest(word: str, strings: dict[str, float], sizes: list[int]) -> float:
@@ -301,7 +342,7 @@ def telling(toxic: list[set[str]], other: list[set[str]], most: int) -> list[str
     """Strings of folded characters that tell toxic texts, most frequent first.
 
     A run of GRAM characters tells if toxic texts hold it three times as often as others do and the
-    evidence, n log(n / expected n), is over EVIDENCE. It is lengthened while nine tenths of its texts
+    evidence, n log(n / expected n), is over SURE. It is lengthened while nine tenths of its texts
     hold the longer string, and left out if most words that hold it hold a string found before.
     """
     one: dict[str, str] = {}  # each run of characters is held once
@@ -314,7 +355,7 @@ def telling(toxic: list[set[str]], other: list[set[str]], most: int) -> list[str
     good = []
     for g, n in Counter(g for s in inside for g in s).items():
         expected = (outside[g] + 0.5) * scale
-        if "`" not in g and n >= 3 * expected and n * np.log(n / expected) >= EVIDENCE:
+        if chr(PART) not in g and n >= 3 * expected and n * np.log(n / expected) >= SURE:
             good.append((-n * np.log(n / expected), g))
     out: list[str] = []
     for _, g in sorted(good):
@@ -331,7 +372,7 @@ def telling(toxic: list[set[str]], other: list[set[str]], most: int) -> list[str
             for words in held:
                 longer.update({x for w in words if (a := w.find(whole)) >= 0 for x in (w[max(0, a - 1) : a + len(whole)], w[a : a + len(whole) + 1]) if len(x) > len(whole)})
             x = max(longer.items(), key=lambda x: (x[1], x[0]), default=("", 0))
-            if x[1] < 0.9 * len(held) or "`" in x[0]:
+            if x[1] < 0.9 * len(held) or chr(PART) in x[0]:
                 break
             whole = x[0]
         out.append(whole)
@@ -381,16 +422,17 @@ def train(toxic: list[list[str]], other: list[list[str]], rounds: int = 4) -> Mo
     inside, outside = ([{folded[w] for w in bag} for bag in bags] for bags in (toxic, other))
     found = telling(inside, outside, LANDMARKS) if inside and outside else []
     seen = evidence(toxic, other)
-    alone = seen and Model(np.zeros(CODES**3, np.float32), 0.0, 1.0, -500.0, (), seen)
+    alone = seen and Model(Table([]), np.zeros(1, np.float32), 0.0, 1.0, -500.0, (), seen)
     if not found:
         return alone
-    often = Counter(w for bag in outside for w in bag if 5 <= len(w) <= WINDOW and "`" not in w)
+    often = Counter(w for bag in outside for w in bag if 5 <= len(w) <= WINDOW and chr(PART) not in w)
     alike = {w: n for w, n in often.items() if any(x[:GRAM] in w or x[1 : GRAM + 1] in w for x in found)}
     top = lambda c, n: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:n]]
     marks = list(dict.fromkeys([*found, *top(alike, COMMON), *top(often, COMMON)]))
-    rows = np.array([[ord(c) - 96 for c in m] + [0] * (WINDOW - len(m)) for m in marks])
+    rows = np.array([[ord(c) for c in m] + [PART] * (WINDOW - len(m)) for m in marks])
     features = triples(rows)
     column = {t: i for i, t in enumerate(sorted({t for f in features for t in f}))}
+    table = Table(list(column))
     phi = np.zeros((len(marks), len(column)))
     for i, f in enumerate(features):
         for t, w in f.items():
@@ -407,27 +449,27 @@ def train(toxic: list[list[str]], other: list[list[str]], rounds: int = 4) -> Mo
     cuts, word = np.concatenate([c for c, _ in made]), np.concatenate([w + 20_000 * i for i, (_, w) in enumerate(made)])
     del made
     norm = norms(cuts)
-    order = np.full(CODES**3, len(column))
-    order[list(column)] = list(column.values())
-    wide = np.hstack([phi, np.zeros((len(marks), 1))])
+    wide = np.vstack([phi.T, np.zeros((1, len(marks)))])
 
     def mapped(which: np.ndarray) -> np.ndarray:
         """Nyström features of the windows."""
-        part, out = cuts[which].astype(np.int64), np.zeros((len(which), len(marks)))
-        for i, j, k, w in TRIPLES:
-            out += w * wide[:, order[(part[:, i] * CODES + part[:, j]) * CODES + part[:, k]]].T
+        out, third = np.zeros((len(which), len(marks))), table.third.ravel()
+        for place, w in table.walk(cuts[which]):
+            out += w * wide[third[place]]
         return out / norm[which][:, None] @ root
 
+    def flat(of_column: np.ndarray) -> np.ndarray:
+        """Weights of triples, in the order of the table's flat third."""
+        return np.append(of_column, 0.0).astype(np.float32)[table.third.ravel()]
+
     near = np.zeros(len(words))
     best_window = np.zeros(len(words), np.int64)
-    first = Model(np.zeros(CODES**3, np.float32), 0, 1, 0)
-    first.weights[list(column)] = phi[: len(found)].sum(axis=0)
     chosen: set[int] = set()
     clean = set().union(*other)  # the witness against a text holds a telling string and stands in no clean text
     suspects = [[w for w in b if w not in clean and any(m in folded[w] for m in found)] for b in bags[: len(toxic)]]
-    weights, bias = first.weights, 0.0
+    weights, bias = flat(phi[: len(found)].sum(axis=0)), 0.0
     for n in range(rounds + 1):
-        v = np.concatenate([values(cuts[a : a + 50_000], weights, bias, norm[a : a + 50_000]) for a in range(0, len(cuts), 50_000)]) if len(cuts) else np.zeros(0)
+        v = np.concatenate([values(cuts[a : a + 50_000], table, weights, bias, norm[a : a + 50_000]) for a in range(0, len(cuts), 50_000)]) if len(cuts) else np.zeros(0)
         by = np.lexsort((v, word))
         last = np.searchsorted(word[by], np.arange(len(words)), side="right") - 1
         best_window, near = by[last], v[by[last]]
@@ -444,10 +486,9 @@ def train(toxic: list[list[str]], other: list[list[str]], rounds: int = 4) -> Mo
         z = mapped(np.concatenate([each, against]))
         target = np.array([1.0] * len(each) + [-1.0] * len(against))
         w, bias = svm(z, target, np.concatenate([times / times.sum(), np.full(len(against), 1 / len(against))]) * 100)
-        weights = np.zeros(CODES**3, np.float32)
-        weights[list(column)] = phi.T @ (root @ w)
+        weights = flat(phi.T @ (root @ w))
     slope, shift = platt(worst, y)
-    return Model(weights, bias, slope, shift, tuple(marks), seen)
+    return Model(table, weights, bias, slope, shift, tuple(marks), seen)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: tuple[int, int] = SAMPLE) -> Model | None:
@@ -464,9 +505,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             bags = [sorted(words_of(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(bags, pa.list_(pa.string())), batch.column(1)], names=["words", "toxic"])
 
-    got = [(tuple(r["words"]), r["toxic"]) for r in rows.mapInArrow(run, "words array<string>, toxic boolean").collect()]
-    got = sorted(set(got))  # whatever order the rows came in
-    return train([list(w) for w, t in got if t], [list(w) for w, t in got if not t])
+    got = rows.mapInArrow(run, "words array<string>, toxic boolean").toArrow().combine_chunks()
+    bags = got.column("words").combine_chunks()
+    held = bags.flatten().dictionary_encode()
+    words, ids = held.dictionary.to_pylist(), held.indices.to_numpy()  # each distinct word once
+    cuts = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(bags).to_numpy(zero_copy_only=False).astype(np.int64))])
+    told = got.column("toxic").to_pylist()
+    del got, bags, held
+    each = sorted({(tuple(ids[a:b].tolist()), t) for a, b, t in zip(cuts, cuts[1:], told)}, key=lambda x: ([words[i] for i in x[0]], x[1]))  # whatever order the rows came in
+    return train(*([[words[i] for i in bag] for bag, t in each if t == toxic] for toxic in (True, False)))
 
 
 # --- scoring --------------------------------------------------------------------------------------
@@ -476,7 +523,7 @@ def score(df: DataFrame, model: Model | None, text_col: str = "text", keep: tupl
     """The columns `keep` with score and predicted (1 from `threshold` on). No shuffle."""
     common.prepare(df.sparkSession)
     rows = df.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    sent = df.sparkSession.sparkContext.broadcast(model)  # CODES^3 weights
+    sent = df.sparkSession.sparkContext.broadcast(model)  # a table of the landmarks' triples, and strings of the sample
 
     def run(batches):
         common.trim()
