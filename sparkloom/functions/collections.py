@@ -13,8 +13,8 @@ def split_string(s: Column, delimiter: str) -> Column:
 
 
 def string_slice(s: Column, start: int, end: int) -> Column:
-    """Characters start..end-1; null if end is past the length."""
-    return F.when(F.length(s) >= end, F.substring(s, start + 1, end - start))
+    """UTF-8 bytes start..end-1 as binary, wherever characters end; null if end is past the length in bytes."""
+    return F.when(F.octet_length(s) >= end, F.substring(F.encode(s, "UTF-8"), start + 1, end - start))
 
 
 def string_bytes(s: Column) -> Column:
@@ -35,6 +35,16 @@ def array_put(a: Column, at: int, x: Column) -> Column:
     return F.transform(a, lambda v, i: F.when(i == at, x).otherwise(v))
 
 
+def array_push_at(a: Column, at: int, x: Column) -> Column:
+    """The array with x in place of the element at `at`; null where there is no such place."""
+    return F.when(F.size(a) > at, array_put(a, at, x))
+
+
+def array_pop_at(a: Column, at: int) -> Column:
+    """The element at `at`, or null past the end; the array keeps its length, since its owner reuses the place."""
+    return F.get(a, F.lit(at))
+
+
 def array_truncate(a: Column, n: int) -> Column:
     return F.slice(a, F.lit(1), F.least(F.size(a), F.lit(n)))
 
@@ -80,18 +90,19 @@ def rmw_step(v: Column) -> Column:
 
 
 def rmw_after(start: Column, times: Column) -> Column:
-    """The value after `times` steps, in closed form: at most 17 doublings reach 100000, then it counts."""
+    """The value after `times` steps, in closed form: doublings until 100000 is reached, then counting. Values of 0 or less
+    never get there: 0 stays and a negative one doubles each time. Beyond 64 bits it is an error, as each step would be."""
     first = F.when(start.isNull(), F.lit(1)).otherwise(start).cast("long")
-    left = times - F.when(start.isNull(), 1).otherwise(0)
-    # Doublings until 100000 or more; none for values that doubling never gets there.
+    left = (times - F.when(start.isNull(), 1).otherwise(0)).cast("long")
     need = F.when(first >= 100000, 0).when(first <= 0, left).otherwise(F.ceil(F.log2(F.lit(100000.0) / first)))
     doubled = F.least(need, left)
-    return F.when(times <= 0, start.cast("long")).otherwise((first * F.pow(F.lit(2), F.when(first <= 0, F.lit(0)).otherwise(doubled)).cast("long") * F.when(first < 0, F.pow(F.lit(2), F.least(left, F.lit(40))).cast("long")).otherwise(F.lit(1)) + left - doubled).cast("long"))
+    factor = F.pow(F.lit(2.0), F.when((times <= 0) | (first == 0), F.lit(0)).otherwise(doubled)).cast("long")
+    return F.when(times <= 0, start.cast("long")).otherwise(first * factor + left - doubled)
 
 
 def bucket_of(key: Column, n: int) -> Column:
-    """A key's bucket; placement shows in no result, so Spark's hash serves."""
-    return F.pmod(F.xxhash64(key), F.lit(n))
+    """A key's bucket: the first 32 bits of its MD5 digest modulo n, which any other system can compute too."""
+    return F.pmod(F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(n))
 
 
 def group_buckets(buckets: int, groups: int) -> list[tuple[int, int]]:

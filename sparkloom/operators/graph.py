@@ -9,15 +9,17 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.plans.materialize import materialize
+from sparkloom.functions.collections import bucket_of
+from sparkloom.plans.materialize import materialize, remove
 
 
 @dataclass(frozen=True)
 class Graph:
-    """lines(src, dst): one row for each input line, with repeats and loops."""
+    """lines(src, dst): one row for each input line, with repeats and loops. alone(id): vertices that need no line."""
 
     lines: DataFrame
     directed: bool = True
+    alone: DataFrame | None = None
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -26,7 +28,21 @@ class Graph:
 
     @cached_property
     def vertices(self) -> DataFrame:
-        return self.lines.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+        ids = self.lines.select(F.explode(F.array("src", "dst")).alias("id"))
+        return (ids if self.alone is None else ids.unionAll(self.alone.select("id"))).distinct()
+
+    def insert_edges(self, new: DataFrame) -> Graph:
+        """The graph with further lines (src, dst); vertices that weren't there come with them."""
+        return Graph(self.lines.unionByName(new.select("src", "dst")), self.directed, self.alone)
+
+    def insert_vertices(self, new: DataFrame) -> Graph:
+        """The graph with further vertices (id), with or without edges; those that are there stay as they are."""
+        ids = new.select("id")
+        return Graph(self.lines, self.directed, ids if self.alone is None else self.alone.select("id").unionAll(ids))
+
+    def written(self, tag: str = "lines") -> Graph:
+        """The same graph with its lines in a table, for queries that read them several times."""
+        return Graph(materialize(self.lines, tag), self.directed, self.alone)
 
     def stats(self) -> DataFrame:
         """n_verts, n_edges (lines), is_directed, min_vertex_id, max_vertex_id. Vertices are made distinct before one final aggregate."""
@@ -34,6 +50,11 @@ class Graph:
         v = self.vertices.agg(F.count(F.lit(1)).alias("n_verts"), F.min("id").alias("min_vertex_id"), F.max("id").alias("max_vertex_id"))
         return v.crossJoin(n).select("n_verts", "n_edges", F.lit(self.directed).alias("is_directed"), "min_vertex_id", "max_vertex_id")  # one row each
 
+    def partition_stats(self, parts: int) -> DataFrame:
+        """part, n_verts, n_edges (adjacency lengths) of the vertices dealt to parts by bucket, and of all in the row whose part is null."""
+        part = bucket_of(F.col("id").cast("string"), parts)
+        return self.out_degrees().rollup(part.alias("part")).agg(F.count(F.lit(1)).alias("n_verts"), F.coalesce(F.sum("degree"), F.lit(0)).cast("long").alias("n_edges"))
+
     def out_degrees(self) -> DataFrame:
         """id, degree of all vertices, repeats counted."""
         n = self.edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
@@ -55,21 +76,27 @@ class Graph:
         return self.edges.join(self.out_degrees().withColumnRenamed("id", "dst"), "dst").select("src", "dst", "degree")
 
     def oriented(self) -> DataFrame:
-        """Edges towards the vertex with the higher (degree, id); loops stay."""
-        d = self.out_degrees()
+        """Edges towards the vertex with the higher (degree, id); loops stay. ds, dd: the degrees."""
+        d = materialize(self.out_degrees(), "degrees")
         e = self.edges.join(d.select(F.col("id").alias("src"), F.col("degree").alias("ds")), "src").join(d.select(F.col("id").alias("dst"), F.col("degree").alias("dd")), "dst")
-        return e.filter((F.col("dd") > F.col("ds")) | ((F.col("dd") == F.col("ds")) & (F.col("dst") >= F.col("src")))).select("src", "dst", "dd")
+        return e.filter((F.col("dd") > F.col("ds")) | ((F.col("dd") == F.col("ds")) & (F.col("dst") >= F.col("src")))).select("src", "dst", "ds", "dd")
 
     def effective_neighbours(self) -> DataFrame:
         """id, neighbours that the orientation keeps, by (degree, id)."""
         listed = F.sort_array(F.collect_list(F.struct("dd", "dst")))
         return self.oriented().groupBy(F.col("src").alias("id")).agg(F.transform(listed, lambda x: x["dst"]).alias("neighbours"))
 
-    def triangles(self) -> DataFrame:
-        """n: triangles of a simple undirected graph. Each wedge starts at its lowest vertex, whose out-degree the orientation bounds by the square root of the edges."""
-        e = materialize(self.oriented().filter("src <> dst").select("src", "dst").distinct(), "oriented")
-        wedge = e.join(e.select("src", F.col("dst").alias("other")), "src").filter("dst <> other")
-        closed = wedge.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("other")), ["dst", "other"])
+    def triangles(self, parity: bool = False) -> DataFrame:
+        """n: triangles. Each wedge starts at its lowest vertex, whose out-degree the orientation bounds by the square root of
+        the edges, and is made once, with its ends in order. Repeated lines and loops don't count; with parity they do: each
+        oriented entry v-u adds, for each w, the lesser number of entries v-w and u-w."""
+        if parity:
+            e = materialize(self.oriented().groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times")), "oriented")
+            met = e.alias("v").join(e.alias("w"), F.expr("v.src = w.src")).join(e.alias("u"), F.expr("u.src = v.dst AND u.dst = w.dst"))
+            return met.agg(F.coalesce(F.sum(F.expr("v.times * least(w.times, u.times)")), F.lit(0)).cast("long").alias("n"))
+        e = materialize(self.oriented().filter("src <> dst").select("src", "dst", F.struct("dd", "dst").alias("place")).distinct(), "oriented")
+        wedge = e.join(e.select("src", F.col("dst").alias("other"), F.col("place").alias("beyond")), "src").filter(F.col("place") < F.col("beyond"))
+        closed = wedge.select("dst", "other").join(e.select(F.col("src").alias("dst"), F.col("dst").alias("other")), ["dst", "other"])
         return closed.agg(F.count(F.lit(1)).alias("n"))
 
     def reached(self, start: int | None = None) -> DataFrame:
@@ -85,22 +112,29 @@ class Graph:
             out = out.unionAll(frontier)
         return out
 
-    def components(self) -> DataFrame:
-        """id, component: the lowest id that edges, either way, connect. Lowest label of the neighbours, then the label's label, until nothing changes."""
-        both = materialize(self.lines.select("src", "dst").unionAll(self.lines.select("dst", "src")).distinct(), "both")
-        labels = self.vertices.select("id", F.col("id").alias("component"))
+    def _lowest(self, links: DataFrame, name: str) -> DataFrame:
+        """id, name: the lowest id from which links (src, dst, distinct) lead to the vertex. The lowest label of what points to it, then that label's label, until nothing changes."""
+        links = materialize(links, "links")
+        labels = materialize(self.vertices.select("id", F.col("id").alias("label")), "labels")
         while True:
-            near = both.join(labels.withColumnsRenamed({"id": "dst"}), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
-            step = labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", "near").alias("to"))
-            jump = labels.select(F.col("id").alias("to"), F.col("component").alias("next"))
-            now = materialize(step.join(jump, "to", "left").select("id", "old", F.least("to", "next").alias("component")), "components")
-            labels = now.select("id", "component")
-            if now.filter("component <> old").isEmpty():
-                return labels
+            near = links.join(labels.select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("near"))
+            step = labels.select("id", "label").join(near, "id", "left").select("id", F.col("label").alias("old"), F.least("label", "near").alias("to"))
+            jump = labels.select(F.col("id").alias("to"), F.col("label").alias("next"))
+            now = materialize(step.join(jump, "to", "left").select("id", "old", F.least("to", "next").alias("label")), "labels")
+            remove(labels)
+            labels = now
+            if now.filter("label <> old").isEmpty():
+                remove(links)
+                return labels.select("id", F.col("label").alias(name))
+
+    def components(self) -> DataFrame:
+        """id, component: the lowest id that edges, either way, connect."""
+        return self._lowest(self.lines.select("src", "dst").unionAll(self.lines.select("dst", "src")).distinct(), "component")
 
     def discovered(self) -> DataFrame:
-        """id, discovered: a search that starts anew from the lowest undiscovered id until none is left finds all."""
-        return self.vertices.select("id", F.lit(True).alias("discovered"))
+        """id, discovered, root of a search over out-edges that starts anew from the lowest undiscovered id until none is left.
+        The start that finds a vertex is the lowest id that leads to it: whatever found that one would lead to the vertex too."""
+        return self._lowest(self.edges.select("src", "dst").distinct(), "root").select("id", F.col("root").isNotNull().alias("discovered"), "root")
 
     def bitmap(self, found: DataFrame) -> DataFrame:
         """bucket, bits: the ids of found, packed."""
@@ -117,21 +151,26 @@ class Graph:
         dealt = d.withColumn("_r", rank).join(F.broadcast(base), "_p")
         return dealt.groupBy(((F.col("_base") + F.col("_r")) / most).cast("long").alias("part")).agg(F.count(F.lit(1)).alias("n_verts"), F.sum("degree").alias("n_edges"))
 
-    def pagerank(self, damping: float = 0.85, tolerance: float = 1e-6, most: int | None = None) -> DataFrame:
-        """id, rank (they sum to 1): power iteration until the ranks move less than tolerance in all; more than `most` rounds are an error. Vertices without out-edges spread their rank evenly."""
+    def pagerank(self, damping: float = 0.85, tolerance: float = 1e-6, most: int | None = None, rounds: int | None = None) -> DataFrame:
+        """id, rank (they sum to 1): power iteration until the ranks move less than tolerance in all, or for just `rounds` rounds; more than `most` rounds are an error. Vertices without out-edges spread their rank evenly."""
         n = self.vertices.count()
         if not n:
             return self.vertices.select("id", F.lit(0.0).alias("rank"))
-        d = self.out_degrees()
-        links = materialize(self.edges.join(d.select(F.col("id").alias("src"), "degree"), "src"), "links")
+        d = materialize(self.out_degrees(), "degrees")
+        # An edge carries the share of its source's rank that it passes on; repeated lines are one edge with a larger share.
+        share = F.count(F.lit(1)) / F.first("degree")
+        links = materialize(self.edges.join(d.select(F.col("id").alias("src"), "degree"), "src").groupBy("src", "dst").agg(share.alias("share")), "links")
         ranks = materialize(d.select("id", "degree", F.lit(1.0 / n).alias("rank")), "ranks")
-        for _ in count() if most is None else range(most):  # a damping under 1 shrinks each move by it, so the end is reached
-            loose = ranks.filter("degree = 0").agg(F.sum("rank")).first()[0] or 0.0
-            given = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
+        loose = ranks.filter("degree = 0").count() / n
+        for k in count(1):  # a damping under 1 shrinks each move by it, so the end is reached
+            given = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
             fresh = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + loose / n)
-            now = materialize(ranks.join(given, "id", "left").select("id", "degree", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("moved")), "ranks")
-            moved = now.agg(F.sum("moved")).first()[0]
-            ranks = now.drop("moved")
-            if moved < tolerance:
+            now = materialize(ranks.select("id", "degree", "rank").join(given, "id", "left").select("id", "degree", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("moved")), "ranks")
+            moved, loose = now.agg(F.sum("moved"), F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("rank"))), F.lit(0.0))).first()
+            remove(ranks)
+            ranks = now
+            if k == rounds or (rounds is None and moved < tolerance):
                 return ranks.select("id", "rank")
+            if k == most:
+                break
         raise RuntimeError(f"after {most} rounds the ranks still move by {tolerance} or more")

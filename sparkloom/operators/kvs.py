@@ -14,9 +14,10 @@ def empty(spark, value_type: str = "int") -> DataFrame:
 
 
 def put(store: DataFrame, updates: DataFrame) -> DataFrame:
-    """Last writer wins: updates (key, value, seq), of which the highest seq of a key stays. One shuffle, combined before it."""
-    both = store.select("key", "value", F.lit(None).cast("long").alias("seq")).unionByName(updates.select("key", "value", F.col("seq").cast("long")))
-    return both.groupBy("key").agg(F.max_by("value", F.coalesce("seq", F.lit(-(1 << 62)))).alias("value"))
+    """Last writer wins: updates (key, value, seq), of which the highest seq of a key stays; an update without seq is none. One shuffle, combined before it."""
+    new = updates.filter("seq IS NOT NULL").select("key", "value", F.col("seq").cast("long"))
+    both = store.select("key", "value", F.lit(None).cast("long").alias("seq")).unionByName(new)
+    return both.groupBy("key").agg(F.max_by("value", F.struct(F.col("seq").isNotNull(), "seq")).alias("value"))
 
 
 def put_with_old(store: DataFrame, updates: DataFrame) -> DataFrame:
@@ -88,6 +89,19 @@ def at_version(history: DataFrame, version: int) -> DataFrame:
     return history.filter(F.col("version") <= version).groupBy("key").agg(F.max_by("value", "version").alias("value"))
 
 
+def bucket_scan(store: DataFrame, buckets: int, start: int, end: int) -> DataFrame:
+    """key, value of the buckets start..end-1. Of a store written by save_buckets, others aren't read."""
+    if "bucket" not in store.columns:
+        store = store.withColumn("bucket", fn.bucket_of(F.col("key"), buckets))
+    return store.filter((F.col("bucket") >= start) & (F.col("bucket") < end)).select("key", "value")
+
+
+def save_buckets(store: DataFrame, buckets: int, path: str) -> DataFrame:
+    """The store written with a folder for each bucket, and read back with the column bucket."""
+    store.withColumn("bucket", fn.bucket_of(F.col("key"), buckets)).repartition("bucket").write.partitionBy("bucket").parquet(path)
+    return store.sparkSession.read.parquet(path)
+
+
 def visit_chunks(store: DataFrame, buckets: int, chunks: int) -> DataFrame:
     """chunk, n: rows of each equal group of buckets; buckets that can't be divided evenly are an error."""
     if buckets % chunks:

@@ -26,9 +26,18 @@ def sort_input(spark: SparkSession, parts: int = 16, each: int = 1_000_000, seed
     return spark.range(0, parts * each, 1, parts).select((F.col("id") / each).cast("int").alias("part"), F.xxhash64(F.col("id"), F.lit(seed)).alias("v"))
 
 
-def kv_workload(spark: SparkSession, requests: int, keys: int = 1_000_000, read_ratio: float = 0.9, zipf: float | None = None, width: int = 1, seed: int = 51017) -> DataFrame:
-    """seq, op, keys, value: a reproducible mix of get (mget if width > 1) and put. Keys are uniform, or Zipf by the inverse of the continuous law, so no table of keys is joined."""
-    u = lambda k: F.pmod(F.xxhash64(F.col("id"), F.lit(seed), k), F.lit(1 << 52)) / float(1 << 52)
+def alignment_input(spark: SparkSession, kb: int) -> DataFrame:
+    """a, b: one pair of strings of 1024 * kb letters each, all a and all b."""
+    return spark.range(1).select(F.repeat(F.lit("a"), 1024 * kb).alias("a"), F.repeat(F.lit("b"), 1024 * kb).alias("b"))
+
+
+def kv_workload(spark: SparkSession, requests: int, keys: int = 1_000_000, read_ratio: float = 0.9, zipf: float | None = None, width: int = 1, seed: int = 51017, write: str = "put", reseed: int | None = None) -> DataFrame:
+    """seq, op, keys, value: a reproducible mix of get (mget if width > 1) and `write`, put or rmw; a put alone has a value.
+    Keys are uniform, or Zipf by the inverse of the continuous law, so no table of keys is joined. After each `reseed`
+    requests the numbers begin anew from the next seed."""
+    now = F.lit(seed) if reseed is None else F.lit(seed) + F.floor(F.col("id") / reseed)
+    at = F.col("id") if reseed is None else F.col("id") % reseed
+    u = lambda k: F.pmod(F.xxhash64(at, now, k), F.lit(1 << 52)) / float(1 << 52)
 
     def key(k):
         if zipf is None:
@@ -41,4 +50,4 @@ def kv_workload(spark: SparkSession, requests: int, keys: int = 1_000_000, read_
 
     read = u(F.lit(-1)) < read_ratio
     many = F.transform(F.sequence(F.lit(1), F.when(read, F.lit(width)).otherwise(F.lit(1))), key)
-    return spark.range(requests).select(F.col("id").alias("seq"), F.when(read, "mget" if width > 1 else "get").otherwise("put").alias("op"), many.alias("keys"), F.when(~read, F.floor(u(F.lit(-2)) * 1_000_000).cast("int")).alias("value"))
+    return spark.range(requests).select(F.col("id").alias("seq"), F.when(read, "mget" if width > 1 else "get").otherwise(write).alias("op"), many.alias("keys"), F.when(~read & F.lit(write == "put"), F.floor(u(F.lit(-2)) * 1_000_000).cast("int")).alias("value"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparkloom.ship import ship
@@ -17,14 +18,14 @@ def step(v: int | None) -> int:
 
 
 def _put(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seq, value = state.get if state.exists else (-1, None)
+    seq, value = state.get if state.exists else (None, None)
     for f in frames:
         if len(f):
-            last = f.loc[f["seq"].idxmax()]
-            if last["seq"] > seq:
-                seq, value = int(last["seq"]), int(last["value"])
+            last = int(f["seq"].idxmax())
+            if seq is None or f.at[last, "seq"] > seq:
+                seq, value = int(f.at[last, "seq"]), int(f.at[last, "value"]) if f.at[last, "there"] else None
     state.update((seq, value))
-    yield pd.DataFrame({"key": [key[0]], "seq": [seq], "value": [value]})
+    yield pd.DataFrame({"key": [key[0]], "seq": pd.array([seq], "Int64"), "value": pd.array([value], "Int64")})
 
 
 def _rmw(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -37,9 +38,11 @@ def _rmw(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Itera
 
 
 def put_stream(updates: DataFrame) -> DataFrame:
-    """key, seq, value after each micro-batch, for streams of (key, value, seq); a late, lower seq changes nothing."""
+    """key, seq, value after each micro-batch, for streams of (key, value, seq), as kvs.put does: any seq counts, a late, lower one changes nothing, a null value is put, and an update without seq is none."""
     ship(updates.sparkSession)
-    return updates.groupBy("key").applyInPandasWithState(_put, "key string, seq long, value long", "seq long, value long", "update", GroupStateTimeout.NoTimeout)
+    # Integers next to nulls would become floating-point numbers, so a value and whether it is there go apart.
+    rows = updates.filter("seq IS NOT NULL").select("key", F.col("seq").cast("long").alias("seq"), F.coalesce(F.col("value").cast("long"), F.lit(0)).alias("value"), F.col("value").isNotNull().alias("there"))
+    return rows.groupBy("key").applyInPandasWithState(_put, "key string, seq long, value long", "seq long, value long", "update", GroupStateTimeout.NoTimeout)
 
 
 def rmw_stream(requests: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from sparkloom.functions import collections as fn
-from sparkloom.operators import alignment, kvs
+from sparkloom.operators import alignment, kvs, membership
 from sparkloom.operators.graph import Graph
 from sparkloom.operators.membership import Cuckoo
 from sparkloom.plans import combinators
@@ -74,6 +76,17 @@ def test_rmw_after_matches_steps(spark):
         assert r["v"] == v, r
 
 
+def test_rmw_of_negative_starts_is_exact(spark):
+    rows = [(s, n) for s in (-1, -3, -100000, 0) for n in (0, 1, 40, 45)] + [(-1, 50), (-1, 62)]
+    for r in spark.createDataFrame(rows, "s long, n int").select("s", "n", fn.rmw_after(F.col("s"), F.col("n")).alias("v")).collect():
+        v = r["s"]
+        for _ in range(r["n"]):
+            v = streaming.step(v)
+        assert r["v"] == v, r
+    with pytest.raises(Exception, match="OVERFLOW"):
+        spark.createDataFrame([(-3, 63)], "s long, n int").select(fn.rmw_after(F.col("s"), F.col("n"))).collect()
+
+
 def test_split_and_maps(spark):
     one = spark.createDataFrame([("a,b,",), ("",), (",a",), ("a,,",)], "s string")
     assert [r[0] for r in one.select(fn.split_string(F.col("s"), ",")).collect()] == [["a", "b"], [], ["", "a"], ["a", ""]]
@@ -107,6 +120,62 @@ def test_cuckoo():
     assert all(map(f.add, range(900))) and all(map(f.contains, range(900)))
 
 
+def test_cuckoo_keeps_what_it_accepted_when_it_is_full():
+    f = Cuckoo(90, 10)
+    f.table = f.table[:8].copy()
+    taken = [k for k in range(400) if f.add(k)]
+    assert len(taken) < 400 and f.items == len(taken) == np.count_nonzero(f.table) and all(map(f.contains, taken))
+
+
+@pytest.mark.parametrize("bits", [5, 10, 16])
+def test_cuckoo_rate_is_as_said(bits):
+    f = Cuckoo(20_000, bits)
+    assert all(map(f.add, range(20_000)))
+    asked = np.array([f.hash_of(k) for k in range(10**6, 10**6 + 50_000)], np.uint64)
+    found = f.contain(asked).mean()
+    assert found <= 1.2 * f.false_rate() + 5 * (f.false_rate() / 50_000) ** 0.5
+
+
+def test_cuckoo_parts_and_probe_tasks(spark):
+    keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("k"))
+    probes = keys.unionAll(spark.range(4000).select(F.concat(F.lit("x"), "id").alias("k"))).unionAll(spark.createDataFrame([(None,)], "k string"))
+    got = dict(map(tuple, membership.approximate_member(probes, keys, "k", part_keys=700, part_probes=300).collect()))
+    assert len(got) == 7000 and all(got[f"k{i}"] for i in range(3000)) and sum(got[f"x{i}"] for i in range(4000)) < 200
+    assert not any(r["here"] for r in membership.approximate_member(probes, keys.limit(0), "k").collect())
+
+
+def test_long_alignment_in_blocks(spark):
+    rng = random.Random(4)
+    for n, size in ((1, 4), (7, 3), (12, 4), (30, 7)):
+        a, b = ("".join(rng.choice("abc") for _ in range(n)) for _ in range(2))
+        pair = spark.createDataFrame([(a, b)], "a string, b string")
+        assert alignment.align_long(pair, "a", "b", size).collect() == [(alignment.score(a, b),)]
+    for a, b, want in (("", "", 0), ("a", "ab", None), (None, "a", None)):
+        assert alignment.align_long(spark.createDataFrame([(a, b)], "a string, b string"), "a", "b", 4).first()["score"] == want
+    assert readers.alignment_input(spark, 2).select(F.length("a"), F.length("b")).first() == (2048, 2048)
+
+
+def test_roots_of_restarted_searches(spark):
+    got = {r["id"]: r["root"] for r in graph(spark, [(5, 1), (1, 2), (2, 3), (4, 3), (3, 1), (7, 8)]).discovered().collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 7: 7, 8: 7}
+
+
+def test_triangles_with_repeats_and_loops(spark):
+    def brute(lines):
+        near = {}
+        for a, b in [*lines, *((b, a) for a, b in lines)]:
+            near.setdefault(a, []).append(b)
+        rank = lambda v: (len(near[v]), v)
+        later = {v: Counter(u for u in ns if rank(u) >= rank(v)) for v, ns in near.items()}
+        return sum(n * sum((later[v] & later[u]).values()) for v, us in later.items() for u, n in us.items())
+
+    rng = random.Random(8)
+    lines = [(rng.randint(0, 7), rng.randint(0, 7)) for _ in range(40)]
+    assert graph(spark, lines, False).triangles(parity=True).first()["n"] == brute(lines)
+    simple = sorted({(min(e), max(e)) for e in lines if e[0] != e[1]})
+    assert graph(spark, simple, False).triangles(parity=True).first() == graph(spark, simple, False).triangles().first()
+
+
 def test_combinators():
     one = combinators.spawn(lambda: 1)
     assert combinators.then(lambda x, y: x + y, one, 2).result() == 3
@@ -115,6 +184,19 @@ def test_combinators():
         combinators.task(lambda *a: a)
 
 
+def test_streamed_puts_are_those_of_a_table(spark, tmp_path):
+    rows = [("a", 1, -5), ("a", None, -4), ("b", 2**60 + 1, 3), ("b", None, 2), ("c", None, -1), ("d", 7, None), ("e", -3, -(2**63))]
+    updates = spark.createDataFrame(rows, "key string, value long, seq long")
+    want = dict(map(tuple, kvs.put(kvs.empty(spark, "long"), updates).collect()))
+    assert want == {"a": None, "b": 2**60 + 1, "c": None, "e": -3}
+    updates.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(updates.schema).parquet(str(tmp_path / "in"))
+    q = streaming.put_stream(stream).writeStream.format("memory").queryName("odd_puts").outputMode("update").option("checkpointLocation", str(tmp_path / "state")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {r["key"]: r["value"] for r in spark.sql("SELECT * FROM odd_puts").collect()} == want
+
+
 def test_streams(spark, tmp_path):
     updates = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 5, 1)], "key string, value long, seq long")
     updates.write.parquet(str(tmp_path / "in"))
