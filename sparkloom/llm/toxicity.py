@@ -16,7 +16,7 @@ that hold a telling string and stand in no other text; of any other text, none m
 
 Beside its worst window, all words of a text are weighed together: whole words and runs of 5 letters
 or more that toxic texts hold much oftener than others, each by the logarithm of how much oftener
-(Evidence). A text's sum is compared with what so many words have in other texts, and a second
+(Evidence). Near copies among the training texts count once. A text's sum is compared with what so many words have in other texts, and a second
 logistic curve, fitted to sums that leave out what the text itself taught, gives a score too. The
 higher of both is the text's.
 
@@ -52,10 +52,12 @@ WINDOW, STEP = 11, 2
 PART, BEGIN, END = 0, 1, 2
 #: Letters of a run that may become a landmark, and the evidence that it needs; the evidence that a weighed string needs.
 GRAM, SURE = 4, 25.0
-EVIDENCE = 16.0
+EVIDENCE = 18.0
 #: The most toxic and the most other rows to learn from; each teaches with all its words.
 SAMPLE = (1500, 3000)
 LANDMARKS, COMMON = 48, 16
+#: Minimum hashes that find near copies among training texts, and distinct words from which a text can be one.
+COPIES, SHORT = 32, 20
 #: The shortest run that is weighed as evidence.
 LEAST_RUN = 5
 #: A text with this score or more is toxic.
@@ -416,8 +418,26 @@ def platt(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
+def once(bags: list[list[str]]) -> list[list[str]]:
+    """The bags without near copies of an earlier one, whose words would all seem to tell: those that share half of all words, by COPIES minimum hashes. Bags of few words stay."""
+    words = {w: i for i, w in enumerate(sorted(set().union(*bags)))}
+    deal = np.random.default_rng(7)  # the same each time
+    order = np.stack([deal.permutation(len(words)) for _ in range(COPIES)]).astype(np.int32) if words else np.zeros((COPIES, 0), np.int32)
+    kept, marks = [], np.full((len(bags), COPIES), -1, np.int32)
+    n = 0
+    for bag in bags:
+        if len(bag) >= SHORT:
+            least = order[:, [words[w] for w in bag]].min(axis=1)
+            if n and ((marks[:n] == least).sum(axis=1) >= COPIES // 2).any():
+                continue
+            marks[n], n = least, n + 1
+        kept.append(bag)
+    return kept
+
+
 def train(toxic: list[list[str]], other: list[list[str]], rounds: int = 4) -> Model | None:
-    """A model from the words of toxic and of other texts; None where either is missing or nothing tells them apart."""
+    """A model from the words of toxic and of other texts, near copies among either left out; None where either is missing or nothing tells them apart."""
+    toxic, other = once(toxic), once(other)
     folded = {w: _folded(w) for w in set().union(*toxic, *other)}
     inside, outside = ([{folded[w] for w in bag} for bag in bags] for bags in (toxic, other))
     found = telling(inside, outside, LANDMARKS) if inside and outside else []
@@ -513,7 +533,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     told = got.column("toxic").to_pylist()
     del got, bags, held
     each = sorted({(tuple(ids[a:b].tolist()), t) for a, b, t in zip(cuts, cuts[1:], told)}, key=lambda x: ([words[i] for i in x[0]], x[1]))  # whatever order the rows came in
-    return train(*([[words[i] for i in bag] for bag, t in each if t == toxic] for toxic in (True, False)))
+    model = train(*([[words[i] for i in bag] for bag, t in each if t == toxic] for toxic in (True, False)))
+    del words, ids, each
+    common.trim()  # the driver keeps the model alone
+    return model
 
 
 # --- scoring --------------------------------------------------------------------------------------

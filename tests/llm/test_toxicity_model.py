@@ -65,3 +65,14 @@ def test_held_out_recall_in_each_language(held_out, lang):
     own = held_out[held_out["lang"] == lang]
     toxic, clean = own[own["toxic"] > 0], own[own["toxic"] == 0]
     assert toxic["found"].mean() >= 0.85 and clean["found"].mean() <= 0.03
+
+
+def test_near_copies_teach_once():
+    rng = random.Random(9)
+    text = lambda: [f"{rng.choice('bcdfgl')}{rng.choice('aeiou')}{rng.choice('mnprst')}{rng.choice('aeiou')}{rng.randint(0, 40)}" for _ in range(60)]
+    one = text()
+    copies = [[*one[:k], f"x{k}", *one[k + 1 :], "worthless"] for k in range(50)]
+    toxic, other = [[*text(), "worthless"] for _ in range(60)] + copies, [text() for _ in range(300)]
+    assert len(toxicity.once(toxic)) == 61 and toxicity.once(other) == other and toxicity.once([["a", "b"]] * 3) == [["a", "b"]] * 3
+    s = toxicity.Scorer(toxicity.train(toxic, other)).scores([" ".join(one), " ".join([*one, "worthless"])])
+    assert s[0] < toxicity.THRESHOLD <= s[1]
