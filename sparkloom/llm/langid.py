@@ -152,11 +152,11 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order: in
     """Profiles of all rows that have a text and a language. At most `top` n-grams a language reach the driver."""
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     rows = counts(df, text_col, lang_col, order).withColumn("rank", place).filter(F.col("rank") <= top)
-    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages")
     found: dict[str, list[tuple[int, int]]] = {}
-    for r in rows.collect():
+    for r in rows.limit(MOST_LANGUAGES * top + 1).collect():  # one row more than as many languages can have
         found.setdefault(r["lang"], []).append((r["rank"], r["gram"]))
+    if len(found) > MOST_LANGUAGES or sum(map(len, found.values())) > MOST_LANGUAGES * top:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
     return Profiles({k: np.array([g for _, g in sorted(v)], np.int64) for k, v in sorted(found.items())}, order, top)
 
 

@@ -3,8 +3,10 @@
 Only the histogram of piece lengths reaches the driver: at most `capacity` counts, however large the
 corpus. A plan is a list of patterns (lengths that share a sequence) with multiplicities. Each pattern
 starts from the longest length left; branch and bound over its undominated fillings, least waste
-first, looks for a plan with fewer sequences, prunes by the waste that a better plan could afford,
-and keeps the best-fit plan as the incumbent. Each piece finds its place by its rank among the pieces
+first, looks for a plan with fewer sequences and prunes by the waste that a better plan could afford
+and by a lower bound. The best-fit plan is the incumbent, whole and then group by group of its
+sequences. Limits on nodes, fillings and groups (NODES, WIDTH, ROUNDS) bound the time; when they are
+spent the incumbent stands, which holds every piece but may be above the bound. Each piece finds its place by its rank among the pieces
 of its length. Ranks are counted within salted parts of a length, so no length meets in one task.
 
 Edge cases: a null text is empty, and an empty text is the end mark alone; repeated rows are packed
@@ -33,6 +35,8 @@ CAPACITY = 2048
 NODES = 2000
 #: Undominated fillings tried at a node.
 WIDTH = 8
+#: Groups of sequences that are packed anew, one after another, and about half the patterns of a group.
+ROUNDS, GROUP = 200, 24
 #: Rows of a length that share a salted part, about, and the fewest parts.
 PART_ROWS, PARTS = 1_000_000, 64
 
@@ -41,9 +45,18 @@ PART_ROWS, PARTS = 1_000_000, 64
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
-    """No plan needs fewer sequences: total length over capacity, and pieces over half of it that can't pair."""
-    lengths = np.arange(len(counts))
-    return max(-(-int((counts * lengths).sum()) // capacity), int(counts[capacity // 2 + 1 :].sum()))
+    """No plan needs fewer sequences: for each k up to half the capacity, pieces over half of it lie apart, those that leave
+    less than k take no piece of k or more, and the room that the others leave can't hold all pieces from k to half."""
+    n = len(counts)
+    pieces, total = np.cumsum(counts), np.cumsum(counts * np.arange(n))
+    half = capacity // 2
+    over = int(pieces[-1] - pieces[min(half, n - 1)])
+    k = np.arange(1, half + 1)
+    under = np.minimum(capacity - k, n - 1)  # pieces over half and up to here leave room for k or more
+    beside = (pieces[under] - pieces[min(half, n - 1)]) * capacity - (total[under] - total[min(half, n - 1)])
+    small = total[min(half, n - 1)] - total[np.minimum(k - 1, n - 1)]
+    more = int(np.maximum(0, -(-(small - beside) // capacity)).max(initial=0))
+    return max(-(-int(total[-1]) // capacity), over + more)
 
 
 def best_fill(counts: np.ndarray, room: int) -> tuple[int, ...]:
@@ -87,36 +100,40 @@ def _exact(counts: np.ndarray, have: np.ndarray, room: int) -> tuple[int, ...] |
     return None
 
 
-def fillings(counts: np.ndarray, room: int, most: int) -> list[tuple[int, ...]]:
-    """Up to `most` undominated fillings of `room`, least waste first. A filling is dominated if a longer length that is left could take the place of one of its lengths or of two together."""
+def fillings(counts: np.ndarray, room: int, most: int, leaves: int | None = None) -> list[tuple[int, ...]]:
+    """Up to `most` undominated fillings of `room`, least waste first, of the first `leaves` that are looked at. A filling is dominated if a longer length that is left could take the place of one of its lengths or of two together."""
+    leaves = 4 * most if leaves is None else leaves
+    have = np.flatnonzero(counts[: room + 1])[::-1].tolist()  # lengths, longest first
     out: list[tuple[int, ...]] = []
-    seen = 0
-
-    def fits(top: int) -> int:
-        at = np.flatnonzero(counts[: top + 1])
-        return int(at[-1]) if len(at) else 0
 
     def dominated(filling: tuple[int, ...], slack: int) -> bool:
-        sums = {*filling, *(a + b for i, a in enumerate(filling) for b in filling[i + 1 :])}
+        sums = {*filling, *(a + b for i, a in enumerate(filling) for b in filling[i + 1 :])} if len(filling) <= 64 else set(filling)
         return slack > 0 and any(counts[s + 1 : s + slack + 1].any() for s in sums)
 
-    def grow(filling: tuple[int, ...], left: int, top: int) -> None:
-        nonlocal seen
-        first = x = fits(min(top, left))
-        if not first:
+    # Depth first: (place in `have` from which to go on, lengths taken, room left). Exact ends are found at once.
+    at = {x: i for i, x in enumerate(have)}
+    seen = 0
+    stack: list[tuple[int, tuple[int, ...], int]] = [(0, (), room)]
+    while stack and seen < leaves:
+        k, taken, left = stack.pop()
+        while k < len(have) and (have[k] > left or taken.count(have[k]) >= counts[have[k]]):
+            k += 1
+        if k == len(have):
             seen += 1
-            if not dominated(filling, left):
-                out.append(filling)
-            return
-        while x and seen < 4 * most:
-            counts[x] -= 1
-            grow((*filling, x), left - x, x)
-            counts[x] += 1
-            x = fits(x - 1)
-            if x and x + fits(left - x) * (left // max(x, 1)) < first:  # what is shorter leaves more waste
-                break
-
-    grow((), room, room)
+            if not dominated(taken, left):
+                out.append(taken)
+            continue
+        x = have[k]
+        if left != x and k + 1 < len(have):  # without any more of x, unless x alone fills the room
+            stack.append((k + 1, taken, left))
+        if left - x in at and at[left - x] > k:
+            seen += 1
+            out.append((*taken, x, left - x))
+        times = min(int(counts[x]) - taken.count(x), left // x)
+        if times > 16:  # many of a short length: as many as fit, then one
+            stack.append((k, (*taken, *[x] * times), left - times * x))
+        else:
+            stack.append((k, (*taken, x), left - x))
     best = best_fill(counts, room)
     return sorted({best, *out}, key=lambda f: (room - sum(f), len(f), [-x for x in f]))[:most]
 
@@ -136,28 +153,26 @@ def best_fit_plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ..
     return out
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES, width: int = WIDTH) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns and multiplicities that hold every piece. counts[n]: pieces of length n, 1 to capacity."""
-    counts = np.asarray(counts, np.int64)
-    best = best_fit_plan(counts, capacity)
-    bins, least = sum(n for _, n in best), lower_bound(counts, capacity)
+def complete(counts: np.ndarray, capacity: int, most: int, nodes: int, width: int = WIDTH) -> list[tuple[tuple[int, ...], int]] | None:
+    """Bin completion: a plan of at most `most` sequences, None where `nodes` nodes hold none. A node fills a sequence around
+    the longest length left with one of its undominated fillings; it ends where the waste is more than such a plan can afford,
+    or the bound is."""
     total = int((counts * np.arange(len(counts))).sum())
-    if bins == least:
-        return best
+    afford = most * capacity - total
+    if afford < 0 or lower_bound(counts, capacity) > most:
+        return None
     # Depth first with a stack of (counts left, patterns so far, sequences so far, waste so far).
     stack = [(counts, None, 0, 0)]
-    while stack and nodes > 0 and bins > least:
+    while stack and nodes > 0:
         left, path, used, waste = stack.pop()
         nodes -= 1
         have = np.flatnonzero(left)
         if not len(have):
-            if used < bins:
-                bins, best = used, []
-                while path:
-                    path, step = path
-                    best.append(step)
-            continue
-        afford = (bins - 1) * capacity - total  # the waste of a plan with one sequence less
+            best = []
+            while path:
+                path, step = path
+                best.append(step)
+            return best
         top = int(have[-1])
         left = left.copy()
         left[top] -= 1
@@ -172,11 +187,56 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES, width
                 rest = left.copy()
                 rest[kinds] -= n * need
                 w = waste + n * lost
-                if w <= afford and used + n + lower_bound(rest, capacity) < bins:
+                if w <= afford and used + n + lower_bound(rest, capacity) <= most:
                     stack.append((rest, (path, (pattern, n)), used + n, w))
+    return None
+
+
+def plan(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES, width: int = WIDTH) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns and multiplicities that hold every piece. counts[n]: pieces of length n, 1 to capacity.
+
+    The best-fit plan is the incumbent. While it is over the lower bound, completion looks for a plan with one sequence less:
+    first of all pieces, then of the pieces of its most wasteful sequences and of some others, ROUNDS groups one after another,
+    whose pieces are packed anew while the other sequences stay."""
+    counts = np.asarray(counts, np.int64)
+    best = best_fit_plan(counts, capacity)
+    bins, least = sum(n for _, n in best), lower_bound(counts, capacity)
+    while bins > least and (found := complete(counts, capacity, bins - 1, nodes, width)):
+        best, bins = found, sum(n for _, n in found)
+    deal, spent = np.random.default_rng(5), 0  # the same each time
+    while bins > least and spent < (ROUNDS if nodes else 0):
+        spent += 1
+        if not (found := _repacked(best, capacity, deal, nodes, width)):
+            continue
+        best, bins = found, bins - 1
     return best
 
 
+def _repacked(best: list[tuple[tuple[int, ...], int]], capacity: int, deal: np.random.Generator, nodes: int, width: int) -> list[tuple[tuple[int, ...], int]] | None:
+    """The plan with one sequence less, by packing the pieces of a few of its sequences anew; None where that fails."""
+    lost = np.array([capacity - sum(p) for p, _ in best], np.int64)
+    times = np.array([n for _, n in best], np.int64)
+    order = np.lexsort((deal.random(len(best)), -lost))  # the most wasteful first, equal ones in any order
+    half = len(order[lost[order] > 0])
+    some = np.concatenate([order[: min(half, int(deal.integers(2, GROUP)))], deal.permutation(order[half:])[: int(deal.integers(2, GROUP))]])
+    take = {int(k): min(int(times[k]), 1 + int(deal.integers(0, 2))) for k in dict.fromkeys(some.tolist())}
+    if sum(n * int(lost[k]) for k, n in take.items()) < capacity:
+        spare = [int(k) for k in order[:half] if int(k) not in take]
+        for k in spare:  # enough waste for a sequence less
+            take[k] = int(times[k])
+            if sum(n * int(lost[j]) for j, n in take.items()) >= capacity or len(take) > 4 * GROUP:
+                break
+    if sum(n * int(lost[k]) for k, n in take.items()) < capacity:
+        return None
+    part = np.zeros(capacity + 1, np.int64)
+    for k, n in take.items():
+        np.add.at(part, list(best[k][0]), n)
+    found = complete(part, capacity, sum(take.values()) - 1, max(1, nodes // 10), width)
+    if found is None:
+        return None
+    return [(p, n - take.get(k, 0)) for k, (p, n) in enumerate(best) if n > take.get(k, 0)] + found
+
+
 def runs(patterns: list[tuple[tuple[int, ...], int]], capacity: int) -> tuple[np.ndarray, ...]:
     """Where the pieces go: for length n, rows at[n]:at[n+1] of (first rank, first sequence, offset)."""
     rows, taken, sequence = [], np.zeros(capacity + 1, np.int64), 0

@@ -120,6 +120,18 @@ def op2_rule_ledger(spark, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failures").bitwiseAND(F.lit(BASE)) != 0).alias("base_failed"), "kept", "failures", "policy")
 
 
+def rules_policies(spark, sf_dir: str) -> DataFrame:
+    """Whether each policy keeps each document, from one ledger."""
+    book = ledger(common.documents(spark, sf_dir)).select("doc_id", "failures")
+    return verdicts(book, V1).unionAll(verdicts(book, V2)).select("doc_id", "policy", "kept")
+
+
+def rules_ablation(spark, sf_dir: str) -> DataFrame:
+    """What each rule does within either policy, over the ledger of all documents."""
+    book = common.materialize(ledger(common.documents(spark, sf_dir)).select("failures"), "ledger")
+    return ablation(book, V1).unionAll(ablation(book, V2))
+
+
 OP2_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
@@ -141,3 +153,10 @@ f AS (SELECT *, CAST((n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n
         + 64 * (2 * n_letters < word_chars)::BIGINT + 128 * (word_chars > 20 * n_words)::BIGINT AS BIGINT) AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept, failures, 'v2' AS policy FROM f
 """
+_LEDGER = OP2_SQL[: OP2_SQL.rindex("SELECT doc_id")]
+POLICIES_SQL = _LEDGER + "SELECT doc_id, 'v1' AS policy, (failures & 15) = 0 AS kept FROM f UNION ALL SELECT doc_id, 'v2', failures = 0 FROM f"
+_NAMED = ", ".join(f"('{name}', {1 << i})" for i, (name, _) in enumerate(RULES))
+ABLATION_SQL = _LEDGER + f""", p(policy, mask) AS (VALUES ('v1', 15), ('v2', 255)), u("rule", bit) AS (VALUES {_NAMED})
+SELECT policy, "rule", count(*) FILTER (failures & bit <> 0) AS failing, count(*) FILTER (failures & mask = bit) AS only_this,
+ count(*) FILTER (failures & mask <> 0) AS rejected, count(*) FILTER (failures & mask & ~bit <> 0) AS rejected_without
+FROM f, p, u WHERE mask & bit <> 0 GROUP BY ALL"""
