@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import gc
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +45,23 @@ def trim() -> None:
         pass
 
 
+def bucketed(df: DataFrame, by: str, buckets: int, tag: str) -> DataFrame:
+    """df written as materialize() does, dealt to buckets by a column, so that grouping by it later moves no row again."""
+    spark = df.sparkSession
+    name = f"{tag}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.repartition(buckets, by).write.bucketBy(buckets, by).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.table_path = path
+    return out
+
+
+def sweep(spark: SparkSession) -> None:
+    """Has garbage collected on the driver, so that Spark's cleaner removes the shuffle files of what nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -1,23 +1,34 @@
 """Language-model scoring with Elias-Fano n-gram tries that are dealt to shards.
 
-The model is a word bigram model with Dirichlet smoothing: P(w | v) = (c(vw) + PRIOR * P(w)) / (c(v) + PRIOR)
-and P(w) = (c(w) + 1) / (N + V + 1), which sums to 1 over the words seen and one unseen word. Texts
-begin and end with the same mark; as a word it counts as the end.
+The model interpolates n-grams of up to `order` words: P1(w) = (c(w) + 1) / (N + V + 1), which sums to
+1 over the words seen and one unseen word, and P(w | h) = f(hw) + g(h) * P(w | h') with the smoothed
+relative frequency f(hw) = c(hw) / (c(h) + M), the rest g(h) = M / (c(h) + M), a prior M for each
+length, and h' as h without its first word. f + g sum to 1 over the words that follow h, so each P is a
+distribution. Texts begin and end with the same mark; as a word it counts as the end. Before a text's
+first word the history is marks alone.
+
+A trie level holds contexts, monotone pointers to their successors, successors relative to their
+context, all as Elias-Fano runs, and for each n-gram two bytes with f and, below the longest length,
+two with the g of what follows it: logarithms in steps of STEP, so that each is within 0.025 % at any
+count. A text's log10 probability is therefore within 0.0004 a token of that of exact arithmetic.
 
 Neither the words nor the n-grams of a corpus fit into one machine, so texts meet the model as follows.
-1. Texts are packed into compressed batches of BATCH_BYTES, in a table in the shared folder.
-2. Each batch asks each shard once: its distinct words and bigrams of that shard, as packed sorted
-   hashes, and how often its training texts hold them. A word's shard is a range of its hash; a
-   bigram's shard is a range of its successor part, so that the followers of a frequent word are
-   dealt to all shards.
-3. A shard sums what all batches tell it and builds its trie: contexts, monotone pointers to their
-   successors, successors relative to their context, all as Elias-Fano runs, and one byte for each
-   bigram's occurrences (exact up to 64, within 2 % beyond). A bigram too frequent for that has the
-   byte TALL and its exact number in a list of its own. The levels lie in one file that is mapped into memory, searched for each batch's bigrams, and removed. Answers go
-   back in the order of the questions.
+1. Texts are packed into batches of about BATCH_BYTES: their distinct word hashes, and each word's
+   place among them, compressed. The table lies in the shared folder, bucketed by batch, so that it is
+   never shuffled again.
+2. For each length n, each batch asks each shard once: its distinct n-grams of that shard, as packed
+   sorted hashes, how often its training texts hold them, and for n > 1 the g of their histories, which
+   the answers to n - 1 told. A shard is a range of the hash of the last word and its history, so that
+   the followers of a frequent word are dealt to all shards.
+3. A shard sums what all batches tell it and builds its level in one file, which is mapped into memory,
+   searched for each batch's n-grams, and removed. Answers go back in the order of the questions.
 4. Each batch is joined with its answers and scored.
 
-A word is a 64-bit hash; a bigram is 24 bits of its context and 40 bits of both words.
+There is a row for each batch and shard that share an n-gram: never more than distinct n-grams in
+batches, and far fewer as long as a batch has many for each shard.
+
+A word is a 64-bit hash. An n-gram is CONTEXT_BITS of its history and as many more of all its words
+that two n-grams of the corpus share a key with a chance under 2^-13 for each.
 
 Edge cases: a null or empty text is the end mark alone; repeated rows count and score each time;
 without training texts N = V = 0 and c = 0; an empty table gives an empty result; columns other than
@@ -42,297 +53,404 @@ from .packed import PLACES, EliasFano, Words, mix
 
 BATCH_BYTES = 16 << 20
 SHARD_BYTES = 16 << 20
-PRIOR = 100.0
+#: Bytes of packed batches in a bucket, about.
+BUCKET_BYTES = 64 << 20
+#: The longest n-grams, and the prior of each length from 2 on.
+ORDER, PRIORS = 3, {2: 100.0, 3: 10.0}
 #: The hash of the mark at both ends of a text; no word is empty.
 EDGE = np.uint64(0)
-CONTEXT_BITS, NEXT_BITS = 24, 40
-#: The code of occurrences beyond the codebook, which are held as they are.
-TALL = 255
-#: code -> occurrences: 0 to 64 as they are, then geometric steps of 4 %; that of TALL stands for none.
-CODEBOOK = np.concatenate([np.arange(65.0), 64 * 1.04 ** np.arange(1, 192)])
+#: Bits of a history, and the least of a whole n-gram's key.
+CONTEXT_BITS, KEY_BITS = 24, 45
+#: Code 0 stands for 0; any other code for a step of the logarithm from 1 down to e^-32.
+STEP = 32 / 65534
+VALUES = np.concatenate([[0.0], np.exp(-STEP * np.arange(65535))])
+
+
+def code_of(p: np.ndarray) -> np.ndarray:
+    """The nearest code of each number from 0 to 1."""
+    p = np.asarray(p, np.float64)
+    return np.where(p > 0, 1 + np.minimum(np.rint(-np.log(np.where(p > 0, p, 1.0)) / STEP), 65534), 0).astype("<u2")
+
+
+def rest_of(count: np.ndarray, prior: float) -> np.ndarray:
+    """The code of g of histories that occur so often."""
+    return code_of(prior / (np.asarray(count, np.float64) + prior))
+
+
+def planes(codes: np.ndarray) -> bytes:
+    """Low bytes, then high bytes, which compress better than pairs."""
+    return np.ascontiguousarray(codes.astype("<u2").view(np.uint8).reshape(-1, 2).T).tobytes()
+
+
+def unplaned(data: bytes, n: int, nth: int = 0) -> np.ndarray:
+    """The nth array of n codes in data."""
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 2 * n, 2 * n * nth).reshape(2, n).T).view("<u2").ravel()
 
 
-def code_of(count: np.ndarray) -> np.ndarray:
-    """The nearest code below or above, by ratio; TALL from the nearest to CODEBOOK[TALL] on."""
-    rest = np.rint(np.log(np.maximum(count, 64) / 64) / np.log(1.04)).astype(np.int64)
-    return np.where(count <= 64, count, np.minimum(64 + rest, TALL)).astype(np.uint8)
+def packed_counts(count: np.ndarray) -> bytes:
+    """A byte each; 255 stands for a number that follows behind all bytes."""
+    return np.minimum(count, 255).astype(np.uint8).tobytes() + count[count >= 255].astype("<u8").tobytes()
 
 
-def occurrences(answer: bytes, n: int) -> np.ndarray:
-    """What Trie.answer tells of n keys."""
-    code = np.frombuffer(answer, np.uint8, n)
-    out = CODEBOOK[code]
-    out[code == TALL] = np.frombuffer(answer, "<u8", offset=n)
+def counts_of(data: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<u8", offset=n).astype(np.int64)
     return out
 
 
+@dataclass(frozen=True)
+class Layout:
+    """How keys are dealt to shards. words: keys are word hashes; else n-grams of `bits` bits."""
+
+    shards: int
+    bits: int = 64
+    words: bool = False
+
+    @property
+    def next_bits(self) -> int:
+        return 32 if self.words else self.bits - CONTEXT_BITS
+
+    @property
+    def per(self) -> np.uint64:
+        """Values of the part that decides, in a shard."""
+        return np.uint64(-(-(1 << self.next_bits) // self.shards))
+
+    def shard(self, keys: np.ndarray) -> np.ndarray:
+        part = keys >> np.uint64(32) if self.words else keys & np.uint64((1 << self.next_bits) - 1)
+        return part // self.per
+
+    def dealt(self, keys: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(shard, places in keys) of each shard that has some; places rise."""
+        shard = self.shard(keys).astype(np.uint16 if self.shards <= 1 << 16 else np.uint32)  # short numbers sort by digits
+        by = np.argsort(shard, kind="stable")
+        cut = np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=self.shards))])
+        return [(s, by[a:b]) for s, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+
+    def near(self, keys: np.ndarray, shard: int, back: bool = False) -> np.ndarray:
+        """Keys of one shard without what all of them share, or (back) with it again; their order stays."""
+        if self.words:
+            base = np.uint64(shard) * self.per << np.uint64(32)
+            return keys + base if back else keys - base
+        base, bits = np.uint64(shard) * self.per, np.uint64(self.next_bits)
+        if back:
+            return keys // self.per << bits | (keys % self.per + base)
+        return (keys >> bits) * self.per + ((keys & np.uint64((1 << self.next_bits) - 1)) - base)
+
+
 class Trie:
-    """Contexts -> successors -> quantised occurrences; a bigram's key is context << NEXT_BITS | successor."""
+    """One level: contexts -> successors -> codes. A key is context << next_bits | successor."""
 
     @staticmethod
-    def build(keys: np.ndarray, counts: np.ndarray) -> bytes:
-        """keys: sorted and distinct."""
-        context = keys >> np.uint64(NEXT_BITS)
+    def build(keys: np.ndarray, next_bits: int, *codes: np.ndarray) -> bytes:
+        """keys: sorted and distinct; codes: arrays of two bytes for each key."""
+        bits = np.uint64(next_bits)
+        context = keys >> bits
         first = np.flatnonzero(np.diff(context, prepend=context[:1] + np.uint64(1))) if len(keys) else np.zeros(0, np.int64)
         place = np.repeat(np.arange(len(first)), np.diff(first, append=len(keys))).astype(np.uint64)
         # A successor is stored with its context's place in front, so the whole level is one rising run.
-        codes = code_of(counts)
-        tall = np.flatnonzero(codes == TALL)
-        levels = [EliasFano.encode(context[first]), EliasFano.encode(np.append(first, len(keys))), EliasFano.encode(place << np.uint64(NEXT_BITS) | keys & np.uint64((1 << NEXT_BITS) - 1)), codes.tobytes(), tall.astype("<u8").tobytes() + counts[tall].astype("<u8").tobytes()]
-        return np.array([len(x) for x in levels], "<u8").tobytes() + b"".join(levels)
+        levels = [EliasFano.encode(context[first]), EliasFano.encode(np.append(first, len(keys))), EliasFano.encode(place << bits | keys & np.uint64((1 << next_bits) - 1)), b"".join(c.astype("<u2").tobytes() for c in codes)]
+        return np.array([next_bits, *map(len, levels)], "<u8").tobytes() + b"".join(levels)
 
     def __init__(self, data):
-        sizes = np.frombuffer(data, "<u8", 5).astype(np.int64)
-        a, b, c, d, e = 40 + np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        head = np.frombuffer(data, "<u8", 5).astype(np.int64)
+        self.bits = np.uint64(head[0])
+        a, b, c, d = 40 + np.concatenate([[0], np.cumsum(head[1:4])])
         view = memoryview(data)
         self.contexts, self.pointers, self.nexts = EliasFano(view[a:b]), EliasFano(view[b:c]), EliasFano(view[c:d])
-        self.codes = np.frombuffer(view[d:e], np.uint8)
-        self.tall, self.counts = np.frombuffer(view[e:].tobytes(), "<u8").reshape(2, -1)
+        self.codes = np.frombuffer(view[d : d + head[4]], "<u2").reshape(-1, self.nexts.n) if self.nexts.n else np.zeros((0, 0), "<u2")
         self._contexts = self.contexts.values()
 
-    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys are there, and the place of each of them."""
-        context = keys >> np.uint64(NEXT_BITS)
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are there, and the place of each of them: the context, its range of successors, then the successor."""
+        mask = (np.uint64(1) << self.bits) - np.uint64(1)
+        context = keys >> self.bits
         place = np.searchsorted(self._contexts, context)
         there = np.flatnonzero(place < len(self._contexts))
         there = there[self._contexts[place[there]] == context[there]]
         place = place[there]
         first, last = (self.pointers.get(place + k).astype(np.int64) for k in (0, 1))
-        wanted = place.astype(np.uint64) << np.uint64(NEXT_BITS) | keys[there] & np.uint64((1 << NEXT_BITS) - 1)
+        wanted = place.astype(np.uint64) << self.bits | keys[there] & mask
         at = self.nexts.successors(wanted, first, last)
         hit = np.flatnonzero(at < last)
         hit = hit[self.nexts.get(at[hit]) == wanted[hit]]
         return there[hit], at[hit]
 
-    def look_up(self, keys: np.ndarray) -> np.ndarray:
-        """The code of each key, 0 where there is none."""
-        there, at = self._find(keys)
-        out = np.zeros(len(keys), np.uint8)
-        out[there] = self.codes[at]
+    def look_up(self, keys: np.ndarray, nth: int = 0, other: int = 0) -> np.ndarray:
+        """The nth code of each key, `other` where there is none."""
+        there, at = self.find(keys)
+        out = np.full(len(keys), other, "<u2")
+        out[there] = self.codes[nth][at]
         return out
 
-    def answer(self, keys: np.ndarray) -> bytes:
-        """The code of each key, then the occurrences (64 bits) of each whose code is TALL."""
-        there, at = self._find(keys)
-        out = np.zeros(len(keys), np.uint8)
-        out[there] = self.codes[at]
-        tall = at[self.codes[at] == TALL].astype(np.uint64)
-        return out.tobytes() + self.counts[np.searchsorted(self.tall, tall)].tobytes()
+    def answer(self, keys: np.ndarray, others: tuple[int, ...]) -> bytes:
+        """All codes of each key, as planes()."""
+        there, at = self.find(keys)
+        parts = []
+        for nth, other in enumerate(others):
+            out = np.full(len(keys), other, "<u2")
+            if len(there):
+                out[there] = self.codes[nth][at]
+            parts.append(planes(out))
+        return b"".join(parts)
 
 
 @dataclass
 class Tokens:
-    """A batch as one chain: mark, words, mark, words, ..., mark. Its neighbours are the texts' bigrams."""
+    """A batch as one chain: mark, words, mark, words, ..., mark."""
 
     chain: np.ndarray
     sizes: np.ndarray  # of each text, the end included
 
-    @property
-    def words(self) -> np.ndarray:
-        return self.chain[1:]
-
-    def bigrams(self) -> np.ndarray:
-        v, w = self.chain[:-1], self.chain[1:]
-        return (mix(v ^ PLACES[3]) >> np.uint64(64 - CONTEXT_BITS) << np.uint64(NEXT_BITS)) | (mix(v * PLACES[0] + w * PLACES[1]) >> np.uint64(64 - NEXT_BITS))
-
+    def histories(self, n: int) -> np.ndarray:
+        """A hash of the n - 1 words before each word; marks stand before a text's start."""
+        v = self.chain[:-1]
+        out = mix(v ^ PLACES[3])
+        for k in range(2, n):
+            u = np.concatenate([np.zeros(k - 1, np.uint64), self.chain[: len(v) - k + 1]])
+            u[v == EDGE] = EDGE
+            v = u
+            out = mix(out ^ (u * PLACES[k % 3] + np.uint64(k)))
+        return out
 
-def tokens(blob: bytes, lengths: bytes, words: Words) -> Tokens:
-    data, at, parts, sizes = zstandard.decompress(blob), 0, [np.zeros(1, np.uint64)], []
-    for n in np.frombuffer(lengths, "<u8").tolist():
-        h = words.hashes(data[at : at + n])
-        at += n
-        sizes.append(len(h) + 1)
-        h.append(int(EDGE))
-        parts.append(np.array(h, np.uint64))
-    return Tokens(np.concatenate(parts), np.array(sizes, np.int64))
+    def keys(self, n: int, bits: int) -> np.ndarray:
+        """The key of the n-gram that ends with each word."""
+        h, rest = self.histories(n), np.uint64(bits - CONTEXT_BITS)
+        return h >> np.uint64(64 - CONTEXT_BITS) << rest | mix(h * PLACES[0] + self.chain[1:] * PLACES[1]) >> (np.uint64(64) - rest)
 
 
-def _shard(keys: np.ndarray, kind: int, shards: int) -> np.ndarray:
-    bits = np.uint64(32)
-    part = keys >> bits if kind == 0 else (keys & np.uint64((1 << NEXT_BITS) - 1)) >> np.uint64(NEXT_BITS - 32)
-    return part // np.uint64(-(-(1 << 32) // shards))
+def distinct(every: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct keys, a place of each in `every`, the place of each of `every` among them)."""
+    order = np.argsort(every)
+    keys = every[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return keys[new], order[new], place
 
 
-def _dealt(keys: np.ndarray, kind: int, shards: int):
-    """(shard, places in keys) of each shard that has some; places rise."""
-    shard = _shard(keys, kind, shards).astype(np.uint16 if shards <= 1 << 16 else np.uint32)  # short numbers sort by digits
-    by = np.argsort(shard, kind="stable")
-    cut = np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
-    return [(s, by[a:b]) for s, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+class Batch:
+    """A packed batch: the words of texts, and what answers told."""
 
+    def __init__(self, vocab: bytes, stream: bytes, sizes: bytes, held: bytes):
+        self.vocab = np.frombuffer(vocab, np.uint64)
+        data = zstandard.decompress(stream)
+        raw = np.frombuffer(data, np.uint8).reshape(4, -1)
+        self.place = np.ascontiguousarray(raw.T).view("<u4").ravel().astype(np.int64)  # of each of the chain among vocab
+        self.sizes = np.frombuffer(sizes, "<u8").astype(np.int64)
+        self.tokens = Tokens(self.vocab[self.place], self.sizes)
+        self.train = np.repeat(np.frombuffer(held, np.uint8) == 0, self.sizes)
 
-def _batches(df: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataFrame:
-    """batch, ids, held (a byte each), lengths and texts (compressed) of about BATCH_BYTES."""
+    @staticmethod
+    def stream(place: np.ndarray) -> bytes:
+        return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(place.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+    def counts(self, answers: dict[tuple[int, int], bytes], layout: Layout) -> np.ndarray:
+        """How often training texts hold each word of the chain."""
+        out = np.zeros(len(self.vocab), np.int64)
+        for s, at in layout.dealt(self.vocab):
+            v = answers[1, s]
+            out[at] = np.frombuffer(v, f"<u{len(v) // len(at)}")
+        return out[self.place]
+
+    def codes(self, answers: dict[tuple[int, int], bytes], n: int, layout: Layout, nth: tuple[int, ...]) -> list[np.ndarray]:
+        """The nth codes of the n-gram that ends with each word."""
+        keys, _, place = distinct(self.tokens.keys(n, layout.bits))
+        out = [np.zeros(len(keys), "<u2") for _ in nth]
+        for s, at in layout.dealt(keys):
+            for o, k in zip(out, nth, strict=True):
+                o[at] = unplaned(answers[n, s], len(at), k)
+        return [o[place] for o in out]
+
+    def rests(self, answers: dict[tuple[int, int], bytes], count: np.ndarray, n: int, layout: Layout) -> np.ndarray:
+        """The code of g of each word's history of n - 1 words."""
+        first = rest_of(count[:-1], PRIORS[n])  # as if the history were one word, or marks alone
+        if n == 2:
+            return first
+        (told,) = self.codes(answers, n - 1, layout, (1,))
+        told = np.concatenate([first[:1], told[:-1]])  # the history ends with the word before
+        return np.where(self.tokens.chain[:-1] == EDGE, first, told)
+
+
+QUESTION = "shard int, batch long, keys binary, counts binary, rests binary"
+
+
+def _asked(batch: int, keys: np.ndarray, count: np.ndarray, rests: np.ndarray | None, layout: Layout) -> list[tuple]:
+    """A row of QUESTION for each shard."""
+    return [(s, batch, EliasFano.encode(layout.near(keys[at], s)), packed_counts(count[at]), None if rests is None else planes(rests[at])) for s, at in layout.dealt(keys)]
+
+
+def _packed(df: DataFrame, id_col: str, text_col: str, held_out: Column, layout: Layout) -> DataFrame:
+    """Rows with shard -1 are batches: ids, held (a byte each), sizes, vocab and stream; the others ask for words."""
     kind = df.schema[id_col].dataType
+    names = ["shard", "batch", "keys", "counts", "rests", "ids", "held", "sizes", "vocab", "stream"]
 
     def run(batches):
         common.trim()
-        ids, held, lengths, texts, size, made = [], [], [], [], 0, 0
+        words = Words()
+        ids, held, hashes, sizes, size, made = [], [], [np.zeros(1, np.uint64)], [], 0, 0
         start = (TaskContext.get().partitionId() + 1) << 32
 
-        def row(n):
-            listed = pa.ListArray.from_arrays(pa.array([0, sum(map(len, ids))], pa.int32()), pa.concat_arrays(ids))
-            blob = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-            return pa.RecordBatch.from_arrays([pa.array([start + n]), listed, pa.array([bytes(held)], pa.binary()), pa.array([np.array(lengths, "<u8").tobytes()], pa.binary()), pa.array([blob], pa.binary())], names=["batch", "ids", "held", "lengths", "texts"])
+        def rows(n):
+            chain = np.concatenate(hashes)
+            vocab, _, place = distinct(chain)
+            train = np.repeat(np.frombuffer(bytes(held), np.uint8) == 0, np.array(sizes, np.int64))
+            count = np.bincount(place[1:][train], minlength=len(vocab))
+            asked = _asked(start + n, vocab, count, None, layout)
+            asked.append((-1, start + n, None, None, None))
+            columns = [pa.array(c, t) for c, t in zip(zip(*asked, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)]
+            every = pa.concat_arrays(ids)
+            listed = pa.ListArray.from_arrays(pa.array([0] * len(asked) + [len(every)], pa.int32()), every)
+            last = [pa.array([None] * (len(asked) - 1) + [x], pa.binary()) for x in (bytes(held), np.array(sizes, "<u8").tobytes(), vocab.tobytes(), Batch.stream(place))]
+            return pa.RecordBatch.from_arrays([*columns, listed, *last], names=names)
 
         for whole in batches:
             for batch in common.slices(whole, "text", BATCH_BYTES // 4):
                 new = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-                if texts and size + sum(map(len, new)) > BATCH_BYTES:
-                    yield row(made)
-                    ids, held, lengths, texts, size, made = [], [], [], [], 0, made + 1
+                if sizes and size + sum(map(len, new)) > BATCH_BYTES:
+                    yield rows(made)
+                    ids, held, hashes, sizes, size, made = [], [], [np.zeros(1, np.uint64)], [], 0, made + 1
                 ids.append(batch.column(0))
                 held += batch.column("held").to_pylist()
-                lengths += map(len, new)
-                texts += new
+                for t in new:
+                    h = words.hashes(t)
+                    h.append(int(EDGE))
+                    hashes.append(np.array(h, np.uint64))
+                    sizes.append(len(h))
                 size += sum(map(len, new))
-        if texts:
-            yield row(made)
+        if sizes:
+            yield rows(made)
 
     rows = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), held_out.cast("int").alias("held"))
-    return rows.mapInArrow(run, f"batch long, ids array<{kind.simpleString()}>, held binary, lengths binary, texts binary")
+    return rows.mapInArrow(run, f"{QUESTION}, ids array<{kind.simpleString()}>, held binary, sizes binary, vocab binary, stream binary")
 
 
-def _questions(packed: DataFrame, shards: int) -> DataFrame:
-    """shard, batch, kind (0 words, 1 bigrams), keys, and places and counts of keys that training texts don't hold just once."""
+def _answers_of(right: pa.Table) -> dict[tuple[int, int], bytes]:
+    """What was answered, by length and shard."""
+    return {(n, s): v for n, s, v in zip(*(right.column(c).to_pylist() for c in ("length", "shard", "values")), strict=True)}
 
-    def run(batches):
+
+def _batches_of(left: pa.Table):
+    """(row, Batch) of each batch of a group."""
+    for i, row in enumerate(zip(*(left.column(c).to_pylist() for c in ("vocab", "stream", "sizes", "held")), strict=True)):
+        yield i, Batch(*row)
+
+
+def _questions(batches: DataFrame, answers: DataFrame, n: int, words: Layout, layout: Layout) -> DataFrame:
+    """QUESTION rows for n-grams, from batches and the answers to shorter ones."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         common.trim()
-        words = Words()
-        for whole in batches:
-            for i in range(whole.num_rows):
-                batch, held, lengths, texts = (whole.column(c)[i].as_py() for c in ("batch", "held", "lengths", "texts"))
-                chain = tokens(texts, lengths, words)
-                train = np.repeat(np.frombuffer(held, np.uint8) == 0, chain.sizes)
-                for kind in (0, 1):
-                    every = chain.words if kind == 0 else chain.bigrams()
-                    keys = np.unique(every)
-                    learnt, n = np.unique(every[train], return_counts=True)
-                    count = np.zeros(len(keys), "<u4")
-                    count[np.searchsorted(keys, learnt)] = n
-                    del every, learnt, n
-                    for s, at in _dealt(keys, kind, shards):
-                        c = count[at]
-                        odd = np.flatnonzero(c != 1)
-                        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([batch]), pa.array([kind], pa.int32()), pa.array([EliasFano.encode(_near(keys[at], kind, s, shards))], pa.binary()), pa.array([odd.astype("<u4").tobytes()], pa.binary()), pa.array([c[odd].tobytes()], pa.binary())], names=["shard", "batch", "kind", "keys", "places", "counts"])
-
-    return packed.select("batch", "held", "lengths", "texts").mapInArrow(run, "shard int, batch long, kind int, keys binary, places binary, counts binary")
-
-
-def _near(keys: np.ndarray, kind: int, shard: int, shards: int, back: bool = False) -> np.ndarray:
-    """Keys of one shard without the bits that all of them share, or (back) with them again."""
-    per = np.uint64(-(-(1 << 32) // shards))
-    if kind == 0:
-        base = np.uint64(shard) * per << np.uint64(32)
-        return keys + base if back else keys - base
-    one = per << np.uint64(NEXT_BITS - 32)
-    base, low = np.uint64(shard) * one, np.uint64((1 << NEXT_BITS) - 1)
-    if back:
-        return (keys // one << np.uint64(NEXT_BITS)) | (keys % one + base)
-    return (keys >> np.uint64(NEXT_BITS)) * one + ((keys & low) - base)
-
-
-def _answers(questions: DataFrame, shards: int) -> DataFrame:
-    """batch, shard, kind, values: occurrences of words (32 bits, or 64 where one is beyond that) or what the trie answers of bigrams, as asked. A row with batch -1 holds the shard's number of training words."""
+        told, rows = _answers_of(right), []
+        for i, batch in _batches_of(left):
+            rests = batch.rests(told, batch.counts(told, words), n, layout)
+            keys, at, place = distinct(batch.tokens.keys(n, layout.bits))
+            count = np.bincount(place[batch.train], minlength=len(keys))
+            rows += _asked(left.column("batch")[i].as_py(), keys, count, rests[at], layout)
+        columns = zip(*rows, strict=True) if rows else [[]] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "batch", "keys", "counts", "rests"])
+
+    return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, QUESTION)
+
+
+def _answers(questions: DataFrame, n: int, order: int, layout: Layout) -> DataFrame:
+    """batch, shard, length, values: counts of words (32 bits, or 64 where one is beyond that), or the codes that the level tells of n-grams, as asked. A row with batch -1 holds the shard's numbers of distinct and of all training words."""
 
     def run(table: pa.Table) -> pa.Table:
         common.trim()
-        asked = list(zip(*(table.column(c).to_pylist() for c in ("shard", "batch", "kind", "keys", "places", "counts")), strict=True))
+        asked, keys, counts, rests = [], [], [], []
+        for s, b, k, c, r in zip(*(table.column(x).to_pylist() for x in ("shard", "batch", "keys", "counts", "rests")), strict=True):
+            k = layout.near(EliasFano(k).values(), s, True)
+            c = counts_of(c, len(k))
+            asked.append((b, s, k))
+            keys.append(k[c > 0])
+            counts.append(c[c > 0])
+            if n > 1:
+                rests.append(unplaned(r, len(k))[c > 0])
+        whole = np.concatenate(keys)
+        by = np.argsort(whole)
+        whole, each = whole[by], np.concatenate(counts)[by]
+        first = np.flatnonzero(np.diff(whole, prepend=~whole[:1])) if len(whole) else np.zeros(0, np.int64)
+        keys, counts = whole[first], np.add.reduceat(each, first) if len(first) else each
+        rests = np.concatenate(rests)[by][first] if n > 1 else None
+        del whole, each, by
         out = []
-        for kind in (0, 1):
-            keys, counts = [], []
-            mine = [(s, b, _near(EliasFano(k).values(), kind, s, shards, True), p, c) for s, b, q, k, p, c in asked if q == kind]
-            for _, _, k, p, c in mine:
-                n = np.ones(len(k), np.int64)
-                n[np.frombuffer(p, "<u4")] = np.frombuffer(c, "<u4")
-                keys.append(k[n > 0])
-                counts.append(n[n > 0])
-            if not mine:
-                continue
-            whole, n = np.concatenate(keys), np.concatenate(counts)
-            by = np.argsort(whole)
-            whole, n = whole[by], n[by]
-            first = np.flatnonzero(np.diff(whole, prepend=~whole[:1])) if len(whole) else np.zeros(0, np.int64)
-            keys, counts = whole[first], np.add.reduceat(n, first) if len(first) else n
-            del whole, n, by
-            if kind == 0:
-                out.append((-1, asked[0][0], 0, np.array([len(keys), counts.sum()], "<i8").tobytes()))
-                for s, b, k, _, _ in mine:
-                    at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
-                    found = np.where(keys[at] == k, counts[at], 0) if len(keys) else np.zeros(len(k), np.int64)
-                    out.append((b, s, 0, found.astype("<u8" if len(found) and found.max() >> 32 else "<u4").tobytes()))
-                continue
+        if n == 1:
+            out.append((-1, asked[0][1], 1, np.array([len(keys), counts.sum()], "<i8").tobytes()))
+            for b, s, k in asked:
+                at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
+                found = np.where(keys[at] == k, counts[at], 0) if len(keys) else np.zeros(len(k), np.int64)
+                out.append((b, s, 1, found.astype("<u8" if len(found) and found.max() >> 32 else "<u4").tobytes()))
+        else:
+            codes, others = [code_of(np.minimum(1.0, counts * (VALUES[rests] / PRIORS[n])))], [0]
+            if n < order:
+                codes.append(rest_of(counts, PRIORS[n + 1]))
+                others.append(int(rest_of(np.zeros(1), 1.0)[0]))
             handle, path = tempfile.mkstemp(suffix=".trie")
             try:
                 with os.fdopen(handle, "wb") as f:
-                    f.write(Trie.build(keys, counts))
-                del keys, counts
+                    f.write(Trie.build(keys, layout.next_bits, *codes))
+                del keys, counts, rests, codes
                 trie = Trie(np.memmap(path, np.uint8, "r"))
-                out += [(b, s, 1, trie.answer(k)) for s, b, k, _, _ in mine]
+                out += [(b, s, n, trie.answer(k, tuple(others))) for b, s, k in asked]
                 del trie
             finally:
                 os.unlink(path)
-        b, s, q, v = zip(*out, strict=True)
-        return pa.table({"batch": pa.array(b, pa.int64()), "shard": pa.array(s, pa.int32()), "kind": pa.array(q, pa.int32()), "values": pa.array(v, pa.binary())})
+        columns = zip(*out, strict=True)
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["batch", "shard", "length", "values"])
 
-    return questions.groupBy("shard").applyInArrow(run, "batch long, shard int, kind int, values binary")
+    return questions.groupBy("shard").applyInArrow(run, "batch long, shard int, length int, values binary")
 
 
-def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR) -> DataFrame:
+def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (the model's log10 probability). held_out: rows to score without learning from them; null counts as false."""
     spark = df.sparkSession
     common.prepare(spark)
     kind = df.schema[id_col].dataType.simpleString()
     held_out = F.coalesce(held_out, F.lit(False))
-    packed = common.materialize(_batches(df, id_col, text_col, held_out), "batches")
     size = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     shards = max(8, -(-size // SHARD_BYTES))
-    answers = common.materialize(_answers(_questions(packed, shards), shards), "answers")
+    words, layout = Layout(shards, words=True), Layout(shards, max(KEY_BITS, 13 + size.bit_length()))
+    packed = common.bucketed(_packed(df, id_col, text_col, held_out, words), "batch", max(8, -(-size // (2 * BUCKET_BYTES))), "batches")
+    batches = packed.filter("shard = -1").select("batch", "ids", "held", "sizes", "vocab", "stream")
+    answers = common.materialize(_answers(packed.filter("shard >= 0").select("shard", "batch", "keys", "counts", "rests"), 1, order, words), "answers")
 
-    def totals(batches):
-        for batch in batches:
+    def totals(rows):
+        for batch in rows:
             got = [np.frombuffer(v, "<i8") for v in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({"v": pa.array([int(x[0]) for x in got]), "n": pa.array([int(x[1]) for x in got])})
 
     found = answers.filter("batch = -1").select("values").mapInArrow(totals, "v long, n long").agg(F.sum("v"), F.sum("n")).first()
-    distinct, learnt = found[0] or 0, found[1] or 0
+    vocabulary, learnt = found[0] or 0, found[1] or 0
+    answers = answers.filter("batch <> -1")
+    for n in range(2, order + 1):
+        common.sweep(spark)
+        answers = answers.unionAll(common.materialize(_answers(_questions(batches, answers, n, words, layout), n, order, layout), "answers"))
+    common.sweep(spark)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        words, parts = Words(), []
-        answered = {(s, q): v for s, q, v in zip(*(right.column(c).to_pylist() for c in ("shard", "kind", "values")), strict=True)}
-        for ids, held, lengths, texts in zip(left.column("ids").combine_chunks(), *(left.column(c).to_pylist() for c in ("held", "lengths", "texts")), strict=True):
-            chain = tokens(texts, lengths, words)
-
-            def told(every: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
-                """The answer to each distinct key, and the place of each key's answer."""
-                order = np.argsort(every)
-                keys = every[order]
-                new = np.ones(len(keys), bool)
-                new[1:] = keys[1:] != keys[:-1]
-                place = np.empty(len(keys), np.int32)
-                place[order] = np.cumsum(new, dtype=np.int32) - 1
-                keys = keys[new]
-                out = np.zeros(len(keys), np.int64 if q == 0 else np.float64)
-                for s, at in _dealt(keys, q, shards):
-                    v = answered[s, q]
-                    out[at] = np.frombuffer(v, f"<u{len(v) // len(at)}") if q == 0 else occurrences(v, len(at))
-                return out, place
-
-            count, place = told(chain.chain, 0)  # the mark is among the words
-            first = np.cumsum(chain.sizes) - chain.sizes
-            before, own = place[:-1], place[1:]
-            known = np.add.reduceat((count > 0)[own].astype(np.int64), first)
-            base = np.add.reduceat(np.log10(count + 1.0)[own], first) - chain.sizes * np.log10(learnt + distinct + 1)
-            p = ((count + 1.0) * (prior / (learnt + distinct + 1)))[own]
-            seen, two = told(chain.bigrams(), 1)
-            p += seen[two]
-            del two, seen
-            total = np.add.reduceat(np.log10(p, out=p) - np.log10(count + prior)[before], first)
-            parts.append(pa.table({id_col: ids.values, "held_out": pa.array(np.frombuffer(held, np.uint8) > 0), "n_tokens": chain.sizes, "n_known": known, "train_tokens": np.full(len(known), learnt), "base_score": base, "score": total}))
+        common.trim()
+        told, parts = _answers_of(right), []
+        for i, batch in _batches_of(left):
+            count = batch.counts(told, words)
+            first = np.cumsum(batch.sizes) - batch.sizes
+            known = np.add.reduceat((count[1:] > 0).astype(np.int64), first)
+            p = (count[1:] + 1.0) / (learnt + vocabulary + 1)
+            base = np.add.reduceat(np.log10(count[1:] + 1.0), first) - batch.sizes * np.log10(learnt + vocabulary + 1)
+            rests = rest_of(count[:-1], PRIORS[2]) if order > 1 else None
+            for n in range(2, order + 1):
+                seen, *more = batch.codes(told, n, layout, (0, 1) if n < order else (0,))
+                p = np.minimum(1.0, VALUES[seen] + VALUES[rests] * p)
+                if more:
+                    start = rest_of(count[:-1], PRIORS[n + 1])
+                    rests = np.where(batch.tokens.chain[:-1] == EDGE, start, np.concatenate([start[:1], more[0][:-1]]))
+            total = np.add.reduceat(np.log10(p), first)
+            ids = left.column("ids")[i].values
+            held = np.frombuffer(left.column("held")[i].as_py(), np.uint8) > 0
+            parts.append(pa.table({id_col: ids, "held_out": pa.array(held), "n_tokens": batch.sizes, "n_known": known, "train_tokens": np.full(len(known), learnt), "base_score": base, "score": total}))
         return pa.concat_tables(parts) if parts else pa.table({n: pa.array([], t) for n, t in zip((id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"), (left.schema.field("ids").type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
 
-    asked = answers.filter("batch <> -1")
-    return packed.groupBy("batch").cogroup(asked.groupBy("batch")).applyInArrow(score, f"{id_col} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, f"{id_col} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op7_elias_fano_lm(spark, sf_dir: str) -> DataFrame:

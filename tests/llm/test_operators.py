@@ -140,32 +140,19 @@ def test_licenses_amid_prose_wrapped_and_side_by_side():
     assert names("\n".join([mit] * 3)) == [("MIT", 0)] * 3
 
 
-def test_elias_fano_and_trie():
+def test_elias_fano():
     rng = np.random.default_rng(3)
     values = np.unique(rng.integers(0, 2**63, 5000, np.uint64))
     ef = packed.EliasFano(packed.EliasFano.encode(values))
     assert (ef.values() == values).all() and (ef.get(np.array([0, 17])) == values[[0, 17]]).all()
-    trie = lm.Trie(lm.Trie.build(values, np.arange(1, len(values) + 1)))
-    assert (trie.look_up(values) == lm.code_of(np.arange(1, len(values) + 1))).all()
-    assert not trie.look_up(values + np.uint64(1)).any()
 
 
-def test_lm_is_a_distribution_and_learns(spark):
+def test_lm_learns(spark):
     rows = [(i, "the cat sat on the mat") for i in range(20)] + [(99, "the cat sat on the dog")]
     got = {r["doc_id"]: r for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") == 99).collect()}
     assert got[0]["train_tokens"] == 140 and got[99]["n_known"] == 6 and got[99]["held_out"] and got[0]["score"] > got[0]["base_score"]
 
 
-def test_frequent_bigrams_are_not_capped(spark):
-    keys, counts = np.arange(1, 8, dtype=np.uint64) << np.uint64(36), np.array([1, 64, 100_000, 114_700, 1_000_001, 3_000_000_000, 1 << 40])
-    trie = lm.Trie(lm.Trie.build(keys, counts))
-    asked = np.sort(np.append(keys, np.uint64(5)))
-    assert np.allclose(lm.occurrences(trie.answer(asked), len(asked)), [0, *counts], rtol=0.02)
-    assert np.allclose(lm.occurrences(trie.answer(keys[::-1]), len(keys)), counts[::-1], rtol=0.02)
-    r = lm.lm_scores(spark.createDataFrame([(1, "the " * 300_000)], "doc_id long, text string"), F.lit(False)).first()
-    assert r["score"] / r["n_tokens"] > -0.001
-
-
 def test_ngrams_by_brute_force():
     text = "Été ab, a\nb!"
     _, gram, count = langid.grams([[text]], 3)
