@@ -40,6 +40,7 @@ from __future__ import annotations
 import os
 import tempfile
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +78,19 @@ def rest_of(count: np.ndarray, prior: float) -> np.ndarray:
     return code_of(prior / (np.asarray(count, np.float64) + prior))
 
 
+@lru_cache(maxsize=1)
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def squeezed(data: bytes) -> bytes:
+    return _zstd()[0].compress(data)
+
+
+def widened(data: bytes) -> bytes:
+    return _zstd()[1].decompress(data)
+
+
 def planes(codes: np.ndarray) -> bytes:
     """Low bytes, then high bytes, which compress better than pairs."""
     return np.ascontiguousarray(codes.astype("<u2").view(np.uint8).reshape(-1, 2).T).tobytes()
@@ -233,9 +247,8 @@ class Batch:
     """A packed batch: the words of texts, and what answers told."""
 
     def __init__(self, vocab: bytes, stream: bytes, sizes: bytes, held: bytes):
-        self.vocab = np.frombuffer(vocab, np.uint64)
-        data = zstandard.decompress(stream)
-        raw = np.frombuffer(data, np.uint8).reshape(4, -1)
+        self.vocab = EliasFano(vocab).values()
+        raw = np.frombuffer(widened(stream), np.uint8).reshape(4, -1)
         self.place = np.ascontiguousarray(raw.T).view("<u4").ravel().astype(np.int64)  # of each of the chain among vocab
         self.sizes = np.frombuffer(sizes, "<u8").astype(np.int64)
         self.tokens = Tokens(self.vocab[self.place], self.sizes)
@@ -243,14 +256,13 @@ class Batch:
 
     @staticmethod
     def stream(place: np.ndarray) -> bytes:
-        return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(place.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+        return squeezed(np.ascontiguousarray(place.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
     def counts(self, answers: dict[tuple[int, int], bytes], layout: Layout) -> np.ndarray:
         """How often training texts hold each word of the chain."""
         out = np.zeros(len(self.vocab), np.int64)
         for s, at in layout.dealt(self.vocab):
-            v = answers[1, s]
-            out[at] = np.frombuffer(v, f"<u{len(v) // len(at)}")
+            out[at] = counts_of(widened(answers[1, s]), len(at))
         return out[self.place]
 
     def codes(self, answers: dict[tuple[int, int], bytes], n: int, layout: Layout, nth: tuple[int, ...]) -> list[np.ndarray]:
@@ -258,8 +270,9 @@ class Batch:
         keys, _, place = distinct(self.tokens.keys(n, layout.bits))
         out = [np.zeros(len(keys), "<u2") for _ in nth]
         for s, at in layout.dealt(keys):
+            told = widened(answers[n, s])
             for o, k in zip(out, nth, strict=True):
-                o[at] = unplaned(answers[n, s], len(at), k)
+                o[at] = unplaned(told, len(at), k)
         return [o[place] for o in out]
 
     def rests(self, answers: dict[tuple[int, int], bytes], count: np.ndarray, n: int, layout: Layout) -> np.ndarray:
@@ -277,7 +290,7 @@ QUESTION = "shard int, batch long, keys binary, counts binary, rests binary"
 
 def _asked(batch: int, keys: np.ndarray, count: np.ndarray, rests: np.ndarray | None, layout: Layout) -> list[tuple]:
     """A row of QUESTION for each shard."""
-    return [(s, batch, EliasFano.encode(layout.near(keys[at], s)), packed_counts(count[at]), None if rests is None else planes(rests[at])) for s, at in layout.dealt(keys)]
+    return [(s, batch, EliasFano.encode(layout.near(keys[at], s)), squeezed(packed_counts(count[at])), None if rests is None else squeezed(planes(rests[at]))) for s, at in layout.dealt(keys)]
 
 
 def _packed(df: DataFrame, id_col: str, text_col: str, held_out: Column, layout: Layout) -> DataFrame:
@@ -301,7 +314,7 @@ def _packed(df: DataFrame, id_col: str, text_col: str, held_out: Column, layout:
             columns = [pa.array(c, t) for c, t in zip(zip(*asked, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)]
             every = pa.concat_arrays(ids)
             listed = pa.ListArray.from_arrays(pa.array([0] * len(asked) + [len(every)], pa.int32()), every)
-            last = [pa.array([None] * (len(asked) - 1) + [x], pa.binary()) for x in (bytes(held), np.array(sizes, "<u8").tobytes(), vocab.tobytes(), Batch.stream(place))]
+            last = [pa.array([None] * (len(asked) - 1) + [x], pa.binary()) for x in (bytes(held), np.array(sizes, "<u8").tobytes(), EliasFano.encode(vocab), Batch.stream(place))]
             return pa.RecordBatch.from_arrays([*columns, listed, *last], names=names)
 
         for whole in batches:
@@ -354,19 +367,19 @@ def _questions(batches: DataFrame, answers: DataFrame, n: int, words: Layout, la
 
 
 def _answers(questions: DataFrame, n: int, order: int, layout: Layout) -> DataFrame:
-    """batch, shard, length, values: counts of words (32 bits, or 64 where one is beyond that), or the codes that the level tells of n-grams, as asked. A row with batch -1 holds the shard's numbers of distinct and of all training words."""
+    """batch, shard, length, values: counts of words, or the codes that the level tells of n-grams, as asked. A row with batch -1 holds the shard's numbers of distinct and of all training words."""
 
     def run(table: pa.Table) -> pa.Table:
         common.trim()
         asked, keys, counts, rests = [], [], [], []
         for s, b, k, c, r in zip(*(table.column(x).to_pylist() for x in ("shard", "batch", "keys", "counts", "rests")), strict=True):
             k = layout.near(EliasFano(k).values(), s, True)
-            c = counts_of(c, len(k))
+            c = counts_of(widened(c), len(k))
             asked.append((b, s, k))
             keys.append(k[c > 0])
             counts.append(c[c > 0])
             if n > 1:
-                rests.append(unplaned(r, len(k))[c > 0])
+                rests.append(unplaned(widened(r), len(k))[c > 0])
         whole = np.concatenate(keys)
         by = np.argsort(whole)
         whole, each = whole[by], np.concatenate(counts)[by]
@@ -380,7 +393,7 @@ def _answers(questions: DataFrame, n: int, order: int, layout: Layout) -> DataFr
             for b, s, k in asked:
                 at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
                 found = np.where(keys[at] == k, counts[at], 0) if len(keys) else np.zeros(len(k), np.int64)
-                out.append((b, s, 1, found.astype("<u8" if len(found) and found.max() >> 32 else "<u4").tobytes()))
+                out.append((b, s, 1, squeezed(packed_counts(found))))
         else:
             codes, others = [code_of(np.minimum(1.0, counts * (VALUES[rests] / PRIORS[n])))], [0]
             if n < order:
@@ -392,7 +405,7 @@ def _answers(questions: DataFrame, n: int, order: int, layout: Layout) -> DataFr
                     f.write(Trie.build(keys, layout.next_bits, *codes))
                 del keys, counts, rests, codes
                 trie = Trie(np.memmap(path, np.uint8, "r"))
-                out += [(b, s, n, trie.answer(k, tuple(others))) for b, s, k in asked]
+                out += [(b, s, n, squeezed(trie.answer(k, tuple(others)))) for b, s, k in asked]
                 del trie
             finally:
                 os.unlink(path)
