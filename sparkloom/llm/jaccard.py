@@ -421,9 +421,14 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
     buckets = common.materialize(_buckets(signed, percent), "buckets")
     common.remove(signed)
     labels = _joined(rows, n, percent, members, buckets)
-    grouped = members.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
-    least = grouped.filter("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("component_id"))
-    return grouped.join(least, "label", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    # Copies are summed up before the shuffle, and what is joined lies in tables, so that Spark can split a hot key.
+    each = members.filter("set IS NOT NULL").groupBy("set").agg(F.min("id").alias("least"))
+    named = common.materialize(each.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set")), "named")
+    least = common.materialize(named.groupBy("label").agg(F.min("least").alias("component_id")), "least")
+    of = common.materialize(named.join(least, "label").select("set", "label", "component_id"), "components")
+    for old in (labels, named, least):
+        common.remove(old)
+    return members.join(of, "set", "left").withColumn("component_id", F.coalesce("component_id", "id"))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
@@ -453,7 +458,7 @@ def _joined(rows: DataFrame, n: int, percent: int, members: DataFrame, found: Da
     place = (F.row_number().over(Window.partitionBy("signature", "part").orderBy(F.desc("weight"), "set")) - 1) * F.col("parts") + F.col("part")
     ranked = common.materialize(buckets.join(weight, "set").withColumn("rank", place).drop("weight", "held"), "ranked")
     nodes = few.select(F.col("a").alias("set")).unionAll(few.select("b")).unionAll(ranked.select("set")).distinct()
-    owners = common.materialize(members.join(nodes, "set").groupBy("set").agg(F.min("id").alias("id")), "owners")
+    owners = common.materialize(members.filter("set IS NOT NULL").groupBy("set").agg(F.min("id").alias("id")).join(nodes, "set"), "owners")
     whole = common.materialize(_whole_sets(rows, "id", n, owners), "whole")
     links = _links(few, whole, percent)
     labels = components(links)
