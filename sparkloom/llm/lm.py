@@ -24,6 +24,9 @@ Neither the words nor the n-grams of a corpus fit into one machine, so texts mee
    searched for each batch's n-grams, and removed. Answers go back in the order of the questions.
 4. Each batch is joined with its answers and scored.
 
+With `keep`, the levels of all shards are written to a folder as well, and kept_scores() asks them for
+other texts, by the same steps, without the texts that they learnt from.
+
 There is a row for each batch and shard that share an n-gram: never more than distinct n-grams in
 batches, and far fewer as long as a batch has many for each shard.
 
@@ -37,6 +40,7 @@ the id and the text are ignored. A worker holds one batch or one shard, a text b
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 from dataclasses import dataclass
@@ -285,6 +289,33 @@ class Batch:
         return np.where(self.tokens.chain[:-1] == EDGE, first, told)
 
 
+def words_level(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """The words of a shard and how often they occur."""
+    runs = EliasFano.encode(keys)
+    return np.array([len(runs)], "<u8").tobytes() + runs + packed_counts(counts)
+
+
+def words_of_level(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(data, "<u8", 1)[0])
+    keys = EliasFano(data[8 : 8 + n]).values()
+    return keys, counts_of(data[8 + n :], len(keys))
+
+
+def words_told(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> bytes:
+    """The answer to words: how often each occurs."""
+    if not len(keys):
+        return squeezed(packed_counts(np.zeros(len(asked), np.int64)))
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return squeezed(packed_counts(np.where(keys[at] == asked, counts[at], 0)))
+
+
+def unknown(n: int, order: int) -> tuple[int, ...]:
+    """The codes of an n-gram that isn't there: f, and below the longest length the g of what follows it."""
+    return (0, int(rest_of(np.zeros(1), 1.0)[0])) if n < order else (0,)
+
+
+#: What _answers() gives beside answers: a shard's totals, and its level.
+TOTALS, LEVEL = -1, -2
 QUESTION = "shard int, batch long, keys binary, counts binary, rests binary"
 
 
@@ -366,8 +397,16 @@ def _questions(batches: DataFrame, answers: DataFrame, n: int, words: Layout, la
     return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, QUESTION)
 
 
-def _answers(questions: DataFrame, n: int, order: int, layout: Layout) -> DataFrame:
-    """batch, shard, length, values: counts of words, or the codes that the level tells of n-grams, as asked. A row with batch -1 holds the shard's numbers of distinct and of all training words."""
+ANSWER = "batch long, shard int, length int, values binary"
+
+
+def _answer_table(rows: list[tuple]) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [[]] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["batch", "shard", "length", "values"])
+
+
+def _answers(questions: DataFrame, n: int, order: int, layout: Layout, keep: bool = False) -> DataFrame:
+    """batch, shard, length, values: counts of words, or the codes that the level tells of n-grams, as asked. A row with batch TOTALS holds the shard's numbers of distinct and of all training words; one with LEVEL, if kept, its level."""
 
     def run(table: pa.Table) -> pa.Table:
         common.trim()
@@ -389,57 +428,106 @@ def _answers(questions: DataFrame, n: int, order: int, layout: Layout) -> DataFr
         del whole, each, by
         out = []
         if n == 1:
-            out.append((-1, asked[0][1], 1, np.array([len(keys), counts.sum()], "<i8").tobytes()))
-            for b, s, k in asked:
-                at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
-                found = np.where(keys[at] == k, counts[at], 0) if len(keys) else np.zeros(len(k), np.int64)
-                out.append((b, s, 1, squeezed(packed_counts(found))))
+            out.append((TOTALS, asked[0][1], 1, np.array([len(keys), counts.sum()], "<i8").tobytes()))
+            out += [(b, s, 1, words_told(keys, counts, k)) for b, s, k in asked]
+            if keep:
+                out.append((LEVEL, asked[0][1], 1, words_level(keys, counts)))
         else:
-            codes, others = [code_of(np.minimum(1.0, counts * (VALUES[rests] / PRIORS[n])))], [0]
+            codes = [code_of(np.minimum(1.0, counts * (VALUES[rests] / PRIORS[n])))]
             if n < order:
                 codes.append(rest_of(counts, PRIORS[n + 1]))
-                others.append(int(rest_of(np.zeros(1), 1.0)[0]))
             handle, path = tempfile.mkstemp(suffix=".trie")
             try:
                 with os.fdopen(handle, "wb") as f:
-                    f.write(Trie.build(keys, layout.next_bits, *codes))
-                del keys, counts, rests, codes
+                    f.write(level := Trie.build(keys, layout.next_bits, *codes))
+                if keep:
+                    out.append((LEVEL, asked[0][1], n, level))
+                del level, keys, counts, rests, codes
                 trie = Trie(np.memmap(path, np.uint8, "r"))
-                out += [(b, s, n, squeezed(trie.answer(k, tuple(others)))) for b, s, k in asked]
+                out += [(b, s, n, squeezed(trie.answer(k, unknown(n, order)))) for b, s, k in asked]
                 del trie
             finally:
                 os.unlink(path)
-        columns = zip(*out, strict=True)
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["batch", "shard", "length", "values"])
+        return _answer_table(out)
+
+    return questions.groupBy("shard").applyInArrow(run, ANSWER)
 
-    return questions.groupBy("shard").applyInArrow(run, "batch long, shard int, length int, values binary")
 
+def _kept_answers(questions: DataFrame, levels: DataFrame, n: int, order: int, layout: Layout) -> DataFrame:
+    """The answers of kept levels (shard, values) to what is asked."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        common.trim()
+        asked = [(b, s, layout.near(EliasFano(k).values(), s, True)) for s, b, k in zip(*(left.column(x).to_pylist() for x in ("shard", "batch", "keys")), strict=True)]
+        level = right.column("values")[0].as_py() if right.num_rows else None
+        if n == 1:
+            keys, counts = words_of_level(level) if level else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            return _answer_table([(b, s, 1, words_told(keys, counts, k)) for b, s, k in asked])
+        trie = Trie(level) if level else Trie(Trie.build(np.zeros(0, np.uint64), layout.next_bits))
+        return _answer_table([(b, s, n, squeezed(trie.answer(k, unknown(n, order)))) for b, s, k in asked])
 
-def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """id_col, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (the model's log10 probability). held_out: rows to score without learning from them; null counts as false."""
+    return questions.groupBy("shard").cogroup(levels.groupBy("shard")).applyInArrow(run, ANSWER)
+
+
+def _batched(df: DataFrame, id_col: str, text_col: str, held_out: Column, size: int, words: Layout) -> tuple[DataFrame, DataFrame]:
+    """(batches, the words that they ask for)."""
+    packed = common.bucketed(_packed(df, id_col, text_col, held_out, words), "batch", max(8, -(-size // (2 * BUCKET_BYTES))), "batches")
+    return packed.filter("shard = -1").select("batch", "ids", "held", "sizes", "vocab", "stream"), packed.filter("shard >= 0").select("shard", "batch", "keys", "counts", "rests")
+
+
+def _text_bytes(df: DataFrame, text_col: str) -> int:
+    return df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+
+
+def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, keep: str | None = None) -> DataFrame:
+    """id_col, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (the model's log10 probability). held_out: rows to score without learning from them; null counts as false. keep: a folder that all tasks reach, for the model's levels."""
     spark = df.sparkSession
     common.prepare(spark)
     kind = df.schema[id_col].dataType.simpleString()
-    held_out = F.coalesce(held_out, F.lit(False))
-    size = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    size = _text_bytes(df, text_col)
     shards = max(8, -(-size // SHARD_BYTES))
     words, layout = Layout(shards, words=True), Layout(shards, max(KEY_BITS, 13 + size.bit_length()))
-    packed = common.bucketed(_packed(df, id_col, text_col, held_out, words), "batch", max(8, -(-size // (2 * BUCKET_BYTES))), "batches")
-    batches = packed.filter("shard = -1").select("batch", "ids", "held", "sizes", "vocab", "stream")
-    answers = common.materialize(_answers(packed.filter("shard >= 0").select("shard", "batch", "keys", "counts", "rests"), 1, order, words), "answers")
+    batches, asked = _batched(df, id_col, text_col, F.coalesce(held_out, F.lit(False)), size, words)
+    answers = common.materialize(_answers(asked, 1, order, words, keep is not None), "answers")
 
     def totals(rows):
         for batch in rows:
             got = [np.frombuffer(v, "<i8") for v in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({"v": pa.array([int(x[0]) for x in got]), "n": pa.array([int(x[1]) for x in got])})
 
-    found = answers.filter("batch = -1").select("values").mapInArrow(totals, "v long, n long").agg(F.sum("v"), F.sum("n")).first()
-    vocabulary, learnt = found[0] or 0, found[1] or 0
-    answers = answers.filter("batch <> -1")
+    found = answers.filter(F.col("batch") == TOTALS).select("values").mapInArrow(totals, "v long, n long").agg(F.sum("v"), F.sum("n")).first()
+    seen, learnt = found[0] or 0, found[1] or 0
     for n in range(2, order + 1):
         common.sweep(spark)
-        answers = answers.unionAll(common.materialize(_answers(_questions(batches, answers, n, words, layout), n, order, layout), "answers"))
+        more = _answers(_questions(batches, answers.filter("batch >= 0"), n, words, layout), n, order, layout, keep is not None)
+        answers = answers.unionAll(common.materialize(more, "answers"))
     common.sweep(spark)
+    if keep is not None:
+        said = json.dumps({"order": order, "shards": shards, "bits": layout.bits, "seen": seen, "learnt": learnt}).encode()
+        meta = spark.createDataFrame([(-1, 0, bytearray(said))], "shard int, length int, values binary")
+        answers.filter(F.col("batch") == LEVEL).select("shard", "length", "values").unionAll(meta).write.parquet(keep)
+    return _scored(batches, answers.filter("batch >= 0"), id_col, kind, order, seen, learnt, words, layout)
+
+
+def kept_scores(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What lm_scores gives, for texts that teach nothing, from a model that it kept in a folder."""
+    spark = df.sparkSession
+    common.prepare(spark)
+    kind = df.schema[id_col].dataType.simpleString()
+    levels = spark.read.parquet(model)
+    said = json.loads(bytes(levels.filter("length = 0").first()["values"]))
+    order, words, layout = said["order"], Layout(said["shards"], words=True), Layout(said["shards"], said["bits"])
+    batches, asked = _batched(df, id_col, text_col, F.lit(True), _text_bytes(df, text_col), words)
+    of = lambda n: levels.filter(F.col("length") == n).select("shard", "values")
+    answers = common.materialize(_kept_answers(asked, of(1), 1, order, words), "answers")
+    for n in range(2, order + 1):
+        common.sweep(spark)
+        answers = answers.unionAll(common.materialize(_kept_answers(_questions(batches, answers, n, words, layout), of(n), n, order, layout), "answers"))
+    return _scored(batches, answers, id_col, kind, order, said["seen"], said["learnt"], words, layout)
+
+
+def _scored(batches: DataFrame, answers: DataFrame, id_col: str, kind: str, order: int, seen: int, learnt: int, words: Layout, layout: Layout) -> DataFrame:
+    """The scores of the batches' texts."""
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         common.trim()
@@ -448,21 +536,23 @@ def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
             count = batch.counts(told, words)
             first = np.cumsum(batch.sizes) - batch.sizes
             known = np.add.reduceat((count[1:] > 0).astype(np.int64), first)
-            p = (count[1:] + 1.0) / (learnt + vocabulary + 1)
-            base = np.add.reduceat(np.log10(count[1:] + 1.0), first) - batch.sizes * np.log10(learnt + vocabulary + 1)
-            rests = rest_of(count[:-1], PRIORS[2]) if order > 1 else None
+            p = (count[1:] + 1.0) / (learnt + seen + 1)
+            base = np.add.reduceat(np.log10(count[1:] + 1.0), first) - batch.sizes * np.log10(learnt + seen + 1)
+            rests = rest_of(count[:-1], PRIORS[2])
             for n in range(2, order + 1):
-                seen, *more = batch.codes(told, n, layout, (0, 1) if n < order else (0,))
-                p = np.minimum(1.0, VALUES[seen] + VALUES[rests] * p)
+                f, *more = batch.codes(told, n, layout, (0, 1) if n < order else (0,))
+                p = np.minimum(1.0, VALUES[f] + VALUES[rests] * p)
                 if more:
                     start = rest_of(count[:-1], PRIORS[n + 1])
                     rests = np.where(batch.tokens.chain[:-1] == EDGE, start, np.concatenate([start[:1], more[0][:-1]]))
             total = np.add.reduceat(np.log10(p), first)
             ids = left.column("ids")[i].values
             held = np.frombuffer(left.column("held")[i].as_py(), np.uint8) > 0
-            parts.append(pa.table({id_col: ids, "held_out": pa.array(held), "n_tokens": batch.sizes, "n_known": known, "train_tokens": np.full(len(known), learnt), "base_score": base, "score": total}))
-        return pa.concat_tables(parts) if parts else pa.table({n: pa.array([], t) for n, t in zip((id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"), (left.schema.field("ids").type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
+            parts.append(pa.table([ids, pa.array(held), batch.sizes, known, np.full(len(known), learnt), base, total], names=names))
+        empty = pa.table([pa.array([], t) for t in (left.schema.field("ids").type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
+        return pa.concat_tables(parts) if parts else empty
 
+    names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, f"{id_col} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -91,6 +91,20 @@ def test_a_million_equal_words(spark):
     assert -400 < got[1]["score"] <= 0 and got[1]["n_tokens"] == 1_000_001
 
 
+def test_a_kept_model_scores_other_texts(spark, tmp_path):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = str(tmp_path / "model")
+    lm.lm_scores(df, F.col("doc_id") % 3 == 0, keep=path).count()
+    model = Exact([t for i, t in rows if i is None or i % 3], 3)
+    asked = [*rows, (5000, "quite other words"), (5001, "w1 w2 w1 w2 w1")]
+    got = lm.kept_scores(spark.createDataFrame(asked, "doc_id long, text string"), path).collect()
+    mine = sorted(((r["doc_id"], r["n_tokens"], r["score"]) for r in got), key=str)
+    want = sorted(((i, len(words_of(t)) + 1, model.score(t)) for i, t in asked), key=str)
+    assert [x[:2] for x in mine] == [x[:2] for x in want] and all(abs(a[2] - b[2]) <= 0.0004 * a[1] for a, b in zip(mine, want))
+    assert lm.kept_scores(df.limit(0), path).count() == 0
+
+
 def test_codes_hold_any_probability():
     p = np.concatenate([[0.0, 1.0, 1e-13], 1 / np.arange(1, 5000.0), 10 / (10 + 10 ** np.linspace(0, 12, 500))])
     back = lm.VALUES[lm.code_of(p)]
