@@ -75,12 +75,14 @@ def kv_multi_get(spark, sf_dir):
     return kvs.multi_get(customers(spark, sf_dir), wanted(spark, sf_dir))
 
 
-@query(WANTED + "SELECT key, CASE WHEN value IS NULL THEN 'not_found' ELSE 'found' END AS status, value FROM (SELECT DISTINCT key FROM wanted) LEFT JOIN kv USING (key)")
+@query(WANTED + """SELECT key, CASE WHEN value IS NULL THEN 'not_found' ELSE 'found' END AS status, value FROM (SELECT DISTINCT
+ key FROM wanted) LEFT JOIN kv USING (key)""")
 def kv_multi_get_batch(spark, sf_dir):
     return kvs.multi_get_batch(customers(spark, sf_dir), wanted(spark, sf_dir))
 
 
-@query(WANTED + "SELECT CASE WHEN value IS NULL THEN key || ': not found' ELSE key || ': ' || value END AS line FROM (SELECT DISTINCT key FROM wanted) LEFT JOIN kv USING (key)")
+@query(WANTED + """SELECT CASE WHEN value IS NULL THEN key || ': not found' ELSE key || ': ' || value END AS line FROM (SELECT
+ DISTINCT key FROM wanted) LEFT JOIN kv USING (key)""")
 def kv_result_lines(spark, sf_dir):
     return kvs.result_lines(kv_multi_get_batch(spark, sf_dir))
 
@@ -179,7 +181,9 @@ def parts_graph(spark, sf_dir: str) -> Graph:
     return Graph(pairs.select(F.col("l_partkey").alias("src"), "dst").distinct(), directed=False).written("parts")
 
 
-PARTS = "WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM l a JOIN l b USING (l_orderkey) WHERE a.l_partkey < b.l_partkey), s AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) "
+PARTS = """WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
+ e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM l a JOIN l b USING (l_orderkey) WHERE a.l_partkey < b.l_partkey),
+ s AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) """
 
 
 def supply_graph(spark, sf_dir: str) -> Graph:
@@ -207,7 +211,8 @@ def triangle_count_parity(spark, sf_dir):
     return Graph(pairs.select(F.col("l_suppkey").alias("src"), "dst"), directed=False).written().triangles(parity=True)
 
 
-@query(SUPPLY + "SELECT (SELECT count(*) FROM v) AS n_verts, (SELECT count(*) FROM e) AS n_edges, true AS is_directed, (SELECT min(id) FROM v) AS min_vertex_id, (SELECT max(id) FROM v) AS max_vertex_id")
+@query(SUPPLY + """SELECT (SELECT count(*) FROM v) AS n_verts, (SELECT count(*) FROM e) AS n_edges, true AS is_directed, (SELECT
+ min(id) FROM v) AS min_vertex_id, (SELECT max(id) FROM v) AS max_vertex_id""")
 def graph_stats(spark, sf_dir):
     return supply_graph(spark, sf_dir).stats()
 
@@ -224,7 +229,8 @@ def graph_in_degrees(spark, sf_dir):
 
 @query(PARTS + "SELECT src AS id, count(*) AS degree, CAST(sum(dst) AS BIGINT) AS total FROM s GROUP BY src")
 def graph_adjacency(spark, sf_dir):
-    return parts_graph(spark, sf_dir).adjacency().select("id", F.size("neighbours").cast("long").alias("degree"), F.aggregate("neighbours", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    total = F.aggregate("neighbours", F.lit(0).cast("long"), lambda a, x: a + x).alias("total")
+    return parts_graph(spark, sf_dir).adjacency().select("id", F.size("neighbours").cast("long").alias("degree"), total)
 
 
 @query(SUPPLY + "SELECT dst AS id, string_agg(src, ',' ORDER BY src) AS sources FROM e GROUP BY dst")
@@ -237,7 +243,9 @@ def graph_neighbour_degrees(spark, sf_dir):
     return parts_graph(spark, sf_dir).neighbour_degrees()
 
 
-@query(PARTS + ", d AS (SELECT src AS id, count(*) AS degree FROM s GROUP BY src) SELECT s.src AS id, string_agg(s.dst, ',' ORDER BY y.degree, s.dst) AS neighbours FROM s JOIN d x ON s.src = x.id JOIN d y ON s.dst = y.id WHERE y.degree > x.degree OR (y.degree = x.degree AND s.dst >= s.src) GROUP BY s.src")
+@query(PARTS + """, d AS (SELECT src AS id, count(*) AS degree FROM s GROUP BY src) SELECT s.src AS id, string_agg(s.dst, ','
+ ORDER BY y.degree, s.dst) AS neighbours FROM s JOIN d x ON s.src = x.id JOIN d y ON s.dst = y.id WHERE y.degree > x.degree OR
+ (y.degree = x.degree AND s.dst >= s.src) GROUP BY s.src""")
 def graph_effective_neighbours(spark, sf_dir):
     return parts_graph(spark, sf_dir).effective_neighbours().select("id", F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("neighbours"))
 
@@ -252,7 +260,8 @@ def graph_discovered(spark, sf_dir):
     return supply_graph(spark, sf_dir).discovered()
 
 
-@query(SUPPLY + ", r AS (SELECT min(id) AS id FROM v UNION SELECT e.dst FROM r JOIN e ON r.id = e.src) SELECT CASE WHEN id > 0 THEN (id - 1) // 32768 + 1 ELSE id // 32768 END AS bucket, count(*) AS n FROM r GROUP BY ALL")
+@query(SUPPLY + """, r AS (SELECT min(id) AS id FROM v UNION SELECT e.dst FROM r JOIN e ON r.id = e.src) SELECT CASE WHEN id > 0
+ THEN (id - 1) // 32768 + 1 ELSE id // 32768 END AS bucket, count(*) AS n FROM r GROUP BY ALL""")
 def graph_discovered_bitmap(spark, sf_dir):
     """Bits set in each bucket of 32768 ids, of what the lowest id reaches."""
     g = supply_graph(spark, sf_dir)
@@ -303,12 +312,16 @@ def nation_graph(spark, sf_dir: str) -> Graph:
     return Graph(table(spark, sf_dir, "nation").select((F.col("n_regionkey") + 1000).cast("long").alias("src"), F.col("n_nationkey").cast("long").alias("dst")), directed=False)
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(min(n_nationkey) OVER (PARTITION BY n_regionkey) AS BIGINT) AS component FROM nation UNION ALL SELECT CAST(n_regionkey + 1000 AS BIGINT), CAST(min(n_nationkey) AS BIGINT) FROM nation GROUP BY n_regionkey")
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(min(n_nationkey) OVER (PARTITION BY n_regionkey) AS BIGINT) AS component
+ FROM nation UNION ALL SELECT CAST(n_regionkey + 1000 AS BIGINT), CAST(min(n_nationkey) AS BIGINT) FROM nation GROUP BY
+ n_regionkey""")
 def graph_components(spark, sf_dir):
     return nation_graph(spark, sf_dir).components()
 
 
-@query(SUPPLY + "SELECT CAST(floor((row_number() OVER (ORDER BY id) - 1) / 100) AS BIGINT) AS part, degree FROM (SELECT id, count(src) AS degree FROM v LEFT JOIN e ON id = src GROUP BY id)".replace("SELECT CAST", "SELECT part, count(*) AS n_verts, CAST(sum(degree) AS BIGINT) AS n_edges FROM (SELECT CAST") + ") GROUP BY part")
+@query(SUPPLY + """, d AS (SELECT id, count(src) AS degree FROM v LEFT JOIN e ON id = src GROUP BY id),
+ p AS (SELECT CAST(floor((row_number() OVER (ORDER BY id) - 1) / 100) AS BIGINT) AS part, degree FROM d)
+ SELECT part, count(*) AS n_verts, CAST(sum(degree) AS BIGINT) AS n_edges FROM p GROUP BY part""")
 def graph_repartitioned(spark, sf_dir):
     return supply_graph(spark, sf_dir).repartitioned(100)
 
@@ -332,7 +345,9 @@ def graph_pagerank_rounds(spark, sf_dir):
     return supply_graph(spark, sf_dir).pagerank(rounds=ROUNDS).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query(r"WITH t AS (SELECT CASE WHEN l_linenumber = 1 THEN '# ' ELSE '' END || l_orderkey || CASE WHEN l_linenumber % 2 = 0 THEN ' ' ELSE chr(9) END || l_partkey AS value FROM lineitem) SELECT CAST(regexp_extract(value, '^[0-9]+') AS BIGINT) AS src, CAST(regexp_extract(value, '[0-9]+$') AS BIGINT) AS dst FROM t WHERE value NOT LIKE '#%'")
+@query(r"""WITH t AS (SELECT CASE WHEN l_linenumber = 1 THEN '# ' ELSE '' END || l_orderkey || CASE WHEN l_linenumber % 2 = 0 THEN
+ ' ' ELSE chr(9) END || l_partkey AS value FROM lineitem) SELECT CAST(regexp_extract(value, '^[0-9]+') AS BIGINT) AS src,
+ CAST(regexp_extract(value, '[0-9]+$') AS BIGINT) AS dst FROM t WHERE value NOT LIKE '#%'""")
 def parse_edge_lines(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
     lines = l.select(F.concat(F.when(F.col("l_linenumber") == 1, "# ").otherwise(""), F.col("l_orderkey").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, " ").otherwise("\t"), F.col("l_partkey").cast("string")).alias("value"))
@@ -342,7 +357,8 @@ def parse_edge_lines(spark, sf_dir):
 # --- sorting, alignment, membership, functions ------------------------------------------------------
 
 
-@query("SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS place FROM lineitem")
+@query("""SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber)
+ AS place FROM lineitem""")
 def sorted_lineitems(spark, sf_dir):
     """The place of each row in the order by price: ranges, then ranks within each and the counts before it."""
     order = ["l_extendedprice", "l_orderkey", "l_linenumber"]
@@ -443,19 +459,23 @@ def array_functions(spark, sf_dir):
         total(fn.array_push_at(p, 1, F.lit(100).cast("long"))).alias("put_sum"), total(fn.array_bounded_push(p, F.lit(7).cast("long"), 4)).alias("pushed_sum"))
 
 
-@query("SELECT event_id, hex(encode(props)[3:7]) AS part, (event_id >> 3) & 1 = 1 AS bit, event_id | 16 AS marked FROM (SELECT *, props AS p FROM events WHERE octet_length(encode(props)) >= 7) UNION ALL SELECT event_id, NULL, (event_id >> 3) & 1 = 1, event_id | 16 FROM events WHERE octet_length(encode(props)) < 7")
+@query("""SELECT event_id, hex(encode(props)[3:7]) AS part, (event_id >> 3) & 1 = 1 AS bit, event_id | 16 AS marked FROM (SELECT
+ *, props AS p FROM events WHERE octet_length(encode(props)) >= 7) UNION ALL SELECT event_id, NULL, (event_id >> 3) & 1 = 1,
+ event_id | 16 FROM events WHERE octet_length(encode(props)) < 7""")
 def bytes_and_bits(spark, sf_dir):
     e = F.col("event_id")
     return table(spark, sf_dir, "events").select("event_id", F.hex(fn.string_slice(F.col("props"), 2, 7)).alias("part"), fn.bit_is_set(e, F.lit(3)).alias("bit"), fn.bit_set(e, 4).alias("marked"))
 
 
-@query("SELECT event_id, CASE WHEN props = '' THEN 0 WHEN props LIKE '%,' THEN len(string_split(props, ',')) - 1 ELSE len(string_split(props, ',')) END AS n, octet_length(encode(props)) AS bytes FROM events")
+@query("""SELECT event_id, CASE WHEN props = '' THEN 0 WHEN props LIKE '%,' THEN len(string_split(props, ',')) - 1 ELSE
+ len(string_split(props, ',')) END AS n, octet_length(encode(props)) AS bytes FROM events""")
 def split_strings(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.select("event_id", F.size(fn.split_string(F.col("props"), ",")).cast("long").alias("n"), fn.string_bytes(F.col("props")).cast("long").alias("bytes"))
 
 
-@query("WITH a AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS p FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, p[len(p)] AS last, len(p) - 1 AS left_over, CAST(list_sum(p[1:2]) AS BIGINT) AS first_two FROM a")
+@query("""WITH a AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS p FROM lineitem GROUP BY l_orderkey)
+ SELECT l_orderkey, p[len(p)] AS last, len(p) - 1 AS left_over, CAST(list_sum(p[1:2]) AS BIGINT) AS first_two FROM a""")
 def array_edits(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("p"))  # noqa: E741
     popped = fn.array_pop(F.col("p"))
