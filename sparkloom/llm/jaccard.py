@@ -66,7 +66,7 @@ FEW = 8
 #: Sets of a larger bucket that are ranked together.
 PART_SETS = 500
 #: Sets that a task remembers to have sent; beyond that it forgets all and may send one again.
-REMEMBER = 1 << 20
+REMEMBER = 1 << 18
 #: Text bytes for each shard.
 SHARD_BYTES = 12 << 20
 #: Bits of the filter by which rows are picked before they are read or moved; an exact join follows.
