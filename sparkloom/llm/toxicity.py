@@ -421,16 +421,23 @@ def platt(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def once(bags: list[list[str]]) -> list[list[str]]:
     """The bags without near copies of an earlier one, whose words would all seem to tell: those that share half of all words, by COPIES minimum hashes. Bags of few words stay."""
     words = {w: i for i, w in enumerate(sorted(set().union(*bags)))}
-    deal = np.random.default_rng(7)  # the same each time
-    order = np.stack([deal.permutation(len(words)) for _ in range(COPIES)]).astype(np.int32) if words else np.zeros((COPIES, 0), np.int32)
-    kept, marks = [], np.full((len(bags), COPIES), -1, np.int32)
-    n = 0
+    long = [bag for bag in bags if len(bag) >= SHORT]
+    if not long:
+        return bags
+    flat = np.fromiter((words[w] for bag in long for w in bag), np.uint32)
+    starts = np.cumsum([0, *map(len, long[:-1])])
+    by = np.random.default_rng(7).integers(1, 1 << 32, (COPIES, 2), np.uint32) | np.uint32(1)  # the same each time
+    marks = np.empty((len(long), COPIES), np.uint32)
+    for k, (x, y) in enumerate(by):
+        mixed = (flat + x) * y
+        marks[:, k] = np.minimum.reduceat((mixed ^ (mixed >> np.uint32(15))) * x, starts)
+    kept, at, n = [], 0, 0
     for bag in bags:
         if len(bag) >= SHORT:
-            least = order[:, [words[w] for w in bag]].min(axis=1)
-            if n and ((marks[:n] == least).sum(axis=1) >= COPIES // 2).any():
+            at += 1
+            if n and ((marks[:n] == marks[at - 1]).sum(axis=1) >= COPIES // 2).any():
                 continue
-            marks[n], n = least, n + 1
+            marks[n], n = marks[at - 1], n + 1
         kept.append(bag)
     return kept
 
