@@ -301,7 +301,7 @@ def evidence(toxic: list[list[str]], other: list[list[str]]) -> Evidence | None:
     if not toxic or not other:
         return None
     bare = {w: _bare(w) for w in set().union(*toxic, *other)}
-    inside, outside = ([{bare[w] for w in bag} for bag in bags] for bags in (toxic, other))
+    inside, outside = ([list({bare[w] for w in bag}) for bag in bags] for bags in (toxic, other))  # lists take less memory
     scale = len(toxic) / len(other)
 
     def told(n: int, c: int) -> float:
@@ -313,7 +313,7 @@ def evidence(toxic: list[list[str]], other: list[list[str]]) -> Evidence | None:
     often: set[str] = set()  # runs of the size before that toxic texts hold often enough
     for size in [0, *range(LEAST_RUN, WINDOW + 1)]:
 
-        def cut(bag: set[str], size: int = size, often: set[str] = often) -> set[str]:
+        def cut(bag: list[str], size: int = size, often: set[str] = often) -> list[str] | set[str]:
             if not size:
                 return bag
             return {g for w in bag for i in range(len(w) - size + 1) if size == LEAST_RUN or w[i : i + size - 1] in often for g in (w[i : i + size],)}
@@ -340,7 +340,7 @@ def evidence(toxic: list[list[str]], other: list[list[str]]) -> Evidence | None:
     return Evidence(tables[0], rate, excess, slope, shift)
 
 
-def telling(toxic: list[set[str]], other: list[set[str]], most: int) -> list[str]:
+def telling(toxic: list[list[str]], other: list[list[str]], most: int) -> list[str]:
     """Strings of folded characters that tell toxic texts, most frequent first.
 
     A run of GRAM characters tells if toxic texts hold it three times as often as others do and the
@@ -446,7 +446,7 @@ def train(toxic: list[list[str]], other: list[list[str]], rounds: int = 4) -> Mo
     """A model from the words of toxic and of other texts, near copies among either left out; None where either is missing or nothing tells them apart."""
     toxic, other = once(toxic), once(other)
     folded = {w: _folded(w) for w in set().union(*toxic, *other)}
-    inside, outside = ([{folded[w] for w in bag} for bag in bags] for bags in (toxic, other))
+    inside, outside = ([list({folded[w] for w in bag}) for bag in bags] for bags in (toxic, other))
     found = telling(inside, outside, LANDMARKS) if inside and outside else []
     seen = evidence(toxic, other)
     alone = seen and Model(Table([]), np.zeros(1, np.float32), 0.0, 1.0, -500.0, (), seen)
@@ -456,6 +456,7 @@ def train(toxic: list[list[str]], other: list[list[str]], rounds: int = 4) -> Mo
     alike = {w: n for w, n in often.items() if any(x[:GRAM] in w or x[1 : GRAM + 1] in w for x in found)}
     top = lambda c, n: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:n]]
     marks = list(dict.fromkeys([*found, *top(alike, COMMON), *top(often, COMMON)]))
+    del inside, outside, often, alike
     rows = np.array([[ord(c) for c in m] + [PART] * (WINDOW - len(m)) for m in marks])
     features = triples(rows)
     column = {t: i for i, t in enumerate(sorted({t for f in features for t in f}))}
