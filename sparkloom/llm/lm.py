@@ -59,7 +59,7 @@ from .packed import PLACES, EliasFano, Words, mix
 BATCH_BYTES = 16 << 20
 SHARD_BYTES = 16 << 20
 #: Bytes of packed batches in a bucket, about.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 32 << 20
 #: The longest n-grams, and the prior of each length from 2 on.
 ORDER, PRIORS = 3, {2: 100.0, 3: 10.0}
 #: The hash of the mark at both ends of a text; no word is empty.
@@ -200,8 +200,8 @@ class Trie:
         out[there] = self.codes[nth][at]
         return out
 
-    def answer(self, keys: np.ndarray, others: tuple[int, ...]) -> bytes:
-        """All codes of each key, as planes()."""
+    def answer(self, keys: np.ndarray, others: tuple[int, ...]) -> list[bytes]:
+        """The codes of each key, as planes(), array by array."""
         there, at = self.find(keys)
         parts = []
         for nth, other in enumerate(others):
@@ -209,7 +209,7 @@ class Trie:
             if len(there):
                 out[there] = self.codes[nth][at]
             parts.append(planes(out))
-        return b"".join(parts)
+        return parts
 
 
 @dataclass
@@ -247,46 +247,53 @@ def distinct(every: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[new], order[new], place
 
 
+#: What was answered, by length and shard: values, and what follows.
+Told = dict[tuple[int, int], tuple[bytes, bytes]]
+
+
 class Batch:
     """A packed batch: the words of texts, and what answers told."""
 
     def __init__(self, vocab: bytes, stream: bytes, sizes: bytes, held: bytes):
         self.vocab = EliasFano(vocab).values()
         raw = np.frombuffer(widened(stream), np.uint8).reshape(4, -1)
-        self.place = np.ascontiguousarray(raw.T).view("<u4").ravel().astype(np.int64)  # of each of the chain among vocab
+        self.place = np.ascontiguousarray(raw.T).view("<i4").ravel()  # of each of the chain among vocab
         self.sizes = np.frombuffer(sizes, "<u8").astype(np.int64)
         self.tokens = Tokens(self.vocab[self.place], self.sizes)
         self.train = np.repeat(np.frombuffer(held, np.uint8) == 0, self.sizes)
 
     @staticmethod
     def stream(place: np.ndarray) -> bytes:
-        return squeezed(np.ascontiguousarray(place.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+        return squeezed(np.ascontiguousarray(place.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
-    def counts(self, answers: dict[tuple[int, int], bytes], layout: Layout) -> np.ndarray:
-        """How often training texts hold each word of the chain."""
+    def counts(self, told: Told, layout: Layout) -> np.ndarray:
+        """How often training texts hold each word of vocab."""
         out = np.zeros(len(self.vocab), np.int64)
         for s, at in layout.dealt(self.vocab):
-            out[at] = counts_of(widened(answers[1, s]), len(at))
-        return out[self.place]
+            out[at] = counts_of(widened(told[1, s][0]), len(at))
+        return out
 
-    def codes(self, answers: dict[tuple[int, int], bytes], n: int, layout: Layout, nth: tuple[int, ...]) -> list[np.ndarray]:
-        """The nth codes of the n-gram that ends with each word."""
+    def codes(self, told: Told, n: int, layout: Layout, nth: tuple[int, ...]) -> list[np.ndarray]:
+        """Of the n-gram that ends with each word: the codes of f (0) or of the g of what follows it (1)."""
         keys, _, place = distinct(self.tokens.keys(n, layout.bits))
         out = [np.zeros(len(keys), "<u2") for _ in nth]
         for s, at in layout.dealt(keys):
-            told = widened(answers[n, s])
             for o, k in zip(out, nth, strict=True):
-                o[at] = unplaned(told, len(at), k)
+                o[at] = unplaned(widened(told[n, s][k]), len(at))
         return [o[place] for o in out]
 
-    def rests(self, answers: dict[tuple[int, int], bytes], count: np.ndarray, n: int, layout: Layout) -> np.ndarray:
+    def after(self, rests: np.ndarray, n: int, ends: int) -> np.ndarray:
+        """The code of g of each word's history of n - 1 words, from those of the words that the histories end with; ends: how many training texts there are."""
+        start = rest_of(np.array([ends]), PRIORS[n])
+        out = np.concatenate([start, rests[:-1]])
+        out[self.tokens.chain[:-1] == EDGE] = start[0]
+        return out
+
+    def rests(self, told: Told, n: int, words: Layout, layout: Layout, ends: int) -> np.ndarray:
         """The code of g of each word's history of n - 1 words."""
-        first = rest_of(count[:-1], PRIORS[n])  # as if the history were one word, or marks alone
         if n == 2:
-            return first
-        (told,) = self.codes(answers, n - 1, layout, (1,))
-        told = np.concatenate([first[:1], told[:-1]])  # the history ends with the word before
-        return np.where(self.tokens.chain[:-1] == EDGE, first, told)
+            return rest_of(self.counts(told, words), PRIORS[2])[self.place[:-1]]
+        return self.after(self.codes(told, n - 1, layout, (1,))[0], n, ends)
 
 
 def words_level(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -324,10 +331,9 @@ def _asked(batch: int, keys: np.ndarray, count: np.ndarray, rests: np.ndarray |
     return [(s, batch, EliasFano.encode(layout.near(keys[at], s)), squeezed(packed_counts(count[at])), None if rests is None else squeezed(planes(rests[at]))) for s, at in layout.dealt(keys)]
 
 
-def _packed(df: DataFrame, id_col: str, text_col: str, held_out: Column, layout: Layout) -> DataFrame:
-    """Rows with shard -1 are batches: ids, held (a byte each), sizes, vocab and stream; the others ask for words."""
+def _packed(df: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataFrame:
+    """batch, ids, held (a byte each), sizes, vocab and stream of about BATCH_BYTES of text."""
     kind = df.schema[id_col].dataType
-    names = ["shard", "batch", "keys", "counts", "rests", "ids", "held", "sizes", "vocab", "stream"]
 
     def run(batches):
         common.trim()
@@ -335,24 +341,17 @@ def _packed(df: DataFrame, id_col: str, text_col: str, held_out: Column, layout:
         ids, held, hashes, sizes, size, made = [], [], [np.zeros(1, np.uint64)], [], 0, 0
         start = (TaskContext.get().partitionId() + 1) << 32
 
-        def rows(n):
-            chain = np.concatenate(hashes)
-            vocab, _, place = distinct(chain)
-            train = np.repeat(np.frombuffer(bytes(held), np.uint8) == 0, np.array(sizes, np.int64))
-            count = np.bincount(place[1:][train], minlength=len(vocab))
-            asked = _asked(start + n, vocab, count, None, layout)
-            asked.append((-1, start + n, None, None, None))
-            columns = [pa.array(c, t) for c, t in zip(zip(*asked, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)]
-            every = pa.concat_arrays(ids)
-            listed = pa.ListArray.from_arrays(pa.array([0] * len(asked) + [len(every)], pa.int32()), every)
-            last = [pa.array([None] * (len(asked) - 1) + [x], pa.binary()) for x in (bytes(held), np.array(sizes, "<u8").tobytes(), EliasFano.encode(vocab), Batch.stream(place))]
-            return pa.RecordBatch.from_arrays([*columns, listed, *last], names=names)
+        def row(n):
+            vocab, _, place = distinct(np.concatenate(hashes))
+            listed = pa.ListArray.from_arrays(pa.array([0, sum(map(len, ids))], pa.int32()), pa.concat_arrays(ids))
+            last = [pa.array([x], pa.binary()) for x in (bytes(held), np.array(sizes, "<u8").tobytes(), EliasFano.encode(vocab), Batch.stream(place))]
+            return pa.RecordBatch.from_arrays([pa.array([start + n]), listed, *last], names=["batch", "ids", "held", "sizes", "vocab", "stream"])
 
         for whole in batches:
             for batch in common.slices(whole, "text", BATCH_BYTES // 4):
                 new = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
                 if sizes and size + sum(map(len, new)) > BATCH_BYTES:
-                    yield rows(made)
+                    yield row(made)
                     ids, held, hashes, sizes, size, made = [], [], [np.zeros(1, np.uint64)], [], 0, made + 1
                 ids.append(batch.column(0))
                 held += batch.column("held").to_pylist()
@@ -363,50 +362,75 @@ def _packed(df: DataFrame, id_col: str, text_col: str, held_out: Column, layout:
                     sizes.append(len(h))
                 size += sum(map(len, new))
         if sizes:
-            yield rows(made)
+            yield row(made)
 
     rows = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text"), held_out.cast("int").alias("held"))
-    return rows.mapInArrow(run, f"{QUESTION}, ids array<{kind.simpleString()}>, held binary, sizes binary, vocab binary, stream binary")
+    return rows.mapInArrow(run, f"batch long, ids array<{kind.simpleString()}>, held binary, sizes binary, vocab binary, stream binary")
+
+
+def _question_table(rows: list[tuple]) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [[]] * 5
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "batch", "keys", "counts", "rests"])
 
 
-def _answers_of(right: pa.Table) -> dict[tuple[int, int], bytes]:
-    """What was answered, by length and shard."""
-    return {(n, s): v for n, s, v in zip(*(right.column(c).to_pylist() for c in ("length", "shard", "values")), strict=True)}
+def _word_questions(batches: DataFrame, layout: Layout) -> DataFrame:
+    """QUESTION rows for words."""
 
+    def run(parts):
+        common.trim()
+        for part in parts:
+            for i, batch in _batches_of(part):
+                count = np.bincount(batch.place[1:][batch.train], minlength=len(batch.vocab))
+                yield from _question_table(_asked(part.column("batch")[i].as_py(), batch.vocab, count, None, layout)).to_batches()
+
+    return batches.select("batch", "vocab", "stream", "sizes", "held").mapInArrow(run, QUESTION)
+
+
+def _answers_of(right: pa.Table) -> Told:
+    every = (right.column(c).to_pylist() for c in ("length", "shard", "values", "rests"))
+    return {(n, s): (v, r) for n, s, v, r in zip(*every, strict=True)}
 
-def _batches_of(left: pa.Table):
+
+def _batches_of(left):
     """(row, Batch) of each batch of a group."""
     for i, row in enumerate(zip(*(left.column(c).to_pylist() for c in ("vocab", "stream", "sizes", "held")), strict=True)):
         yield i, Batch(*row)
 
 
-def _questions(batches: DataFrame, answers: DataFrame, n: int, words: Layout, layout: Layout) -> DataFrame:
-    """QUESTION rows for n-grams, from batches and the answers to shorter ones."""
+def _questions(batches: DataFrame, answers: DataFrame, n: int, words: Layout, layout: Layout, ends: int) -> DataFrame:
+    """QUESTION rows for n-grams, from batches and the answers to what is one word shorter."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         common.trim()
         told, rows = _answers_of(right), []
         for i, batch in _batches_of(left):
-            rests = batch.rests(told, batch.counts(told, words), n, layout)
+            rests = batch.rests(told, n, words, layout, ends)
             keys, at, place = distinct(batch.tokens.keys(n, layout.bits))
             count = np.bincount(place[batch.train], minlength=len(keys))
             rows += _asked(left.column("batch")[i].as_py(), keys, count, rests[at], layout)
-        columns = zip(*rows, strict=True) if rows else [[]] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "batch", "keys", "counts", "rests"])
+        return _question_table(rows)
 
-    return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, QUESTION)
+    # Of longer ones only what follows them is asked for.
+    told = answers.filter(F.col("length") == n - 1).select("batch", "shard", "length", *(["values", "rests"] if n == 2 else [F.lit(None).cast("binary").alias("values"), "rests"]))
+    return batches.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(run, QUESTION)
 
 
-ANSWER = "batch long, shard int, length int, values binary"
+ANSWER = "batch long, shard int, length int, values binary, rests binary"
 
 
 def _answer_table(rows: list[tuple]) -> pa.Table:
-    columns = zip(*rows, strict=True) if rows else [[]] * 4
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["batch", "shard", "length", "values"])
+    columns = zip(*rows, strict=True) if rows else [[]] * 5
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["batch", "shard", "length", "values", "rests"])
+
+
+def _told(batch: int, shard: int, n: int, trie: Trie, keys: np.ndarray, order: int) -> tuple:
+    """A row of ANSWER: f of the keys, and below the longest length the g of what follows."""
+    f, *g = trie.answer(keys, unknown(n, order))
+    return batch, shard, n, squeezed(f), squeezed(g[0]) if g else None
 
 
 def _answers(questions: DataFrame, n: int, order: int, layout: Layout, keep: bool = False) -> DataFrame:
-    """batch, shard, length, values: counts of words, or the codes that the level tells of n-grams, as asked. A row with batch TOTALS holds the shard's numbers of distinct and of all training words; one with LEVEL, if kept, its level."""
+    """ANSWER rows: counts of words, or the codes that the level tells of n-grams, as asked. A row with batch TOTALS holds the shard's numbers of distinct and of all training words, and of training texts; one with LEVEL, if kept, its level."""
 
     def run(table: pa.Table) -> pa.Table:
         common.trim()
@@ -428,10 +452,10 @@ def _answers(questions: DataFrame, n: int, order: int, layout: Layout, keep: boo
         del whole, each, by
         out = []
         if n == 1:
-            out.append((TOTALS, asked[0][1], 1, np.array([len(keys), counts.sum()], "<i8").tobytes()))
-            out += [(b, s, 1, words_told(keys, counts, k)) for b, s, k in asked]
+            out.append((TOTALS, asked[0][1], 1, np.array([len(keys), counts.sum(), counts[keys == EDGE].sum()], "<i8").tobytes(), None))
+            out += [(b, s, 1, words_told(keys, counts, k), None) for b, s, k in asked]
             if keep:
-                out.append((LEVEL, asked[0][1], 1, words_level(keys, counts)))
+                out.append((LEVEL, asked[0][1], 1, words_level(keys, counts), None))
         else:
             codes = [code_of(np.minimum(1.0, counts * (VALUES[rests] / PRIORS[n])))]
             if n < order:
@@ -441,10 +465,10 @@ def _answers(questions: DataFrame, n: int, order: int, layout: Layout, keep: boo
                 with os.fdopen(handle, "wb") as f:
                     f.write(level := Trie.build(keys, layout.next_bits, *codes))
                 if keep:
-                    out.append((LEVEL, asked[0][1], n, level))
+                    out.append((LEVEL, asked[0][1], n, level, None))
                 del level, keys, counts, rests, codes
                 trie = Trie(np.memmap(path, np.uint8, "r"))
-                out += [(b, s, n, squeezed(trie.answer(k, unknown(n, order)))) for b, s, k in asked]
+                out += [_told(b, s, n, trie, k, order) for b, s, k in asked]
                 del trie
             finally:
                 os.unlink(path)
@@ -462,17 +486,15 @@ def _kept_answers(questions: DataFrame, levels: DataFrame, n: int, order: int, l
         level = right.column("values")[0].as_py() if right.num_rows else None
         if n == 1:
             keys, counts = words_of_level(level) if level else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            return _answer_table([(b, s, 1, words_told(keys, counts, k)) for b, s, k in asked])
+            return _answer_table([(b, s, 1, words_told(keys, counts, k), None) for b, s, k in asked])
         trie = Trie(level) if level else Trie(Trie.build(np.zeros(0, np.uint64), layout.next_bits))
-        return _answer_table([(b, s, n, squeezed(trie.answer(k, unknown(n, order)))) for b, s, k in asked])
+        return _answer_table([_told(b, s, n, trie, k, order) for b, s, k in asked])
 
     return questions.groupBy("shard").cogroup(levels.groupBy("shard")).applyInArrow(run, ANSWER)
 
 
-def _batched(df: DataFrame, id_col: str, text_col: str, held_out: Column, size: int, words: Layout) -> tuple[DataFrame, DataFrame]:
-    """(batches, the words that they ask for)."""
-    packed = common.bucketed(_packed(df, id_col, text_col, held_out, words), "batch", max(8, -(-size // (2 * BUCKET_BYTES))), "batches")
-    return packed.filter("shard = -1").select("batch", "ids", "held", "sizes", "vocab", "stream"), packed.filter("shard >= 0").select("shard", "batch", "keys", "counts", "rests")
+def _batched(df: DataFrame, id_col: str, text_col: str, held_out: Column, size: int) -> DataFrame:
+    return common.bucketed(_packed(df, id_col, text_col, held_out), "batch", max(8, -(-size // (2 * BUCKET_BYTES))), "batches")
 
 
 def _text_bytes(df: DataFrame, text_col: str) -> int:
@@ -487,26 +509,26 @@ def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     size = _text_bytes(df, text_col)
     shards = max(8, -(-size // SHARD_BYTES))
     words, layout = Layout(shards, words=True), Layout(shards, max(KEY_BITS, 13 + size.bit_length()))
-    batches, asked = _batched(df, id_col, text_col, F.coalesce(held_out, F.lit(False)), size, words)
-    answers = common.materialize(_answers(asked, 1, order, words, keep is not None), "answers")
+    batches = _batched(df, id_col, text_col, F.coalesce(held_out, F.lit(False)), size)
+    answers = common.materialize(_answers(_word_questions(batches, words), 1, order, words, keep is not None), "answers")
 
     def totals(rows):
         for batch in rows:
             got = [np.frombuffer(v, "<i8") for v in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"v": pa.array([int(x[0]) for x in got]), "n": pa.array([int(x[1]) for x in got])})
+            yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in got], pa.int64()) for k in range(3)], names=["v", "n", "e"])
 
-    found = answers.filter(F.col("batch") == TOTALS).select("values").mapInArrow(totals, "v long, n long").agg(F.sum("v"), F.sum("n")).first()
-    seen, learnt = found[0] or 0, found[1] or 0
+    found = answers.filter(F.col("batch") == TOTALS).select("values").mapInArrow(totals, "v long, n long, e long").agg(F.sum("v"), F.sum("n"), F.sum("e")).first()
+    seen, learnt, ends = (x or 0 for x in found)
     for n in range(2, order + 1):
         common.sweep(spark)
-        more = _answers(_questions(batches, answers.filter("batch >= 0"), n, words, layout), n, order, layout, keep is not None)
+        more = _answers(_questions(batches, answers.filter("batch >= 0"), n, words, layout, ends), n, order, layout, keep is not None)
         answers = answers.unionAll(common.materialize(more, "answers"))
     common.sweep(spark)
     if keep is not None:
-        said = json.dumps({"order": order, "shards": shards, "bits": layout.bits, "seen": seen, "learnt": learnt}).encode()
+        said = json.dumps({"order": order, "shards": shards, "bits": layout.bits, "seen": seen, "learnt": learnt, "ends": ends}).encode()
         meta = spark.createDataFrame([(-1, 0, bytearray(said))], "shard int, length int, values binary")
         answers.filter(F.col("batch") == LEVEL).select("shard", "length", "values").unionAll(meta).write.parquet(keep)
-    return _scored(batches, answers.filter("batch >= 0"), id_col, kind, order, seen, learnt, words, layout)
+    return _scored(batches, answers.filter("batch >= 0"), id_col, kind, order, seen, learnt, ends, words, layout)
 
 
 def kept_scores(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -517,35 +539,35 @@ def kept_scores(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str
     levels = spark.read.parquet(model)
     said = json.loads(bytes(levels.filter("length = 0").first()["values"]))
     order, words, layout = said["order"], Layout(said["shards"], words=True), Layout(said["shards"], said["bits"])
-    batches, asked = _batched(df, id_col, text_col, F.lit(True), _text_bytes(df, text_col), words)
+    batches = _batched(df, id_col, text_col, F.lit(True), _text_bytes(df, text_col))
     of = lambda n: levels.filter(F.col("length") == n).select("shard", "values")
-    answers = common.materialize(_kept_answers(asked, of(1), 1, order, words), "answers")
+    answers = common.materialize(_kept_answers(_word_questions(batches, words), of(1), 1, order, words), "answers")
     for n in range(2, order + 1):
         common.sweep(spark)
-        answers = answers.unionAll(common.materialize(_kept_answers(_questions(batches, answers, n, words, layout), of(n), n, order, layout), "answers"))
-    return _scored(batches, answers, id_col, kind, order, said["seen"], said["learnt"], words, layout)
+        answers = answers.unionAll(common.materialize(_kept_answers(_questions(batches, answers, n, words, layout, said["ends"]), of(n), n, order, layout), "answers"))
+    return _scored(batches, answers, id_col, kind, order, said["seen"], said["learnt"], said["ends"], words, layout)
 
 
-def _scored(batches: DataFrame, answers: DataFrame, id_col: str, kind: str, order: int, seen: int, learnt: int, words: Layout, layout: Layout) -> DataFrame:
+def _scored(batches: DataFrame, answers: DataFrame, id_col: str, kind: str, order: int, seen: int, learnt: int, ends: int, words: Layout, layout: Layout) -> DataFrame:
     """The scores of the batches' texts."""
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         common.trim()
         told, parts = _answers_of(right), []
         for i, batch in _batches_of(left):
-            count = batch.counts(told, words)
+            count, own = batch.counts(told, words), batch.place[1:]
             first = np.cumsum(batch.sizes) - batch.sizes
-            known = np.add.reduceat((count[1:] > 0).astype(np.int64), first)
-            p = (count[1:] + 1.0) / (learnt + seen + 1)
-            base = np.add.reduceat(np.log10(count[1:] + 1.0), first) - batch.sizes * np.log10(learnt + seen + 1)
-            rests = rest_of(count[:-1], PRIORS[2])
+            known = np.add.reduceat((count > 0)[own].astype(np.int64), first)
+            base = np.add.reduceat(np.log10(count + 1.0)[own], first) - batch.sizes * np.log10(learnt + seen + 1)
+            p = ((count + 1.0) / (learnt + seen + 1))[own]
+            rests = rest_of(count, PRIORS[2])[batch.place[:-1]]
             for n in range(2, order + 1):
                 f, *more = batch.codes(told, n, layout, (0, 1) if n < order else (0,))
-                p = np.minimum(1.0, VALUES[f] + VALUES[rests] * p)
-                if more:
-                    start = rest_of(count[:-1], PRIORS[n + 1])
-                    rests = np.where(batch.tokens.chain[:-1] == EDGE, start, np.concatenate([start[:1], more[0][:-1]]))
-            total = np.add.reduceat(np.log10(p), first)
+                p *= VALUES[rests]
+                p += VALUES[f]
+                rests = batch.after(more[0], n + 1, ends) if more else None
+            np.minimum(p, 1.0, out=p)
+            total = np.add.reduceat(np.log10(p, out=p), first)
             ids = left.column("ids")[i].values
             held = np.frombuffer(left.column("held")[i].as_py(), np.uint8) > 0
             parts.append(pa.table([ids, pa.array(held), batch.sizes, known, np.full(len(known), learnt), base, total], names=names))
