@@ -45,6 +45,15 @@ def trim() -> None:
         pass
 
 
+def lean() -> None:
+    """trim(), and from now on gives large arrays of this worker back as soon as they are freed (glibc would else keep ever larger ones)."""
+    trim()
+    try:
+        ctypes.CDLL(None).mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+    except AttributeError:  # another C library
+        pass
+
+
 def bucketed(df: DataFrame, by: str, buckets: int, tag: str) -> DataFrame:
     """df written as materialize() does, dealt to buckets by a column, so that grouping by it later moves no row again."""
     spark = df.sparkSession
@@ -58,8 +67,9 @@ def bucketed(df: DataFrame, by: str, buckets: int, tag: str) -> DataFrame:
 
 def sweep(spark: SparkSession) -> None:
     """Has garbage collected on the driver, so that Spark's cleaner removes the shuffle files of what nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees may hold on to more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,7 +56,7 @@ from pyspark.sql import functions as F
 from . import common
 from .packed import PLACES, EliasFano, Words, mix
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 SHARD_BYTES = 16 << 20
 #: Bytes of packed batches in a bucket, about.
 BUCKET_BYTES = 32 << 20
@@ -336,7 +336,7 @@ def _packed(df: DataFrame, id_col: str, text_col: str, held_out: Column) -> Data
     kind = df.schema[id_col].dataType
 
     def run(batches):
-        common.trim()
+        common.lean()
         words = Words()
         ids, held, hashes, sizes, size, made = [], [], [np.zeros(1, np.uint64)], [], 0, 0
         start = (TaskContext.get().partitionId() + 1) << 32
@@ -377,7 +377,7 @@ def _word_questions(batches: DataFrame, layout: Layout) -> DataFrame:
     """QUESTION rows for words."""
 
     def run(parts):
-        common.trim()
+        common.lean()
         for part in parts:
             for i, batch in _batches_of(part):
                 count = np.bincount(batch.place[1:][batch.train], minlength=len(batch.vocab))
@@ -401,7 +401,7 @@ def _questions(batches: DataFrame, answers: DataFrame, n: int, words: Layout, la
     """QUESTION rows for n-grams, from batches and the answers to what is one word shorter."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        common.trim()
+        common.lean()
         told, rows = _answers_of(right), []
         for i, batch in _batches_of(left):
             rests = batch.rests(told, n, words, layout, ends)
@@ -433,7 +433,7 @@ def _answers(questions: DataFrame, n: int, order: int, layout: Layout, keep: boo
     """ANSWER rows: counts of words, or the codes that the level tells of n-grams, as asked. A row with batch TOTALS holds the shard's numbers of distinct and of all training words, and of training texts; one with LEVEL, if kept, its level."""
 
     def run(table: pa.Table) -> pa.Table:
-        common.trim()
+        common.lean()
         asked, keys, counts, rests = [], [], [], []
         for s, b, k, c, r in zip(*(table.column(x).to_pylist() for x in ("shard", "batch", "keys", "counts", "rests")), strict=True):
             k = layout.near(EliasFano(k).values(), s, True)
@@ -481,7 +481,7 @@ def _kept_answers(questions: DataFrame, levels: DataFrame, n: int, order: int, l
     """The answers of kept levels (shard, values) to what is asked."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        common.trim()
+        common.lean()
         asked = [(b, s, layout.near(EliasFano(k).values(), s, True)) for s, b, k in zip(*(left.column(x).to_pylist() for x in ("shard", "batch", "keys")), strict=True)]
         level = right.column("values")[0].as_py() if right.num_rows else None
         if n == 1:
@@ -521,8 +521,7 @@ def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     seen, learnt, ends = (x or 0 for x in found)
     for n in range(2, order + 1):
         common.sweep(spark)
-        more = _answers(_questions(batches, answers.filter("batch >= 0"), n, words, layout, ends), n, order, layout, keep is not None)
-        answers = answers.unionAll(common.materialize(more, "answers"))
+        answers = answers.unionAll(common.materialize(_answers(_questions(batches, answers.filter("batch >= 0"), n, words, layout, ends), n, order, layout, keep is not None), "answers"))
     common.sweep(spark)
     if keep is not None:
         said = json.dumps({"order": order, "shards": shards, "bits": layout.bits, "seen": seen, "learnt": learnt, "ends": ends}).encode()
@@ -552,7 +551,7 @@ def _scored(batches: DataFrame, answers: DataFrame, id_col: str, kind: str, orde
     """The scores of the batches' texts."""
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        common.trim()
+        common.lean()
         told, parts = _answers_of(right), []
         for i, batch in _batches_of(left):
             count, own = batch.counts(told, words), batch.place[1:]
