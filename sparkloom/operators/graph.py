@@ -88,16 +88,18 @@ class Graph:
 
     def triangles(self, parity: bool = False) -> DataFrame:
         """n: triangles. Each wedge starts at its lowest vertex, whose out-degree the orientation bounds by the square root of
-        the edges, and is made once, with its ends in order. Repeated lines and loops don't count; with parity they do: each
+        the edges, is made once, with its ends in order, and all wedges of an edge move as one list. Repeated lines and loops don't count; with parity they do: each
         oriented entry v-u adds, for each w, the lesser number of entries v-w and u-w."""
         if parity:
             e = materialize(self.oriented().groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times")), "oriented")
             met = e.alias("v").join(e.alias("w"), F.expr("v.src = w.src")).join(e.alias("u"), F.expr("u.src = v.dst AND u.dst = w.dst"))
             return met.agg(F.coalesce(F.sum(F.expr("v.times * least(w.times, u.times)")), F.lit(0)).cast("long").alias("n"))
-        e = materialize(self.oriented().filter("src <> dst").select("src", "dst", F.struct("dd", "dst").alias("place")).distinct(), "oriented")
-        wedge = e.join(e.select("src", F.col("dst").alias("other"), F.col("place").alias("beyond")), "src").filter(F.col("place") < F.col("beyond"))
-        closed = wedge.select("dst", "other").join(e.select(F.col("src").alias("dst"), F.col("dst").alias("other")), ["dst", "other"])
-        return closed.agg(F.count(F.lit(1)).alias("n"))
+        ordered = F.sort_array(F.collect_set(F.struct("dd", "dst")))
+        after = materialize(self.oriented().filter("src <> dst").groupBy("src").agg(F.transform(ordered, lambda x: x["dst"]).alias("others")), "oriented")
+        # Each neighbour gets what follows it in the list, and counts how much of that its own list holds.
+        wedges = after.select(F.posexplode("others").alias("at", "dst"), "others").select("dst", F.slice("others", F.col("at") + 2, F.size("others")).alias("ends"))
+        met = wedges.filter(F.size("ends") > 0).join(after.select(F.col("src").alias("dst"), "others"), "dst")
+        return met.agg(F.coalesce(F.sum(F.size(F.array_intersect("ends", "others"))), F.lit(0)).cast("long").alias("n"))
 
     def reached(self, start: int | None = None) -> DataFrame:
         """id, depth of what out-edges reach from start (the lowest id)."""

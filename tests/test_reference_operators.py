@@ -26,6 +26,30 @@ def test_edge_lines(spark):
     assert tuple(Graph(edges, False).stats().first()) == (3, 3, False, 1, 3)
 
 
+@pytest.mark.parametrize("partitions", [None, 5])
+def test_read_graph(spark, tmp_path, partitions):
+    (tmp_path / "a.txt").write_text("# from to\n1 2\n2\t3\n")
+    (tmp_path / "b.txt").write_text("3 1\n4 4\nx y\n")
+    g = readers.read_graph(spark, str(tmp_path), True, partitions)
+    assert tuple(g.stats().first()) == (4, 4, False, 1, 4) and g.triangles().first()["n"] == 1
+    assert partitions is None or g.lines.rdd.getNumPartitions() == partitions
+    assert {r["part"]: r["n_verts"] for r in g.partition_stats(3).collect()}[None] == 4
+
+
+def test_lines_of_keys_never_looked_up(spark):
+    rows = spark.createDataFrame([("a", "found", 1), ("b", "not_found", None), ("c", None, None)], "key string, status string, value int")
+    assert sorted(r["line"] for r in kvs.result_lines(rows).collect()) == ["a: 1", "b: not found", "c: never looked up"]
+
+
+def test_kept_buckets_are_scanned_alone(spark, tmp_path):
+    kv = spark.createDataFrame([(f"k{i}", i) for i in range(200)], "key string, value int")
+    kept = kvs.save_buckets(kv, 10, str(tmp_path / "store"))
+    parts = [kvs.bucket_scan(kept, 10, a, b) for a, b in fn.group_buckets(10, 4)[:-1]] + [kvs.bucket_scan(kept, 10, 9, 10)]
+    seen = [sorted(map(tuple, p.collect())) for p in parts]
+    assert seen[0] == sorted(map(tuple, kvs.bucket_scan(kv, 10, 0, 3).collect())) and sum(map(len, seen)) == 200
+    assert "PartitionFilters: [isnotnull(bucket" in parts[0]._jdf.queryExecution().toString()
+
+
 def test_triangles(spark):
     assert graph(spark, [(1, 2), (2, 3), (1, 3), (3, 4)], False).triangles().first()[0] == 1
     assert graph(spark, [(a, b) for a in range(4) for b in range(a)], False).triangles().first()[0] == 4
