@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.collections import bucket_of
-from sparkloom.plans.materialize import materialize, remove
+from sparkloom.plans.materialize import bucketed, materialize, remove
 
 
 @dataclass(frozen=True)
@@ -161,17 +161,22 @@ class Graph:
         d = materialize(self.out_degrees(), "degrees")
         # An edge carries the share of its source's rank that it passes on; repeated lines are one edge with a larger share.
         share = F.count(F.lit(1)) / F.first("degree")
-        links = materialize(self.edges.join(d.select(F.col("id").alias("src"), "degree"), "src").groupBy("src", "dst").agg(share.alias("share")), "links")
-        ranks = materialize(d.select("id", "degree", F.lit(1.0 / n).alias("rank")), "ranks")
-        loose = ranks.filter("degree = 0").count() / n
+        shares = self.edges.join(d.select(F.col("id").alias("src"), "degree"), "src").groupBy("src", "dst").agg(share.alias("share"))
+        # Both tables are dealt alike once, so that in a round only what vertices are given moves.
+        parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        links = bucketed(shares, "src", parts, "links")
+        ranks = bucketed(d.select("id", "degree", F.lit(1.0 / n).alias("rank")), "id", parts, "ranks")
+        loose = d.filter("degree = 0").count() / n
         for k in count(1):  # a damping under 1 shrinks each move by it, so the end is reached
             given = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
             fresh = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + loose / n)
-            now = materialize(ranks.select("id", "degree", "rank").join(given, "id", "left").select("id", "degree", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("moved")), "ranks")
+            step = ranks.select("id", "degree", "rank").join(given, "id", "left")
+            now = bucketed(step.select("id", "degree", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("moved")), "id", parts, "ranks", dealt=True)
             moved, loose = now.agg(F.sum("moved"), F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("rank"))), F.lit(0.0))).first()
             remove(ranks)
             ranks = now
             if k == rounds or (rounds is None and moved < tolerance):
+                remove(links)
                 return ranks.select("id", "rank")
             if k == most:
                 break

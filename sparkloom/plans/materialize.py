@@ -32,8 +32,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, by: str, buckets: int, tag: str, dealt: bool = False) -> DataFrame:
+    """df written as materialize() does, dealt to buckets by a column, so that grouping or joining by it later moves no row again. dealt: its rows lie so already, as after a join with another such table."""
+    spark = df.sparkSession
+    name = f"{tag}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    (df if dealt else df.repartition(buckets, by)).write.bucketBy(buckets, by).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.table_path, out.table_name = path, name
+    return out
+
+
 def remove(df: DataFrame) -> None:
-    """Removes the table of a DataFrame that materialize() gave; nothing may read it any more."""
+    """Removes the table of a DataFrame that materialize() or bucketed() gave; nothing may read it any more."""
     spark = df.sparkSession
+    if "table_name" in vars(df):
+        spark.sql(f"DROP TABLE IF EXISTS {df.table_name}")
     path = spark._jvm.org.apache.hadoop.fs.Path(df.table_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
