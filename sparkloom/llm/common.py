@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.plans.materialize import materialize, remove, shared_dir
+from sparkloom.plans.materialize import bucketed, materialize, remove
 from sparkloom.ship import ship
 
-__all__ = ["materialize", "remove", "shared_dir"]
+__all__ = ["bucketed", "materialize", "remove"]
 
 #: The white space that parts words: U+0020 and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
@@ -54,17 +53,6 @@ def lean() -> None:
         pass
 
 
-def bucketed(df: DataFrame, by: str, buckets: int, tag: str) -> DataFrame:
-    """df written as materialize() does, dealt to buckets by a column, so that grouping by it later moves no row again."""
-    spark = df.sparkSession
-    name = f"{tag}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
-    df.repartition(buckets, by).write.bucketBy(buckets, by).option("path", path).saveAsTable(name)
-    out = spark.table(name)
-    out.table_path = path
-    return out
-
-
 def sweep(spark: SparkSession) -> None:
     """Has garbage collected on the driver, so that Spark's cleaner removes the shuffle files of what nothing refers to any more."""
     for _ in range(2):  # what the first round frees may hold on to more
