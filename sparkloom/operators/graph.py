@@ -13,6 +13,10 @@ from sparkloom.functions.collections import bucket_of
 from sparkloom.plans.materialize import bucketed, materialize, remove
 
 
+#: Vertices from which a graph's tables are dealt to buckets.
+MANY = 1_000_000
+
+
 @dataclass(frozen=True)
 class Graph:
     """lines(src, dst): one row for each input line, with repeats and loops. alone(id): vertices that need no line."""
@@ -162,16 +166,20 @@ class Graph:
         # An edge carries the share of its source's rank that it passes on; repeated lines are one edge with a larger share.
         share = F.count(F.lit(1)) / F.first("degree")
         shares = self.edges.join(d.select(F.col("id").alias("src"), "degree"), "src").groupBy("src", "dst").agg(share.alias("share"))
-        # Both tables are dealt alike once, so that in a round only what vertices are given moves.
         parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        links = bucketed(shares, "src", parts, "links")
-        ranks = bucketed(d.select("id", "degree", F.lit(1.0 / n).alias("rank")), "id", parts, "ranks")
+
+        def written(df: DataFrame, by: str, tag: str, dealt: bool = False) -> DataFrame:
+            """Large graphs' tables are dealt alike once, so that in a round only what vertices are given moves; a small one's buckets would be many tiny files."""
+            return bucketed(df, by, parts, tag, dealt) if n >= MANY else materialize(df, tag)
+
+        links = written(shares, "src", "links")
+        ranks = written(d.select("id", "degree", F.lit(1.0 / n).alias("rank")), "id", "ranks")
         loose = d.filter("degree = 0").count() / n
         for k in count(1):  # a damping under 1 shrinks each move by it, so the end is reached
             given = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
             fresh = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + loose / n)
             step = ranks.select("id", "degree", "rank").join(given, "id", "left")
-            now = bucketed(step.select("id", "degree", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("moved")), "id", parts, "ranks", dealt=True)
+            now = written(step.select("id", "degree", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("moved")), "id", "ranks", dealt=True)
             moved, loose = now.agg(F.sum("moved"), F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("rank"))), F.lit(0.0))).first()
             remove(ranks)
             ranks = now

@@ -61,7 +61,9 @@ def test_reach_and_components(spark):
     assert graph(spark, []).reached().count() == 0
 
 
-def test_pagerank_sums_to_one(spark):
+@pytest.mark.parametrize("many", [1, 1_000_000])
+def test_pagerank_sums_to_one(spark, monkeypatch, many):
+    monkeypatch.setattr("sparkloom.operators.graph.MANY", many)
     ranks = dict(map(tuple, graph(spark, [(1, 2), (2, 3), (3, 1), (4, 1)]).pagerank().collect()))
     assert sum(ranks.values()) == pytest.approx(1) and ranks[1] > ranks[4]
 
