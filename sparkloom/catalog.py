@@ -100,7 +100,8 @@ def kv_bucket_scan(spark, sf_dir):
 
 
 def updates(spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.concat(F.lit("key-"), F.col("user_id").cast("string")).alias("key"), F.floor(F.col("value")).cast("long").alias("value"), F.col("event_id").alias("seq"))
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("key-"), F.col("user_id").cast("string")).alias("key"),
+        F.floor(F.col("value")).cast("long").alias("value"), F.col("event_id").alias("seq"))
 
 
 UPDATES = "SELECT 'key-' || user_id AS key, CAST(floor(value) AS BIGINT) AS value, event_id AS seq FROM events"
@@ -247,7 +248,8 @@ def graph_neighbour_degrees(spark, sf_dir):
  ORDER BY y.degree, s.dst) AS neighbours FROM s JOIN d x ON s.src = x.id JOIN d y ON s.dst = y.id WHERE y.degree > x.degree OR
  (y.degree = x.degree AND s.dst >= s.src) GROUP BY s.src""")
 def graph_effective_neighbours(spark, sf_dir):
-    return parts_graph(spark, sf_dir).effective_neighbours().select("id", F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("neighbours"))
+    return parts_graph(spark, sf_dir).effective_neighbours().select("id",
+        F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("neighbours"))
 
 
 @query(SUPPLY + ", r AS (SELECT min(id) AS id FROM v UNION SELECT e.dst FROM r JOIN e ON r.id = e.src) SELECT id FROM r")
@@ -309,7 +311,8 @@ def graph_chain_reached(spark, sf_dir):
 
 def nation_graph(spark, sf_dir: str) -> Graph:
     """Nations joined with their region: five components."""
-    return Graph(table(spark, sf_dir, "nation").select((F.col("n_regionkey") + 1000).cast("long").alias("src"), F.col("n_nationkey").cast("long").alias("dst")), directed=False)
+    return Graph(table(spark, sf_dir, "nation").select((F.col("n_regionkey") + 1000).cast("long").alias("src"),
+        F.col("n_nationkey").cast("long").alias("dst")), directed=False)
 
 
 @query("""SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(min(n_nationkey) OVER (PARTITION BY n_regionkey) AS BIGINT) AS component
@@ -350,7 +353,8 @@ def graph_pagerank_rounds(spark, sf_dir):
  CAST(regexp_extract(value, '[0-9]+$') AS BIGINT) AS dst FROM t WHERE value NOT LIKE '#%'""")
 def parse_edge_lines(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    lines = l.select(F.concat(F.when(F.col("l_linenumber") == 1, "# ").otherwise(""), F.col("l_orderkey").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, " ").otherwise("\t"), F.col("l_partkey").cast("string")).alias("value"))
+    lines = l.select(F.concat(F.when(F.col("l_linenumber") == 1, "# ").otherwise(""), F.col("l_orderkey").cast("string"),
+        F.when(F.col("l_linenumber") % 2 == 0, " ").otherwise("\t"), F.col("l_partkey").cast("string")).alias("value"))
     return readers.parse_edges(lines)
 
 
@@ -367,7 +371,8 @@ def sorted_lineitems(spark, sf_dir):
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     base = dealt.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_b"))  # a row for each partition
     rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return dealt.withColumn("_r", rank).join(F.broadcast(base), "_p").select("l_orderkey", "l_linenumber", "l_extendedprice", (F.col("_r") + F.col("_b")).alias("place"))
+    return dealt.withColumn("_r", rank).join(F.broadcast(base), "_p").select("l_orderkey", "l_linenumber", "l_extendedprice",
+        (F.col("_r") + F.col("_b")).alias("place"))
 
 
 @query("SELECT count(*) AS n, true AS ordered FROM range(160000)")
@@ -375,7 +380,8 @@ def sort_collection(spark, sf_dir):
     """Sorts a synthetic collection by ranges and checks that its parts follow each other."""
     parts = sorting.part_summary(readers.sort_input(spark, 16, 10_000), "v", 16)
     w = Window.orderBy("part")  # 16 rows
-    return parts.select("n", (F.coalesce(F.lag("high").over(w), F.col("low")) <= F.col("low")).alias("ok")).agg(F.sum("n").alias("n"), F.every("ok").alias("ordered"))
+    return parts.select("n", (F.coalesce(F.lag("high").over(w),
+        F.col("low")) <= F.col("low")).alias("ok")).agg(F.sum("n").alias("n"), F.every("ok").alias("ordered"))
 
 
 @query()
@@ -437,7 +443,8 @@ def member_cuckoo(spark, sf_dir):
 def member_cuckoo_faults(spark, sf_dir):
     """Keys that the filters miss, and whether they take other parts for keys more often than 2.3 % by more than chance (5 deviations)."""
     exact, near = member_exact(spark, sf_dir), member_cuckoo(spark, sf_dir).withColumnRenamed("here", "near")
-    got = exact.join(near, "p_partkey").agg(F.count_if(F.expr("here AND NOT near")).alias("missed"), F.count_if(F.expr("near AND NOT here")).alias("false"), F.count_if(~F.col("here")).alias("others"), F.count(F.lit(1)).alias("probes"))
+    got = exact.join(near, "p_partkey").agg(F.count_if(F.expr("here AND NOT near")).alias("missed"),
+        F.count_if(F.expr("near AND NOT here")).alias("false"), F.count_if(~F.col("here")).alias("others"), F.count(F.lit(1)).alias("probes"))
     most = F.col("others") * 0.023 + 5 * F.sqrt(F.col("others") * 0.023) + 1
     return got.select("missed", (F.col("false") <= most).alias("rate_kept"), "probes")
 
@@ -456,7 +463,8 @@ def array_functions(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(numbers.alias("p")).select(
         "l_orderkey", fn.multiset_overlap(fn.array_truncate(p, 3), fn.array_cut(p, 2, 4)).cast("long").alias("shared"), fn.array_pop_at(p, 1).alias("second"),
         fn.array_find(p, lambda x: x == 0).cast("long").alias("zero"), F.when(F.size(cut) > 0, total(cut)).alias("part_sum"),
-        total(fn.array_push_at(p, 1, F.lit(100).cast("long"))).alias("put_sum"), total(fn.array_bounded_push(p, F.lit(7).cast("long"), 4)).alias("pushed_sum"))
+        total(fn.array_push_at(p, 1, F.lit(100).cast("long"))).alias("put_sum"),
+            total(fn.array_bounded_push(p, F.lit(7).cast("long"), 4)).alias("pushed_sum"))
 
 
 @query("""SELECT event_id, hex(encode(props)[3:7]) AS part, (event_id >> 3) & 1 = 1 AS bit, event_id | 16 AS marked FROM (SELECT
@@ -464,22 +472,26 @@ def array_functions(spark, sf_dir):
  event_id | 16 FROM events WHERE octet_length(encode(props)) < 7""")
 def bytes_and_bits(spark, sf_dir):
     e = F.col("event_id")
-    return table(spark, sf_dir, "events").select("event_id", F.hex(fn.string_slice(F.col("props"), 2, 7)).alias("part"), fn.bit_is_set(e, F.lit(3)).alias("bit"), fn.bit_set(e, 4).alias("marked"))
+    return table(spark, sf_dir, "events").select("event_id", F.hex(fn.string_slice(F.col("props"), 2, 7)).alias("part"),
+        fn.bit_is_set(e, F.lit(3)).alias("bit"), fn.bit_set(e, 4).alias("marked"))
 
 
 @query("""SELECT event_id, CASE WHEN props = '' THEN 0 WHEN props LIKE '%,' THEN len(string_split(props, ',')) - 1 ELSE
  len(string_split(props, ',')) END AS n, octet_length(encode(props)) AS bytes FROM events""")
 def split_strings(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.select("event_id", F.size(fn.split_string(F.col("props"), ",")).cast("long").alias("n"), fn.string_bytes(F.col("props")).cast("long").alias("bytes"))
+    return e.select("event_id", F.size(fn.split_string(F.col("props"), ",")).cast("long").alias("n"),
+        fn.string_bytes(F.col("props")).cast("long").alias("bytes"))
 
 
 @query("""WITH a AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS p FROM lineitem GROUP BY l_orderkey)
  SELECT l_orderkey, p[len(p)] AS last, len(p) - 1 AS left_over, CAST(list_sum(p[1:2]) AS BIGINT) AS first_two FROM a""")
 def array_edits(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("p"))  # noqa: E741
+    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber",
+        "l_partkey"))), lambda x: x["l_partkey"]).alias("p"))  # noqa: E741
     popped = fn.array_pop(F.col("p"))
-    return l.select("l_orderkey", popped["last"].alias("last"), F.size(popped["rest"]).cast("long").alias("left_over"), F.aggregate(fn.array_truncate(F.col("p"), 2), F.lit(0).cast("long"), lambda a, x: a + x).alias("first_two"))
+    return l.select("l_orderkey", popped["last"].alias("last"), F.size(popped["rest"]).cast("long").alias("left_over"),
+        F.aggregate(fn.array_truncate(F.col("p"), 2), F.lit(0).cast("long"), lambda a, x: a + x).alias("first_two"))
 
 
 @query("SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey")
@@ -503,10 +515,14 @@ def workload_shape(spark, sf_dir):
     rmw = readers.kv_workload(spark, 20_000, 1000, 0.5, write="rmw")
     rank = F.transform("keys", lambda k: F.substring(k, 5, 10).cast("long"))
     got = w.withColumn("rank", rank).agg(
-        F.count(F.lit(1)).cast("int").alias("n"), ((F.min("seq") == 0) & (F.max("seq") == F.count(F.lit(1)) - 1) & (F.count_distinct("seq") == F.count(F.lit(1)))).alias("dense"),
-        (F.abs(F.count_if(F.col("op") == "mget") - 10_000) < 5 * 71).alias("mixed"), F.every((F.array_min("rank") >= 0) & (F.array_max("rank") < 1000) & (F.size("rank") == F.when(F.col("op") == "mget", 4).otherwise(1))).alias("in_range"),
+        F.count(F.lit(1)).cast("int").alias("n"),
+            ((F.min("seq") == 0) & (F.max("seq") == F.count(F.lit(1)) - 1) & (F.count_distinct("seq") == F.count(F.lit(1)))).alias("dense"),
+        (F.abs(F.count_if(F.col("op") == "mget") - 10_000) < 5 * 71).alias("mixed"),
+            F.every((F.array_min("rank") >= 0) & (F.array_max("rank") < 1000) & (F.size("rank") == F.when(F.col("op") == "mget",
+            4).otherwise(1))).alias("in_range"),
         F.every(F.when(F.col("op") == "put", F.col("value").between(0, 999_999)).otherwise(F.col("value").isNull())).alias("valued"),
         (F.max_by("keys", F.struct(F.col("seq") == 0, "seq")) != F.max_by("keys", F.struct(F.col("seq") == 10_000, "seq"))).alias("begun_anew"),
         (F.count_if(F.get("rank", F.lit(0)) == 0) > 20 * F.count_if(F.get("rank", F.lit(0)) == 500)).alias("skewed"))
     other = rmw.agg(F.every((F.col("op").isin("get", "rmw")) & F.col("value").isNull()).alias("ok"))
-    return got.join(other).select("n", "dense", "mixed", "in_range", (F.col("valued") & F.col("ok")).alias("valued"), "begun_anew", "skewed")  # one row each
+    return got.join(other).select("n", "dense", "mixed", "in_range", (F.col("valued") & F.col("ok")).alias("valued"),
+        "begun_anew", "skewed")  # one row each

@@ -28,7 +28,8 @@ def array_push(a: Column, x: Column) -> Column:
 def array_pop(a: Column) -> Column:
     """struct(last: null if empty, rest)."""
     n = F.size(a)
-    return F.struct(F.when(n > 0, F.element_at(a, F.when(n > 0, F.lit(-1)).otherwise(F.lit(1)))).alias("last"), F.slice(a, F.lit(1), F.greatest(n - 1, F.lit(0))).alias("rest"))
+    return F.struct(F.when(n > 0, F.element_at(a, F.when(n > 0, F.lit(-1)).otherwise(F.lit(1)))).alias("last"),
+        F.slice(a, F.lit(1), F.greatest(n - 1, F.lit(0))).alias("rest"))
 
 
 def array_put(a: Column, at: int, x: Column) -> Column:

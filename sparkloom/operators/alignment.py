@@ -18,7 +18,8 @@ from sparkloom.plans.materialize import materialize, remove
 from sparkloom.ship import ship
 
 
-def block(a: np.ndarray, b: np.ndarray, top: np.ndarray, left: np.ndarray, corner: int, match=2, mismatch=-1, insert=-1, delete=-1) -> tuple[np.ndarray, np.ndarray]:
+def block(a: np.ndarray, b: np.ndarray, top: np.ndarray, left: np.ndarray, corner: int, match=2, mismatch=-1, insert=-1,
+    delete=-1) -> tuple[np.ndarray, np.ndarray]:
     """(lower edge over a, right edge over b) of a block, by anti-diagonals. top: the row above it, left: the column before it."""
     n, m = len(a), len(b)
     now, one, two = (np.zeros(m + 1, np.int64) for _ in range(3))  # this diagonal and the last ones, by row
@@ -66,14 +67,16 @@ def score(a: str, b: str, chunks: int = 1, **costs) -> int | None:
     return int(row_end[-1])
 
 
-def align(df: DataFrame, a: str, b: str, chunks: int = 1, match: int = 2, mismatch: int = -1, insert: int = -1, delete: int = -1, keep: tuple[str, ...] = ("id",)) -> DataFrame:
+def align(df: DataFrame, a: str, b: str, chunks: int = 1, match: int = 2, mismatch: int = -1, insert: int = -1, delete: int = -1,
+    keep: tuple[str, ...] = ("id",)) -> DataFrame:
     """The columns `keep` with score. The pairs are dealt to as many tasks as there are, so that one small file isn't one task."""
     ship(df.sparkSession)
     rows = df.select(*keep, F.col(a).alias("_a"), F.col(b).alias("_b")).repartition(df.sparkSession.sparkContext.defaultParallelism)
 
     def run(batches):
         for batch in batches:
-            out = [None if x is None or y is None else score(x, y, chunks, match=match, mismatch=mismatch, insert=insert, delete=delete) for x, y in zip(batch.column("_a").to_pylist(), batch.column("_b").to_pylist(), strict=True)]
+            out = [None if x is None or y is None else score(x, y, chunks, match=match, mismatch=mismatch, insert=insert,
+                delete=delete) for x, y in zip(batch.column("_a").to_pylist(), batch.column("_b").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.int32())], names=[*keep, "score"])
 
     fields = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
@@ -94,7 +97,8 @@ def align_long(pair: DataFrame, a: str, b: str, size: int, match: int = 2, misma
     blocks = -(-got[0]["n"] // size)
     at = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("k")
     piece = lambda c: F.substring(F.col("text"), F.col("k") * size + 1, F.lit(size)).alias(c)
-    over, down = (materialize(pair.select(F.col(c).alias("text"), at).select(F.col("k").alias(k), piece(p)), "pieces") for c, k, p in ((a, "j", "x"), (b, "i", "y")))
+    over, down = (materialize(pair.select(F.col(c).alias("text"), at).select(F.col("k").alias(k), piece(p)), "pieces") for c, k,
+        p in ((a, "j", "x"), (b, "i", "y")))
 
     def run(batches):
         for batch in batches:
@@ -105,10 +109,14 @@ def align_long(pair: DataFrame, a: str, b: str, size: int, match: int = 2, misma
                 left = np.frombuffer(r["left"], np.int64) if r["left"] else np.zeros(len(y), np.int64)
                 lower, right = block(x, y, top, left, r["corner"] or 0, match, mismatch, insert, delete)
                 # What the right neighbour gets: the right edge and the corner above it; the lower one gets the lower edge.
-                rows.append({"i": r["i"], "j": r["j"], "right": right.tobytes(), "lower": lower.tobytes(), "corner": int(top[-1]), "last": int(right[-1])})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("i", pa.int32()), ("j", pa.int32()), ("right", pa.binary()), ("lower", pa.binary()), ("corner", pa.int64()), ("last", pa.int64())]))
-
-    asked = spark.range(1).select(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(None).cast("binary").alias("top"), F.lit(None).cast("binary").alias("left"), F.lit(None).cast("long").alias("corner"))
+                rows.append({"i": r["i"], "j": r["j"], "right": right.tobytes(), "lower": lower.tobytes(), "corner": int(top[-1]),
+                    "last": int(right[-1])})
+            yield pa.RecordBatch.from_pylist(rows,
+                schema=pa.schema([("i", pa.int32()), ("j", pa.int32()), ("right", pa.binary()), ("lower", pa.binary()),
+                ("corner", pa.int64()), ("last", pa.int64())]))
+
+    asked = spark.range(1).select(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(None).cast("binary").alias("top"),
+        F.lit(None).cast("binary").alias("left"), F.lit(None).cast("long").alias("corner"))
     done = None
     for d in range(2 * blocks - 1):
         dealt = asked.join(over, "j").join(down, "i").repartition(min(blocks, d + 1, 2 * blocks - 1 - d), "i", "j")
@@ -116,8 +124,10 @@ def align_long(pair: DataFrame, a: str, b: str, size: int, match: int = 2, misma
         if done is not None:
             remove(done)
         done = new
-        right = done.filter(F.col("j") < blocks - 1).select("i", (F.col("j") + 1).alias("j"), F.lit(None).cast("binary").alias("top"), F.col("right").alias("left"), "corner")
-        lower = done.filter(F.col("i") < blocks - 1).select((F.col("i") + 1).alias("i"), "j", F.col("lower").alias("top"), F.lit(None).cast("binary").alias("left"), F.lit(None).cast("long").alias("corner"))
+        right = done.filter(F.col("j") < blocks - 1).select("i", (F.col("j") + 1).alias("j"),
+            F.lit(None).cast("binary").alias("top"), F.col("right").alias("left"), "corner")
+        lower = done.filter(F.col("i") < blocks - 1).select((F.col("i") + 1).alias("i"), "j", F.col("lower").alias("top"),
+            F.lit(None).cast("binary").alias("left"), F.lit(None).cast("long").alias("corner"))
         asked = right.unionAll(lower).groupBy("i", "j").agg(F.max("top").alias("top"), F.max("left").alias("left"), F.max("corner").alias("corner"))
     for old in (over, down):
         remove(old)

@@ -52,12 +52,14 @@ class Graph:
         """n_verts, n_edges (lines), is_directed, min_vertex_id, max_vertex_id. Vertices are made distinct before one final aggregate."""
         n = self.lines.agg(F.count(F.lit(1)).alias("n_edges"))
         v = self.vertices.agg(F.count(F.lit(1)).alias("n_verts"), F.min("id").alias("min_vertex_id"), F.max("id").alias("max_vertex_id"))
-        return v.crossJoin(n).select("n_verts", "n_edges", F.lit(self.directed).alias("is_directed"), "min_vertex_id", "max_vertex_id")  # one row each
+        return v.crossJoin(n).select("n_verts", "n_edges", F.lit(self.directed).alias("is_directed"), "min_vertex_id",
+            "max_vertex_id")  # one row each
 
     def partition_stats(self, parts: int) -> DataFrame:
         """part, n_verts, n_edges (adjacency lengths) of the vertices dealt to parts by bucket, and of all in the row whose part is null."""
         part = bucket_of(F.col("id").cast("string"), parts)
-        return self.out_degrees().rollup(part.alias("part")).agg(F.count(F.lit(1)).alias("n_verts"), F.coalesce(F.sum("degree"), F.lit(0)).cast("long").alias("n_edges"))
+        return self.out_degrees().rollup(part.alias("part")).agg(F.count(F.lit(1)).alias("n_verts"),
+            F.coalesce(F.sum("degree"), F.lit(0)).cast("long").alias("n_edges"))
 
     def out_degrees(self) -> DataFrame:
         """id, degree of all vertices, repeats counted."""
@@ -82,8 +84,10 @@ class Graph:
     def oriented(self) -> DataFrame:
         """Edges towards the vertex with the higher (degree, id); loops stay. ds, dd: the degrees."""
         d = materialize(self.out_degrees(), "degrees")
-        e = self.edges.join(d.select(F.col("id").alias("src"), F.col("degree").alias("ds")), "src").join(d.select(F.col("id").alias("dst"), F.col("degree").alias("dd")), "dst")
-        return e.filter((F.col("dd") > F.col("ds")) | ((F.col("dd") == F.col("ds")) & (F.col("dst") >= F.col("src")))).select("src", "dst", "ds", "dd")
+        e = self.edges.join(d.select(F.col("id").alias("src"), F.col("degree").alias("ds")),
+            "src").join(d.select(F.col("id").alias("dst"), F.col("degree").alias("dd")), "dst")
+        return e.filter((F.col("dd") > F.col("ds")) | ((F.col("dd") == F.col("ds")) & (F.col("dst") >= F.col("src")))).select("src",
+            "dst", "ds", "dd")
 
     def effective_neighbours(self) -> DataFrame:
         """id, neighbours that the orientation keeps, by (degree, id)."""
@@ -99,9 +103,11 @@ class Graph:
             met = e.alias("v").join(e.alias("w"), F.expr("v.src = w.src")).join(e.alias("u"), F.expr("u.src = v.dst AND u.dst = w.dst"))
             return met.agg(F.coalesce(F.sum(F.expr("v.times * least(w.times, u.times)")), F.lit(0)).cast("long").alias("n"))
         ordered = F.sort_array(F.collect_set(F.struct("dd", "dst")))
-        after = materialize(self.oriented().filter("src <> dst").groupBy("src").agg(F.transform(ordered, lambda x: x["dst"]).alias("others")), "oriented")
+        after = materialize(self.oriented().filter("src <> dst").groupBy("src").agg(F.transform(ordered,
+            lambda x: x["dst"]).alias("others")), "oriented")
         # Each neighbour gets what follows it in the list, and counts how much of that its own list holds.
-        wedges = after.select(F.posexplode("others").alias("at", "dst"), "others").select("dst", F.slice("others", F.col("at") + 2, F.size("others")).alias("ends"))
+        wedges = after.select(F.posexplode("others").alias("at", "dst"), "others").select("dst",
+            F.slice("others", F.col("at") + 2, F.size("others")).alias("ends"))
         met = wedges.filter(F.size("ends") > 0).join(after.select(F.col("src").alias("dst"), "others"), "dst")
         return met.agg(F.coalesce(F.sum(F.size(F.array_intersect("ends", "others"))), F.lit(0)).cast("long").alias("n"))
 
@@ -123,8 +129,10 @@ class Graph:
         links = materialize(links, "links")
         labels = materialize(self.vertices.select("id", F.col("id").alias("label")), "labels")
         while True:
-            near = links.join(labels.select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("near"))
-            step = labels.select("id", "label").join(near, "id", "left").select("id", F.col("label").alias("old"), F.least("label", "near").alias("to"))
+            near = links.join(labels.select(F.col("id").alias("src"), "label"),
+                "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("near"))
+            step = labels.select("id", "label").join(near, "id", "left").select("id", F.col("label").alias("old"),
+                F.least("label", "near").alias("to"))
             jump = labels.select(F.col("id").alias("to"), F.col("label").alias("next"))
             now = materialize(step.join(jump, "to", "left").select("id", "old", F.least("to", "next").alias("label")), "labels")
             remove(labels)
@@ -155,7 +163,8 @@ class Graph:
         base = d.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))  # a row for each partition
         rank = F.row_number().over(Window.partitionBy("_p").orderBy("id")) - 1
         dealt = d.withColumn("_r", rank).join(F.broadcast(base), "_p")
-        return dealt.groupBy(((F.col("_base") + F.col("_r")) / most).cast("long").alias("part")).agg(F.count(F.lit(1)).alias("n_verts"), F.sum("degree").alias("n_edges"))
+        return dealt.groupBy(((F.col("_base") + F.col("_r")) / most).cast("long").alias("part")).agg(F.count(F.lit(1)).alias("n_verts"),
+            F.sum("degree").alias("n_edges"))
 
     def pagerank(self, damping: float = 0.85, tolerance: float = 1e-6, most: int | None = None, rounds: int | None = None) -> DataFrame:
         """id, rank (they sum to 1): power iteration until the ranks move less than tolerance in all, or for just `rounds` rounds; more than `most` rounds are an error. Vertices without out-edges spread their rank evenly."""
@@ -176,7 +185,8 @@ class Graph:
         ranks = written(d.select("id", "degree", F.lit(1.0 / n).alias("rank")), "id", "ranks")
         loose = d.filter("degree = 0").count() / n
         for k in count(1):  # a damping under 1 shrinks each move by it, so the end is reached
-            given = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+            given = links.join(ranks.select(F.col("id").alias("src"), "rank"),
+                "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
             fresh = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + loose / n)
             step = ranks.select("id", "degree", "rank").join(given, "id", "left")
             now = written(step.select("id", "degree", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("moved")), "id", "ranks", dealt=True)

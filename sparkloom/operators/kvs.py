@@ -44,13 +44,16 @@ def multi_get(store: DataFrame, keys: DataFrame) -> DataFrame:
 def multi_get_batch(store: DataFrame, keys: DataFrame) -> DataFrame:
     """Every key once, with status found or not_found."""
     here = store.select("key", "value", F.lit(True).alias("_here"))
-    return keys.select("key").distinct().join(here, "key", "left").select("key", F.when(F.col("_here"), "found").otherwise("not_found").alias("status"), "value")
+    return keys.select("key").distinct().join(here, "key", "left").select("key",
+        F.when(F.col("_here"), "found").otherwise("not_found").alias("status"), "value")
 
 
 def result_lines(found: DataFrame) -> DataFrame:
     """'key: value' of each row; without a value, what is known of it."""
     status = F.col("status") if "status" in found.columns else F.lit("found")
-    return found.select(F.when(status == "found", F.concat_ws(": ", "key", F.col("value").cast("string"))).when(status == "not_found", F.concat("key", F.lit(": not found"))).otherwise(F.concat("key", F.lit(": never looked up"))).alias("line"))
+    return found.select(F.when(status == "found",
+        F.concat_ws(": ", "key", F.col("value").cast("string"))).when(status == "not_found",
+        F.concat("key", F.lit(": not found"))).otherwise(F.concat("key", F.lit(": never looked up"))).alias("line"))
 
 
 def read_modify_write(store: DataFrame, requests: DataFrame) -> DataFrame:
@@ -70,9 +73,11 @@ def merge_partials(*parts: DataFrame) -> DataFrame:
 
 def union(a: DataFrame, b: DataFrame, choose) -> DataFrame:
     """Full outer merge; choose(a's value, b's value) decides for common keys."""
-    x, y = a.select("key", F.col("value").alias("_a"), F.lit(True).alias("_ia")), b.select("key", F.col("value").alias("_b"), F.lit(True).alias("_ib"))
+    x, y = a.select("key", F.col("value").alias("_a"), F.lit(True).alias("_ia")), b.select("key", F.col("value").alias("_b"),
+        F.lit(True).alias("_ib"))
     both = F.col("_ia").isNotNull() & F.col("_ib").isNotNull()
-    return x.join(y, "key", "full_outer").select("key", F.when(both, choose(F.col("_a"), F.col("_b"))).otherwise(F.coalesce("_a", "_b")).alias("value"))
+    return x.join(y, "key", "full_outer").select("key",
+        F.when(both, choose(F.col("_a"), F.col("_b"))).otherwise(F.coalesce("_a", "_b")).alias("value"))
 
 
 def intersection(a: DataFrame, b: DataFrame, choose) -> DataFrame:

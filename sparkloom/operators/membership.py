@@ -110,7 +110,8 @@ def member(probes: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     return probes.join(held, column, "left").select(*probes.columns, F.coalesce("_h", F.lit(False)).alias("here"))
 
 
-def approximate_member(probes: DataFrame, keys: DataFrame, column: str, bits: int = 10, part_keys: int = PART_KEYS, part_probes: int = PART_PROBES) -> DataFrame:
+def approximate_member(probes: DataFrame, keys: DataFrame, column: str, bits: int = 10, part_keys: int = PART_KEYS,
+    part_probes: int = PART_PROBES) -> DataFrame:
     """column, here, for each distinct probe that isn't null: true for what is there, and by chance for Cuckoo.false_rate of
     the rest, 2.3 % at 10 bits and full load. The keys' hashes are dealt to parts of part_keys, each with a filter of its own;
     the probes of a part are dealt on to tasks of part_probes, each with a copy of that filter. A filter that overflows is

@@ -13,4 +13,5 @@ def sort_partitions(df: DataFrame, column: str, parts: int) -> DataFrame:
 
 def part_summary(df: DataFrame, column: str, parts: int) -> DataFrame:
     """part, n, low, high of the sorted partitions."""
-    return sort_partitions(df, column, parts).groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("low"), F.max(column).alias("high"))
+    return sort_partitions(df, column, parts).groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"),
+        F.min(column).alias("low"), F.max(column).alias("high"))

@@ -11,7 +11,8 @@ from sparkloom.operators.graph import Graph
 def parse_edges(lines: DataFrame) -> DataFrame:
     """src, dst from rows of value: '#' begins a comment, the first space or tab parts a line, and a line whose source isn't a number is skipped, as is one whose destination isn't (a deviation: it would end the load)."""
     part = F.split("value", "[ \t]", 2)
-    edges = lines.filter(~F.col("value").startswith("#")).select(F.get(part, F.lit(0)).try_cast("bigint").alias("src"), F.trim(F.get(part, F.lit(1))).try_cast("bigint").alias("dst"))
+    edges = lines.filter(~F.col("value").startswith("#")).select(F.get(part, F.lit(0)).try_cast("bigint").alias("src"),
+        F.trim(F.get(part, F.lit(1))).try_cast("bigint").alias("dst"))
     return edges.filter("src IS NOT NULL AND dst IS NOT NULL")
 
 
@@ -23,7 +24,8 @@ def read_graph(spark: SparkSession, path: str, undirected: bool, partitions: int
 
 def sort_input(spark: SparkSession, parts: int = 16, each: int = 1_000_000, seed: int = 51017) -> DataFrame:
     """part, v: the same numbers for the same seed."""
-    return spark.range(0, parts * each, 1, parts).select((F.col("id") / each).cast("int").alias("part"), F.xxhash64(F.col("id"), F.lit(seed)).alias("v"))
+    return spark.range(0, parts * each, 1, parts).select((F.col("id") / each).cast("int").alias("part"),
+        F.xxhash64(F.col("id"), F.lit(seed)).alias("v"))
 
 
 def alignment_input(spark: SparkSession, kb: int) -> DataFrame:
@@ -31,7 +33,8 @@ def alignment_input(spark: SparkSession, kb: int) -> DataFrame:
     return spark.range(1).select(F.repeat(F.lit("a"), 1024 * kb).alias("a"), F.repeat(F.lit("b"), 1024 * kb).alias("b"))
 
 
-def kv_workload(spark: SparkSession, requests: int, keys: int = 1_000_000, read_ratio: float = 0.9, zipf: float | None = None, width: int = 1, seed: int = 51017, write: str = "put", reseed: int | None = None) -> DataFrame:
+def kv_workload(spark: SparkSession, requests: int, keys: int = 1_000_000, read_ratio: float = 0.9, zipf: float | None = None,
+    width: int = 1, seed: int = 51017, write: str = "put", reseed: int | None = None) -> DataFrame:
     """seq, op, keys, value: a reproducible mix of get (mget if width > 1) and `write`, put or rmw; a put alone has a value.
     Keys are uniform, or Zipf by the inverse of the continuous law, so no table of keys is joined. After each `reseed`
     requests the numbers begin anew from the next seed."""
@@ -50,4 +53,6 @@ def kv_workload(spark: SparkSession, requests: int, keys: int = 1_000_000, read_
 
     read = u(F.lit(-1)) < read_ratio
     many = F.transform(F.sequence(F.lit(1), F.when(read, F.lit(width)).otherwise(F.lit(1))), key)
-    return spark.range(requests).select(F.col("id").alias("seq"), F.when(read, "mget" if width > 1 else "get").otherwise(write).alias("op"), many.alias("keys"), F.when(~read & F.lit(write == "put"), F.floor(u(F.lit(-2)) * 1_000_000).cast("int")).alias("value"))
+    return spark.range(requests).select(F.col("id").alias("seq"),
+        F.when(read, "mget" if width > 1 else "get").otherwise(write).alias("op"), many.alias("keys"),
+        F.when(~read & F.lit(write == "put"), F.floor(u(F.lit(-2)) * 1_000_000).cast("int")).alias("value"))

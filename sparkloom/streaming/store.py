@@ -41,8 +41,10 @@ def put_stream(updates: DataFrame) -> DataFrame:
     """key, seq, value after each micro-batch, for streams of (key, value, seq), as kvs.put does: any seq counts, a late, lower one changes nothing, a null value is put, and an update without seq is none."""
     ship(updates.sparkSession)
     # Integers next to nulls would become floating-point numbers, so a value and whether it is there go apart.
-    rows = updates.filter("seq IS NOT NULL").select("key", F.col("seq").cast("long").alias("seq"), F.coalesce(F.col("value").cast("long"), F.lit(0)).alias("value"), F.col("value").isNotNull().alias("there"))
-    return rows.groupBy("key").applyInPandasWithState(_put, "key string, seq long, value long", "seq long, value long", "update", GroupStateTimeout.NoTimeout)
+    rows = updates.filter("seq IS NOT NULL").select("key", F.col("seq").cast("long").alias("seq"),
+        F.coalesce(F.col("value").cast("long"), F.lit(0)).alias("value"), F.col("value").isNotNull().alias("there"))
+    return rows.groupBy("key").applyInPandasWithState(_put, "key string, seq long, value long", "seq long, value long", "update",
+        GroupStateTimeout.NoTimeout)
 
 
 def rmw_stream(requests: DataFrame) -> DataFrame:
