@@ -193,7 +193,8 @@ def _files(vocabulary: str | None, pattern: str | None) -> tuple[str, str]:
     return vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None, with_decoded: bool = False) -> DataFrame:
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None,
+    pattern: str | None = None, with_decoded: bool = False) -> DataFrame:
     """id_col and ids (array<int>); with_decoded adds decoded (binary), made from the ids in the same pass. Each match of pattern is encoded by itself. No shuffle."""
     common.prepare(df.sparkSession)
     path, pattern = _files(vocabulary, pattern)
@@ -210,7 +211,8 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
                 yield pa.RecordBatch.from_pydict(columns)
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"{id_col} {kind}, ids array<int>" + ", decoded binary" * with_decoded)
+    return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run,
+        f"{id_col} {kind}, ids array<int>" + ", decoded binary" * with_decoded)
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
@@ -232,4 +234,6 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabula
 def op4_prefix_bpe(spark, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again: digests of its ids and of the decoded bytes."""
     out = encode(common.documents(spark, sf_dir), with_decoded=True)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))

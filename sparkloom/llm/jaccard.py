@@ -173,10 +173,13 @@ def _frequent(rows: DataFrame, n: int, shards: int) -> tuple[np.ndarray, np.ndar
             for batch in common.slices(whole, "text", 8 << 20):
                 keys, count = np.unique(token_sets(_texts(batch), n, words)[0] >> shift, return_counts=True)
                 cut = np.searchsorted(keys, np.arange(shards + 1, dtype=np.uint64) * np.uint64(-(-(1 << COUNT_BITS) // shards)))
-                parts = [(s, EliasFano.encode(keys[a:b]), np.minimum(count[a:b], 65535).astype("<u2")) for s, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+                parts = [(s, EliasFano.encode(keys[a:b]), np.minimum(count[a:b], 65535).astype("<u2")) for s,
+                    (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
                 # Nearly all counts are 1: only the others are sent, with their places.
                 more = [(np.flatnonzero(c > 1).astype("<u4"), c) for _, _, c in parts]
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in parts], pa.int32()), pa.array([k for _, k, _ in parts], pa.binary()), pa.array([at.tobytes() for at, _ in more], pa.binary()), pa.array([c[at].tobytes() for at, c in more], pa.binary())], names=["shard", "keys", "places", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in parts], pa.int32()),
+                    pa.array([k for _, k, _ in parts], pa.binary()), pa.array([at.tobytes() for at, _ in more], pa.binary()),
+                    pa.array([c[at].tobytes() for at, c in more], pa.binary())], names=["shard", "keys", "places", "counts"])
 
     def count(table: pa.Table) -> pa.Table:
         common.trim()
@@ -249,12 +252,14 @@ def _sign(rows: DataFrame, id_col: str, n: int, percent: int, shards: int, heavy
                 rows, ids = [], []
                 for s, at in parts:
                     who, place = np.unique(owner[at], return_inverse=True)
-                    rows.append((s, sign[at].tobytes(), np.array([place, rest[at]], "<u4").tobytes(), sets[who].tobytes(), np.array([sizes[who], spare[who]], "<u4").tobytes()))
+                    rows.append((s, sign[at].tobytes(), np.array([place, rest[at]], "<u4").tobytes(), sets[who].tobytes(),
+                        np.array([sizes[who], spare[who]], "<u4").tobytes()))
                     ids.append([])
                 rows.append((-1, None, None, sets.tobytes(), sizes.astype("<u4").tobytes()))
                 listed = pa.ListArray.from_arrays(pa.array([0] * len(rows) + [batch.num_rows], pa.int32()), batch.column(id_col))
                 columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:]), listed], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()),
+                    *(pa.array(c, pa.binary()) for c in columns[1:]), listed], names=names)
 
     return rows.mapInArrow(run, f"shard int, signatures binary, owners binary, sets binary, sizes binary, ids array<{kind.simpleString()}>")
 
@@ -310,7 +315,9 @@ def _buckets(signed: DataFrame, percent: int) -> DataFrame:
         one[at.ravel()] = np.arange(len(a))
         a, b, k = a[one], b[one], int(big.sum())
         zero = np.zeros(k, np.int64)
-        columns = {"kind": (zero, np.ones(len(pairs), np.int64)), "x": (sign[big], sets[a]), "y": (sets[big], sets[b]), "nx": (sizes[big], sizes[a]), "ny": (zero, sizes[b]), "spare": (np.repeat(held, held)[big], np.minimum(spare[a], spare[b])), "n": (rest[big], n), "may": (zero, may.astype(np.int64))}
+        columns = {"kind": (zero, np.ones(len(pairs), np.int64)), "x": (sign[big], sets[a]), "y": (sets[big], sets[b]),
+            "nx": (sizes[big], sizes[a]), "ny": (zero, sizes[b]),
+            "spare": (np.repeat(held, held)[big], np.minimum(spare[a], spare[b])), "n": (rest[big], n), "may": (zero, may.astype(np.int64))}
         return pa.table({c: np.concatenate(v) for c, v in columns.items()})
 
     return signed.filter("shard >= 0").groupBy("shard").applyInArrow(run, "kind long, x long, y long, nx long, ny long, spare long, n long, may long")
@@ -320,12 +327,14 @@ def _few(found: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of buckets of few sets whose sizes and shared tokens allow a link."""
     large = found.filter("kind = 0").groupBy(F.col("y").alias("set")).agg(F.count(F.lit(1)).alias("large"))
     sizes = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
-    pairs = found.filter("kind = 1").filter(sizes).groupBy("x", "y").agg(F.sum("n").alias("n"), F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.first("spare").alias("spare"), F.max("may").alias("may")).filter("may = 1").drop("may")
+    pairs = found.filter("kind = 1").filter(sizes).groupBy("x", "y").agg(F.sum("n").alias("n"), F.first("nx").alias("nx"),
+        F.first("ny").alias("ny"), F.first("spare").alias("spare"), F.max("may").alias("may")).filter("may = 1").drop("may")
     for side in ("x", "y"):
         pairs = pairs.join(large.withColumnsRenamed({"set": side, "large": f"l{side}"}), side, "left")
     shared = F.col("n") + F.col("spare") + F.least(F.coalesce("lx", F.lit(0)), F.coalesce("ly", F.lit(0)))
     behind = F.ceil(percent * F.greatest("nx", "ny") / 100 - 1e-9) - 1
-    return pairs.filter((shared + behind) * (100 + percent) >= percent * (F.col("nx") + F.col("ny"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return pairs.filter((shared + behind) * (100 + percent) >= percent * (F.col("nx") + F.col("ny"))).select(F.col("x").alias("a"),
+        F.col("y").alias("b"))
 
 
 def _picked(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
@@ -346,7 +355,9 @@ def _whole_sets(rows: DataFrame, id_col: str, n: int, owners: DataFrame) -> Data
             for batch in common.slices(whole, "text", 4 << 20):
                 tokens, sizes = token_sets(_texts(batch), n, words)
                 parts = [tokens[e - k : e] for e, k in zip(np.cumsum(sizes), sizes) if k]
-                yield pa.RecordBatch.from_arrays([pa.array([set_hash(p) for p in parts], pa.uint64()).cast(pa.int64(), safe=False), pa.array([sketch(p) for p in parts], pa.binary()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["set", "sketch", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_hash(p) for p in parts], pa.uint64()).cast(pa.int64(),
+                    safe=False), pa.array([sketch(p) for p in parts], pa.binary()),
+                    pa.array([p.tobytes() for p in parts], pa.binary())], names=["set", "sketch", "tokens"])
 
     made = _picked(rows, id_col, owners).select("text").mapInArrow(run, "set long, sketch binary, tokens binary")
     return made.join(owners.select("set"), "set", "left_semi").dropDuplicates(["set"])
@@ -357,7 +368,8 @@ def _links(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
 
     def may(batches):
         for batch in batches:
-            sizes = zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)
+            sizes = zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), batch.column("sa").to_pylist(),
+                batch.column("sb").to_pylist(), strict=True)
             # Of na + nb tokens a link holds at most (100 - percent) / (100 + percent) on one side alone.
             keep = [(100 + percent) * least_difference(x, y) <= (100 - percent) * (na + nb) for na, nb, x, y in sizes]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -383,7 +395,8 @@ def _links(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     light = whole.select("set", "sketch", (F.octet_length("tokens") / 8).cast("long").alias("n"))
     near = common.materialize(sides(pairs, light).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(may, "a long, b long"), "near")
     needed_sets = near.select(F.col("a").alias("set")).unionAll(near.select("b")).distinct()
-    found = common.materialize(sides(near, _picked(whole.select("set", "tokens"), "set", needed_sets)).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "links")
+    found = common.materialize(sides(near, _picked(whole.select("set", "tokens"), "set", needed_sets)).select("a", "b", "ta",
+        "tb").mapInArrow(run, "a long, b long"), "links")
     common.remove(near)
     return found
 
@@ -396,7 +409,8 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.select("node", "label").join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("label").alias("next"))
-        now = common.materialize(step.join(jump, "to", "left").select("node", "old", F.least("to", F.coalesce("next", "to")).alias("label")), "labels")
+        now = common.materialize(step.join(jump, "to", "left").select("node", "old",
+            F.least("to", F.coalesce("next", "to")).alias("label")), "labels")
         common.remove(labels)
         labels = now
         if now.filter("label <> old").isEmpty():
@@ -423,7 +437,8 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
     labels = _joined(rows, n, percent, members, buckets)
     # Copies are summed up before the shuffle, and what is joined lies in tables, so that Spark can split a hot key.
     each = members.filter("set IS NOT NULL").groupBy("set").agg(F.min("id").alias("least"))
-    named = common.materialize(each.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set")), "named")
+    named = common.materialize(each.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label",
+        F.coalesce("label", "set")), "named")
     least = common.materialize(named.groupBy("label").agg(F.min("least").alias("component_id")), "least")
     of = common.materialize(named.join(least, "label").select("set", "label", "component_id"), "components")
     for old in (labels, named, least):
@@ -439,9 +454,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def _merged(labels: DataFrame, new: DataFrame) -> DataFrame:
     """labels after links (a, b) between sets of different components were found: the components of the components."""
     of = labels.select("node", "label")
-    edges = new.join(of.withColumnsRenamed({"node": "a", "label": "la"}), "a", "left").join(of.withColumnsRenamed({"node": "b", "label": "lb"}), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    edges = new.join(of.withColumnsRenamed({"node": "a", "label": "la"}), "a",
+        "left").join(of.withColumnsRenamed({"node": "b", "label": "lb"}), "b", "left").select(F.coalesce("la", "a").alias("a"),
+        F.coalesce("lb", "b").alias("b"))
     above = components(edges)
-    kept = of.join(above.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    kept = of.join(above.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node",
+        F.coalesce("top", "label").alias("label"))
     out = common.materialize(kept.unionAll(above.join(of, "node", "left_anti").select("node", "label")), "labels")
     for old in (above, labels, new):
         common.remove(old)
@@ -452,7 +470,9 @@ def _joined(rows: DataFrame, n: int, percent: int, members: DataFrame, found: Da
     """node (a set), label: the components of sets that link with another."""
     few = common.materialize(_few(found, percent), "few")
     parts = F.ceil(F.col("spare") / PART_SETS).cast("int")
-    buckets = found.filter("kind = 0").select(F.col("x").alias("signature"), F.pmod(F.xxhash64("y"), parts).cast("int").alias("part"), parts.alias("parts"), F.col("y").alias("set"), F.col("nx").alias("size"), F.col("n").alias("rest"), F.col("spare").alias("held"))
+    buckets = found.filter("kind = 0").select(F.col("x").alias("signature"),
+        F.pmod(F.xxhash64("y"), parts).cast("int").alias("part"), parts.alias("parts"), F.col("y").alias("set"),
+        F.col("nx").alias("size"), F.col("n").alias("rest"), F.col("spare").alias("held"))
     weight = buckets.groupBy("set").agg(F.sum("held").alias("weight"))
     # A part's first sets come before any part's later ones.
     place = (F.row_number().over(Window.partitionBy("signature", "part").orderBy(F.desc("weight"), "set")) - 1) * F.col("parts") + F.col("part")
@@ -467,7 +487,8 @@ def _joined(rows: DataFrame, n: int, percent: int, members: DataFrame, found: Da
 
     first, count = 0, 1
     while True:  # buckets that still hold several components, and have pairs left
-        live = ranked.drop("label").filter(F.col("rank") >= first).join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
+        live = ranked.drop("label").filter(F.col("rank") >= first).join(labels.select(F.col("node").alias("set"), "label"), "set",
+            "left").withColumn("label", F.coalesce("label", "set"))
         several = live.groupBy("signature", "parts").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
         every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")  # so that no signature meets in one task
         live = common.materialize(live.join(several.select("signature", every), ["signature", "part"]), "live")
@@ -476,8 +497,11 @@ def _joined(rows: DataFrame, n: int, percent: int, members: DataFrame, found: Da
             for old in (live, whole):
                 common.remove(old)
             return labels
-        lead = live.filter(F.col("rank") < first + count).select("signature", F.col("set").alias("x"), F.col("size").alias("nx"), F.col("label").alias("lx"), F.col("rank").alias("rx"), F.col("rest").alias("tx"), every)
-        met = live.join(lead, ["signature", "part"]).filter((F.col("rank") > F.col("rx")) & (F.col("label") != F.col("lx")) & (100 * F.least("size", "nx") >= percent * F.greatest("size", "nx")) & (F.least("rest", "tx") * (100 + percent) >= percent * (F.col("size") + F.col("nx"))))
+        lead = live.filter(F.col("rank") < first + count).select("signature", F.col("set").alias("x"), F.col("size").alias("nx"),
+            F.col("label").alias("lx"), F.col("rank").alias("rx"), F.col("rest").alias("tx"), every)
+        met = live.join(lead, ["signature",
+            "part"]).filter((F.col("rank") > F.col("rx")) & (F.col("label") != F.col("lx")) & (100 * F.least("size",
+            "nx") >= percent * F.greatest("size", "nx")) & (F.least("rest", "tx") * (100 + percent) >= percent * (F.col("size") + F.col("nx"))))
         pairs = met.select(F.least("set", "x").alias("a"), F.greatest("set", "x").alias("b")).distinct()
         new = _links(pairs, whole, percent)
         if not new.isEmpty():
@@ -488,13 +512,15 @@ def _joined(rows: DataFrame, n: int, percent: int, members: DataFrame, found: Da
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of df, with all its columns, that are the first of their component by id, a null id last. Of rows with equal ids in one component the one with the smallest set hash stays, and of equal sets one row. Rows without words stay all."""
     found = common.materialize(_grouped(df, id_col, text_col, n, percent), "components")
-    one = found.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.every(F.col("id") == F.col("component_id")).alias("first"))
+    one = found.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("rows"),
+        F.every(F.col("id") == F.col("component_id")).alias("first"))
     kept = df.join(one.filter("rows = 1 AND first").select(F.col("id").alias(id_col)), id_col, "left_semi").select(*df.columns)
     shared = one.filter("rows > 1").select("id")
     if shared.isEmpty() and found.filter("id IS NULL").isEmpty():
         return kept
     # Rows that their ids don't tell apart are told apart by their sets.
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).alias("id"),
+        F.col(text_col).cast("string").alias("text"))
     rows = rows.filter("id IS NULL").unionAll(rows.join(shared, "id", "left_semi").select(*rows.columns))
 
     def hashed(batches):
@@ -504,10 +530,12 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
             for batch in common.slices(whole, "text", 4 << 20):
                 tokens, sizes = token_sets(_texts(batch), n, words)
                 own = [set_hash(tokens[e - k : e]).astype(np.int64) if k else None for e, k in zip(np.cumsum(sizes), sizes)]
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("text"), pa.array(own, pa.int64())], schema=pa.schema([*batch.schema, pa.field("set", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("text"),
+                    pa.array(own, pa.int64())], schema=pa.schema([*batch.schema, pa.field("set", pa.int64())]))
 
     told = rows.mapInArrow(hashed, T.StructType([*rows.schema.fields, T.StructField("set", T.LongType())]))
-    winner = found.filter("label IS NOT NULL AND id <=> component_id").groupBy("label").agg(F.min(F.struct("set", "id")).alias("w")).select("w.set", F.col("w.id").alias("own"))
+    winner = found.filter("label IS NOT NULL AND id <=> component_id").groupBy("label").agg(F.min(F.struct("set",
+        "id")).alias("w")).select("w.set", F.col("w.id").alias("own"))
     best = told.join(winner, "set").filter("id <=> own").groupBy("set").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row"))
     more = best.select("row.*").unionAll(told.filter("set IS NULL").select("row.*"))
     return kept.unionAll(more)

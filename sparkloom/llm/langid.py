@@ -142,9 +142,11 @@ def counts(df: DataFrame, text_col: str, lang_col: str, order: int = 3) -> DataF
                     by.setdefault(lang, []).append(text)
                 names = list(by)
                 group, gram, count = grams([by[n] for n in names], order)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(group)), pa.array(gram), pa.array(count)], names=["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(group)), pa.array(gram),
+                    pa.array(count)], names=["lang", "gram", "n"])
 
-    rows = df.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
+    rows = df.select(F.col(text_col).cast("string").alias("text"),
+        F.col(lang_col).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -194,9 +196,11 @@ def identify(df: DataFrame, profiles: Profiles, text_col: str = "text", keep: tu
         for whole in batches:
             for batch in common.slices(whole, "_text", 2 << 20):
                 lang, score = nearest(batch.column("_text").to_pylist(), profiles)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()),
+                    pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(run,
+        T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def keep_languages(df: DataFrame, profiles: Profiles, least: float, text_col: str = "text") -> DataFrame:

@@ -52,12 +52,16 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "Zlib": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
 }
-TEMPLATES |= {f"{short}-{v}{'.0' if '.' not in v else ''}": f"This work is licensed under the {name}, version {v}." for short, name, versions in (("GPL", "GNU General Public License", "123"), ("AGPL", "GNU Affero General Public License", "3"), ("LGPL", "GNU Lesser General Public License", ("2.1", "3"))) for v in versions}
+TEMPLATES |= {f"{short}-{v}{'.0' if '.' not in v else ''}": f"This work is licensed under the {name}, version {v}." for short,
+    name, versions in (("GPL", "GNU General Public License", "123"), ("AGPL", "GNU Affero General Public License", "3"),
+    ("LGPL", "GNU Lesser General Public License", ("2.1", "3"))) for v in versions}
 #: The terms of Creative Commons licences by their short names (fixed values); each has versions 1.0 to 4.0 here.
-TERMS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+TERMS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial",
+    "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
 VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 TEMPLATES |= {f"CC-{k}-{v}": f"Licensed under CC {k} {v}." for k in TERMS for v in VERSIONS}
-TEMPLATES |= {f"CC-{k}-{v}-work": f"This work is licensed under a Creative Commons {name} {v} International License." for k, name in TERMS.items() for v in VERSIONS}
+TEMPLATES |= {f"CC-{k}-{v}-work": f"This work is licensed under a Creative Commons {name} {v} International License." for k,
+    name in TERMS.items() for v in VERSIONS}
 #: Words that tell licences apart, beside numbers: a block that lacks the template's, or has others, isn't of its licence.
 TELLING = frozenset("apache bsd mit isc gnu gpl lgpl agpl lesser affero mozilla mpl eclipse epl boost zlib cc0 nc sa nd noncommercial sharealike noderivatives noderivs".split())
 CUE = re.compile(r"(?i)licen[sc]|copyright|permission|redistribut|public\W+domain|creative\W+commons|free\W+software|\bCC\W+BY|implied\W+warranty")
@@ -84,7 +88,8 @@ def telling(words: list[str]) -> frozenset[str]:
 @lru_cache(maxsize=4)
 def _compressors(templates: tuple[tuple[str, str], ...]):
     plain = zstandard.ZstdCompressor(level=19, write_content_size=False)
-    with_text = {name: zstandard.ZstdCompressor(level=19, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for name, text in templates}
+    with_text = {name: zstandard.ZstdCompressor(level=19, write_content_size=False,
+        dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for name, text in templates}
     return plain, with_text
 
 
@@ -232,7 +237,9 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if rows:
                 i, a, b, name, r, missing, added = zip(*rows, strict=True)
                 words = pa.list_(pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(name), pa.array(r), pa.array(missing, words), pa.array(added, words)], names=[id_col, "start", "end", "license", "reduction", "missing", "added"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), pa.array(a, pa.int64()),
+                    pa.array(b, pa.int64()), pa.array(name), pa.array(r), pa.array(missing, words), pa.array(added, words)],
+                    names=[id_col, "start", "end", "license", "reduction", "missing", "added"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"{id_col} {kind}, {SCHEMA}")

@@ -166,7 +166,8 @@ class Trie:
         first = np.flatnonzero(np.diff(context, prepend=context[:1] + np.uint64(1))) if len(keys) else np.zeros(0, np.int64)
         place = np.repeat(np.arange(len(first)), np.diff(first, append=len(keys))).astype(np.uint64)
         # A successor is stored with its context's place in front, so the whole level is one rising run.
-        levels = [EliasFano.encode(context[first]), EliasFano.encode(np.append(first, len(keys))), EliasFano.encode(place << bits | keys & np.uint64((1 << next_bits) - 1)), b"".join(c.astype("<u2").tobytes() for c in codes)]
+        levels = [EliasFano.encode(context[first]), EliasFano.encode(np.append(first, len(keys))),
+            EliasFano.encode(place << bits | keys & np.uint64((1 << next_bits) - 1)), b"".join(c.astype("<u2").tobytes() for c in codes)]
         return np.array([next_bits, *map(len, levels)], "<u8").tobytes() + b"".join(levels)
 
     def __init__(self, data):
@@ -328,7 +329,8 @@ QUESTION = "shard int, batch long, keys binary, counts binary, rests binary"
 
 def _asked(batch: int, keys: np.ndarray, count: np.ndarray, rests: np.ndarray | None, layout: Layout) -> list[tuple]:
     """A row of QUESTION for each shard."""
-    return [(s, batch, EliasFano.encode(layout.near(keys[at], s)), squeezed(packed_counts(count[at])), None if rests is None else squeezed(planes(rests[at]))) for s, at in layout.dealt(keys)]
+    return [(s, batch, EliasFano.encode(layout.near(keys[at], s)), squeezed(packed_counts(count[at])),
+        None if rests is None else squeezed(planes(rests[at]))) for s, at in layout.dealt(keys)]
 
 
 def _packed(df: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataFrame:
@@ -370,7 +372,9 @@ def _packed(df: DataFrame, id_col: str, text_col: str, held_out: Column) -> Data
 
 def _question_table(rows: list[tuple]) -> pa.Table:
     columns = zip(*rows, strict=True) if rows else [[]] * 5
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "batch", "keys", "counts", "rests"])
+    return pa.table([pa.array(c, t) for c,
+        t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
+        names=["shard", "batch", "keys", "counts", "rests"])
 
 
 def _word_questions(batches: DataFrame, layout: Layout) -> DataFrame:
@@ -411,7 +415,8 @@ def _questions(batches: DataFrame, answers: DataFrame, n: int, words: Layout, la
         return _question_table(rows)
 
     # Of longer ones only what follows them is asked for.
-    told = answers.filter(F.col("length") == n - 1).select("batch", "shard", "length", *(["values", "rests"] if n == 2 else [F.lit(None).cast("binary").alias("values"), "rests"]))
+    told = answers.filter(F.col("length") == n - 1).select("batch", "shard", "length",
+        *(["values", "rests"] if n == 2 else [F.lit(None).cast("binary").alias("values"), "rests"]))
     return batches.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(run, QUESTION)
 
 
@@ -420,7 +425,9 @@ ANSWER = "batch long, shard int, length int, values binary, rests binary"
 
 def _answer_table(rows: list[tuple]) -> pa.Table:
     columns = zip(*rows, strict=True) if rows else [[]] * 5
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["batch", "shard", "length", "values", "rests"])
+    return pa.table([pa.array(c, t) for c,
+        t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
+        names=["batch", "shard", "length", "values", "rests"])
 
 
 def _told(batch: int, shard: int, n: int, trie: Trie, keys: np.ndarray, order: int) -> tuple:
@@ -482,7 +489,8 @@ def _kept_answers(questions: DataFrame, levels: DataFrame, n: int, order: int, l
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         common.lean()
-        asked = [(b, s, layout.near(EliasFano(k).values(), s, True)) for s, b, k in zip(*(left.column(x).to_pylist() for x in ("shard", "batch", "keys")), strict=True)]
+        asked = [(b, s, layout.near(EliasFano(k).values(), s, True)) for s, b,
+            k in zip(*(left.column(x).to_pylist() for x in ("shard", "batch", "keys")), strict=True)]
         level = right.column("values")[0].as_py() if right.num_rows else None
         if n == 1:
             keys, counts = words_of_level(level) if level else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -501,7 +509,8 @@ def _text_bytes(df: DataFrame, text_col: str) -> int:
     return df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
 
 
-def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, keep: str | None = None) -> DataFrame:
+def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
+    keep: str | None = None) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (the model's log10 probability). held_out: rows to score without learning from them; null counts as false. keep: a folder that all tasks reach, for the model's levels."""
     spark = df.sparkSession
     common.prepare(spark)
@@ -517,11 +526,13 @@ def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
             got = [np.frombuffer(v, "<i8") for v in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in got], pa.int64()) for k in range(3)], names=["v", "n", "e"])
 
-    found = answers.filter(F.col("batch") == TOTALS).select("values").mapInArrow(totals, "v long, n long, e long").agg(F.sum("v"), F.sum("n"), F.sum("e")).first()
+    found = answers.filter(F.col("batch") == TOTALS).select("values").mapInArrow(totals, "v long, n long, e long").agg(F.sum("v"),
+        F.sum("n"), F.sum("e")).first()
     seen, learnt, ends = (x or 0 for x in found)
     for n in range(2, order + 1):
         common.sweep(spark)
-        answers = answers.unionAll(common.materialize(_answers(_questions(batches, answers.filter("batch >= 0"), n, words, layout, ends), n, order, layout, keep is not None), "answers"))
+        answers = answers.unionAll(common.materialize(_answers(_questions(batches, answers.filter("batch >= 0"), n, words, layout,
+            ends), n, order, layout, keep is not None), "answers"))
     common.sweep(spark)
     if keep is not None:
         said = json.dumps({"order": order, "shards": shards, "bits": layout.bits, "seen": seen, "learnt": learnt, "ends": ends}).encode()
@@ -543,11 +554,13 @@ def kept_scores(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str
     answers = common.materialize(_kept_answers(_word_questions(batches, words), of(1), 1, order, words), "answers")
     for n in range(2, order + 1):
         common.sweep(spark)
-        answers = answers.unionAll(common.materialize(_kept_answers(_questions(batches, answers, n, words, layout, said["ends"]), of(n), n, order, layout), "answers"))
+        answers = answers.unionAll(common.materialize(_kept_answers(_questions(batches, answers, n, words, layout, said["ends"]),
+            of(n), n, order, layout), "answers"))
     return _scored(batches, answers, id_col, kind, order, said["seen"], said["learnt"], said["ends"], words, layout)
 
 
-def _scored(batches: DataFrame, answers: DataFrame, id_col: str, kind: str, order: int, seen: int, learnt: int, ends: int, words: Layout, layout: Layout) -> DataFrame:
+def _scored(batches: DataFrame, answers: DataFrame, id_col: str, kind: str, order: int, seen: int, learnt: int, ends: int,
+    words: Layout, layout: Layout) -> DataFrame:
     """The scores of the batches' texts."""
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -570,11 +583,13 @@ def _scored(batches: DataFrame, answers: DataFrame, id_col: str, kind: str, orde
             ids = left.column("ids")[i].values
             held = np.frombuffer(left.column("held")[i].as_py(), np.uint8) > 0
             parts.append(pa.table([ids, pa.array(held), batch.sizes, known, np.full(len(known), learnt), base, total], names=names))
-        empty = pa.table([pa.array([], t) for t in (left.schema.field("ids").type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
+        empty = pa.table([pa.array([], t) for t in (left.schema.field("ids").type.value_type, pa.bool_(), pa.int64(), pa.int64(),
+            pa.int64(), pa.float64(), pa.float64())], names=names)
         return pa.concat_tables(parts) if parts else empty
 
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, f"{id_col} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score,
+        f"{id_col} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op7_elias_fano_lm(spark, sf_dir: str) -> DataFrame:

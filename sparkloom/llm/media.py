@@ -155,7 +155,9 @@ def tensor_ipc(mels: np.ndarray, spec: AudioSpec) -> bytes:
     valid = np.minimum(spec.frames, len(mels) - first)
     kind = pa.fixed_shape_tensor(pa.float32(), (spec.frames, spec.mels))
     storage = pa.FixedSizeListArray.from_arrays(pa.array(full.ravel()), spec.frames * spec.mels)
-    table = pa.record_batch({"start_s": first * spec.hop / spec.out_rate, "end_s": ((first + valid - 1) * spec.hop + spec.window) / spec.out_rate, "n_frames": valid, "mel": pa.ExtensionArray.from_storage(kind, storage)})
+    table = pa.record_batch({"start_s": first * spec.hop / spec.out_rate,
+        "end_s": ((first + valid - 1) * spec.hop + spec.window) / spec.out_rate, "n_frames": valid,
+        "mel": pa.ExtensionArray.from_storage(kind, storage)})
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_batch(table)
@@ -195,10 +197,13 @@ def audio_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     mels, spans = features(back, spec)
                     mean, high = round(float(mels.mean()), 2) + 0.0, round(float(mels.max()), 2) + 0.0
                     said = f"frames={len(mels)};tensors={-(-len(mels) // spec.frames)}x{spec.frames}x{spec.mels};mean={mean:.2f};max={high:.2f};spans={len(spans)};sound_s={sum(b - a for a, b in spans):.3f}"
-                    rows.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-spec.pad_to :]), media, tensor_ipc(mels, spec), [{"start_s": a, "end_s": b} for a, b in spans], said))
+                    rows.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-spec.pad_to :]), media,
+                        tensor_ipc(mels, spec), [{"start_s": a, "end_s": b} for a, b in spans], said))
                 columns = list(zip(*rows, strict=True))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), span, pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media", "tensors", "spans", "feature"])
+                yield pa.RecordBatch.from_arrays([batch.column(0),
+                    *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                    names=[id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media", "tensors", "spans", "feature"])
 
     return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -206,4 +211,6 @@ def audio_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def op1_audio_media(spark, sf_dir: str) -> DataFrame:
     """Every document as audio: digests of the payload read back and of the stored form, and a summary of the features."""
     out = audio_features(common.documents(spark, sf_dir))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", F.octet_length("tensors").cast("long").alias("tensor_bytes"), F.size("spans").cast("long").alias("n_spans"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+        F.octet_length("tensors").cast("long").alias("tensor_bytes"), F.size("spans").cast("long").alias("n_spans"))

@@ -212,7 +212,8 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES, width
     return best
 
 
-def _repacked(best: list[tuple[tuple[int, ...], int]], capacity: int, deal: np.random.Generator, nodes: int, width: int) -> list[tuple[tuple[int, ...], int]] | None:
+def _repacked(best: list[tuple[tuple[int, ...], int]], capacity: int, deal: np.random.Generator, nodes: int,
+    width: int) -> list[tuple[tuple[int, ...], int]] | None:
     """The plan with one sequence less, by packing the pieces of a few of its sequences anew; None where that fails."""
     lost = np.array([capacity - sum(p) for p, _ in best], np.int64)
     times = np.array([n for _, n in best], np.int64)
@@ -269,7 +270,8 @@ def _tokenizers(vocabulary: str):
         import public_tokenizers
 
         with open(ranks, "rb") as f:
-            fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
+            fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN,
+                mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
     return full, fast
 
 
@@ -299,13 +301,17 @@ def pieces(df: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity:
                     cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)] if len(ids) > capacity else [0, len(ids)]
                     rows += [(i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
                 i, piece, start, length, crc = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=[id_col, "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), pa.array(piece, pa.int32()),
+                    pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                    names=[id_col, "piece", "start", "length", "ids_crc32"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long")
+    return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run,
+        f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = 0, nodes: int = NODES) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY,
+    end_id: int = 0, nodes: int = NODES) -> DataFrame:
     """pieces() with sequence_id (dense from 0) and offset. The pieces are written to the shared folder once; two shuffles move their numbers, never text."""
     if vocabulary is None:
         import public_tokenizers
@@ -332,7 +338,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabula
                 mine = n == m
                 run[mine] = at[m] + np.searchsorted(first[at[m] : at[m + 1]], rank[mine], side="right") - 1
             columns = [batch.column(c) for c in (id_col, "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence[run] + rank - first[run]), pa.array(offset[run])], names=[id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence[run] + rank - first[run]), pa.array(offset[run])],
+                names=[id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     kind = df.schema[id_col].dataType.simpleString()
     ranked = ranked.select(id_col, "piece", "start", "length", "ids_crc32", (F.col("_rank") + F.col("_base")).cast("long").alias("_all"))

@@ -70,7 +70,8 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     )
     df = df.select("*", _hashes("_words", window).alias("_hashes"))
     df = df.select("*", (F.size(F.array_distinct("_hashes")) < F.size("_hashes")).alias("_again"))
-    df = df.drop("_hashes").select("*", F.expr(f"CASE WHEN _again THEN array_sort(transform(sequence(0, size(_words) - {window}), i -> struct(array_join(slice(_words, i + 1, {window}), ' ') AS s, i AS i))) END").alias("_sorted"))
+    df = df.drop("_hashes").select("*",
+        F.expr(f"CASE WHEN _again THEN array_sort(transform(sequence(0, size(_words) - {window}), i -> struct(array_join(slice(_words, i + 1, {window}), ' ') AS s, i AS i))) END").alias("_sorted"))
     df = df.select("*", F.expr("CASE WHEN _again THEN sort_array(transform(filter(sequence(0, size(_sorted) - 1), j -> coalesce(get(_sorted, j - 1).s = get(_sorted, j).s, false) OR coalesce(get(_sorted, j + 1).s = get(_sorted, j).s, false)), j -> get(_sorted, j).i)) ELSE array() END").alias("_at"))
     return df.select(
         id_col,
@@ -117,7 +118,8 @@ def ablation(book: DataFrame, policy: Policy) -> DataFrame:
 def op2_rule_ledger(spark, sf_dir: str) -> DataFrame:
     """The ledger of all documents under policy v2."""
     book = verdicts(ledger(common.documents(spark, sf_dir)), V2)
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failures").bitwiseAND(F.lit(BASE)) != 0).alias("base_failed"), "kept", "failures", "policy")
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (F.col("failures").bitwiseAND(F.lit(BASE)) != 0).alias("base_failed"), "kept", "failures", "policy")
 
 
 def rules_policies(spark, sf_dir: str) -> DataFrame:

@@ -372,7 +372,8 @@ def telling(toxic: list[list[str]], other: list[list[str]], most: int) -> list[s
         while len(whole) < WINDOW:
             longer: Counter[str] = Counter()
             for words in held:
-                longer.update({x for w in words if (a := w.find(whole)) >= 0 for x in (w[max(0, a - 1) : a + len(whole)], w[a : a + len(whole) + 1]) if len(x) > len(whole)})
+                longer.update({x for w in words if (a := w.find(whole)) >= 0 for x in (w[max(0, a - 1) : a + len(whole)],
+                    w[a : a + len(whole) + 1]) if len(x) > len(whole)})
             x = max(longer.items(), key=lambda x: (x[1], x[0]), default=("", 0))
             if x[1] < 0.9 * len(held) or chr(PART) in x[0]:
                 break
@@ -497,7 +498,8 @@ def train(toxic: list[list[str]], other: list[list[str]], rounds: int = 4) -> Mo
     suspects = [[w for w in b if w not in clean and any(m in folded[w] for m in found)] for b in bags[: len(toxic)]]
     weights, bias = flat(phi[: len(found)].sum(axis=0)), 0.0
     for n in range(rounds + 1):
-        v = np.concatenate([values(cuts[a : a + 50_000], table, weights, bias, norm[a : a + 50_000]) for a in range(0, len(cuts), 50_000)]) if len(cuts) else np.zeros(0)
+        v = np.concatenate([values(cuts[a : a + 50_000], table, weights, bias, norm[a : a + 50_000]) for a in range(0, len(cuts),
+            50_000)]) if len(cuts) else np.zeros(0)
         by = np.lexsort((v, word))
         last = np.searchsorted(word[by], np.arange(len(words)), side="right") - 1
         best_window, near = by[last], v[by[last]]
@@ -519,13 +521,15 @@ def train(toxic: list[list[str]], other: list[list[str]], rounds: int = 4) -> Mo
     return Model(table, weights, bias, slope, shift, tuple(marks), seen)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: tuple[int, int] = SAMPLE) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    sample: tuple[int, int] = SAMPLE) -> Model | None:
     """Trains on at most `sample` toxic and other rows, the first by a hash of the id, and on all distinct words of each."""
     common.prepare(docs.sparkSession)
     marked = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).alias("_toxic"))
     some = [marked.filter(F.col("_toxic") == (k == 0)).orderBy(F.xxhash64("_id"), "_id").limit(n) for k, n in enumerate(sample)]
     picked = some[0].unionAll(some[1])  # sum(sample) ids at most
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "_id").select("text", "_toxic")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked),
+        "_id").select("text", "_toxic")
 
     def run(batches):
         common.trim()
@@ -540,7 +544,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     cuts = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(bags).to_numpy(zero_copy_only=False).astype(np.int64))])
     told = got.column("toxic").to_pylist()
     del got, bags, held
-    each = sorted({(tuple(ids[a:b].tolist()), t) for a, b, t in zip(cuts, cuts[1:], told)}, key=lambda x: ([words[i] for i in x[0]], x[1]))  # whatever order the rows came in
+    each = sorted({(tuple(ids[a:b].tolist()), t) for a, b, t in zip(cuts, cuts[1:], told)},
+        key=lambda x: ([words[i] for i in x[0]], x[1]))  # whatever order the rows came in
     model = train(*([[words[i] for i in bag] for bag, t in each if t == toxic] for toxic in (True, False)))
     del words, ids, each
     common.trim()  # the driver keeps the model alone
@@ -562,9 +567,11 @@ def score(df: DataFrame, model: Model | None, text_col: str = "text", keep: tupl
         for whole in batches:
             for batch in common.slices(whole, "_text"):
                 out = scorer.scores(batch.column("_text").to_pylist()) if scorer else np.zeros(batch.num_rows)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out), pa.array((out >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out),
+                    pa.array((out >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return rows.mapInArrow(run,
+        T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def keep_clean(df: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

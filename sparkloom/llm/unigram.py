@@ -123,10 +123,12 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             got = [counter.count(t or "") for t in batch.column("text").to_pylist()]
             n, odd, score = zip(*got, strict=True) if got else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(odd, pa.int64()), pa.array(score, pa.float64())], names=[id_col, "n_tokens", "n_unknown", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(odd, pa.int64()),
+                pa.array(score, pa.float64())], names=[id_col, "n_tokens", "n_unknown", "score"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"{id_col} {kind}, n_tokens long, n_unknown long, score double")
+    return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run,
+        f"{id_col} {kind}, n_tokens long, n_unknown long, score double")
 
 
 def op5_unigram_token_counts(spark, sf_dir: str) -> DataFrame:
