@@ -9,8 +9,9 @@ Equal counts are ordered by the n-gram's code points, shorter n-grams first; equ
 name.
 
 Edge cases: a null text, or one without letters, is `und` with score 0; rows without a language don't
-teach; without a language to learn from, every text is `und`; repeated rows count each time; an empty
-table gives an empty result; columns other than those named are ignored. Memory is bounded by one text.
+teach; without a language to learn from, every text is `und`; n-grams of equal counts rank by length, then
+by code points, and equal distances go to the first language by name; repeated rows count each time; an
+empty table gives an empty result; columns other than those named are ignored. Memory is bounded by one text.
 """
 
 from __future__ import annotations

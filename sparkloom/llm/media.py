@@ -6,7 +6,7 @@ hysteresis energy segmentation. Log-mel frames are stored as fixed-shape Arrow t
 span of each tensor; spans of sound are stored in seconds.
 
 Edge cases: a null text is empty; an empty payload is padded to 64 zero bytes, so each document has
-media; texts of any length are worked through in blocks; repeated rows give repeated results; an
+media; texts of any length are worked through in blocks; equal texts and repeated rows give equal results; an
 empty table gives an empty result; columns other than the id and the text are ignored.
 """
 

@@ -10,8 +10,9 @@ spent the incumbent stands, which holds every piece but may be above the bound.
 of its length. Ranks are counted within salted parts of a length, so no length meets in one task.
 
 Edge cases: a null text is empty, and an empty text is the end mark alone; repeated rows are packed
-as often as they occur; an empty table gives an empty result; columns other than the id and the text
-are ignored. A text's ids are held whole in one worker.
+as often as they occur; pieces of one length are alike, and take their places by hash part, id and
+piece; an empty table gives an empty result; columns other than the id and the text are ignored. A
+text's ids are held whole in one worker, however long it is.
 """
 
 from __future__ import annotations

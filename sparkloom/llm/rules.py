@@ -5,8 +5,9 @@ each rule that failed. A policy is a version and a mask of the rules that it enf
 policy reads the ledger and no text. Ablations come from a bitwise aggregation over the ledger.
 
 Edge cases: a null or wordless text has no words, so it fails the rules on word counts; a rule whose
-denominator would be 0 doesn't fail; repeated rows are judged alike; an empty table gives an empty
-ledger; columns other than the id and the text are ignored. Arrays hold one text's words at most.
+denominator would be 0 doesn't fail; a share just at its limit doesn't fail; repeated rows are judged
+alike; texts are measured whole at any length, and arrays hold one text's words at most; an empty table
+gives an empty ledger; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations

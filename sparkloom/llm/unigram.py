@@ -11,7 +11,8 @@ score of the vocabulary less UNKNOWN; unknown characters in a row are one token.
 double precision from left to right, as there.
 
 Edge cases: a null or empty text has no tokens and score 0; spaces in a row give words of the mark
-alone; repeated rows give repeated results; an empty table gives an empty result; columns other than
+alone; of equally good segmentations that counts which ends in the longer piece, as `tokenizers` has it;
+repeated rows give repeated results; an empty table gives an empty result; columns other than
 the id and the text are ignored. Time is in proportion to the text's length, memory to one text.
 """
 
