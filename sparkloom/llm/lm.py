@@ -82,6 +82,12 @@ def rest_of(count: np.ndarray, prior: float) -> np.ndarray:
     return code_of(prior / (np.asarray(count, np.float64) + prior))
 
 
+def in_parts(f, *arrays: np.ndarray, most: int = 1 << 18) -> np.ndarray:
+    """f over runs of the arrays, so that what it makes on the way stays small."""
+    parts = [f(*(x[a : a + most] for x in arrays)) for a in range(0, len(arrays[0]), most)]
+    return np.concatenate(parts) if parts else f(*arrays)
+
+
 @lru_cache(maxsize=1)
 def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
     return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
@@ -441,22 +447,28 @@ def _answers(questions: DataFrame, n: int, order: int, layout: Layout, keep: boo
 
     def run(table: pa.Table) -> pa.Table:
         common.lean()
-        asked, keys, counts, rests = [], [], [], []
-        for s, b, k, c, r in zip(*(table.column(x).to_pylist() for x in ("shard", "batch", "keys", "counts", "rests")), strict=True):
-            k = layout.near(EliasFano(k).values(), s, True)
-            c = counts_of(widened(c), len(k))
-            asked.append((b, s, k))
-            keys.append(k[c > 0])
-            counts.append(c[c > 0])
-            if n > 1:
-                rests.append(unplaned(widened(r), len(k))[c > 0])
-        whole = np.concatenate(keys)
-        by = np.argsort(whole)
-        whole, each = whole[by], np.concatenate(counts)[by]
+        said = list(zip(*(table.column(x).to_pylist() for x in ("shard", "batch", "keys", "counts", "rests")), strict=True))
+        every = [layout.near(EliasFano(k).values(), s, True) for s, _, k, _, _ in said]
+        ends = np.cumsum([len(k) for k in every])
+        each = np.concatenate([counts_of(widened(c), len(k)) for (_, _, _, c, _), k in zip(said, every, strict=True)])
+        rests = np.concatenate([unplaned(widened(r), len(k)) for (_, _, _, _, r), k in zip(said, every, strict=True)]) if n > 1 else None
+        every = np.concatenate(every)
+        asked = [(b, s, every[e - k : e]) for (s, b, _, _, _), e, k in zip(said, ends, np.diff(ends, prepend=0), strict=True)]
+        del said
+        order_of = np.argsort(every)
+        whole = every[order_of]
         first = np.flatnonzero(np.diff(whole, prepend=~whole[:1])) if len(whole) else np.zeros(0, np.int64)
-        keys, counts = whole[first], np.add.reduceat(each, first) if len(first) else each
-        rests = np.concatenate(rests)[by][first] if n > 1 else None
-        del whole, each, by
+        keys = whole[first]
+        del whole
+        counts = np.add.reduceat(each[order_of], first) if len(first) else each
+        if n > 1:
+            rests = rests[order_of[first]]  # all batches tell the same
+        del each, order_of, first
+        learnt = counts > 0
+        keys, counts = keys[learnt], counts[learnt]
+        if n > 1:
+            rests = rests[learnt]
+        del learnt
         out = []
         if n == 1:
             out.append((TOTALS, asked[0][1], 1, np.array([len(keys), counts.sum(), counts[keys == EDGE].sum()], "<i8").tobytes(), None))
@@ -464,9 +476,9 @@ def _answers(questions: DataFrame, n: int, order: int, layout: Layout, keep: boo
             if keep:
                 out.append((LEVEL, asked[0][1], 1, words_level(keys, counts), None))
         else:
-            codes = [code_of(np.minimum(1.0, counts * (VALUES[rests] / PRIORS[n])))]
+            codes = [in_parts(lambda c, r: code_of(np.minimum(1.0, c * (VALUES[r] / PRIORS[n]))), counts, rests)]
             if n < order:
-                codes.append(rest_of(counts, PRIORS[n + 1]))
+                codes.append(in_parts(lambda c: rest_of(c, PRIORS[n + 1]), counts))
             handle, path = tempfile.mkstemp(suffix=".trie")
             try:
                 with os.fdopen(handle, "wb") as f:
