@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Pieces, and compatible pairs, that a worker remembers; beyond that it forgets all and starts anew.
-REMEMBER = 500_000
+PIECES, REMEMBER = 1_500_000, 500_000
 
 
 class Vocabulary:
@@ -48,6 +48,7 @@ class Vocabulary:
             finder.add_word(data.decode("latin-1"), (i, len(data)))
         finder.make_automaton()
         self.matches = finder.iter  # (index of the last byte, token), for all tokens in a piece
+        self.size_of = {i: len(b) for i, b in self.bytes_of.items()}
         self._fit: dict[tuple[int, int], bool] = {}
 
     def merge(self, piece: bytes, below: int = 1 << 60) -> list[bytes]:
@@ -91,6 +92,37 @@ class Vocabulary:
         return found
 
 
+    def tokens(self, piece: bytes) -> list[int]:
+        """The encoding of a piece that isn't edited later: the last token of each prefix, then from the last one back. Prefixes does the same step by step."""
+        last, known, fit, done = [-1], self._fit.get, self.fit, 0
+        push = last.append
+        for stop, (token, size) in self.matches(piece.decode("latin-1")):
+            if stop < done:  # this prefix has its token
+                continue
+            j = stop + 1 - size
+            if j:
+                if j > done:
+                    break
+                pair = (last[j], token)
+                ok = known(pair)
+                if ok is None:
+                    ok = fit(*pair)
+                if not ok:
+                    continue
+            push(token)
+            done = stop + 1
+        i = len(piece)
+        if done != i:
+            raise ValueError("no token ends here: a single byte is missing from the vocabulary")
+        out, size_of = [], self.size_of
+        while i:
+            token = last[i]
+            out.append(token)
+            i -= size_of[token]
+        out.reverse()
+        return out
+
+
 class Prefixes:
     """The last token of every prefix of a growing, editable piece."""
 
@@ -164,11 +196,11 @@ class Encoder:
 
         self.vocabulary, self.split, self.known = vocabulary, regex.compile(pattern).findall, {}
 
-    def piece(self, piece: str) -> list[int]:
+    def piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
         whole = self.vocabulary.ranks.get(data)
-        found = [whole] if whole is not None else Prefixes(self.vocabulary, data).tokens()
-        if len(self.known) >= REMEMBER:
+        found = (whole,) if whole is not None else tuple(self.vocabulary.tokens(data))
+        if len(self.known) >= PIECES:
             self.known.clear()
         if len(data) < 64:
             self.known[piece] = found
