@@ -209,7 +209,7 @@ def triangle_count_parity(spark, sf_dir):
     """Suppliers of different parts of an order, a line for each pair: repeats and loops count."""
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").distinct()  # noqa: E741
     pairs = l.join(l.withColumnsRenamed({"l_partkey": "other", "l_suppkey": "dst"}), "l_orderkey").filter(F.col("l_partkey") < F.col("other"))
-    return Graph(pairs.select(F.col("l_suppkey").alias("src"), "dst"), directed=False).written().triangles(parity=True)
+    return Graph(pairs.select(F.col("l_suppkey").alias("src"), "dst"), directed=False).triangles(parity=True)
 
 
 @query(SUPPLY + """SELECT (SELECT count(*) FROM v) AS n_verts, (SELECT count(*) FROM e) AS n_edges, true AS is_directed, (SELECT

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.collections import bucket_of
+from sparkloom.operators.wedges import weighted_triangles
 from sparkloom.plans.materialize import bucketed, materialize, remove
 
 
-#: Vertices from which a graph's tables are dealt to buckets.
-MANY = 1_000_000
+#: Vertices from which a graph's tables are dealt to buckets, and up to which all tasks get their degrees.
+MANY, FEW = 1_000_000, 200_000
 
 
 @dataclass(frozen=True)
@@ -94,14 +95,47 @@ class Graph:
         listed = F.sort_array(F.collect_list(F.struct("dd", "dst")))
         return self.oriented().groupBy(F.col("src").alias("id")).agg(F.transform(listed, lambda x: x["dst"]).alias("neighbours"))
 
+    def _entries(self) -> DataFrame:
+        """src, dst, times: entries of the adjacency lists, as many of them as times says. Of an undirected line's two entries there is
+        the one from the lower id alone; both are the same where it is a loop, which counts twice."""
+        if self.directed:
+            return self.lines.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times"))
+        low = F.col("src") <= F.col("dst")
+        lines = self.lines.select(F.when(low, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(low, F.col("dst")).otherwise(F.col("src")).alias("dst"))
+        twice = F.when(F.col("src") == F.col("dst"), 2).otherwise(1)
+        return lines.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times")).withColumn("times", F.col("times") * twice)
+
+    def _entry_degrees(self, entries: DataFrame) -> DataFrame:
+        """id, degree of the vertices with out-edges; entries as _entries() gives them."""
+        ends = entries.select(F.col("src").alias("id"), "times")
+        if not self.directed:
+            ends = ends.unionAll(entries.filter("NOT src <=> dst").select("dst", "times"))
+        return ends.filter("id IS NOT NULL").groupBy("id").agg(F.sum("times").alias("degree"))
+
+    def _oriented_entries(self, entries: DataFrame, degrees: DataFrame) -> DataFrame:
+        """src, dst, times of the entries towards the vertex with the higher (degree, id); loops stay."""
+        d = F.broadcast(degrees) if degrees.count() <= FEW else degrees
+        e = entries.filter("src IS NOT NULL AND dst IS NOT NULL")
+        for end, degree in (("src", "ds"), ("dst", "dd")):
+            e = e.join(d.select(F.col("id").alias(end), F.col("degree").alias(degree)), end, "left")
+        ds, dd = (F.coalesce(c, F.lit(0)) for c in ("ds", "dd"))
+        up = (dd > ds) | ((dd == ds) & (F.col("dst") >= F.col("src")))
+        if self.directed:
+            return e.filter(up).select("src", "dst", "times")
+        return e.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("dst"), "times")
+
     def triangles(self, parity: bool = False) -> DataFrame:
         """n: triangles. Each wedge starts at its lowest vertex, whose out-degree the orientation bounds by the square root of
         the edges, is made once, with its ends in order, and all wedges of an edge move as one list. Repeated lines and loops don't count; with parity they do: each
-        oriented entry v-u adds, for each w, the lesser number of entries v-w and u-w."""
+        oriented entry v-u adds, for each w, the lesser number of entries v-w and u-w; there wedges don't move at all, but blocks of edges (wedges.py)."""
         if parity:
-            e = materialize(self.oriented().groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times")), "oriented")
-            met = e.alias("v").join(e.alias("w"), F.expr("v.src = w.src")).join(e.alias("u"), F.expr("u.src = v.dst AND u.dst = w.dst"))
-            return met.agg(F.coalesce(F.sum(F.expr("v.times * least(w.times, u.times)")), F.lit(0)).cast("long").alias("n"))
+            e = materialize(self._entries(), "entries")
+            d = materialize(self._entry_degrees(e), "degrees")
+            n = materialize(weighted_triangles(self._oriented_entries(e, d), e.count()), "counts")
+            remove(e)
+            remove(d)
+            found = F.sum(F.col("n").cast("decimal(20,0)") * F.col("share"))
+            return n.agg(F.coalesce(found.cast("long"), F.lit(0).cast("long")).alias("n"))
         ordered = F.sort_array(F.collect_set(F.struct("dd", "dst")))
         after = materialize(self.oriented().filter("src <> dst").groupBy("src").agg(F.transform(ordered,
             lambda x: x["dst"]).alias("others")), "oriented")

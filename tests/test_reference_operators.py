@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from sparkloom.functions import collections as fn
-from sparkloom.operators import alignment, kvs, membership
+from sparkloom.operators import alignment, kvs, membership, wedges
 from sparkloom.operators.graph import Graph
 from sparkloom.operators.membership import Cuckoo
 from sparkloom.plans import combinators
@@ -202,6 +202,53 @@ def test_triangles_with_repeats_and_loops(spark):
     assert graph(spark, simple, False).triangles(parity=True).first() == graph(spark, simple, False).triangles().first()
 
 
+def test_triangles_with_repeats_move_edges_alone(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    times = np.triu(rng.integers(0, 4, (240, 240)))
+    lines = [(int(a), int(b)) if k % 2 else (int(b), int(a)) for a, b in np.argwhere(times) for k in range(times[a, b])] + [(None, 7), (7, None)]
+    both = np.triu(times, 1) + np.triu(times, 1).T + np.diag(2 * np.diag(times))
+    degree = both.sum(axis=1) + 2 * (np.arange(240) == 7)
+    later = both * ((degree[None] > degree[:, None]) | ((degree[None] == degree[:, None]) & (np.arange(240)[None] >= np.arange(240)[:, None])))
+    want = sum(int(later[v, u] * np.minimum(later[v], later[u]).sum()) for v, u in np.argwhere(later))
+    context = spark.sparkContext._jsc.sc()
+
+    def moved():
+        context.listenerBus().waitUntilEmpty(30_000)
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for larger graphs
+    try:
+        for held in (wedges.TASK_EDGES, 3000):  # as few groups as there may be, and more
+            monkeypatch.setattr(wedges, "TASK_EDGES", held)
+            before = moved()
+            assert graph(spark, lines, False).triangles(parity=True).first()["n"] == want
+            assert moved() - before < 5 * len(lines)  # there are over 20 wedges a line
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    directed = np.where(rng.random((240, 240)) < 0.2, times, 0)
+    directed = directed + np.tril(rng.integers(0, 2, (240, 240)))
+    degree = directed.sum(axis=1)
+    later = directed * ((degree[None] > degree[:, None]) | ((degree[None] == degree[:, None]) & (np.arange(240)[None] >= np.arange(240)[:, None])))
+    lines = [(int(a), int(b)) for a, b in np.argwhere(directed) for _ in range(directed[a, b])]
+    want = sum(int(later[v, u] * np.minimum(later[v], later[u]).sum()) for v, u in np.argwhere(later))
+    assert graph(spark, lines).triangles(parity=True).first()["n"] == want
+    assert graph(spark, [(None, 1)], False).triangles(parity=True).first()["n"] == 0
+
+
+@pytest.mark.parametrize("places", [wedges.FEW_PLACES, 0])
+def test_wedges_are_looked_up_in_pieces(monkeypatch, places):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(wedges, "FEW_PLACES", places)
+    monkeypatch.setattr(wedges, "WEDGES", 11)
+    monkeypatch.setattr(wedges, "ENTRIES", 64)
+    for n in (1, 2, 9, 30):
+        times = np.where(rng.random((n, n)) < 0.5, rng.integers(0, 300, (n, n)), 0)
+        src, dst = np.nonzero(times)
+        want = sum(int(times[v, u] * np.minimum(times[v], times[u]).sum()) for v, u in zip(src, dst))
+        assert wedges.counted(src.astype(np.int32), dst.astype(np.int32), times[src, dst].astype(np.uint16), n) == want
+
+
 def test_combinators():
     one = combinators.spawn(lambda: 1)
     assert combinators.then(lambda x, y: x + y, one, 2).result() == 3
