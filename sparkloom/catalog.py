@@ -207,7 +207,7 @@ def triangle_count(spark, sf_dir):
  SELECT CAST(coalesce(sum(v.times * least(w.times, u.times)), 0) AS BIGINT) AS n FROM o v JOIN o w ON v.src = w.src JOIN o u ON u.src = v.dst AND u.dst = w.dst""")
 def triangle_count_parity(spark, sf_dir):
     """Suppliers of different parts of an order, a line for each pair: repeats and loops count."""
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").distinct()  # noqa: E741
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").repartition("l_orderkey").distinct()  # noqa: E741
     pairs = l.join(l.withColumnsRenamed({"l_partkey": "other", "l_suppkey": "dst"}), "l_orderkey").filter(F.col("l_partkey") < F.col("other"))
     return Graph(pairs.select(F.col("l_suppkey").alias("src"), "dst"), directed=False).triangles(parity=True)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.collections import bucket_of
-from sparkloom.operators.wedges import weighted_triangles
+from sparkloom.operators.wedges import groups_for, weighted_triangles
 from sparkloom.plans.materialize import bucketed, materialize, remove
 
 
@@ -113,9 +113,9 @@ class Graph:
         return ends.filter("id IS NOT NULL").groupBy("id").agg(F.sum("times").alias("degree"))
 
     def _oriented_entries(self, entries: DataFrame, degrees: DataFrame) -> DataFrame:
-        """src, dst, times of the entries towards the vertex with the higher (degree, id); loops stay."""
+        """src, dst, times of the entries, without null ends, towards the vertex with the higher (degree, id); loops stay."""
         d = F.broadcast(degrees) if degrees.count() <= FEW else degrees
-        e = entries.filter("src IS NOT NULL AND dst IS NOT NULL")
+        e = entries
         for end, degree in (("src", "ds"), ("dst", "dd")):
             e = e.join(d.select(F.col("id").alias(end), F.col("degree").alias(degree)), end, "left")
         ds, dd = (F.coalesce(c, F.lit(0)) for c in ("ds", "dd"))
@@ -131,11 +131,12 @@ class Graph:
         if parity:
             e = materialize(self._entries(), "entries")
             d = materialize(self._entry_degrees(e), "degrees")
-            n = materialize(weighted_triangles(self._oriented_entries(e, d), e.count()), "counts")
+            linked = e.filter("src IS NOT NULL AND dst IS NOT NULL")
+            groups = groups_for(linked, e.count())
+            n = materialize(weighted_triangles(self._oriented_entries(linked, d), groups), "counts")
             remove(e)
             remove(d)
-            found = F.sum(F.col("n").cast("decimal(20,0)") * F.col("share"))
-            return n.agg(F.coalesce(found.cast("long"), F.lit(0).cast("long")).alias("n"))
+            return n.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
         ordered = F.sort_array(F.collect_set(F.struct("dd", "dst")))
         after = materialize(self.oriented().filter("src <> dst").groupBy("src").agg(F.transform(ordered,
             lambda x: x["dst"]).alias("others")), "oriented")

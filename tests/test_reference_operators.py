@@ -246,7 +246,26 @@ def test_wedges_are_looked_up_in_pieces(monkeypatch, places):
         times = np.where(rng.random((n, n)) < 0.5, rng.integers(0, 300, (n, n)), 0)
         src, dst = np.nonzero(times)
         want = sum(int(times[v, u] * np.minimum(times[v], times[u]).sum()) for v, u in zip(src, dst))
-        assert wedges.counted(src.astype(np.int32), dst.astype(np.int32), times[src, dst].astype(np.uint16), n) == want
+        edges = src.astype(np.int32), dst.astype(np.int32), times[src, dst].astype(np.uint16), n
+        assert wedges.counted(*edges) == want
+        split = n // 3
+        inner = sum(int(t[v, u] * np.minimum(t[v], t[u]).sum()) for t in (times[:split, :split], times[split:, split:]) for v, u in np.argwhere(t))
+        assert wedges.counted(*edges, split) == want - inner
+
+
+def test_triangles_of_near_ids_move_to_few_tasks(spark, monkeypatch):
+    lines = [(a, b) for k in range(0, 640, 10) for a in range(k, k + 13) for b in range(k, a)]  # cliques that share vertices
+    monkeypatch.setattr(wedges, "TASK_EDGES", 800)
+    g = graph(spark, lines, False)
+    entries = g._entries()
+    groups = wedges.groups_for(entries, entries.count())
+    assert groups.span == (0, 642) and groups.met.sum(axis=1).max() <= 2 and groups.tasks() < 3 * len(groups.met)
+    near = {}
+    for a, b in [*lines, *((b, a) for a, b in lines)]:
+        near.setdefault(a, []).append(b)
+    later = {v: Counter(u for u in ns if (len(near[u]), u) >= (len(ns), v)) for v, ns in near.items()}
+    want = sum(n * sum((later[v] & later[u]).values()) for v, us in later.items() for u, n in us.items())
+    assert g.triangles(parity=True).first()["n"] == want
 
 
 def test_combinators():
